@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..errors import MissingMetadata
@@ -110,12 +112,10 @@ def _bisect(height_at, lo, hi, target):
     return 0.5 * (lo + hi)
 
 
-_POINT = "x double, y double, z double"
+_POINT = T.StructType([T.StructField(n, T.DoubleType()) for n in "xyz"])
 
 
 def _frame(points: np.ndarray):
-    import pandas as pd
-
     return pd.DataFrame(points, columns=["x", "y", "z"])
 
 
@@ -124,7 +124,7 @@ def _xyz(pdf) -> np.ndarray:
 
 
 @pandas_udf(_POINT)
-def project_to_height(sensor: "pd.DataFrame", point: "pd.DataFrame", hae: "pd.Series") -> "pd.DataFrame":  # noqa: F821
+def project_to_height(sensor: pd.DataFrame, point: pd.DataFrame, hae: pd.Series) -> pd.DataFrame:
     """Slide a point along its look ray to a height; NULL if the ray never reaches it."""
     s, p, target = _xyz(sensor), _xyz(point), hae.to_numpy(dtype=float)
     ray = p - s
@@ -138,7 +138,7 @@ def project_to_height(sensor: "pd.DataFrame", point: "pd.DataFrame", hae: "pd.Se
 
 
 @pandas_udf(_POINT)
-def slant_to_ground(sensor: "pd.DataFrame", velocity: "pd.DataFrame", slant: "pd.DataFrame", hae: "pd.Series") -> "pd.DataFrame":  # noqa: F821
+def slant_to_ground(sensor: pd.DataFrame, velocity: pd.DataFrame, slant: pd.DataFrame, hae: pd.Series) -> pd.DataFrame:
     """Move a slant-plane point round its range-Doppler circle to a height.
 
     Of the crossings, the one nearest the slant point wins; NULL if there is none
