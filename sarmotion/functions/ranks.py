@@ -38,16 +38,13 @@ def order_statistics(
     )
     # n/accuracy of slack on each side, doubled so that rounding cannot escape it.
     slack = 2.0 / SKETCH_ACCURACY
-    counted = cell.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    wanted = counted.select(
-        *keys, "n", *[ranks[k].cast("bigint").alias(f"_r_{k}") for k in names]
-    )
     sketch = cell.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
         F.percentile_approx("_v", _grid(), SKETCH_ACCURACY).alias("_q"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
-    bracket = _join(wanted, sketch, keys)
+    bracket = sketch.select("*", *[ranks[k].cast("bigint").alias(f"_r_{k}") for k in names])
     steps = len(_grid_points()) - 1
 
     def edge(rank: Column, outward: int) -> Column:
@@ -61,7 +58,6 @@ def order_statistics(
     bracket = bracket.select(
         *keys,
         "n",
-        *[f"_r_{k}" for k in names],
         F.array(
             *[
                 F.struct(
@@ -76,12 +72,13 @@ def order_statistics(
     )
     side = F.broadcast(bracket) if bounded_keys or not keys else bracket
     located = _join(cell, side, keys)
-    target = located.select(*keys, "_v", F.explode("_want").alias("_w"))
+    target = located.select(*keys, "n", "_v", F.explode("_want").alias("_w"))
     # Partial aggregation happens before the shuffle: everything below the bracket
     # collapses into one count, and ties inside it into one row each.
     below = F.col("_v") < F.col("_w.lo")
     kept = target.where(F.col("_v") <= F.col("_w.hi")).groupBy(
         *keys,
+        "n",
         F.col("_w.name").alias("_name"),
         F.col("_w.rank").alias("_rank"),
         F.when(~below, F.col("_v")).alias("_v"),
@@ -96,10 +93,9 @@ def order_statistics(
         & (F.col("_upto") > F.col("_rank"))
         & (F.col("_upto") - F.col("_c") <= F.col("_rank"))
     )
-    picked = hit.groupBy(*keys).agg(
+    return hit.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in names]
     )
-    return _join(counted, picked, keys)
 
 
 def median_columns(n: str = "n") -> dict[str, Column]:

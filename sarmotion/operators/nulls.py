@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from ..params import Grid, SubapParams, TrackParams
 from ..sources.simulate import static_like
 from .focus import Collect, backproject
 from .selection import best_window
-from .spectrum import spectrum
+from .spectrum import pack_series, spectrum
 from .subaperture import ImageStack, pulse_windows
 from .subaperture import build as build_stack
 from .tracking import track
@@ -45,7 +46,9 @@ def permutations(n_looks: int, trials: int) -> list[tuple[int, int, int]]:
     return rows
 
 
-def shuffled(stack: ImageStack, trials: int | list[tuple[int, int, int]]) -> ImageStack:
+def shuffled(
+    stack: ImageStack, trials: int | list[tuple[int, int, int]], keys: Sequence[str] = ()
+) -> ImageStack:
     """The stack with its looks permuted in time, once per ``trial``.
 
     Master and slave of a pair move together.
@@ -59,7 +62,7 @@ def shuffled(stack: ImageStack, trials: int | list[tuple[int, int, int]]) -> Ima
         if pixels is None:
             return None
         return pixels.join(table, "look").select(
-            "trial", F.col("_at").alias("look"), "az", "rg", "re", "im"
+            *keys, "trial", F.col("_at").alias("look"), "az", "rg", "re", "im"
         )
 
     return replace(stack, pixels=moved(stack.pixels), slave=moved(stack.slave))
@@ -75,14 +78,15 @@ def shuffle_once(stack: ImageStack, seed: int) -> ImageStack:
 
 def prominences(
     stack: ImageStack, params: TrackParams, f_min: float = 0.0,
-    source: str = "velocity", detrend: str = "linear",
+    source: str = "velocity", detrend: str = "linear", keys: Sequence[str] = ("trial",),
 ) -> DataFrame:
     """Best prominence per trial through the identical chain; 0 where nothing resolves."""
-    motion, meta = track(stack, params, ["trial"])
-    spectra = spectrum(motion, meta, source, f_min, detrend, ["trial"])
-    best = best_window(spectra, meta, ["trial"])
+    motion, meta = track(stack, params, keys)
+    series = pack_series(motion, meta.n_looks, keys)
+    spectra = spectrum(series, meta, source, f_min, detrend, keys)
+    best = best_window(spectra, meta, keys)
     return best.select(
-        "trial", F.coalesce("prominence", F.lit(0.0)).alias("prominence"), "dominant_freq"
+        *keys, F.coalesce("prominence", F.lit(0.0)).alias("prominence"), "dominant_freq"
     )
 
 

@@ -37,14 +37,11 @@ def interpolate_orbit(states, t) -> Column:
     weights = F.transform(F.sequence(F.lit(0), F.size(near) - 1), weight)
 
     def blend(field: str) -> Column:
-        axes = [
-            F.aggregate(
-                F.zip_with(weights, near, lambda w, s, k=k: w * s[field][k]),
-                F.lit(0.0), lambda a, x: a + x,
-            )
-            for k in range(3)
-        ]
-        return F.array(*axes)
+        def axis(k: int) -> Column:
+            terms = F.zip_with(weights, near, lambda w, s: w * s[field][k])
+            return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+        return F.array(*[axis(k) for k in range(3)])
 
     mixed = F.struct(when.cast("double").alias("t"), blend("pos").alias("pos"), blend("vel").alias("vel"))
     return F.when(n == 1, F.element_at(sv, 1).cast(STATE)).when(n > 1, mixed.cast(STATE))

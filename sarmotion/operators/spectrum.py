@@ -17,32 +17,32 @@ from ..params import MotionMeta
 DETRENDS = ("linear", "mean", "none")
 
 
+SERIES = ("disp_az", "disp_rg", "vel_los", "disp_los", "phase")
+
+
 def pack_series(
     motion: DataFrame,
-    columns: Sequence[str],
     n_looks: int,
     keys: Sequence[str] = (),
+    columns: Sequence[str] = SERIES,
     carry: Sequence[str] = ("iaz", "irg", "quality"),
 ) -> DataFrame:
-    """One row per window with a dense array per column; absent looks hold 0.0.
+    """The series form of motion: one row per window, a dense array per column.
 
-    A window has at most ``n_looks`` samples, so the arrays are bounded.
+    Absent looks hold 0.0.  A window has at most ``n_looks`` samples, so the arrays
+    are bounded, and spectra and depth profiles need no further shuffle.
     """
+    entry = F.struct(F.col("look").cast("int").alias("look"), *columns)
     rows = motion.groupBy(*keys, "win").agg(
-        F.array_sort(F.collect_list(F.struct("look", *columns))).alias("_s"),
-        *[F.first(c).alias(c) for c in carry],
+        F.collect_list(entry).alias("_s"), *[F.first(c).alias(c) for c in carry]
     )
     looks = F.sequence(F.lit(0), F.lit(n_looks - 1))
-
-    def dense(column: str) -> Column:
-        pairs = F.transform("_s", lambda s: F.struct(s["look"].cast("int"), s[column]))
-        filled = F.transform(
-            looks, lambda i: F.coalesce(F.try_element_at(F.map_from_entries(pairs), i), F.lit(0.0))
-        )
-        whole = F.size("_s") == n_looks
-        return F.when(whole, F.col(f"_s.{column}")).otherwise(filled).alias(column)
-
-    return rows.select(*keys, "win", *carry, *[dense(c) for c in columns])
+    blanks = F.transform(
+        F.array_except(looks, F.col("_s.look")),
+        lambda i: F.struct(i.alias("look"), *[F.lit(0.0).alias(c) for c in columns]),
+    )
+    full = rows.withColumn("_full", F.array_sort(F.concat("_s", blanks)))
+    return full.select(*keys, "win", *carry, *[F.col(f"_full.{c}").alias(c) for c in columns])
 
 
 def power_spectral_density(series, n_looks: int, dt: float, detrend: str = "linear") -> Column:
@@ -78,8 +78,17 @@ def lowest_bin(meta: MotionMeta, f_min: float = 0.0) -> int:
     return min(max(1, math.ceil(f_min / meta.df)), n_freq - 1)
 
 
+def unpack_series(series: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] = SERIES) -> DataFrame:
+    """The long form again: one row per window and look."""
+    zipped = series.select(
+        *keys, "win", "iaz", "irg", "quality",
+        F.posexplode(F.arrays_zip(*columns)).alias("look", "_v"),
+    )
+    return zipped.select(*keys, "win", "iaz", "irg", "look", *[f"_v.{c}" for c in columns], "quality")
+
+
 def spectrum(
-    motion: DataFrame,
+    series: DataFrame,
     meta: MotionMeta,
     source: str = "velocity",
     f_min: float = 0.0,
@@ -94,9 +103,8 @@ def spectrum(
     column = {"velocity": "vel_los", "displacement": "disp_los"}.get(source)
     if column is None:
         raise ArgumentError(f"unknown spectrum source {source!r}")
-    packed = pack_series(motion, [column, "disp_az"], meta.n_looks, keys)
     psd = power_spectral_density(column, meta.n_looks, meta.dt, detrend)
-    rows = packed.select(
+    rows = series.select(
         *keys, "win", "iaz", "irg", "quality", psd.alias("psd"),
         (F.array_max("disp_az") - F.array_min("disp_az")).alias("excursion_px"),
     )

@@ -21,7 +21,6 @@ from pyspark.sql.functions import pandas_udf
 
 from ..errors import ArgumentError, RangeFault, SarMotionError, SingularFault
 from ..params import CONVENTIONS, MotionMeta, TomoParams
-from .spectrum import pack_series
 
 MODELS = ("A", "B", "C", "D")
 
@@ -254,23 +253,23 @@ def focuser(params: TomoParams, meta: MotionMeta, baselines: Sequence[float] | N
     )
 
 
-def observations(motion: DataFrame, meta: MotionMeta, params: TomoParams, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per window with the complex data vector as ``y_re`` and ``y_im``."""
+def observations(series: DataFrame, meta: MotionMeta, params: TomoParams) -> DataFrame:
+    """Add each window's complex data vector as arrays ``y_re`` and ``y_im``."""
     if params.y_source == "los":
-        series = motion.withColumns({"y_re": F.col("disp_los"), "y_im": F.lit(0.0)})
+        out = series.withColumns({
+            "y_re": F.col("disp_los"), "y_im": F.transform("disp_los", lambda x: F.lit(0.0)),
+        })
     elif params.y_source == "shifts":
         az = meta.az_spacing if meta.az_spacing > 0 else 1.0
         rg = meta.rg_spacing if meta.rg_spacing > 0 else 1.0
-        series = motion.withColumns({
-            "y_re": F.col("disp_az") * az, "y_im": F.col("disp_rg") * rg,
+        out = series.withColumns({
+            "y_re": F.transform("disp_az", lambda x: x * F.lit(float(az))),
+            "y_im": F.transform("disp_rg", lambda x: x * F.lit(float(rg))),
         })
     else:
         raise ArgumentError(f"unknown data vector {params.y_source!r}")
-    packed = pack_series(series, ["y_re", "y_im"], meta.n_looks, keys)
     if not params.remove_y_mean:
-        return packed
-
-    out = packed
+        return out
     for c in ("y_re", "y_im"):
         mean = F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / meta.n_looks
         out = (
@@ -288,7 +287,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def profiles(
     params: TomoParams,
     meta: MotionMeta,
-    motion: DataFrame | None = None,
+    series: DataFrame | None = None,
     spectra: DataFrame | None = None,
     baselines: Sequence[float] | None = None,
     keys: Sequence[str] = (),
@@ -305,15 +304,14 @@ def profiles(
             return pd.Series(list(model.apply(_matrix(psd))))
 
         return spectra.select(*carry, focus_psd("psd").alias("profile"))
-    if motion is None:
+    if series is None:
         raise ArgumentError(f"model {params.model} needs motion series")
 
     @pandas_udf("array<double>")
     def focus_series(re: pd.Series, im: pd.Series) -> pd.Series:
         return pd.Series(list(model.apply(_matrix(re) + 1j * _matrix(im))))
 
-    packed = observations(motion, meta, params, keys)
-    return packed.select(*carry, focus_series("y_re", "y_im").alias("profile"))
+    return observations(series, meta, params).select(*carry, focus_series("y_re", "y_im").alias("profile"))
 
 
 def profile_cells(profile: DataFrame, params: TomoParams, keys: Sequence[str] = ()) -> DataFrame:
@@ -427,7 +425,9 @@ def sweep_assumptions(
     feasible = []
     for fv in scales:
         for ff in scales:
-            trial = replace(params, velocity=params.velocity * fv, frequency=params.frequency * ff)
+            trial = replace(
+                params, velocity=float(params.velocity * fv), frequency=float(params.frequency * ff)
+            )
             try:
                 feasible.append(focuser(trial, meta))
             except SarMotionError:
@@ -440,7 +440,7 @@ def sweep_assumptions(
 def sweep(
     params: TomoParams,
     meta: MotionMeta,
-    motion: DataFrame | None = None,
+    series: DataFrame | None = None,
     spectra: DataFrame | None = None,
     scale_min: float = 0.5,
     scale_max: float = 2.0,
@@ -459,9 +459,9 @@ def sweep(
             raise ArgumentError(f"model {params.model} needs vibration spectra")
         source = spectra.select(*[F.col(k).cast("bigint").alias(k) for k in keys], "psd")
     else:
-        if motion is None:
+        if series is None:
             raise ArgumentError(f"model {params.model} needs motion series")
-        source = observations(motion, meta, params, keys).select(
+        source = observations(series, meta, params).select(
             *[F.col(k).cast("bigint").alias(k) for k in keys], "y_re", "y_im"
         )
     n_depth, n_keys = len(models[0].depth), len(keys)

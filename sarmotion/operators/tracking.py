@@ -21,9 +21,9 @@ from ..errors import ArgumentError, SarMotionError
 from ..functions.ranks import median_columns, order_statistics
 from ..params import MotionMeta, StackMeta, TrackParams
 from .patches import check_surface, demean, register, splitband_shift
+from .spectrum import SERIES
 from .subaperture import ImageStack
 
-SERIES = ("disp_az", "disp_rg", "vel_los", "disp_los", "phase")
 
 
 def motion_meta(stack: StackMeta, params: TrackParams) -> MotionMeta:
@@ -164,13 +164,14 @@ def register_windows(stack: ImageStack, params: TrackParams, keys: Sequence[str]
             other = _cube(slaves, looks, block_az, block_rg, params)
             measured, ref_at = current, np.arange(len(current))
         else:
-            looks = np.unique(pdf["look"].to_numpy())
-            cube = other = _cube(pdf, looks, block_az, block_rg, params)
             if reference == "first":
                 measured, refs = current[current > 0], np.zeros((current > 0).sum(), int)
             else:
                 measured = current[current >= lag]
                 refs = measured - lag
+            # Looks the stack does not hold stay empty.
+            looks = np.unique(np.concatenate([[0], current, refs]))
+            cube = other = _cube(pdf, looks, block_az, block_rg, params)
             ref_at = np.searchsorted(looks, refs)
         cur_at = np.searchsorted(looks, measured)
         blank = np.setdiff1d(current, measured)
@@ -358,16 +359,18 @@ def mask_incoherent(motion: DataFrame, params: TrackParams) -> DataFrame:
 def remove_common_mode(motion: DataFrame, stack: StackMeta, keys: Sequence[str] = ()) -> DataFrame:
     """Subtract, look by look, the median displacement over all windows."""
     keys = [*keys, "look"]
-    out = motion
-    for column in ("disp_az", "disp_rg"):
-        middle = order_statistics(out, keys, column, median_columns(), bounded_keys=True)
-        centre = middle.select(
-            *keys, (0.5 * (F.col("mid_lo") + F.col("mid_hi"))).alias("_median")
-        )
-        # One row per look: bounded by the look count, so it may be broadcast.
-        out = out.join(F.broadcast(centre), keys).withColumn(
-            column, F.col(column) - F.col("_median")
-        ).drop("_median")
+    axes = ("disp_az", "disp_rg")
+    long = motion.select(*keys, F.explode(F.create_map(
+        *[x for c in axes for x in (F.lit(c), F.col(c))]
+    )).alias("_axis", "_shift"))
+    middle = order_statistics(long, [*keys, "_axis"], "_shift", median_columns(), bounded_keys=True)
+    centre = middle.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_axis") == c, 0.5 * (F.col("mid_lo") + F.col("mid_hi")))).alias(f"_{c}")
+        for c in axes
+    ])
+    # One row per look: bounded by the look count, so it may be broadcast.
+    joined = motion.join(F.broadcast(centre), keys)
+    out = joined.withColumns({c: F.col(c) - F.col(f"_{c}") for c in axes}).drop(*[f"_{c}" for c in axes])
     image = stack.image
     if image.az_spacing > 0 and image.v_platform > 0 and image.r0 > 0:
         out = out.withColumn("vel_los", velocity(F.col("disp_az"), stack))
