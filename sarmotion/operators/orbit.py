@@ -2,46 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import as_col
 
-STATE = "struct<t:double,pos:array<double>,vel:array<double>>"
-
-
-def interpolate_orbit(states, t) -> Column:
-    """STRUCT<t, pos, vel> by Lagrange interpolation over up to four neighbours.
+def interpolate_orbit(df: DataFrame, states: str, t: str, into: str = "state") -> DataFrame:
+    """Add STRUCT<t, pos, vel> by Lagrange interpolation over up to four neighbours.
 
     ``states`` is an ARRAY of ``(t, pos, vel)`` in time order, at most a few dozen.
-    A single vector is returned as it is; an empty array gives NULL.
+    Times outside it extrapolate.  A single vector is returned as it is; an empty
+    array gives NULL.
     """
-    sv, when = as_col(states), as_col(t)
-    n = F.size(sv)
-    # Index of the first vector later than t, kept within the array.
-    later = F.size(F.filter(F.slice(sv, 1, F.greatest(n - 1, F.lit(1))), lambda s: s["t"] <= when))
-    at = F.least(later, n - 1)
-    start = F.greatest(at - 1, F.lit(0))
-    start = F.when(n - start < 2, F.greatest(n - 2, F.lit(0))).otherwise(start)
-    near = F.slice(sv, start + 1, F.least(n - start, F.lit(4)))
-
-    def weight(i):
-        own = F.element_at(near, i + 1)["t"]
-
-        def factor(acc, other):
-            gap = own - other["t"]
+    n, when = F.size(states), F.col(t)
+    passed = F.filter(F.slice(states, 1, F.greatest(n - 1, F.lit(1))), lambda s: s["t"] <= when)
+    at = F.least(F.size(passed), n - 1)
+    start = F.least(F.greatest(at - 1, F.lit(0)), F.greatest(n - 2, F.lit(0)))
+    near = df.withColumn("_near", F.slice(states, start + 1, F.least(n - start, F.lit(4))))
+
+    def weight(own: Column) -> Column:
+        def factor(acc: Column, other: Column) -> Column:
+            gap = own["t"] - other["t"]
             return F.when(gap == 0, acc).otherwise(acc * (when - other["t"]) / gap)
 
-        return F.aggregate(near, F.lit(1.0), factor)
+        return F.aggregate("_near", F.lit(1.0), factor)
 
-    weights = F.transform(F.sequence(F.lit(0), F.size(near) - 1), weight)
+    weighted = near.withColumn("_w", F.transform("_near", weight))
 
     def blend(field: str) -> Column:
         def axis(k: int) -> Column:
-            terms = F.zip_with(weights, near, lambda w, s: w * s[field][k])
+            terms = F.zip_with("_w", "_near", lambda w, s: w * s[field][k])
             return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
         return F.array(*[axis(k) for k in range(3)])
 
-    mixed = F.struct(when.cast("double").alias("t"), blend("pos").alias("pos"), blend("vel").alias("vel"))
-    return F.when(n == 1, F.element_at(sv, 1).cast(STATE)).when(n > 1, mixed.cast(STATE))
+    single = F.element_at("_near", 1)
+    pick = lambda name, mixed: F.when(n == 1, single[name]).otherwise(mixed).alias(name)
+    state = F.struct(
+        pick("t", when.cast("double")), pick("pos", blend("pos")), pick("vel", blend("vel"))
+    )
+    return weighted.withColumn(into, F.when(n > 0, state)).drop("_near", "_w")

@@ -113,7 +113,7 @@ def q_tomographic_wavenumber(spark: SparkSession, d: str) -> DataFrame:
 def q_feasibility(spark: SparkSession, d: str) -> DataFrame:
     orders = t.table(spark, d, "orders").select(
         "o_orderkey",
-        (1.0 + F.col("o_totalprice") / 20000.0).alias("dwell"),
+        (1.0 + F.sqrt("o_totalprice") / 40.0).alias("dwell"),
         F.lit(762800.0).alias("slant"), F.lit(7263.0).alias("speed"),
         F.lit(0.0322).alias("wavelength"),
     )
@@ -149,8 +149,10 @@ def q_orbit_interp(spark: SparkSession, d: str) -> DataFrame:
             F.array(*[at(i, k) for k in (4, 5, 6)]).alias("vel"),
         ),
     )
-    when = F.col("label") * 0.93 - 0.4
-    state = vectors.select("vec_id", interpolate_orbit(states, when).alias("s"))
+    rows = vectors.select(
+        "vec_id", states.alias("states"), (F.col("label") * 0.93 - 0.4).alias("when")
+    )
+    state = interpolate_orbit(rows, "states", "when", "s")
     return rounded(state.select(
         "vec_id", F.col("s.t").alias("t"),
         *[F.col("s.pos")[k].alias(f"p{k}") for k in range(3)],
@@ -297,8 +299,8 @@ def _tracked(reference: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         stack = t.film_stack(spark, d)
         if reference == "pair":
-            flipped = stack.pixels.withColumn("az", F.lit(t.FILM_AZ - 1) - F.col("az"))
-            stack = replace(stack, slave=flipped)
+            rolled = stack.pixels.withColumn("az", (F.col("az") + 1) % t.FILM_AZ)
+            stack = replace(stack, slave=rolled)
         params = replace(TRACK, reference=reference, ref_lag=3)
         motion, _ = tracking.track(stack, params, ["film"])
         return rounded(motion)

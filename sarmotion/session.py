@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +29,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_sarmotion_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sarmotion-package-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "sarmotion"), "zip", os.path.dirname(root), os.path.basename(root)
+    )
+    context.addPyFile(archive)
+    context._sarmotion_shipped = True
