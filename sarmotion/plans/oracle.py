@@ -19,7 +19,7 @@ geo AS (
   SELECT l_orderkey, l_linenumber,
     100.0::DOUBLE + 10.0::DOUBLE * sqrt(l_extendedprice) AS v,
     l_quantity * 10.0::DOUBLE - 20.0::DOUBLE AS f,
-    400000.0::DOUBLE + l_extendedprice * 5.0::DOUBLE AS slant,
+    400000.0::DOUBLE + 1500.0::DOUBLE * sqrt(l_extendedprice) AS slant,
     0.2::DOUBLE + l_discount * 5.0::DOUBLE AS theta,
     1.0::DOUBLE + l_quantity AS dwell, l_tax * 10.0::DOUBLE AS overlap
   FROM lineitem),
@@ -614,7 +614,7 @@ FROM ser WINDOW w AS (PARTITION BY win ORDER BY look)
 COMMON = f"""
 WITH {SERIES},
 md AS (SELECT look, quantile_cont(v, 0.5) AS mv, quantile_cont(c, 0.5) AS mc FROM ser GROUP BY look)
-SELECT win, look::BIGINT AS look, {_r("v - mv", "disp_az")}, {_r("c - mc", "disp_rg")}, {_r(f"(v - mv) * {SPEED}", "vel_los")}
+SELECT win, look::BIGINT AS look, {_r("v - mv", "disp_az")}, {_r("c - mc", "disp_rg")}, {_r(f"(v - mv) * {SPEED}", "vel_los", 8)}
 FROM ser JOIN md USING (look)
 """
 

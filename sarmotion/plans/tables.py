@@ -162,7 +162,7 @@ def geometry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (100.0 + 10.0 * F.sqrt("l_extendedprice")).alias("v"),
         (F.col("l_quantity") * 10.0 - 20.0).alias("f"),
-        (400000.0 + F.col("l_extendedprice") * 5.0).alias("slant"),
+        (400000.0 + 1500.0 * F.sqrt("l_extendedprice")).alias("slant"),
         (0.2 + F.col("l_discount") * 5.0).alias("theta"),
         (1.0 + F.col("l_quantity")).alias("dwell"),
         (F.col("l_tax") * 10.0).alias("overlap"),
