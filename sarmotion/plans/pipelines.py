@@ -1,0 +1,371 @@
+"""The seven commands as plans over DataFrames."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..errors import ArgumentError, RangeFault
+from ..functions import geodesy
+from ..operators import ccd, nulls, selection, tomography, validation
+from ..operators.focus import Collect, backproject, full_aperture, image_meta
+from ..operators.spectrum import pack_series, spectrum
+from ..operators.subaperture import (
+    ImageStack,
+    azimuth_power_spectrum,
+    build,
+    doppler_bandwidth,
+    doppler_centroid,
+    pack_columns,
+)
+from ..operators.tracking import track
+from ..params import (
+    CcdParams,
+    Grid,
+    ImageMeta,
+    MotionMeta,
+    SubapParams,
+    TomoParams,
+    TrackParams,
+)
+
+
+def focus(
+    collect: Collect, grid: Grid, start: int = 0, count: int | None = None, range_taps: int = 0
+) -> tuple[DataFrame, ImageMeta]:
+    """One image from a run of pulses."""
+    windows = full_aperture(collect.meta, start, count)
+    meta, _ = image_meta(collect, grid, windows)
+    return backproject(collect, grid, windows, range_taps), meta
+
+
+def sampling_warning(collect: Collect, grid: Grid, resolution: float) -> str | None:
+    """Cells far from the aperture's resolution waste pulses or lose detail."""
+    if resolution > 0 and grid.dx > 2.0 * resolution:
+        return f"cells of {grid.dx:g} m are coarser than the {resolution:.2f} m this aperture resolves"
+    return None
+
+
+def unambiguous_extent(collect: Collect, image: ImageMeta) -> float:
+    """Along-track width an image can have before a strided pulse rate folds it."""
+    if image.v_platform <= 0:
+        return 0.0
+    return collect.meta.wavelength * image.r0 * collect.meta.prf / (2.0 * image.v_platform)
+
+
+@dataclass(frozen=True)
+class Motion:
+    """Everything the motion command reports; the DataFrames are persisted."""
+
+    stack: ImageStack
+    meta: MotionMeta
+    motion: DataFrame
+    series: DataFrame
+    spectra: DataFrame
+    best: dict
+    consensus: dict
+    refused: bool
+    warnings: list[str]
+    velocity_p2p: float
+    nulls: dict[str, dict] = field(default_factory=dict)
+
+
+def observe(
+    collect: Collect, grid: Grid, subap: SubapParams, params: TrackParams, route: str = "pulse",
+    shuffle_seed: int = 0,
+) -> tuple[ImageStack, DataFrame, MotionMeta]:
+    """Looks and tracked motion.  The stack is kept: several stages read it."""
+    stack = build(collect, grid, subap, route)
+    keep = lambda d: None if d is None else d.persist()
+    stack = replace(stack, pixels=keep(stack.pixels), slave=keep(stack.slave))
+    if shuffle_seed:
+        stack = nulls.shuffle_once(stack, shuffle_seed)
+    motion, meta = track(stack, params)
+    return stack, motion.persist(), meta
+
+
+def mmotion(
+    collect: Collect, grid: Grid, subap: SubapParams, params: TrackParams, route: str | None = None,
+    f_min: float = 0.0, detrend: str = "linear", null_trials: int = 0, static_trials: int = 0,
+    shuffle_seed: int = 0,
+) -> Motion:
+    """Vibration frequency of a scene, its agreement and its nulls.
+
+    Raises when no window resolves motion.  ``refused`` is set when too few windows
+    agree for a frequency to be reported.
+    """
+    pair = params.reference == "pair"
+    route = route or ("paper" if pair else "pulse")
+    subap = replace(subap, pair=True) if pair else subap
+    stack, motion, meta = observe(collect, grid, subap, params, route, shuffle_seed)
+    source = "displacement" if params.estimator == "phase" else "velocity"
+    series = pack_series(motion, meta.n_looks).persist()
+    spectra = spectrum(series, meta, source, f_min, detrend).persist()
+    best_frame = selection.best_window(spectra, meta)
+    best = selection.require_window(best_frame, meta)
+    agreed = selection.consensus(spectra, meta).withColumn(
+        "refused", selection.consensus_refused("n_agree", "n_voting")
+    )
+    consensus = agreed.first().asDict()
+    refused = consensus.pop("refused")
+    marked = selection.agreeing(spectra, meta).where("agrees")
+    block = selection.largest_block(marked)
+    consensus |= block.first().asDict()
+    cautions = best_frame.crossJoin(F.broadcast(block)).select(
+        selection.warnings(meta).alias("w")
+    ).first()["w"]
+    swing = series.where(F.col("win") == best["win"]).select(
+        (F.array_max("vel_los") - F.array_min("vel_los")).alias("p")
+    ).first()["p"]
+    found: dict[str, dict] = {}
+    if null_trials:
+        run = nulls.shuffle_null(stack, params, null_trials, best["prominence"], f_min, source, detrend)
+        found["shuffle"] = run.first().asDict()
+    if static_trials:
+        run = nulls.static_null(
+            collect, grid, subap, params, static_trials, best["prominence"], route, f_min,
+            source=source, detrend=detrend,
+        )
+        found["static"] = run.first().asDict()
+    return Motion(stack, meta, motion, series, spectra, best, consensus, refused, cautions, swing, found)
+
+
+def change(stack: ImageStack, params: CcdParams) -> tuple[DataFrame, dict]:
+    """Change map of a stack and the range of its statistic."""
+    image = stack.meta.image
+    found = ccd.change_map(stack.pixels, image.n_az, image.n_rg, params, stack.meta.n_looks).persist()
+    return found, ccd.map_range(found).first().asDict()
+
+
+def collect_geometry(collect: Collect, params: TomoParams) -> TomoParams:
+    """Slant range, aperture and incidence as the collect implies them."""
+    n = collect.meta.n_pulse
+    rows = {
+        r["pulse"]: r
+        for r in collect.pulses.where(F.col("pulse").isin(0, n // 2, n - 1))
+        .select("pulse", "px", "py", "pz", "r_ref").collect()
+    }
+    at = lambda p: [rows[p][c] for c in ("px", "py", "pz")]
+    slant = rows[n // 2]["r_ref"] if rows[n // 2]["r_ref"] > 0 else math.hypot(*at(n // 2))
+    drop = abs(rows[n // 2]["pz"])
+    return replace(
+        params, slant_range=slant, aperture=math.dist(at(0), at(n - 1)),
+        incidence=math.acos(drop / slant) if 0 < drop <= slant else params.incidence,
+        radar_wavelength=collect.meta.wavelength,
+    )
+
+
+def patent_chain(params: TomoParams) -> TomoParams:
+    """Force the unconditioned chain; a conflicting choice is refused, not overridden."""
+    if params.model != "A":
+        raise ArgumentError("the patent chain is model A only")
+    if params.y_source != "shifts":
+        raise ArgumentError("the patent chain uses the complex shift vector")
+    return replace(
+        params, solver="lstsq", convention="patent", window=False, remove_y_mean=False,
+        regularisation=0.0, patent_exact=True, subap_window=False, coherence_min=0.0,
+        pair_reference=True,
+    )
+
+
+@dataclass(frozen=True)
+class Depth:
+    params: TomoParams
+    meta: MotionMeta
+    grid: Grid
+    tracking: TrackParams
+    profiles: DataFrame
+    spectra: DataFrame | None
+    metadata: dict
+    null: dict | None = None
+
+
+def tomo(
+    collect: Collect, grid: Grid, subap: SubapParams, tracking: TrackParams, params: TomoParams,
+    route: str | None = None, detrend: str = "linear", align_trials: int = 0, align_seed: int = 1,
+) -> Depth:
+    """Depth profiles of a scene under stated assumptions."""
+    if params.patent_exact:
+        params = patent_chain(params)
+        subap = replace(subap, window=False, pair=True)
+        tracking = replace(tracking, reference="pair", coherence_min=0.0)
+        route = route or "paper"
+        if route != "paper":
+            raise ArgumentError("the patent chain needs the paper layout")
+    if tracking.estimator == "phase" and params.y_source == "shifts" and params.model in ("A", "C"):
+        raise ArgumentError("the phase estimator measures no shifts; use the line-of-sight vector")
+    if params.model == "C":
+        raise ArgumentError("model C needs baselines of a multi-pass stack, which one collect lacks")
+    if tracking.reference == "pair":
+        subap = replace(subap, pair=True)
+        route = route or "paper"
+    route = route or "pulse"
+    tomography.check_params(params)
+    params = replace(
+        params, subap_window=subap.window, coherence_min=tracking.coherence_min,
+        pair_reference=tracking.reference == "pair",
+        provenance=(
+            f"subap={route} estimator={tracking.estimator} looks={subap.n_looks} "
+            f"overlap={subap.overlap:.3f} win={tracking.win_az}x{tracking.win_rg} "
+            f"coherence={tracking.coherence_min:.2f} offset={grid.origin[0]:.0f},{grid.origin[1]:.0f} "
+            f"cell={grid.dx:.2f} detrend={'none' if params.patent_exact else detrend} "
+            f"ref={tracking.reference}"
+        ),
+    )
+    _, motion, meta = observe(collect, grid, subap, tracking, route)
+    series = pack_series(motion, meta.n_looks).persist()
+    spectra = None if params.patent_exact else spectrum(series, meta, detrend=detrend).persist()
+    profiles = tomography.profiles(params, meta, series=series, spectra=spectra).persist()
+    null = None
+    if align_trials:
+        depth = len(tomography.depth_axis(params))
+        null = tomography.alignment_null(profiles, depth, align_trials, align_seed).first().asDict()
+    return Depth(
+        params, meta, grid, tracking, profiles, spectra,
+        tomography.metadata(params, meta, tracking.exhaustive), null,
+    )
+
+
+def depth_windows(depth: Depth) -> DataFrame:
+    """Peak depth per window beside the evidence its spectrum gives."""
+    peaks = tomography.window_peaks(depth.profiles, depth.params)
+    if depth.spectra is None:
+        empty = [F.lit(0.0).alias("prominence"), F.lit(0.0).alias("dominant_hz")]
+        return peaks.select(F.col("win").alias("window"), "quality", *empty, F.col("peak_depth").alias("peak_depth_m"), "peak_value")
+    evidence = depth.spectra.select("win", "prominence", F.col("dominant_freq").alias("dominant_hz"))
+    return peaks.join(evidence, "win").select(
+        F.col("win").alias("window"), "quality", "prominence", "dominant_hz",
+        F.col("peak_depth").alias("peak_depth_m"), "peak_value",
+    )
+
+
+def geocoded_windows(depth: Depth, collect: Collect) -> DataFrame:
+    """Window centres on the ellipsoid with their peak depths; empty windows drop out."""
+    grid, t = depth.grid, depth.tracking
+    peaks = tomography.window_peaks(depth.profiles, depth.params).where(F.col("peak_value") > 0)
+
+    def centre(index: str, stride: int, win: int, n: int, step: float, origin: float):
+        return origin + (F.col(index) * stride + win // 2 - 0.5 * (n - 1)) * step
+
+    x = centre("iaz", t.stride_az or t.win_az, t.win_az, grid.n_x, grid.dx, grid.origin[0])
+    y = centre("irg", t.stride_rg or t.win_rg, t.win_rg, grid.n_y, grid.dy, grid.origin[1])
+    placed = peaks.withColumn("_g", geodesy.plane_llh(collect.meta.plane, x, y))
+    return placed.select(
+        F.col("win").alias("window"), F.col("_g.lat").alias("lat_deg"), F.col("_g.lon").alias("lon_deg"),
+        F.col("_g.hae").alias("plane_hae_m"), F.col("peak_depth").alias("peak_depth_m"),
+        (F.col("_g.hae") - F.col("peak_depth")).alias("peak_hae_m"), "peak_value",
+    )
+
+
+def resolve_at(spark: SparkSession, collect: Collect, lat: float, lon: float) -> tuple[float, float, float]:
+    """Grid origin of a geodetic point on the collect's plane."""
+    plane = collect.meta.plane
+    offset = geodesy.plane_offset(plane, lat, lon, 0.0 if plane is None else plane.ref_hae)
+    row = spark.range(1).select(offset.alias("o")).first()["o"]
+    if row is None:
+        raise RangeFault(f"latitude {lat:g} is outside [-90, 90]")
+    return row["x"], row["y"], 0.0
+
+
+@dataclass(frozen=True)
+class Sweep:
+    rows: DataFrame
+    merged: DataFrame
+    summary: dict
+    per_realisation: list[dict]
+    reliable: dict | None
+    velocity: dict | None
+
+
+def sweep(
+    collects: Sequence[Collect], params: TomoParams, subap: SubapParams, tracking: TrackParams,
+    grid: Grid, offsets: Sequence[tuple[float, float]] = ((0.0, 0.0),), scale_min: float = 0.5,
+    scale_max: float = 2.0, n_scale: int = 5, f_min: float = 0.0, route: str = "pulse",
+) -> Sweep:
+    """Does the depth follow the assumptions?  Every scene and offset is a realisation.
+
+    Each realisation is formed and tracked once; the assumption grid costs one more
+    pass over its windows, whatever its size.
+    """
+    parts = []
+    for scene, collect in enumerate(collects):
+        scaled = collect_geometry(collect, params)
+        tomography.check_params(scaled)
+        for offset, (x, y) in enumerate(offsets):
+            placed = replace(grid, origin=(x, y, 0.0))
+            _, motion, meta = observe(collect, placed, subap, tracking, route)
+            series = pack_series(motion, meta.n_looks)
+            spectra = spectrum(series, meta, f_min=f_min)
+            rows = tomography.sweep(
+                scaled, meta, series=series, spectra=spectra, scale_min=scale_min,
+                scale_max=scale_max, n_scale=n_scale,
+            )
+            tagged = rows.withColumns({"scene": F.lit(scene), "offset": F.lit(offset)})
+            # scenes x offsets x scales^2 rows, each costly to remake.
+            parts.append(tagged.persist())
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    merged = tomography.sweep_merge(rows)
+    fits = tomography.sweep_summary(rows, ["scene", "offset"])
+    several = len(parts) > 1
+    return Sweep(
+        rows, merged, tomography.sweep_summary(merged).first().asDict(),
+        [r.asDict() for r in fits.orderBy("scene", "offset").collect()],
+        tomography.sweep_summary_reliable(merged).first().asDict() if several else None,
+        tomography.velocity_fit(rows).first().asDict() if params.model == "D" else None,
+    )
+
+
+def sweep_verdict(found: Sweep) -> str:
+    """What the fits say about the depth axis, in one word."""
+    fit = found.reliable
+    if fit is None:
+        return "single_realisation"
+    slope, corr = fit["slope"], fit["correlation"]
+    if slope is None:
+        return "too_few_wavelengths"
+    if corr > 0.95 and 0.85 < slope < 1.15:
+        return "follows_assumption"
+    if abs(slope) < 0.2 and abs(corr) > 0.8:
+        return "pinned_by_data"
+    return "ambiguous"
+
+
+def validate(requests: DataFrame) -> tuple[list[dict], str]:
+    """Findings and verdict of one request row."""
+    found = validation.findings(requests).persist()
+    rows = [r.asDict() for r in found.orderBy("ord").collect()]
+    return rows, validation.verdict(found).first()["verdict"]
+
+
+def info(collect: Collect) -> dict:
+    """A phase history's own account of itself."""
+    meta = collect.meta
+    span = collect.pulses.agg((F.max("t") - F.min("t")).alias("s")).first()["s"]
+    return {
+        "source": meta.source, "pulses": meta.n_pulse, "range_bins": meta.n_rbin,
+        "carrier_ghz": meta.fc / 1e9, "wavelength_m": meta.wavelength, "transmit_prf_hz": meta.prf,
+        "dwell_s": span, "near_range_m": meta.r_near, "range_bin_m": meta.dr,
+    }
+
+
+def image_info(pixels: DataFrame, meta: ImageMeta) -> dict:
+    """A focused product's geometry, with Doppler figures measured from its pixels."""
+    columns = pack_columns(pixels)
+    power = azimuth_power_spectrum(columns).persist()
+    doppler = doppler_centroid(power, meta.n_az, meta.fs_az).crossJoin(
+        doppler_bandwidth(power, meta.n_az, meta.fs_az)
+    ).first()
+    return {
+        "source": meta.source, "azimuth": meta.n_az, "range": meta.n_rg,
+        "carrier_ghz": meta.fc / 1e9, "wavelength_m": meta.wavelength,
+        "azimuth_line_rate_hz": meta.fs_az, "transmit_prf_hz": meta.pulse_prf,
+        "azimuth_spacing_m": meta.az_spacing, "range_spacing_m": meta.rg_spacing,
+        "platform_ms": meta.v_platform, "dwell_s": meta.t_dwell,
+        "doppler_centroid_hz": doppler["centroid_hz"], "doppler_bandwidth_hz": doppler["bandwidth_hz"],
+    }
