@@ -91,7 +91,10 @@ def coherence_matrix(signals: np.ndarray) -> np.ndarray:
 
 
 def phase_link(signals: np.ndarray) -> np.ndarray:
-    """One phase per row, referenced to row 0, consistent with every pair."""
+    """One phase per row, referenced to row 0, consistent with every pair.
+
+    The fixed-point iteration needs three rows or more; two merely trade phases.
+    """
     gamma = coherence_matrix(signals)
     energy = (np.abs(signals) ** 2).sum(axis=1)
     off = gamma - np.diag(np.diag(gamma))
