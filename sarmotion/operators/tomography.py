@@ -253,31 +253,23 @@ def focuser(params: TomoParams, meta: MotionMeta, baselines: Sequence[float] | N
     )
 
 
-def observations(series: DataFrame, meta: MotionMeta, params: TomoParams) -> DataFrame:
-    """Add each window's complex data vector as arrays ``y_re`` and ``y_im``."""
+def data_columns(params: TomoParams) -> list[str]:
+    """Series columns a model's complex data vector is made of."""
+    columns = {"shifts": ["disp_az", "disp_rg"], "los": ["disp_los"]}.get(params.y_source)
+    if columns is None:
+        raise ArgumentError(f"unknown data vector {params.y_source!r}")
+    return columns
+
+
+def data_vectors(params: TomoParams, meta: MotionMeta, columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Windows x looks complex data: scaled shifts, or line-of-sight displacement."""
     if params.y_source == "los":
-        out = series.withColumns({
-            "y_re": F.col("disp_los"), "y_im": F.transform("disp_los", lambda x: F.lit(0.0)),
-        })
-    elif params.y_source == "shifts":
+        y = columns[0].astype(np.complex128)
+    else:
         az = meta.az_spacing if meta.az_spacing > 0 else 1.0
         rg = meta.rg_spacing if meta.rg_spacing > 0 else 1.0
-        out = series.withColumns({
-            "y_re": F.transform("disp_az", lambda x: x * F.lit(float(az))),
-            "y_im": F.transform("disp_rg", lambda x: x * F.lit(float(rg))),
-        })
-    else:
-        raise ArgumentError(f"unknown data vector {params.y_source!r}")
-    if not params.remove_y_mean:
-        return out
-    for c in ("y_re", "y_im"):
-        mean = F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / meta.n_looks
-        out = (
-            out.withColumn("_mean", mean)
-            .withColumn(c, F.transform(c, lambda x: x - F.col("_mean")))
-            .drop("_mean")
-        )
-    return out
+        y = columns[0] * az + 1j * (columns[1] * rg)
+    return y - y.mean(axis=1, keepdims=True) if params.remove_y_mean else y
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -308,10 +300,11 @@ def profiles(
         raise ArgumentError(f"model {params.model} needs motion series")
 
     @pandas_udf("array<double>")
-    def focus_series(re: pd.Series, im: pd.Series) -> pd.Series:
-        return pd.Series(list(model.apply(_matrix(re) + 1j * _matrix(im))))
+    def focus_series(*columns: pd.Series) -> pd.Series:
+        y = data_vectors(params, meta, [_matrix(c) for c in columns])
+        return pd.Series(list(model.apply(y)))
 
-    return observations(series, meta, params).select(*carry, focus_series("y_re", "y_im").alias("profile"))
+    return series.select(*carry, focus_series(*data_columns(params)).alias("profile"))
 
 
 def profile_cells(profile: DataFrame, params: TomoParams, keys: Sequence[str] = ()) -> DataFrame:
@@ -461,8 +454,8 @@ def sweep(
     else:
         if series is None:
             raise ArgumentError(f"model {params.model} needs motion series")
-        source = observations(series, meta, params).select(
-            *[F.col(k).cast("bigint").alias(k) for k in keys], "y_re", "y_im"
+        source = series.select(
+            *[F.col(k).cast("bigint").alias(k) for k in keys], *data_columns(params)
         )
     n_depth, n_keys = len(models[0].depth), len(keys)
     schema = pa.schema(
@@ -475,9 +468,9 @@ def sweep(
             if batch.num_rows == 0:
                 continue
             read = lambda i: np.asarray(batch.column(i).flatten()).reshape(batch.num_rows, -1)
-            data = read(n_keys)
-            if batch.num_columns > n_keys + 1:
-                data = data + 1j * read(n_keys + 1)
+            columns = [read(i) for i in range(n_keys, batch.num_columns)]
+            from_motion = models[0].inputs == "motion"
+            data = data_vectors(params, meta, columns) if from_motion else columns[0]
             group = [np.asarray(batch.column(i)) for i in range(n_keys)]
             stacked = np.stack(group, axis=1) if keys else np.zeros((len(data), 0), np.int64)
             for value in np.unique(stacked, axis=0):

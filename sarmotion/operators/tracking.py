@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentError, SarMotionError
 from ..functions.ranks import median_columns, order_statistics
 from ..params import MotionMeta, StackMeta, TrackParams
+from ..session import cut_lineage
 from .patches import check_surface, demean, register, splitband_shift
 from .spectrum import SERIES
 from .subaperture import ImageStack
@@ -360,6 +361,8 @@ def remove_common_mode(motion: DataFrame, stack: StackMeta, keys: Sequence[str]
     """Subtract, look by look, the median displacement over all windows."""
     keys = [*keys, "look"]
     axes = ("disp_az", "disp_rg")
+    # Read three times below, and dear to make again: it is kept in reliable storage.
+    motion = cut_lineage(motion)
     long = motion.select(*keys, F.explode(F.create_map(
         *[x for c in axes for x in (F.lit(c), F.col(c))]
     )).alias("_axis", "_shift"))

@@ -26,6 +26,12 @@ TRACK_FLOOR_PX = 7.0
 ALPHA_LO = 0.045
 ALPHA_HI = 0.076
 
+REQUEST = (
+    "dwell_s", "prf_hz", "lambda_m", "slant_range_m", "v_platform_ms", "incidence_rad",
+    "n_pulse", "n_rbin", "prf_min_hz", "prf_max_hz", "worst_gap_s", "target_freq_hz",
+    "target_amp_m", "alpha", "overlap", "upsample", "cell_m", "grid_n", "win", "coherence_min",
+)
+
 LEVELS = ("PASS", "WARN", "FAIL", "UNKNOWN")
 
 
@@ -51,61 +57,86 @@ def coherence_floor(alpha: Column, overlap: Column) -> tuple[Column, Column]:
     return n, shared / (n * (n - 1) / 2.0)
 
 
+def _derived(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requests with every quantity more than one check uses, computed once."""
+    c = F.col
+    exact = (1.0 / c("alpha") - c("overlap")) / (1.0 - c("overlap"))
+    spaced = (c("overlap") < 1) & (c("alpha") > 0) & (1.0 / c("alpha") - c("overlap") > 0)
+    looks, floor_g = coherence_floor(c("alpha"), c("overlap"))
+    stages = [
+        {
+            "t_sap": c("alpha") * c("dwell_s"),
+            "looks": F.when(spaced, exact).otherwise(0.0),
+            "n_looks": looks,
+            "shared": floor_g,
+            "swing": c("slant_range_m") * 2.0 * math.pi * c("target_freq_hz") * F.cos("incidence_rad"),
+        },
+        {
+            "step": F.when(
+                c("looks") > 1, (c("dwell_s") - c("t_sap")) / (c("looks") - 1.0)
+            ).otherwise(c("dwell_s")),
+            "eta": c("target_freq_hz") * c("t_sap"),
+            "res_sap": c("lambda_m") * c("slant_range_m") / (2.0 * c("v_platform_ms") * c("t_sap")),
+            "a_min": F.when(
+                c("swing") > 0, 0.5 * TRACK_FLOOR_PX * c("cell_m") * c("v_platform_ms") / c("swing")
+            ).otherwise(F.lit(math.inf)),
+        },
+        {
+            "f_max": F.when(c("t_sap") > 0, 1.0 / (2.0 * c("t_sap"))).otherwise(1.0 / (2.0 * c("step"))),
+            "whole": F.floor(c("eta") + 0.5),
+            "ceiling": 1.5 * c("res_sap") / c("cell_m"),
+            "independent": F.greatest(c("win") * c("cell_m") / c("res_sap"), F.lit(1.0)) * c("win"),
+        },
+        {"distance": F.when(c("whole") >= 1, F.abs(c("eta") - c("whole"))).otherwise(c("eta"))},
+    ]
+    out = requests.select(*keys, *REQUEST)
+    for stage in stages:
+        out = out.withColumns(stage)
+    return out
+
+
 def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per request and applicable check: ``(*keys, ord, check, level, detail)``."""
+    """One row per request and applicable check: ``(*keys, ord, check, level, detail)``.
+
+    The checks that apply are exploded as numbers; level and text are then chosen
+    per row, so a text nobody selects is never formatted.
+    """
     c = F.col
-    f, dwell, alpha, overlap = c("target_freq_hz"), c("dwell_s"), c("alpha"), c("overlap")
-    usable = (dwell > 0) & (c("lambda_m") > 0) & (c("slant_range_m") > 0) & (c("v_platform_ms") > 0)
-    t_sap = alpha * dwell
-    targeted = f > 0
-    say = F.format_string
-
-    exact = F.when(
-        (overlap < 1) & (alpha > 0) & (1.0 / alpha - overlap > 0),
-        (1.0 / alpha - overlap) / (1.0 - overlap),
-    ).otherwise(0.0)
-    step = F.when(exact > 1, (dwell - t_sap) / (exact - 1.0)).otherwise(dwell)
-    f_max = F.when(t_sap > 0, 1.0 / (2.0 * t_sap)).otherwise(1.0 / (2.0 * step))
-    need = F.floor(2.0 * exact + 0.5)
-    eta = f * t_sap
-    whole = F.floor(eta + 0.5)
-    distance = F.when(whole >= 1, F.abs(eta - whole)).otherwise(eta)
+    f, gate, t_sap, eta = c("target_freq_hz"), c("coherence_min"), c("t_sap"), c("eta")
+    usable = (
+        (c("dwell_s") > 0) & (c("lambda_m") > 0) & (c("slant_range_m") > 0) & (c("v_platform_ms") > 0)
+    )
+    targeted, always = f > 0, F.lit(True)
+    need = F.floor(2.0 * c("looks") + 0.5)
     spread = 100.0 * (c("prf_max_hz") - c("prf_min_hz")) / c("prf_hz")
     gaps = F.when(c("prf_hz") > 0, c("worst_gap_s") * c("prf_hz")).otherwise(0.0)
-    swing = c("slant_range_m") * 2.0 * math.pi * f * F.cos(c("incidence_rad"))
-    half_floor = 0.5 * TRACK_FLOOR_PX
-    a_min = F.when(
-        swing > 0, half_floor * c("cell_m") * c("v_platform_ms") / swing
-    ).otherwise(F.lit(math.inf))
-    margin = c("target_amp_m") / a_min
-    res_sap = c("lambda_m") * c("slant_range_m") / (2.0 * c("v_platform_ms") * t_sap)
-    ceiling = 1.5 * res_sap / c("cell_m")
-    per_amp = swing / c("v_platform_ms")
-    lo = half_floor * c("cell_m") / per_amp
-    hi = 0.5 * ceiling * c("cell_m") / per_amp
-    looks, floor_g = coherence_floor(alpha, overlap)
-    gate = c("coherence_min")
-    edge = c("win") * c("cell_m") / res_sap
-    independent = F.greatest(edge, F.lit(1.0)) * c("win")
-    phase_sd = F.sqrt(1.0 - gate * gate) / (gate * F.sqrt(2.0 * independent))
-    inside = alpha.between(ALPHA_LO, ALPHA_HI)
+    margin = c("target_amp_m") / c("a_min")
+    per_amp = c("swing") / c("v_platform_ms")
+    admissible = c("target_amp_m").between(
+        0.5 * TRACK_FLOOR_PX * c("cell_m") / per_amp, 0.5 * c("ceiling") * c("cell_m") / per_amp
+    )
+    phase_sd = F.sqrt(1.0 - gate * gate) / (gate * F.sqrt(2.0 * c("independent")))
+    whole, distance, say = c("whole"), c("distance"), F.format_string
 
     # (check, applies, level, detail) in report order.
     checks = [
-        ("frequency_resolution", targeted, _level(f * dwell < 3.0),
-         say("%.4f Hz resolution; the target is %.1f bins from zero", 1.0 / dwell, f * dwell)),
-        ("observable_band", F.lit(True), _level((f > 0) & (f >= f_max)),
+        ("metadata", None, _level(~usable),
+         say("dwell %.3f s, wavelength %.4f m, range %.1f km, speed %.0f m/s", c("dwell_s"),
+             c("lambda_m"), c("slant_range_m") / 1000.0, c("v_platform_ms"))),
+        ("frequency_resolution", targeted, _level(f * c("dwell_s") < 3.0),
+         say("%.4f Hz resolution; the target is %.1f bins from zero", 1.0 / c("dwell_s"), f * c("dwell_s"))),
+        ("observable_band", always, _level((f > 0) & (f >= c("f_max"))),
          say("%.0f sub-apertures reach %.3f Hz; their step alone would suggest %.3f Hz",
-             exact, f_max, 1.0 / (2.0 * step))),
-        ("grid_width", F.lit(True), _level(c("grid_n") < need),
+             c("looks"), c("f_max"), 1.0 / (2.0 * c("step")))),
+        ("grid_width", always, _level(c("grid_n") < need),
          say("a spectral split needs %d azimuth lines, the grid has %d", need, c("grid_n").cast("bigint"))),
         ("observation_ratio", targeted, _level(F.lit(False), eta > ETA_GOOD),
          say("sub-aperture %.4f s at %.3f Hz observes %.3f of a cycle", t_sap, f, eta)),
         ("averaging_null", targeted & (t_sap > 0),
          _level((whole >= 1) & (distance < 0.10), (whole >= 1) & (distance < 0.20)),
          say("%.3f of a cycle from the nearest blind frequency", distance)),
-        ("aperture_fraction", F.lit(True), _level(F.lit(False), ~inside),
-         say("aperture fraction %.3f%%, published range %.1f-%.1f%%", 100.0 * alpha,
+        ("aperture_fraction", always, _level(F.lit(False), ~c("alpha").between(ALPHA_LO, ALPHA_HI)),
+         say("aperture fraction %.3f%%, published range %.1f-%.1f%%", 100.0 * c("alpha"),
              F.lit(100 * ALPHA_LO), F.lit(100 * ALPHA_HI))),
         ("prf_stability", (c("prf_min_hz") > 0) & (c("prf_max_hz") > 0),
          _level(F.lit(False), (gaps > 20.0) | (spread > 5.0)),
@@ -113,43 +144,42 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         ("sensitivity", targeted & (c("cell_m") > 0) & (c("upsample") > 0),
          F.when(~(c("target_amp_m") > 0), "UNKNOWN").otherwise(_level(margin < 1.0, margin < 3.0)),
          say("detectable from %.3f mm vertical; interpolation alone would allow %.4f px",
-             1000.0 * a_min, validate_floor_px(c("upsample")))),
-        ("ambiguity",
-         targeted & (c("cell_m") > 0) & (t_sap > 0) & (c("v_platform_ms") > 0),
-         _level(
-             (ceiling <= TRACK_FLOOR_PX)
-             | ((c("target_amp_m") > 0) & ~c("target_amp_m").between(lo, hi))
-         ),
-         say("shifts wrap at %.1f px against a floor of %.1f px", ceiling, F.lit(TRACK_FLOOR_PX))),
+             1000.0 * c("a_min"), validate_floor_px(c("upsample")))),
+        ("ambiguity", targeted & (c("cell_m") > 0) & (t_sap > 0) & (c("v_platform_ms") > 0),
+         _level((c("ceiling") <= TRACK_FLOOR_PX) | ((c("target_amp_m") > 0) & ~admissible)),
+         say("shifts wrap at %.1f px against a floor of %.1f px", c("ceiling"), F.lit(TRACK_FLOOR_PX))),
         ("coherence_gate",
-         (alpha > 0) & (overlap > 0) & (overlap < 1) & (1.0 / alpha - overlap > 0) & (looks > 1),
-         _level((gate > 0) & (gate <= floor_g), (gate <= 0) | (gate <= 1.5 * floor_g)),
-         say("an incoherent scene still reports %.3f; the mask is %.2f", floor_g, gate)),
+         (c("alpha") > 0) & (c("overlap") > 0) & (c("overlap") < 1)
+         & (1.0 / c("alpha") - c("overlap") > 0) & (c("n_looks") > 1),
+         _level((gate > 0) & (gate <= c("shared")), (gate <= 0) | (gate <= 1.5 * c("shared"))),
+         say("an incoherent scene still reports %.3f; the mask is %.2f", c("shared"), gate)),
         ("phase_floor",
          (c("win") > 0) & (c("cell_m") > 0) & (t_sap > 0) & (gate > 0) & (c("lambda_m") > 0),
-         _level(F.lit(False), independent <= 4.0),
-         say("%.0f independent samples bound the phase at %.3f rad", independent, phase_sd)),
+         _level(F.lit(False), c("independent") <= 4.0),
+         say("%.0f independent samples bound the phase at %.3f rad", c("independent"), phase_sd)),
         ("memory", (c("n_pulse") > 0) & (c("n_rbin") > 0), F.lit("PASS"),
          say("%.1f GB of complex samples", c("n_pulse") * c("n_rbin") * 8.0 / 1e9)),
-        ("ground_truth", F.lit(True), F.lit("UNKNOWN"),
+        ("ground_truth", always, F.lit("UNKNOWN"),
          F.lit("whether anything in the scene moves is not a property of the collect")),
     ]
 
-    def finding(i: int, name: str, applies: Column, level: Column, detail: Column) -> Column:
-        entry = F.struct(
-            F.lit(i).alias("ord"), F.lit(name).alias("check"),
-            level.alias("level"), detail.alias("detail"),
-        )
-        return F.when(applies, entry)
-
-    geometry = say(
-        "dwell %.3f s, wavelength %.4f m, range %.1f km, speed %.0f m/s",
-        dwell, c("lambda_m"), c("slant_range_m") / 1000.0, c("v_platform_ms"),
+    # Unusable geometry ends the list after its first line.
+    applicable = F.array_compact(F.array(
+        F.lit(0), *[F.when(usable & check[1], F.lit(i)) for i, check in enumerate(checks) if i]
+    ))
+    numbered = _derived(requests, keys).withColumn("ord", F.explode(applicable))
+
+    def chosen(part: int) -> Column:
+        out = F.when(c("ord") == 0, checks[0][part])
+        for i, check in enumerate(checks[1:], 1):
+            out = out.when(c("ord") == i, check[part])
+        return out
+
+    names = F.array(*[F.lit(check[0]) for check in checks])
+    return numbered.select(
+        *keys, "ord", F.element_at(names, c("ord") + 1).alias("check"),
+        chosen(2).alias("level"), chosen(3).alias("detail"),
     )
-    first = finding(0, "metadata", F.lit(True), _level(~usable), geometry)
-    rest = [F.when(usable, finding(i + 1, *check)) for i, check in enumerate(checks)]
-    exploded = requests.select(*keys, F.explode(F.array_compact(F.array(first, *rest))).alias("_f"))
-    return exploded.select(*keys, "_f.ord", "_f.check", "_f.level", "_f.detail")
 
 
 def verdict(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -185,17 +215,10 @@ def interval_percentiles(intervals: DataFrame, keys: Sequence[str] = (), bounded
     )
 
 
-_REQUEST = (
-    "dwell_s", "prf_hz", "lambda_m", "slant_range_m", "v_platform_ms", "incidence_rad",
-    "n_pulse", "n_rbin", "prf_min_hz", "prf_max_hz", "worst_gap_s", "target_freq_hz",
-    "target_amp_m", "alpha", "overlap", "upsample", "cell_m", "grid_n", "win", "coherence_min",
-)
-
-
 def _request_frame(spark, values: dict) -> DataFrame:
-    row = {**{k: 0.0 for k in _REQUEST}, **vars(ValidateDefaults()), **values}
+    row = {**{k: 0.0 for k in REQUEST}, **vars(ValidateDefaults()), **values}
     return spark.createDataFrame(
-        [tuple(float(row[k]) for k in _REQUEST)], ", ".join(f"{k} double" for k in _REQUEST)
+        [tuple(float(row[k]) for k in REQUEST)], ", ".join(f"{k} double" for k in REQUEST)
     )
 
 

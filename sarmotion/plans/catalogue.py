@@ -59,12 +59,16 @@ CHANGE = CcdParams(win=3, tile=8, looks_per_task=16)
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
-    """Doubles rounded to 6 digits (or as given), integers widened, -0.0 removed."""
+    """Doubles rounded to 6 digits (or as given), halves up; integers widened.
+
+    Rounding is arithmetic, so it stays in generated code.
+    """
     out = []
     for field in df.schema.fields:
         kind, c = field.dataType.simpleString(), F.col(field.name)
         if kind in ("double", "float"):
-            c = F.round(c.cast("double"), digits.get(field.name, 6)) + F.lit(0.0)
+            unit = 10.0 ** digits.get(field.name, 6)
+            c = F.floor(F.nanvl(c.cast("double"), F.lit(None)) * unit + 0.5) / F.lit(unit)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
         out.append(c.alias(field.name))

@@ -3,8 +3,6 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from sarmotion.errors import ArgumentError, RangeFault
 from sarmotion.operators import tomography as tomo
 from sarmotion.params import MotionMeta, TomoParams
@@ -279,11 +277,12 @@ def test_metadata_states_its_chain():
     assert tomo.metadata(replace(exact, regularisation=1e-3), META)["chain_verdict"] == "conditioned"
 
 
-def test_observations_remove_the_mean(spark):
-    series = frame(spark, [np.arange(8) + 1j * np.ones(8)])
+def test_data_vectors():
     meta = replace(META, n_looks=8, az_spacing=2.0)
-    row = tomo.observations(series, meta, replace(SCENE, remove_y_mean=True)).first()
-    assert np.allclose(row["y_re"], 2.0 * (np.arange(8) - 3.5)) and np.allclose(row["y_im"], 0)
-    los = tomo.observations(series, meta, replace(SCENE, y_source="los")).first()
-    assert list(los["y_im"]) == [0.0] * 8
-    assert series.select(F.size("disp_az")).first()[0] == 8
+    az, rg = np.arange(8.0)[None], np.ones((1, 8))
+    y = tomo.data_vectors(replace(SCENE, remove_y_mean=True), meta, [az, rg])
+    assert np.allclose(y, 2.0 * (az - 3.5))
+    los = tomo.data_vectors(replace(SCENE, y_source="los"), meta, [az])
+    assert np.allclose(los, az)
+    with pytest.raises(ArgumentError):
+        tomo.data_columns(replace(SCENE, y_source="phase"))
