@@ -1,119 +1,118 @@
 """Exact order statistics without a global sort.
 
-A quantile sketch (mergeable, bounded size) brackets the wanted rank; only values
-inside the bracket are then counted, ties collapsed, and walked in order.  The
-answer is exact, and the ordered step sees a sliver of the data however large the
-group is.
+Three passes over one column, each ending in a small aggregate: a quantile sketch
+brackets the wanted rank; a histogram of the bracket finds the bin holding it; the
+values of that bin are counted, ties collapsed, and walked in order.  The answer is
+exact, and no task ever orders more than a sliver of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank error of the sketch is at most n / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 20000
+from .joins import attach
+
+# Rank error of the sketch is at most n / SKETCH_ACCURACY; the bracket allows three
+# times that on each side, and takes in everything while a group is smaller.
+SKETCH_ACCURACY = 5000
+SLACK = 3.0 / SKETCH_ACCURACY
+SMALL_GROUP = 4 * SKETCH_ACCURACY
+BINS = 4096
+
+
+@dataclass(frozen=True)
+class Rank:
+    """A 0-based rank near ``share * n``, as an expression over the group size ``n``."""
+
+    share: float
+    rank: Column
+
+
+def by_index(share: float) -> Rank:
+    """The value at index ``floor((n - 1) * share)`` of the sorted column."""
+    return Rank(share, F.floor((F.col("n") - 1).cast("double") * share))
+
+
+def medians() -> dict[str, Rank]:
+    """The two middle values; equal for an odd count."""
+    n = F.col("n")
+    return {
+        "mid_lo": Rank(0.5, F.floor((n - 1) / 2)),
+        "mid_hi": Rank(0.5, F.floor(n / 2)),
+    }
 
 
 def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    ranks: dict[str, Column],
-    bounded_keys: bool,
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Rank], bounded: bool = False
 ) -> DataFrame:
-    """Per group, the values at 0-based ``ranks`` of the sorted column.
+    """Per group, the values at the given ranks: ``(*keys, n, <one per rank>)``.
 
-    ``ranks`` maps an output name to an expression over ``n``, the group's row
-    count.  ``bounded_keys`` states that the number of groups is bounded by a
-    parameter, so the per-group bracket may be broadcast.  One row per group with
-    columns ``keys``, ``n`` and one per rank.
+    ``bounded`` states that the number of groups is limited by a parameter.
     """
-    keys = list(keys)
-    names = list(ranks)
-    cell = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull()
-    )
-    # n/accuracy of slack on each side, doubled so that rounding cannot escape it.
-    slack = 2.0 / SKETCH_ACCURACY
+    keys, names = list(keys), list(ranks)
+    cell = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+
+    shares = sorted({ranks[k].share for k in names})
+    edges = [min(1.0, max(0.0, s + side)) for s in shares for side in (-SLACK, SLACK)]
     sketch = cell.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_v", _grid(), SKETCH_ACCURACY).alias("_q"),
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY).alias("_q"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
-    bracket = sketch.select("*", *[ranks[k].cast("bigint").alias(f"_r_{k}") for k in names])
-    steps = len(_grid_points()) - 1
-
-    def edge(rank: Column, outward: int) -> Column:
-        share = rank / F.greatest(F.col("n") - 1, F.lit(1)) + outward * slack
-        snapped = F.floor(share * steps) if outward < 0 else F.ceil(share * steps)
-        inside = (snapped > 0) if outward < 0 else (snapped < steps)
-        index = F.least(F.greatest(snapped, F.lit(0)), F.lit(steps)).cast("int")
-        outer = F.col("_min") if outward < 0 else F.col("_max")
-        return F.when(inside, F.element_at("_q", index + 1)).otherwise(outer)
-
-    bracket = bracket.select(
-        *keys,
-        "n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("name"),
-                    F.col(f"_r_{k}").alias("rank"),
-                    edge(F.col(f"_r_{k}"), -1).alias("lo"),
-                    edge(F.col(f"_r_{k}"), 1).alias("hi"),
-                )
-                for k in names
-            ]
-        ).alias("_want"),
+    whole = F.col("n") < SMALL_GROUP
+
+    def wanted(name: str) -> Column:
+        at = 2 * shares.index(ranks[name].share)
+        low = whole | F.lit(edges[at] <= 0.0)
+        high = whole | F.lit(edges[at + 1] >= 1.0)
+        return F.struct(
+            F.lit(name).alias("name"), ranks[name].rank.cast("bigint").alias("rank"),
+            F.when(low, F.col("_min")).otherwise(F.col("_q")[at]).alias("lo"),
+            F.when(high, F.col("_max")).otherwise(F.col("_q")[at + 1]).alias("hi"),
+        )
+
+    brackets = sketch.select(*keys, "n", F.array(*[wanted(k) for k in names]).alias("_want"))
+
+    def members(per_group: DataFrame) -> DataFrame:
+        """Each value once per rank whose bracket reaches it."""
+        joined = attach(cell, per_group, keys, bounded)
+        return joined.select(*keys, "n", "_v", F.explode("_want").alias("_w")).where(
+            F.col("_v") <= F.col("_w.hi")
+        )
+
+    width = F.col("_w.hi") - F.col("_w.lo")
+    inside = F.floor((F.col("_v") - F.col("_w.lo")) / width * BINS)
+    bin_ = F.when(F.col("_v") < F.col("_w.lo"), -1).when(
+        width > 0, F.least(inside, F.lit(BINS - 1))
+    ).otherwise(0)
+    group = [*keys, "n", "_name", "_rank"]
+    tagged = [F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank")]
+    # At most BINS + 1 rows per group and rank.
+    histogram = members(brackets).groupBy(*keys, "n", *tagged, bin_.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
     )
-    side = F.broadcast(bracket) if bounded_keys or not keys else bracket
-    located = _join(cell, side, keys)
-    target = located.select(*keys, "n", "_v", F.explode("_want").alias("_w"))
-    # Partial aggregation happens before the shuffle: everything below the bracket
-    # collapses into one count, and ties inside it into one row each.
-    below = F.col("_v") < F.col("_w.lo")
-    kept = target.where(F.col("_v") <= F.col("_w.hi")).groupBy(
-        *keys,
-        "n",
-        F.col("_w.name").alias("_name"),
-        F.col("_w.rank").alias("_rank"),
-        F.when(~below, F.col("_v")).alias("_v"),
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    order = (
-        Window.partitionBy(*keys, "_name")
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    hit = kept.withColumn("_upto", F.sum("_c").over(order)).where(
-        F.col("_v").isNotNull()
-        & (F.col("_upto") > F.col("_rank"))
-        & (F.col("_upto") - F.col("_c") <= F.col("_rank"))
+    upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    holds = (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank"))
+    found = histogram.withColumn("_upto", F.sum("_c").over(upto)).where(holds & (F.col("_bin") >= 0))
+    target = found.groupBy(*keys, "n").agg(
+        F.collect_list(
+            F.struct(
+                F.col("_name").alias("name"),
+                (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("rank"),
+                F.col("_from").alias("lo"), F.col("_to").alias("hi"),
+            )
+        ).alias("_want")
     )
+    counted = members(target).where(F.col("_v") >= F.col("_w.lo")).groupBy(
+        *keys, "n", *tagged, "_v"
+    ).agg(F.count(F.lit(1)).alias("_c"))
+    walk = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = counted.withColumn("_upto", F.sum("_c").over(walk)).where(holds)
     return hit.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in names]
     )
-
-
-def median_columns(n: str = "n") -> dict[str, Column]:
-    """Ranks of the two middle values; equal for an odd count."""
-    count = F.col(n)
-    return {
-        "mid_lo": F.floor((count - 1) / 2),
-        "mid_hi": F.floor(count / 2),
-    }
-
-
-def _grid_points() -> list[float]:
-    return [i / 200.0 for i in range(201)]
-
-
-def _grid() -> Column:
-    return F.array(*[F.lit(p) for p in _grid_points()])
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys) if keys else left.crossJoin(right)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
-from ..functions.ranks import order_statistics
+from ..functions.joins import attach
+from ..functions.ranks import by_index, order_statistics
 from ..params import ImageMeta
 
 # 16 evenly spaced RGB anchors per palette.
@@ -58,9 +59,8 @@ def quicklook(image: DataFrame, dynamic_range_db: float = 40.0, keys: Sequence[s
     span = dynamic_range_db if dynamic_range_db > 0 else 40.0
     keys = list(keys)
     sized = image.select(*keys, "az", "rg", F.hypot("re", "im").alias("amp"))
-    rank = {"white": F.floor((F.col("n") - 1).cast("double") * 0.99)}
-    white = order_statistics(sized, keys, "amp", rank, bounded_keys=True).select(*keys, "white")
-    joined = sized.join(F.broadcast(white), keys) if keys else sized.crossJoin(F.broadcast(white))
+    white = order_statistics(sized, keys, "amp", {"white": by_index(0.99)}).select(*keys, "white")
+    joined = attach(sized, white, keys)
     bright = (F.col("white") > 0) & (F.col("amp") > 0)
     share = 1.0 + 20.0 * (F.log10("amp") - F.log10("white")) / span
     shade = level(F.when(bright, share).otherwise(0.0))

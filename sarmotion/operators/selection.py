@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import RangeFault
 from ..functions.geometry import spectrum_observation_ratio, subaperture_response
+from ..functions.joins import attach
 from ..params import QUANT_FLOOR_SIGMA, MotionMeta
 from ..session import cut_lineage
 
@@ -24,7 +25,7 @@ def gate(spectra: DataFrame, meta: MotionMeta, keys: Sequence[str] = ()) -> Data
     keys = list(keys)
     # One row per scene: the maximum is a partial aggregate, not a gathered column.
     best = spectra.groupBy(*keys).agg(F.greatest(F.max("quality"), F.lit(0.0)).alias("_qmax"))
-    joined = spectra.join(best, keys) if keys else spectra.crossJoin(F.broadcast(best))
+    joined = attach(spectra, best, keys)
     passed = F.col("quality") >= 0.5 * F.col("_qmax")
     floor = excursion_floor(meta)
     if floor > 0:
@@ -100,7 +101,7 @@ def agreeing(spectra: DataFrame, meta: MotionMeta, keys: Sequence[str] = ()) ->
     keys = list(keys)
     gated = gate(spectra, meta, keys)
     winner = consensus(spectra, meta, keys).select(*keys, "consensus_freq")
-    joined = gated.join(winner, keys, "left") if keys else gated.join(F.broadcast(winner), how="left")
+    joined = attach(gated, winner, keys, how="left")
     close = F.abs(F.col("dominant_freq") - F.col("consensus_freq")) <= 0.5 * meta.df
     return joined.withColumn("agrees", F.col("passed") & F.coalesce(close, F.lit(False)))
 
@@ -175,10 +176,12 @@ def connected_blocks(cells: DataFrame, keys: Sequence[str] = (), tile: int = 64)
         hooked = labels.join(offered, [*keys, "_node"]).select(
             *keys, "_node", F.col("_low").alias("_was"), F.least("_low", "_offer").alias("_low")
         )
-        # Path shortening: adopt the label of one's label.
-        jump = hooked.select(*keys, F.col("_node").alias("_low"), F.col("_low").alias("_lower"))
+        # Path shortening: adopt the label of one's label.  Many nodes may share a
+        # label, so the labels in use are looked up once and joined back salted.
+        own = hooked.select(*keys, F.col("_node").alias("_low"), F.col("_low").alias("_lower"))
+        jump = hooked.select(*keys, "_low").distinct().join(own, [*keys, "_low"])
         moved = cut_lineage(
-            hooked.join(jump, [*keys, "_low"], "left").select(
+            attach(hooked, jump, [*keys, "_low"], how="left").select(
                 *keys, "_node", "_was", F.coalesce(F.least("_low", "_lower"), "_low").alias("_low")
             )
         )

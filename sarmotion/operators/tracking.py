@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, SarMotionError
-from ..functions.ranks import median_columns, order_statistics
+from ..functions.joins import attach
+from ..functions.ranks import medians, order_statistics
 from ..params import MotionMeta, StackMeta, TrackParams
 from ..session import cut_lineage
 from .patches import check_surface, demean, register, splitband_shift
@@ -359,6 +360,7 @@ def mask_incoherent(motion: DataFrame, params: TrackParams) -> DataFrame:
 
 def remove_common_mode(motion: DataFrame, stack: StackMeta, keys: Sequence[str] = ()) -> DataFrame:
     """Subtract, look by look, the median displacement over all windows."""
+    bounded = not keys  # then there is one row per look, and looks are a parameter
     keys = [*keys, "look"]
     axes = ("disp_az", "disp_rg")
     # Read three times below, and dear to make again: it is kept in reliable storage.
@@ -366,13 +368,12 @@ def remove_common_mode(motion: DataFrame, stack: StackMeta, keys: Sequence[str]
     long = motion.select(*keys, F.explode(F.create_map(
         *[x for c in axes for x in (F.lit(c), F.col(c))]
     )).alias("_axis", "_shift"))
-    middle = order_statistics(long, [*keys, "_axis"], "_shift", median_columns(), bounded_keys=True)
+    middle = order_statistics(long, [*keys, "_axis"], "_shift", medians(), bounded)
     centre = middle.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_axis") == c, 0.5 * (F.col("mid_lo") + F.col("mid_hi")))).alias(f"_{c}")
         for c in axes
     ])
-    # One row per look: bounded by the look count, so it may be broadcast.
-    joined = motion.join(F.broadcast(centre), keys)
+    joined = attach(motion, centre, keys, bounded)
     out = joined.withColumns({c: F.col(c) - F.col(f"_{c}") for c in axes}).drop(*[f"_{c}" for c in axes])
     image = stack.image
     if image.az_spacing > 0 and image.v_platform > 0 and image.r0 > 0:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import validate_floor_px
-from ..functions.ranks import order_statistics
+from ..functions.ranks import Rank, order_statistics
 from ..params import ImageMeta, ValidateDefaults
 from .focus import Collect
 
@@ -202,10 +202,13 @@ def pulse_intervals(pulses: DataFrame, block: int = 65536) -> DataFrame:
     return times.join(nxt, "pulse").select("pulse", (F.col("_next") - F.col("t")).alias("pri"))
 
 
-def interval_percentiles(intervals: DataFrame, keys: Sequence[str] = (), bounded_keys: bool = True) -> DataFrame:
+def interval_percentiles(intervals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """1st and 99th percentile (by index) and the largest interval."""
-    ranks = {"pri_p01": F.floor(F.col("n") / 100), "pri_p99": F.floor(F.col("n") * 99 / 100)}
-    edges = order_statistics(intervals, keys, "pri", ranks, bounded_keys)
+    n = F.col("n")
+    ranks = {
+        "pri_p01": Rank(0.01, F.floor(n / 100)), "pri_p99": Rank(0.99, F.floor(n * 99 / 100)),
+    }
+    edges = order_statistics(intervals, keys, "pri", ranks)
     worst = intervals.groupBy(*keys).agg(F.greatest(F.max("pri"), F.lit(0.0)).alias("worst_gap_s"))
     joined = edges.join(worst, list(keys)) if keys else edges.crossJoin(F.broadcast(worst))
     return joined.select(

@@ -1,12 +1,19 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from sarmotion.functions.ranks import median_columns, order_statistics
+from sarmotion.functions import ranks
+from sarmotion.functions.ranks import by_index, medians, order_statistics
 
 
-def p99():
-    return {"p99": F.floor((F.col("n") - 1).cast("double") * 0.99)}
+
+@pytest.fixture(params=[True, False], ids=["sketched", "whole"])
+def accuracy(request, monkeypatch):
+    """Once with brackets far narrower than the data, once at the real setting."""
+    if request.param:
+        monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 200)
+        monkeypatch.setattr(ranks, "SLACK", 3.0 / 200)
+        monkeypatch.setattr(ranks, "SMALL_GROUP", 800)
+        monkeypatch.setattr(ranks, "BINS", 16)
 
 
 @pytest.mark.parametrize(
@@ -19,9 +26,9 @@ def p99():
         np.array([2.0, 1.0]),
     ],
 )
-def test_matches_a_sort(spark, values):
+def test_matches_a_sort(spark, accuracy, values):
     frame = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5)
-    row = order_statistics(frame, [], "v", {**p99(), **median_columns()}, True).first()
+    row = order_statistics(frame, [], "v", {"p99": by_index(0.99), **medians()}).first()
     ordered, n = np.sort(values), len(values)
     assert row["n"] == n
     assert row["p99"] == ordered[int((n - 1) * 0.99)]
@@ -29,10 +36,11 @@ def test_matches_a_sort(spark, values):
     assert row["mid_hi"] == ordered[n // 2]
 
 
-def test_groups_are_independent(spark):
+@pytest.mark.parametrize("bounded", [True, False])
+def test_groups_are_independent(spark, bounded):
     rng = np.random.default_rng(4)
     rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 4, 4000) ** 2, rng.normal(size=4000))]
     frame = spark.createDataFrame(rows, "k int, v double")
-    for r in order_statistics(frame, ["k"], "v", median_columns(), True).collect():
+    for r in order_statistics(frame, ["k"], "v", medians(), bounded).collect():
         ordered = np.sort([v for k, v in rows if k == r["k"]])
         assert r["mid_lo"] == ordered[(len(ordered) - 1) // 2]
