@@ -266,7 +266,7 @@ def resolve_at(spark: SparkSession, collect: Collect, lat: float, lon: float) ->
     plane = collect.meta.plane
     offset = geodesy.plane_offset(plane, lat, lon, 0.0 if plane is None else plane.ref_hae)
     row = spark.range(1).select(offset.alias("o")).first()["o"]
-    if row is None:
+    if row is None or row["x"] is None:
         raise RangeFault(f"latitude {lat:g} is outside [-90, 90]")
     return row["x"], row["y"], 0.0
 
