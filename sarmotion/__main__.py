@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from .errors import SarMotionError
 from .operators import raster, selection, tomography, validation
 from .operators.focus import focus_azimuth_resolution
-from .params import CcdParams, Grid, SubapParams, TomoParams, TrackParams
+from .params import CcdParams, Grid, SubapParams, Target, TomoParams, TrackParams
 from .plans import feasibility as feasible
 from .plans import pipelines
 from .session import ship_package
 from .sinks import images, tables
-from .sources.interchange import load_collect
+from .sources.interchange import load_collect, save
 from .sources.sicd import read_sicd, read_sicd_meta
+from .sources.simulate import clutter, simulate, truth
 from .sources.uavsar import read_uavsar
 
 
@@ -91,6 +92,20 @@ def parser() -> argparse.ArgumentParser:
     for name in ("frequency", "amplitude", "alpha", "overlap", "upsample", "cell", "size"):
         p.add_argument(f"--{name}", type=float)
 
+    p = commands.add_parser("simulate", help="make a collect with known targets")
+    for name, default in (("dwell", 20.0), ("prf", 400.0), ("bins", 256), ("seed", 1), ("clutter", 0),
+                          ("clutter-extent", 60.0), ("clutter-rcs", 0.30)):
+        p.add_argument(f"--{name}", type=type(default), default=default)
+    p.add_argument("--target", action="append", help="X,Y,RCS,FREQUENCY,AMPLITUDE; repeatable")
+    p.add_argument("--out", required=True)
+
+    p = commands.add_parser("crop", help="draw part of an airborne image")
+    p.add_argument("--uavsar", required=True)
+    p.add_argument("--ann", required=True)
+    for name in ("az0", "rg0", "size"):
+        p.add_argument(f"--{name}", type=int, required=True)
+    p.add_argument("--out", required=True)
+
     p = commands.add_parser("focus", help="form an image")
     _collect_options(p)
     _grid_options(p, 256)
@@ -229,6 +244,25 @@ def run_validate(spark, a) -> int:
     return 2 if verdict == "FAIL" else 0
 
 
+def run_simulate(spark, a) -> int:
+    targets = [Target(0.0, 0.0, 0.0, 1.0, 2.0, 0.005), Target(9.0, 6.0, 0.0, 0.8)]
+    if a.target:
+        parts = [[float(x) for x in text.split(",")] for text in a.target]
+        targets = [Target(x, y, 0.0, rcs, f, amp) for x, y, rcs, f, amp in parts]
+    targets += clutter(a.clutter, 0.5 * a.clutter_extent, a.clutter_rcs, a.seed)
+    made = simulate(spark, targets, a.dwell, a.prf, a.bins)
+    save(made, a.out)
+    truth(spark, targets).write.mode("overwrite").parquet(f"{a.out}/truth")
+    return 0
+
+
+def run_crop(spark, a) -> int:
+    pixels, meta = read_uavsar(spark, a.uavsar, a.ann)
+    cut, small = raster.crop(pixels, meta, a.az0, a.rg0, a.size, a.size)
+    images.write_image(raster.quicklook(cut), small.n_az, small.n_rg, a.out)
+    return 0
+
+
 def run_focus(spark, a) -> int:
     collect = _open(spark, a)
     grid = _grid(spark, a, collect)
@@ -237,6 +271,9 @@ def run_focus(spark, a) -> int:
     if caution:
         print(f"warning: {caution}", file=sys.stderr)
     image, meta = pipelines.focus(collect, grid, a.pulse_start, a.pulse_count, a.range_taps)
+    extent = pipelines.unambiguous_extent(collect, meta)
+    if a.pulse_stride > 1 and 0 < extent < grid.n_x * grid.dx:
+        print(f"warning: strided pulses repeat the scene every {extent:.1f} m", file=sys.stderr)
     image = image.persist()
     images.write_image(raster.quicklook(image, a.dyn_range), meta.n_az, meta.n_rg, a.out)
     if a.raw:

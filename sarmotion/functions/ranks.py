@@ -66,20 +66,20 @@ def order_statistics(
     )
     whole = F.col("n") < SMALL_GROUP
 
-    def wanted(name: str) -> Column:
-        at = 2 * shares.index(ranks[name].share)
+    def bracket(share: float) -> Column:
+        at = 2 * shares.index(share)
         low = whole | F.lit(edges[at] <= 0.0)
         high = whole | F.lit(edges[at + 1] >= 1.0)
         return F.struct(
-            F.lit(name).alias("name"), ranks[name].rank.cast("bigint").alias("rank"),
+            F.lit(share).alias("id"),
             F.when(low, F.col("_min")).otherwise(F.col("_q")[at]).alias("lo"),
             F.when(high, F.col("_max")).otherwise(F.col("_q")[at + 1]).alias("hi"),
         )
 
-    brackets = sketch.select(*keys, "n", F.array(*[wanted(k) for k in names]).alias("_want"))
+    brackets = sketch.select(*keys, "n", F.array(*[bracket(s) for s in shares]).alias("_want"))
 
     def members(per_group: DataFrame) -> DataFrame:
-        """Each value once per rank whose bracket reaches it."""
+        """Each value once per interval whose upper end it does not pass."""
         joined = attach(cell, per_group, keys, bounded)
         return joined.select(*keys, "n", "_v", F.explode("_want").alias("_w")).where(
             F.col("_v") <= F.col("_w.hi")
@@ -90,29 +90,39 @@ def order_statistics(
     bin_ = F.when(F.col("_v") < F.col("_w.lo"), -1).when(
         width > 0, F.least(inside, F.lit(BINS - 1))
     ).otherwise(0)
-    group = [*keys, "n", "_name", "_rank"]
-    tagged = [F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank")]
-    # At most BINS + 1 rows per group and rank.
-    histogram = members(brackets).groupBy(*keys, "n", *tagged, bin_.alias("_bin")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
+    # At most BINS + 1 rows per group and share.
+    histogram = members(brackets).groupBy(
+        *keys, "n", F.col("_w.id").alias("_id"), bin_.alias("_bin")
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    upto = Window.partitionBy(*keys, "_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    sought = F.array(*[
+        F.struct(
+            F.lit(k).alias("name"), F.lit(ranks[k].share).alias("id"),
+            ranks[k].rank.cast("bigint").alias("rank"),
+        )
+        for k in names
+    ])
+    passed = histogram.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_s", F.explode(sought))
+    before = F.col("_upto") - F.col("_c")
+    found = passed.where(
+        (F.col("_s.id") == F.col("_id")) & (F.col("_bin") >= 0)
+        & (F.col("_upto") > F.col("_s.rank")) & (before <= F.col("_s.rank"))
     )
-    upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    holds = (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank"))
-    found = histogram.withColumn("_upto", F.sum("_c").over(upto)).where(holds & (F.col("_bin") >= 0))
     target = found.groupBy(*keys, "n").agg(
         F.collect_list(
             F.struct(
-                F.col("_name").alias("name"),
-                (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("rank"),
+                F.col("_s.name").alias("name"), (F.col("_s.rank") - before).alias("rank"),
                 F.col("_from").alias("lo"), F.col("_to").alias("hi"),
             )
         ).alias("_want")
     )
     counted = members(target).where(F.col("_v") >= F.col("_w.lo")).groupBy(
-        *keys, "n", *tagged, "_v"
+        *keys, "n", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"), "_v"
     ).agg(F.count(F.lit(1)).alias("_c"))
-    walk = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = counted.withColumn("_upto", F.sum("_c").over(walk)).where(holds)
+    walk = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = counted.withColumn("_upto", F.sum("_c").over(walk)).where(
+        (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank"))
+    )
     return hit.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in names]
     )

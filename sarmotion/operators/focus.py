@@ -199,16 +199,14 @@ def window_geometry(collect: Collect, grid: Grid, windows: PulseWindows) -> Data
     Only the first, middle and last pulse of each look are read.
     """
     meta = collect.meta
-    spark = collect.pulses.sparkSession
-    edges = spark.createDataFrame(
-        [
-            (look, int(s) + offset, role)
-            for look, s in enumerate(windows.starts)
-            for role, offset in (
-                ("first", 0), ("mid", windows.per // 2), ("last", windows.per - 1)
-            )
-        ],
-        "look bigint, pulse bigint, role string",
+    start = F.least(F.col("id") * windows.step, F.lit(windows.n_pulse - windows.per)) + windows.first
+    roles = (("first", 0), ("mid", windows.per // 2), ("last", windows.per - 1))
+    places = F.array(*[
+        F.struct((start + offset).alias("pulse"), F.lit(role).alias("role")) for role, offset in roles
+    ])
+    # Three rows per look.
+    edges = collect.pulses.sparkSession.range(windows.n_looks).select(
+        F.col("id").alias("look"), F.inline(places)
     )
     picked = collect.pulses.select("pulse", "t", "px", "py", "pz", "r_ref").join(
         F.broadcast(edges), "pulse"

@@ -7,15 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..errors import ArgumentError, MissingMetadata, RangeFault
 from ..functions.geometry import bin_frequency
+from ..functions.transforms import fft, fft_shift
 from ..params import Grid, ImageMeta, StackMeta, SubapParams
 from .focus import Collect, PulseWindows, backproject, full_aperture, image_meta
 
@@ -105,19 +103,16 @@ def pack_columns(image: DataFrame) -> DataFrame:
     return packed.select("rg", F.col("_c.re").alias("re"), F.col("_c.im").alias("im"))
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def centred_power(re: pd.Series, im: pd.Series) -> pd.Series:
-    """Squared magnitude of each row's centred Fourier transform."""
-
-    def power(a, b):
-        return np.abs(np.fft.fftshift(np.fft.fft(np.asarray(a) + 1j * np.asarray(b)))) ** 2
-
-    return pd.Series([power(a, b) for a, b in zip(re, im)])
+def centred_power(columns: DataFrame, *keys: str) -> DataFrame:
+    """Squared magnitude of each column's centred transform: ``(*keys, power ARRAY)``."""
+    spectra = columns.select(*keys, fft("re", "im").alias("_f"))
+    power = F.zip_with("_f.re", "_f.im", lambda a, b: a * a + b * b)
+    return spectra.select(*keys, fft_shift(power).alias("power"))
 
 
 def azimuth_power_spectrum(columns: DataFrame, *keys: str) -> DataFrame:
     """Mean over range columns of the azimuth power spectrum: ``(*keys, k, power)``."""
-    spectra = columns.select(*keys, F.posexplode(centred_power("re", "im")).alias("k", "p"))
+    spectra = centred_power(columns, *keys).select(*keys, F.posexplode("power").alias("k", "p"))
     return spectra.groupBy(*keys, "k").agg(F.avg("p").alias("power"))
 
 

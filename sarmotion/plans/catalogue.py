@@ -11,7 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as geo
 from ..functions import geometry as g
-from ..operators import ccd, focus, nulls, raster, selection, tomography, tracking, validation
+from ..functions import transforms
+from ..operators import (
+    ccd,
+    focus,
+    nulls,
+    raster,
+    reports,
+    selection,
+    tomography,
+    tracking,
+    validation,
+)
 from ..operators.orbit import interpolate_orbit
 from ..operators.spectrum import (
     lowest_bin,
@@ -40,7 +51,7 @@ PLANE = Plane(
 )
 TRACK = TrackParams(
     win_az=4, win_rg=4, stride_az=2, stride_rg=2, upsample_az=4, upsample_rg=4,
-    coherence_min=0.62, looks_per_task=16, block_windows=2,
+    coherence_min=0.62, looks_per_task=64, block_windows=4,
 )
 TOMO = TomoParams(
     velocity=3000.0, frequency=12500.0, depth_max=12.0, depth_cell=0.5,
@@ -245,6 +256,27 @@ def q_azimuth_power(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_label_power(spark, d))
 
 
+def q_fourier(spark: SparkSession, d: str) -> DataFrame:
+    """Forward transform of every column, centred, and what the inverse gives back."""
+    columns = t.image_columns(spark, d)
+    there = columns.select("rg", "re", transforms.fft("re", "im").alias("f"))
+    back = there.select("rg", "re", "f", transforms.ifft("f.re", "f.im").alias("b"))
+    centred = [transforms.fft_shift(f"f.{p}").alias(f"f{p}") for p in ("re", "im")]
+    uncentred = transforms.ifft_shift(transforms.fft_shift("b.re")).alias("back")
+    zipped = back.select("rg", *centred, uncentred)
+    return rounded(zipped.select(
+        "rg", F.posexplode(F.arrays_zip("fre", "fim", "back")).alias("k", "v")
+    ).select("rg", "k", "v.fre", "v.fim", "v.back"))
+
+
+def q_fourier_2d(spark: SparkSession, d: str) -> DataFrame:
+    columns = t.image_columns(spark, d)
+    plane = columns.select("rg", transforms.fft2("re", "im", t.FILM_AZ, t.FILM_RG).alias("f"))
+    return rounded(plane.select(
+        "rg", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("k", "v")
+    ).select("rg", "k", F.col("v.re").alias("fre"), F.col("v.im").alias("fim")))
+
+
 def q_doppler_centroid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(doppler_centroid(_label_power(spark, d), t.COLUMN_LINES, t.COLUMN_RATE, "label"))
 
@@ -428,6 +460,19 @@ def q_selection_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(joined.select("win", "dominant_freq", "prominence", cautions.alias("warnings")))
 
 
+def q_shift_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.shift_statistics(t.event_series(spark, d), t.EVENT_META, 0.9))
+
+
+def q_strongest_windows(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.strongest_windows(_spectra(spark, d)))
+
+
+def q_control_report(spark: SparkSession, d: str) -> DataFrame:
+    found = reports.control_report(_spectra(spark, d), t.EVENT_META, 1.0, keys=["irg"])
+    return rounded(found)
+
+
 # -- depth ------------------------------------------------------------------------------
 
 
@@ -632,6 +677,8 @@ QUERIES: dict[str, Query] = {
     "project_to_height": q_project_to_height,
     "slant_to_ground": q_slant_to_ground,
     "azimuth_power": q_azimuth_power,
+    "fourier": q_fourier,
+    "fourier_2d": q_fourier_2d,
     "doppler_centroid": q_doppler_centroid,
     "doppler_bandwidth": q_doppler_bandwidth,
     "spectral_split": q_spectral_split,
@@ -659,6 +706,9 @@ QUERIES: dict[str, Query] = {
     "largest_block": q_largest_block,
     "eligible_blocks": q_eligible_blocks,
     "selection_report": q_selection_report,
+    "shift_statistics": q_shift_statistics,
+    "strongest_windows": q_strongest_windows,
+    "control_report": q_control_report,
     "model_a_profile": _cells(TOMO),
     "model_a_lstsq_profile": _cells(replace(TOMO, solver="lstsq", depth_max=10.0)),
     "model_b_profile": _cells(STANDING),

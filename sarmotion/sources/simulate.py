@@ -109,8 +109,16 @@ def clutter(n: int, half_extent: float, mean_rcs: float = 0.30, seed: int = 1) -
     rng = np.random.default_rng(seed)
     xy = rng.uniform(-half_extent, half_extent, size=(n, 2))
     amp = mean_rcs * np.sqrt(2.0 / math.pi) * np.sqrt(-2.0 * np.log(rng.uniform(1e-12, 1.0, n)))
-    phase = rng.uniform(0.0, 2.0 * math.pi, n)
-    return [Target(x, y, 0.0, a, phase=p) for (x, y), a, p in zip(xy, amp, phase)]
+    return [Target(float(x), float(y), 0.0, float(a)) for (x, y), a in zip(xy, amp)]
+
+
+def truth(spark: SparkSession, targets: Sequence[Target]) -> DataFrame:
+    """What was injected, one row per target."""
+    rows = [(t.x, t.y, t.z, t.rcs, t.vib_freq, t.vib_amp, t.vib_phase) for t in targets]
+    names = ("x", "y", "z", "rcs", "vib_freq", "vib_amp", "vib_phase")
+    return spark.createDataFrame(
+        [tuple(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names)
+    )
 
 
 def static_like(

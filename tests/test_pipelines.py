@@ -203,3 +203,11 @@ def test_cautions_about_sampling(collect):
     _, image = pipelines.focus(collect, Grid(4, 4))
     want = collect.meta.wavelength * image.r0 * 200.0 / (2 * 7500.0)
     assert pipelines.unambiguous_extent(collect, image) == pytest.approx(want, rel=1e-6)
+
+
+def test_simulate_and_focus_again(capsys, spark, tmp_path):
+    path = str(tmp_path / "made")
+    code, _, _ = run(capsys, "simulate", "--dwell", "1", "--prf", "200", "--target", "3,0,1,0,0", "--clutter", "2", "--out", path)
+    assert code == 0
+    assert spark.read.parquet(f"{path}/truth").count() == 3
+    assert interchange.load_collect(spark, path).meta.n_pulse == 200
