@@ -42,26 +42,32 @@ def _level(fail: Column, warn: Column | None = None) -> Column:
     return out.otherwise("PASS")
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """Quotient, NULL over zero: a request may hold any numbers."""
+    return F.try_divide(a, b)
+
+
 def coherence_floor(alpha: Column, overlap: Column) -> tuple[Column, Column]:
     """(looks, mean shared band fraction over all look pairs), in closed form.
 
     Looks d apart share 1 - d(1 - overlap) of their band while that is positive.
     """
     step = 1.0 - overlap
-    exact = (1.0 / alpha - overlap) / step
+    exact = _ratio(_ratio(F.lit(1.0), alpha) - overlap, step)
     n = F.when(exact > 1, F.floor(exact + 0.5)).otherwise(F.lit(0)).cast("double")
-    d = F.least(n - 1, F.ceil(1.0 / step) - 1).cast("double")
+    d = F.least(n - 1, F.ceil(_ratio(F.lit(1.0), step)) - 1).cast("double")
     s1 = d * (d + 1) / 2.0
     s2 = d * (d + 1) * (2 * d + 1) / 6.0
     shared = n * d - (1.0 + n * step) * s1 + step * s2
-    return n, shared / (n * (n - 1) / 2.0)
+    return n, _ratio(shared, n * (n - 1) / 2.0)
 
 
 def _derived(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Requests with every quantity more than one check uses, computed once."""
     c = F.col
-    exact = (1.0 / c("alpha") - c("overlap")) / (1.0 - c("overlap"))
-    spaced = (c("overlap") < 1) & (c("alpha") > 0) & (1.0 / c("alpha") - c("overlap") > 0)
+    excess = _ratio(F.lit(1.0), c("alpha")) - c("overlap")
+    exact = _ratio(excess, 1.0 - c("overlap"))
+    spaced = (c("overlap") < 1) & (c("alpha") > 0) & (excess > 0)
     looks, floor_g = coherence_floor(c("alpha"), c("overlap"))
     stages = [
         {
@@ -73,19 +79,19 @@ def _derived(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
         },
         {
             "step": F.when(
-                c("looks") > 1, (c("dwell_s") - c("t_sap")) / (c("looks") - 1.0)
+                c("looks") > 1, _ratio(c("dwell_s") - c("t_sap"), c("looks") - 1.0)
             ).otherwise(c("dwell_s")),
             "eta": c("target_freq_hz") * c("t_sap"),
-            "res_sap": c("lambda_m") * c("slant_range_m") / (2.0 * c("v_platform_ms") * c("t_sap")),
+            "res_sap": _ratio(c("lambda_m") * c("slant_range_m"), 2.0 * c("v_platform_ms") * c("t_sap")),
             "a_min": F.when(
-                c("swing") > 0, 0.5 * TRACK_FLOOR_PX * c("cell_m") * c("v_platform_ms") / c("swing")
+                c("swing") > 0, _ratio(0.5 * TRACK_FLOOR_PX * c("cell_m") * c("v_platform_ms"), c("swing"))
             ).otherwise(F.lit(math.inf)),
         },
         {
-            "f_max": F.when(c("t_sap") > 0, 1.0 / (2.0 * c("t_sap"))).otherwise(1.0 / (2.0 * c("step"))),
+            "f_max": _ratio(F.lit(0.5), F.when(c("t_sap") > 0, c("t_sap")).otherwise(c("step"))),
             "whole": F.floor(c("eta") + 0.5),
-            "ceiling": 1.5 * c("res_sap") / c("cell_m"),
-            "independent": F.greatest(c("win") * c("cell_m") / c("res_sap"), F.lit(1.0)) * c("win"),
+            "ceiling": _ratio(1.5 * c("res_sap"), c("cell_m")),
+            "independent": F.greatest(_ratio(c("win") * c("cell_m"), c("res_sap")), F.lit(1.0)) * c("win"),
         },
         {"distance": F.when(c("whole") >= 1, F.abs(c("eta") - c("whole"))).otherwise(c("eta"))},
     ]
@@ -108,14 +114,14 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     targeted, always = f > 0, F.lit(True)
     need = F.floor(2.0 * c("looks") + 0.5)
-    spread = 100.0 * (c("prf_max_hz") - c("prf_min_hz")) / c("prf_hz")
+    spread = _ratio(100.0 * (c("prf_max_hz") - c("prf_min_hz")), c("prf_hz"))
     gaps = F.when(c("prf_hz") > 0, c("worst_gap_s") * c("prf_hz")).otherwise(0.0)
-    margin = c("target_amp_m") / c("a_min")
-    per_amp = c("swing") / c("v_platform_ms")
+    margin = _ratio(c("target_amp_m"), c("a_min"))
+    per_amp = _ratio(c("swing"), c("v_platform_ms"))
     admissible = c("target_amp_m").between(
-        0.5 * TRACK_FLOOR_PX * c("cell_m") / per_amp, 0.5 * c("ceiling") * c("cell_m") / per_amp
+        _ratio(0.5 * TRACK_FLOOR_PX * c("cell_m"), per_amp), _ratio(0.5 * c("ceiling") * c("cell_m"), per_amp)
     )
-    phase_sd = F.sqrt(1.0 - gate * gate) / (gate * F.sqrt(2.0 * c("independent")))
+    phase_sd = _ratio(F.sqrt(1.0 - gate * gate), gate * F.sqrt(2.0 * c("independent")))
     whole, distance, say = c("whole"), c("distance"), F.format_string
 
     # (check, applies, level, detail) in report order.
@@ -124,10 +130,10 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
          say("dwell %.3f s, wavelength %.4f m, range %.1f km, speed %.0f m/s", c("dwell_s"),
              c("lambda_m"), c("slant_range_m") / 1000.0, c("v_platform_ms"))),
         ("frequency_resolution", targeted, _level(f * c("dwell_s") < 3.0),
-         say("%.4f Hz resolution; the target is %.1f bins from zero", 1.0 / c("dwell_s"), f * c("dwell_s"))),
+         say("%.4f Hz resolution; the target is %.1f bins from zero", _ratio(F.lit(1.0), c("dwell_s")), f * c("dwell_s"))),
         ("observable_band", always, _level((f > 0) & (f >= c("f_max"))),
          say("%.0f sub-apertures reach %.3f Hz; their step alone would suggest %.3f Hz",
-             c("looks"), c("f_max"), 1.0 / (2.0 * c("step")))),
+             c("looks"), c("f_max"), _ratio(F.lit(0.5), c("step")))),
         ("grid_width", always, _level(c("grid_n") < need),
          say("a spectral split needs %d azimuth lines, the grid has %d", need, c("grid_n").cast("bigint"))),
         ("observation_ratio", targeted, _level(F.lit(False), eta > ETA_GOOD),
@@ -150,7 +156,7 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
          say("shifts wrap at %.1f px against a floor of %.1f px", c("ceiling"), F.lit(TRACK_FLOOR_PX))),
         ("coherence_gate",
          (c("alpha") > 0) & (c("overlap") > 0) & (c("overlap") < 1)
-         & (1.0 / c("alpha") - c("overlap") > 0) & (c("n_looks") > 1),
+         & (c("n_looks") > 1),
          _level((gate > 0) & (gate <= c("shared")), (gate <= 0) | (gate <= 1.5 * c("shared"))),
          say("an incoherent scene still reports %.3f; the mask is %.2f", c("shared"), gate)),
         ("phase_floor",

@@ -135,6 +135,16 @@ def test_each_check(spark, changes, check, level):
     assert levels(spark, **changes)[0][check] == level
 
 
+@pytest.mark.parametrize("field", ["alpha", "cell_m", "prf_hz", "v_platform_ms", "win", "upsample", "grid_n"])
+def test_zero_fields_never_divide(spark, field):
+    found, _ = levels(spark, **{field: 0.0}, target_freq_hz=0.25, target_amp_m=0.001)
+    assert "metadata" in found
+
+
+def test_full_overlap_is_survived(spark):
+    assert "coherence_gate" not in levels(spark, overlap=1.0)[0]
+
+
 def test_unusable_geometry_stops_the_list(spark):
     found, verdict = levels(spark, dwell_s=0.0)
     assert list(found) == ["metadata"] and verdict == "FAIL"
