@@ -27,7 +27,6 @@ from .spectrum import SERIES
 from .subaperture import ImageStack
 
 
-
 def motion_meta(stack: StackMeta, params: TrackParams) -> MotionMeta:
     image = stack.image
     fits = 0 < params.win_az <= image.n_az and 0 < params.win_rg <= image.n_rg
@@ -71,12 +70,8 @@ def _check(stack: ImageStack, params: TrackParams) -> None:
         check_surface(params.win_az, params.win_rg, params.upsample_az, params.upsample_rg)
 
 
-def window_spans(position: str, win: int, stride: int, n_win: int) -> Column:
-    """ARRAY of the window indices along one axis that contain a pixel."""
-    return _covering(F.col(position), win, stride, n_win)
-
-
 def _covering(p: Column, length: int, step: int, count: int) -> Column:
+    """ARRAY of the spans ``[i * step, i * step + length)``, i < count, holding a position."""
     lo = F.greatest(F.lit(0), F.ceil((p - length + 1) / step)).cast("int")
     hi = F.least(F.lit(count - 1), F.floor(p / step)).cast("int")
     return F.when(lo <= hi, F.sequence(lo, hi))

@@ -83,19 +83,18 @@ def event_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series form of the event windows; quality is the share of slots filled."""
-    slots = event_slots(spark, sf_dir).select(
-        "win", "look",
+    # Only the two measured columns are gathered; the rest are multiples of them.
+    series = pack_series(event_slots(spark, sf_dir), EVENT_LOOKS, columns=("v", "c"), carry=())
+    scaled = lambda k: F.transform("v", lambda x: x * F.lit(k))
+    filled = F.size(F.filter("c", lambda c: c > 0))
+    return series.select(
+        "win",
+        F.floor(F.col("win") / WINDOWS_PER_ROW).cast("int").alias("iaz"),
+        (F.col("win") % WINDOWS_PER_ROW).cast("int").alias("irg"),
+        (filled / F.lit(float(EVENT_LOOKS))).alias("quality"),
         F.col("v").alias("disp_az"), F.col("c").alias("disp_rg"),
-        (F.col("v") * 0.01).alias("vel_los"), (F.col("v") * 0.001).alias("disp_los"),
-        F.lit(0.0).alias("phase"),
+        scaled(0.01).alias("vel_los"), scaled(0.001).alias("disp_los"), scaled(0.0).alias("phase"),
     )
-    series = pack_series(slots, EVENT_LOOKS, carry=())
-    filled = F.size(F.filter("disp_rg", lambda c: c > 0))
-    return series.withColumns({
-        "iaz": F.floor(F.col("win") / WINDOWS_PER_ROW).cast("int"),
-        "irg": (F.col("win") % WINDOWS_PER_ROW).cast("int"),
-        "quality": filled / F.lit(float(EVENT_LOOKS)),
-    })
 
 
 def film_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
