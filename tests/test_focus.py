@@ -161,3 +161,28 @@ def test_default_pair_is_the_next_master(blob):
     master = dense(stack.pixels.where(F.col("look") == 1), 128, 128)
     assert np.abs(slave - master).max() < 1e-9
     assert stack.meta.pair_lag_s > 0
+
+
+def bessel(order, x):
+    from math import factorial
+
+    return sum((-1) ** k / (factorial(k) * factorial(k + order)) * (x / 2) ** (2 * k + order) for k in range(20))
+
+
+def test_vibration_makes_paired_echoes(spark):
+    """A vibrating point has echoes where and as bright as modulation theory says."""
+    f, amp = 2.0, 0.001
+    collect = simulate(spark, [Target(0.0, 0.0, 0.0, 1.0, f, amp)])
+    grid = Grid(161, 1, dx=0.05, dy=1.0)
+    line = np.abs(dense(focus.backproject(collect, grid), 161, 1))[:, 0]
+    slant = np.hypot(350000.0, 500000.0)
+    away = f * collect.meta.wavelength * slant / (2 * 7500.0)
+    beta = 4 * np.pi * amp * (500000.0 / slant) / collect.meta.wavelength
+    x = (np.arange(161) - 80) * 0.05
+    for side in (-1, 1):
+        near = np.abs(x - side * away) < 0.3
+        at = x[near][line[near].argmax()]
+        assert at == pytest.approx(side * away, abs=0.06)
+        ratio = line[near].max() / line[np.abs(x) < 0.1].max()
+        # The echo's range walks a little against its cell's, which costs some brightness.
+        assert ratio == pytest.approx(bessel(1, beta) / bessel(0, beta), rel=0.25)
