@@ -16,7 +16,7 @@ from .operators import raster, selection, tomography, validation
 from .operators.focus import focus_azimuth_resolution
 from .params import CcdParams, Grid, SubapParams, Target, TomoParams, TrackParams
 from .plans import feasibility as feasible
-from .plans import pipelines
+from .plans import commands
 from .session import ship_package
 from .sinks import images, tables
 from .sources.interchange import load_collect, save
@@ -72,41 +72,41 @@ def _depth_options(p: argparse.ArgumentParser, depth: float) -> None:
 
 def parser() -> argparse.ArgumentParser:
     root = argparse.ArgumentParser(prog="sarmotion")
-    commands = root.add_subparsers(dest="command", required=True)
+    subcommands = root.add_subparsers(dest="command", required=True)
 
-    p = commands.add_parser("feasibility", help="vibration reach against resolution")
+    p = subcommands.add_parser("feasibility", help="vibration reach against resolution")
     for name, default in (("dwell", 32.9), ("range", 762800.0), ("velocity", 7263.0), ("wavelength", 0.0322)):
         p.add_argument(f"--{name}", type=float, default=default)
     p.add_argument("--tomo-velocity", type=float, default=0.0)
     p.add_argument("--tomo-frequency", type=float, default=0.0)
 
-    p = commands.add_parser("info", help="describe a product")
+    p = subcommands.add_parser("info", help="describe a product")
     _collect_options(p)
     p.add_argument("--sicd")
     p.add_argument("--uavsar")
     p.add_argument("--ann")
 
-    p = commands.add_parser("validate", help="can this collect support the measurement?")
+    p = subcommands.add_parser("validate", help="can this collect support the measurement?")
     _collect_options(p)
     p.add_argument("--sicd")
     for name in ("frequency", "amplitude", "alpha", "overlap", "upsample", "cell", "size"):
         p.add_argument(f"--{name}", type=float)
 
-    p = commands.add_parser("simulate", help="make a collect with known targets")
+    p = subcommands.add_parser("simulate", help="make a collect with known targets")
     for name, default in (("dwell", 20.0), ("prf", 400.0), ("bins", 256), ("seed", 1), ("clutter", 0),
                           ("clutter-extent", 60.0), ("clutter-rcs", 0.30)):
         p.add_argument(f"--{name}", type=type(default), default=default)
     p.add_argument("--target", action="append", help="X,Y,RCS,FREQUENCY,AMPLITUDE; repeatable")
     p.add_argument("--out", required=True)
 
-    p = commands.add_parser("crop", help="draw part of an airborne image")
+    p = subcommands.add_parser("crop", help="draw part of an airborne image")
     p.add_argument("--uavsar", required=True)
     p.add_argument("--ann", required=True)
     for name in ("az0", "rg0", "size"):
         p.add_argument(f"--{name}", type=int, required=True)
     p.add_argument("--out", required=True)
 
-    p = commands.add_parser("focus", help="form an image")
+    p = subcommands.add_parser("focus", help="form an image")
     _collect_options(p)
     _grid_options(p, 256)
     p.add_argument("--pulse-start", type=int, default=0)
@@ -116,7 +116,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out", required=True)
     p.add_argument("--raw")
 
-    p = commands.add_parser("mmotion", help="measure vibration")
+    p = subcommands.add_parser("mmotion", help="measure vibration")
     _collect_options(p)
     _grid_options(p, 128)
     _chain_options(p, 16, 0.4)
@@ -129,7 +129,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shifts")
     p.add_argument("--out")
 
-    p = commands.add_parser("tomo", help="invert depth under stated assumptions")
+    p = subcommands.add_parser("tomo", help="invert depth under stated assumptions")
     _collect_options(p)
     _grid_options(p, 128, "--grid-cell")
     _chain_options(p, 64, 0.4)
@@ -157,7 +157,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--section-out")
     p.add_argument("--out")
 
-    p = commands.add_parser("sweep", help="does depth follow the assumptions?")
+    p = subcommands.add_parser("sweep", help="does depth follow the assumptions?")
     _collect_options(p)
     _grid_options(p, 64, "--grid-cell", 0.5)
     _chain_options(p, 192, 0.0)
@@ -177,7 +177,7 @@ def _open(spark, a):
 def _grid(spark, a, collect) -> Grid:
     origin = (*a.offset, 0.0)
     if a.at:
-        origin = pipelines.resolve_at(spark, collect, *a.at)
+        origin = commands.resolve_at(spark, collect, *a.at)
     return Grid(a.size, a.size, a.cell_m, a.cell_m, origin)
 
 
@@ -214,11 +214,11 @@ def run_info(spark, a) -> int:
     if a.uavsar:
         if not a.ann:
             raise SystemExit("info: --uavsar requires --ann")
-        found = pipelines.image_info(*read_uavsar(spark, a.uavsar, a.ann))
+        found = commands.image_info(*read_uavsar(spark, a.uavsar, a.ann))
     elif a.sicd:
-        found = pipelines.image_info(*read_sicd(spark, a.sicd))
+        found = commands.image_info(*read_sicd(spark, a.sicd))
     else:
-        found = pipelines.info(_open(spark, a))
+        found = commands.info(_open(spark, a))
     print(json.dumps(found, indent=2))
     return 0
 
@@ -237,7 +237,7 @@ def run_validate(spark, a) -> int:
     else:
         collect = load_collect(spark, a.cphd, 8)
         requests = validation.collect_request(collect, n_rbin=a.rbins or 4096, **given)
-    findings, verdict = pipelines.validate(requests)
+    findings, verdict = commands.validate(requests)
     for f in findings:
         print(f"  {f['level']:7s} {f['check']:22s} {f['detail']}")
     print(f"  VERDICT: {verdict}")
@@ -267,11 +267,11 @@ def run_focus(spark, a) -> int:
     collect = _open(spark, a)
     grid = _grid(spark, a, collect)
     count = a.pulse_count or collect.meta.n_pulse
-    caution = pipelines.sampling_warning(collect, grid, focus_azimuth_resolution(collect, count))
+    caution = commands.sampling_warning(collect, grid, focus_azimuth_resolution(collect, count))
     if caution:
         print(f"warning: {caution}", file=sys.stderr)
-    image, meta = pipelines.focus(collect, grid, a.pulse_start, a.pulse_count, a.range_taps)
-    extent = pipelines.unambiguous_extent(collect, meta)
+    image, meta = commands.focus(collect, grid, a.pulse_start, a.pulse_count, a.range_taps)
+    extent = commands.unambiguous_extent(collect, meta)
     if a.pulse_stride > 1 and 0 < extent < grid.n_x * grid.dx:
         print(f"warning: strided pulses repeat the scene every {extent:.1f} m", file=sys.stderr)
     image = image.persist()
@@ -286,13 +286,13 @@ def run_mmotion(spark, a) -> int:
     collect = _open(spark, a)
     grid = _grid(spark, a, collect)
     subap, track = _chain(a)
-    found = pipelines.mmotion(
+    found = commands.mmotion(
         collect, grid, subap, track, a.subap, a.fmin, "none" if a.no_detrend else "linear",
         a.null_trials, a.null_static, a.shuffle_looks,
     )
     if a.ccd_out:
         image = found.stack.meta.image
-        stat, limits = pipelines.change(found.stack, CcdParams(win=a.ccd_win, loading=a.ccd_loading))
+        stat, limits = commands.change(found.stack, CcdParams(win=a.ccd_win, loading=a.ccd_loading))
         print(json.dumps({"change": limits}))
         shown = raster.map_levels(stat, "stat", palette="viridis")
         images.write_image(shown, image.n_az, image.n_rg, f"{a.ccd_out}_ccd.png", colour=True)
@@ -333,7 +333,7 @@ def run_tomo(spark, a) -> int:
     collect = _open(spark, a)
     grid = _grid(spark, a, collect)
     subap, track = _chain(a)
-    params = pipelines.collect_geometry(collect, _tomo_params(
+    params = commands.collect_geometry(collect, _tomo_params(
         a, solver=a.solver or "dft", convention=a.convention or "paper", y_source=a.y,
         regularisation=1e-3 if a.regularisation is None else a.regularisation,
         eq22_literal_t=a.eq22_literal_t, window=not a.no_window, remove_y_mean=not a.keep_mean,
@@ -345,16 +345,16 @@ def run_tomo(spark, a) -> int:
         params = replace(params, slant_range=a.range)
     if a.incidence:
         params = replace(params, incidence=math.radians(a.incidence))
-    found = pipelines.tomo(
+    found = commands.tomo(
         collect, grid, subap, track, params, a.subap, "none" if a.no_detrend else "linear",
         a.null_align, a.null_align_seed,
     )
     meta, params = found.meta, found.params
     palette = raster.palette_from_name(a.palette, "energy")
     if a.windows:
-        tables.write_csv(pipelines.depth_windows(found), a.windows)
+        tables.write_csv(commands.depth_windows(found), a.windows)
     if a.geocode:
-        tables.write_csv(pipelines.geocoded_windows(found, collect), a.geocode)
+        tables.write_csv(commands.geocoded_windows(found, collect), a.geocode)
     if a.section_out:
         ends = [float(x) for x in a.section.split(",")] if a.section else [0, 0, meta.n_win_az - 1, meta.n_win_rg - 1]
         cut = tomography.section(found.profiles, params, meta, ends[:2], ends[2:], a.section_width)
@@ -383,7 +383,7 @@ def run_sweep(spark, a) -> int:
     collects = [load_collect(spark, path, a.rbins) for path in a.cphd.split(",")]
     offsets = [_pair(part) for part in a.offsets.split(":")]
     grid = Grid(a.size, a.size, a.cell_m, a.cell_m)
-    found = pipelines.sweep(
+    found = commands.sweep(
         collects, _tomo_params(a), subap, track, grid, offsets, *a.scales, a.steps, a.fmin,
         a.subap or "pulse",
     )
@@ -392,7 +392,7 @@ def run_sweep(spark, a) -> int:
         print(f"{r['lambda_ac']:12.5f} {r['peak_depth']:12.3f} {r['sd']:10.3f} {'' if steady else 'unstable'}")
     print(json.dumps({
         "summary": found.summary, "realisations": found.per_realisation, "reliable": found.reliable,
-        "velocity": found.velocity, "verdict": pipelines.sweep_verdict(found),
+        "velocity": found.velocity, "verdict": commands.sweep_verdict(found),
     }, indent=2))
     return 0
 

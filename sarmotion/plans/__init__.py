@@ -1 +1 @@
-"""End-to-end pipelines and the table-backed query catalogue."""
+"""End-to-end commands and the table-backed query catalogue."""

@@ -14,7 +14,7 @@ from sarmotion.errors import ArgumentError, RangeFault
 from sarmotion.operators.focus import Collect
 from sarmotion.params import Grid, Plane, SubapParams, Target, TomoParams, TrackParams
 from sarmotion.plans import feasibility as feasible
-from sarmotion.plans import pipelines
+from sarmotion.plans import commands
 from sarmotion.sources import interchange
 from sarmotion.sources.simulate import clutter, simulate
 
@@ -145,11 +145,11 @@ def test_patent_conflicts_exit():
 
 
 def test_patent_chain_runs(collect):
-    params = pipelines.collect_geometry(collect, replace(TOMO, patent_exact=True, depth_cell=4.0, depth_max=8.0))
-    found = pipelines.tomo(collect, GRID, replace(SUBAP, n_looks=8), TRACK, replace(params, frequency=4000.0))
+    params = commands.collect_geometry(collect, replace(TOMO, patent_exact=True, depth_cell=4.0, depth_max=8.0))
+    found = commands.tomo(collect, GRID, replace(SUBAP, n_looks=8), TRACK, replace(params, frequency=4000.0))
     assert found.metadata["chain_verdict"] == "patent chain" and found.spectra is None
     assert found.tracking.reference == "pair" and found.profiles.count() == 9
-    assert pipelines.depth_windows(found).count() == 9
+    assert commands.depth_windows(found).count() == 9
 
 
 def test_sweep(capsys, saved):
@@ -164,45 +164,45 @@ def test_sweep(capsys, saved):
 
 
 def test_geometry_of_a_collect(collect):
-    got = pipelines.collect_geometry(collect, TOMO)
+    got = commands.collect_geometry(collect, TOMO)
     assert got.aperture == pytest.approx(7500 * 1599 / 200)
     assert got.slant_range == pytest.approx(math.hypot(350000, 500000), rel=1e-6)
     assert got.incidence == pytest.approx(math.acos(500000 / got.slant_range))
 
 
 def test_resolve_at(spark, collect):
-    x, y, _ = pipelines.resolve_at(spark, collect, 46.876176372949395, -97.26316876232174)
+    x, y, _ = commands.resolve_at(spark, collect, 46.876176372949395, -97.26316876232174)
     assert math.hypot(x, y) < 1.0
     with pytest.raises(RangeFault):
-        pipelines.resolve_at(spark, collect, 95.0, 0.0)
+        commands.resolve_at(spark, collect, 95.0, 0.0)
 
 
 @pytest.mark.parametrize("route", ["uniform", "paper"])
 def test_spectral_routes(collect, route):
-    stack, motion, meta = pipelines.observe(collect, Grid(48, 24), replace(SUBAP, n_looks=8), TRACK, route)
+    stack, motion, meta = commands.observe(collect, Grid(48, 24), replace(SUBAP, n_looks=8), TRACK, route)
     assert meta.n_looks == 8 and stack.meta.doppler_bandwidth > 0
     assert motion.select("look").distinct().count() == 8
 
 
 def test_pair_defaults_to_the_paper_layout(collect):
     with pytest.raises(ArgumentError):
-        pipelines.observe(collect, Grid(48, 24), replace(SUBAP, n_looks=8, pair=True), TRACK, "uniform")
+        commands.observe(collect, Grid(48, 24), replace(SUBAP, n_looks=8, pair=True), TRACK, "uniform")
 
 
 def test_verdicts():
-    blank = pipelines.Sweep(None, None, {}, [], None, None)
-    assert pipelines.sweep_verdict(blank) == "single_realisation"
+    blank = commands.Sweep(None, None, {}, [], None, None)
+    assert commands.sweep_verdict(blank) == "single_realisation"
     for slope, corr, word in ((1.0, 0.99, "follows_assumption"), (0.0, -0.9, "pinned_by_data"), (0.5, 0.5, "ambiguous"), (None, None, "too_few_wavelengths")):
         fit = {"slope": slope, "correlation": corr}
-        assert pipelines.sweep_verdict(replace(blank, reliable=fit)) == word
+        assert commands.sweep_verdict(replace(blank, reliable=fit)) == word
 
 
 def test_cautions_about_sampling(collect):
-    assert pipelines.sampling_warning(collect, Grid(8, 8, 9.0, 9.0), 1.0)
-    assert pipelines.sampling_warning(collect, GRID, 1.0) is None
-    _, image = pipelines.focus(collect, Grid(4, 4))
+    assert commands.sampling_warning(collect, Grid(8, 8, 9.0, 9.0), 1.0)
+    assert commands.sampling_warning(collect, GRID, 1.0) is None
+    _, image = commands.focus(collect, Grid(4, 4))
     want = collect.meta.wavelength * image.r0 * 200.0 / (2 * 7500.0)
-    assert pipelines.unambiguous_extent(collect, image) == pytest.approx(want, rel=1e-6)
+    assert commands.unambiguous_extent(collect, image) == pytest.approx(want, rel=1e-6)
 
 
 def test_simulate_and_focus_again(capsys, spark, tmp_path):

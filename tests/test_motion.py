@@ -14,7 +14,7 @@ from sarmotion.operators.spectrum import pack_series, spectrum, unpack_series
 from sarmotion.operators.subaperture import ImageStack
 from sarmotion.operators.tracking import track
 from sarmotion.params import Grid, ImageMeta, MotionMeta, StackMeta, SubapParams, Target, TrackParams
-from sarmotion.plans import pipelines
+from sarmotion.plans import commands
 from sarmotion.sources.simulate import simulate
 
 PARAMS = TrackParams(
@@ -40,7 +40,7 @@ def measured(stack, params, **kwargs):
 
 
 def test_end_to_end_frequency(vibrating):
-    found = pipelines.mmotion(
+    found = commands.mmotion(
         vibrating, Grid(48, 48), SubapParams(n_looks=64, overlap=0.4), PARAMS, null_trials=2
     )
     assert abs(found.best["dominant_freq"] - 0.5) <= 3 * found.meta.df
