@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarmotion.llm.common import table
+from sarmotion.llm.decontamination import benchmark_hits, contaminated, hit_words
+from sarmotion.llm.exact_dedup import exact_duplicates
 from sarmotion.llm.near_dedup import near_duplicates
+from sarmotion.llm.packing import packed_pieces
+from sarmotion.llm.sharding import shuffled_shards
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the 16 shards are at most one apart: the law is ``rows``."""
+    sharded = shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return sharded.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("n_hit", hit_words("hits")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +47,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
