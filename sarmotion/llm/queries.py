@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import table
+from sarmotion.llm import language_id, toxicity
+from sarmotion.llm.common import crc_mod, table
 from sarmotion.llm.decontamination import benchmark_hits, contaminated, hit_words
 from sarmotion.llm.exact_dedup import exact_duplicates
 from sarmotion.llm.near_dedup import near_duplicates
@@ -14,6 +15,15 @@ from sarmotion.llm.packing import packed_pieces
 from sarmotion.llm.sharding import shuffled_shards
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from text and lang of rows whose crc32(doc_id) mod 4 is not 2; ``rejected`` is the calibrated rejection."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.identified(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from labels of rows whose crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,9 +66,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
