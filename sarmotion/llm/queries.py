@@ -10,6 +10,7 @@ from sarmotion.llm import language_id, toxicity
 from sarmotion.llm.common import crc_mod, table
 from sarmotion.llm.decontamination import benchmark_hits, contaminated, hit_words
 from sarmotion.llm.exact_dedup import exact_duplicates
+from sarmotion.llm.lm_scoring import scored
 from sarmotion.llm.near_dedup import near_duplicates
 from sarmotion.llm.packing import packed_pieces
 from sarmotion.llm.sharding import shuffled_shards
@@ -28,6 +29,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from texts whose crc32(doc_id) mod 5 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False))
+    found = scored(docs.select("doc_id", "text", (~held_out).alias("trained")), trained_col="trained")
+    return found.withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the 16 shards are at most one apart: the law is ``rows``."""
     sharded = shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -68,6 +79,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
