@@ -14,6 +14,7 @@ from sarmotion.llm.lm_scoring import scored
 from sarmotion.llm.near_dedup import near_duplicates
 from sarmotion.llm.packing import packed_pieces
 from sarmotion.llm.sharding import shuffled_shards
+from sarmotion.llm.substring_dedup import repeated_passages
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
