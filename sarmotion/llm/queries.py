@@ -13,6 +13,7 @@ from sarmotion.llm.exact_dedup import exact_duplicates
 from sarmotion.llm.lm_scoring import scored
 from sarmotion.llm.near_dedup import near_duplicates
 from sarmotion.llm.packing import packed_pieces
+from sarmotion.llm.pii import KINDS, personal_data, written_spans, written_terms
 from sarmotion.llm.sharding import shuffled_shards
 from sarmotion.llm.substring_dedup import repeated_passages
 
@@ -26,6 +27,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, number))).cast("long").alias(f"n_{kind}")
+        for number, kind in enumerate(KINDS)
+    ]
+    base = written_spans(F.col("spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, written_terms(F.col("terms"))), ",").alias("spans"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,6 +99,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
