@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sarmotion.llm.common import mix64, text_slices, window_hashes, word_hashes, written
 from sarmotion.llm.components import components
+from sarmotion.llm.idfilter import thinned
 
 ROWS_PER_BAND = 4
 MISS = 1e-6
@@ -257,7 +258,7 @@ def near_duplicates(
         (100 * F.least("n_shingles", "c.n_shingles") >= percent * F.greatest("n_shingles", "c.n_shingles")).alias("fits"),
     ))
     wanted = members.groupBy("doc_id").agg(F.lit(1).alias("_")).select("doc_id")
-    texts = written(base.join(wanted, "doc_id", "left_semi"))
+    texts = written(thinned(base, wanted).join(wanted, "doc_id", "left_semi"))
 
     stars = members.where("fits and doc_id <> centre").groupBy("centre", "doc_id").agg(F.lit(1).alias("_"))
     pairs = (
