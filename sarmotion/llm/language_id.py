@@ -201,7 +201,7 @@ def _predictor(held):
                 if model is None:
                     names = [NO_LANGUAGE] * (end - row)
                     score = np.zeros(end - row)
-                    rejected = np.ones(end - row, dtype=bool)
+                    rejected = ~own
                 else:
                     p = scores(model, data, offsets)
                     best = p.argmax(axis=1)
@@ -222,8 +222,8 @@ def identified(
 ) -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability of lang_pred), rejected, for every whole text.
 
-    Texts that are null or have no letter are ``und`` with score 0 and rejected; so is every text if there is no
-    model, that is no labelled row to learn from. Texts that repeat get equal results; ties between classes go to the
+    Texts that are null or have no letter are ``und`` with score 0 and rejected. Without a model, that is without a
+    labelled row to learn from, every text is ``und`` with score 0, and only those without a letter are rejected. Texts that repeat get equal results; ties between classes go to the
     first in order of name. Only the two named columns are read. The model's size is fixed: BUCKETS rows of one
     number for each language.
     """
@@ -234,3 +234,25 @@ def identified(
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
     return base.mapInArrow(_predictor(held), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(
+    docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.col(text_col).cast("string")
+    lettered = docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+    def run(batches):
+        known = held.value
+        for batch in batches:
+            if known is None:
+                yield batch
+                continue
+            column = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
+            best = [scores(known, data, offsets).max(axis=1) for _, _, data, offsets in text_slices(column)]
+            if best:
+                yield batch.filter(pa.array(np.concatenate(best) >= known.threshold))
+
+    return lettered.mapInArrow(run, docs.schema)
