@@ -19,51 +19,123 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import text_slices, written
+from sarmotion.llm.common import lean, text_slices, written
 
 CAPACITY = 2048
 END_ID = 0
 CACHED_CHUNKS = 400_000
+PIECE_BYTES = 1 << 21
 
-_TOKENIZERS: dict[str, tuple] = {}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Python's split() also takes these four for white space; the tokenizer does not.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_NOT_SPACE = re.compile(rb"[\x1c-\x1f]")
+_WORD_END = "</w>"
+# Letters of one code point each in every normal form and case.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 _SPLIT = re.compile(r"[^\S\x1c-\x1f]+")
 
 
-def _tokenizer(path: str):
-    """A tokenizer and the ids of chunks seen by this worker."""
-    if path not in _TOKENIZERS:
+class ChunkEncoder:
+    """Ids of runs without white space, which the tokenizer drops and never joins across.
+
+    Runs seen lately are kept in two generations of CACHED_CHUNKS each, so memory is bounded and only time depends on
+    what is kept.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
-
-
-def chunks_of(text: str) -> list[str]:
-    """Runs without white space. The tokenizer drops white space and never joins across it."""
-    if any(c in text for c in _NOT_SPACE):
-        return [c for c in _SPLIT.split(text) if c]
-    return text.split()
-
-
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, without special tokens and without the end id."""
-    tokenizer, seen = _tokenizer(path)
-    lists = [chunks_of(t) for t in texts]
-    new = list(set().union(*lists).difference(seen)) if lists else []
-    own = seen
-    if new:
-        ids = {
-            chunk: np.array(e.ids, dtype="<u4").tobytes()
-            for chunk, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False))
-        }
-        if len(seen) + len(new) <= CACHED_CHUNKS:
-            seen.update(ids)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        # Ids that end a word, where the vocabulary marks word ends.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put every chunk into the young generation."""
+        old = self.old
+        young = self.young
+        fresh = []
+        for c in chunks:
+            ids = old.get(c)
+            if ids is None:
+                fresh.append(c)
+            else:
+                young[c] = ids
+        # Runs of plain letters are one word each: lists of them are parted where words end. Other runs are parted by
+        # a token of its own, and runs that hold that token stand alone.
+        words = [c for c in fresh if _LETTERS(c)] if self.ends.any() else []
+        rest = set(fresh).difference(words)
+        for c in [c for c in rest if self.mark in c]:
+            rest.discard(c)
+            young[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._encode_lists(words, " ", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
+        self._encode_lists(list(rest), self.mark, lambda ids: np.r_[np.flatnonzero(ids == self.mark_id), len(ids)], 1)
+
+    def _encode_lists(self, chunks: list[str], between: str, edges_of, skip: int) -> None:
+        """Encode lists of runs; ``edges_of`` tells where each run's ids end, ``skip`` ids lie between runs."""
+        groups = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
+        for at in range(0, len(groups), 32):
+            some = groups[at : at + 32]
+            found = self.tokenizer.encode_batch_fast([between.join(g) for g in some], add_special_tokens=False)
+            for group, encoding in zip(some, found):
+                ids = np.array(encoding.ids, dtype="<u4")
+                raw, ends = ids.tobytes(), edges_of(ids)
+                if len(ends) != len(group):
+                    raise ValueError("the tokenizer joins or parts runs in an unknown way")
+                starts = np.r_[0, ends[:-1] + skip] * 4
+                self.young.update(zip(group, map(raw.__getitem__, map(slice, starts.tolist(), (ends * 4).tolist()))))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each row of a piece, without special tokens and without an end id."""
+        raw = data.tobytes()
+        if b"<" not in raw:  # no special token can be spelled, and case does not matter to the others
+            raw = raw.translate(_LOWER)
+        if _NOT_SPACE.search(raw):
+            split = lambda t: [c for c in _SPLIT.split(t) if c]
         else:
-            own = {c: seen[c] if c in seen else ids[c] for chunks in lists for c in chunks}
-    return [b"".join(map(own.__getitem__, chunks)) for chunks in lists]
+            split = str.split
+        edges = offsets.tolist()
+        lists = [split(raw[a:b].decode()) for a, b in zip(edges, edges[1:])]
+        wanted = set().union(*lists) if lists else set()
+        if len(self.young) > CACHED_CHUNKS:
+            self.old, self.young = self.young, {}
+        self.learn(wanted.difference(self.young))
+        get = self.young.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in lists]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One for each worker process and vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
+def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a space before each full stop or comma that stands between a letter a-z and white space.
+
+    Such a mark is a piece of its own to the tokenizer, so the ids stay, and there are fewer different runs.
+    """
+    if not len(data):
+        return data, offsets
+    last = np.zeros(len(data), dtype=bool)
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    following = np.r_[data[1:], 32]
+    mark = ((data == 46) | (data == 44)) & (last | (following == 32) | (following == 10))
+    before = np.r_[np.uint8(0), data[:-1]] | 32
+    mark &= (before >= 97) & (before <= 122)
+    mark[offsets[:-1][np.diff(offsets) > 0]] = False
+    at = np.flatnonzero(mark)
+    return np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long, ids binary"
@@ -78,11 +150,9 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         ranks = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             ids_in = batch.column("doc_id").to_pylist()
-            for row, end, data, offsets in text_slices(batch.column("text")):
-                raw = data.tobytes()
-                texts = [raw[offsets[i] : offsets[i + 1]].decode() for i in range(end - row)]
+            for row, end, data, offsets in text_slices(batch.column("text"), PIECE_BYTES):
                 out: list[tuple] = []
-                for doc_id, ids in zip(ids_in[row:end], encoded(texts, path)):
+                for doc_id, ids in zip(ids_in[row:end], encoder(path).encode(*spaced(data, offsets))):
                     ids += tail
                     for piece, at in enumerate(range(0, len(ids), width)):
                         own = ids[at : at + width]
@@ -94,7 +164,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    return run
+    return lean(run)
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -170,7 +240,7 @@ def _slots(plan: np.ndarray):
                 names=[*keep, "sequence_id", "offset"],
             )
 
-    return run
+    return lean(run)
 
 
 def packed_pieces(
