@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarmotion.llm import language_id, toxicity
+from sarmotion.llm import language_id, oracle, toxicity
 from sarmotion.llm.common import crc_mod, table
 from sarmotion.llm.decontamination import benchmark_hits, contaminated, hit_words
 from sarmotion.llm.exact_dedup import exact_duplicates
@@ -110,4 +110,9 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": oracle.EXACT_DEDUP,
+    "op6_decontamination": oracle.DECONTAMINATION,
+    "op9_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op10_minhash_near_dedup": oracle.NEAR_DEDUP,
+}
