@@ -6,7 +6,7 @@ memory follows its longest single text and never its partition.
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BUCKET_BYTES = 64 << 20
 
 # The white space of the word rules, [\x20\x09-\x0D].
@@ -27,6 +27,42 @@ _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[list(SPACES)] = False
 
 
+# ---- memory of the Python workers ------------------------------------------------------------
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
+def _release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """``run`` over batches or over one group, with memory given back after each batch and each large group."""
+
+    def batchwise(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            _release()
+
+    def wrapped(data):
+        if not isinstance(data, pa.Table):
+            return run(batchwise(data))
+        out = run(data)
+        if data.nbytes > 1 << 20:
+            del data
+            _release()
+        return out
+
+    return wrapped
+
+
 # ---- tables in the shared folder -------------------------------------------------------------
 
 
@@ -138,7 +174,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES)
+        size = max(n, 2 * SLICE_BYTES)
         have = np.full(size, np.uint64(base))
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
@@ -252,8 +288,5 @@ def by_bucket(df: DataFrame, reduce: Callable[[list], pa.Table], schema: str) ->
     def run(part: pa.Table) -> pa.Table:
         return reduce([x for chunk in part.column("payload").chunks for x in (s.as_buffer() for s in chunk)])
 
-    return df.groupBy("bucket").applyInArrow(run, schema)
-
+    return df.groupBy("bucket").applyInArrow(lean(run), schema)
 
-def local_path(path: str) -> str:
-    return os.path.expanduser(path)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import total_text_bytes
+from sarmotion.llm.common import lean, total_text_bytes
 
 WINDOW = 13
 AUTOMATON_BYTES = 16 << 20
@@ -98,7 +98,7 @@ def _mapper(items):
                 names=["doc_id", "n_words", "hits", "items"],
             )
 
-    return run
+    return lean(run)
 
 
 def benchmark_hits(

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import SPACES, written
+from sarmotion.llm.common import lean, SPACES, written
 
 COUNTERS = 1024
 
@@ -39,7 +39,7 @@ def _misra_gries(counters: int):
             yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
                                   names=["text_sha256", "least"])
 
-    return run
+    return lean(run)
 
 
 def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import mix64
+from sarmotion.llm.common import lean, mix64
 
 FILTER_BITS = 1 << 26
 PROBES = 4
@@ -30,7 +30,7 @@ def _marks(bits: int):
                 [pa.array(words[starts].astype(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"]
             )
 
-    return run
+    return lean(run)
 
 
 def sieve(ids: DataFrame, id_col: str = "doc_id", bits: int = FILTER_BITS):
@@ -58,7 +58,7 @@ def _sieved(held, id_col: str, bits: int, inside: bool):
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return run
+    return lean(run)
 
 
 def thinned(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import pack, text_slices, unpack
+from sarmotion.llm.common import lean, pack, text_slices, unpack
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
@@ -161,7 +161,7 @@ def fit(
     cut = eligible.select("h").orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
     if cut is None:
         return None
-    found = eligible.where(F.col("h") <= cut).select("lang", "text").mapInArrow(_features, "lang string, features binary")
+    found = eligible.where(F.col("h") <= cut).select("lang", "text").mapInArrow(lean(_features), "lang string, features binary")
     sample = sorted((r["lang"], bytes(r["features"])) for r in found.collect())
     np.random.default_rng(3).shuffle(sample)
     return train([tuple(unpack(f, np.uint16, np.float32)) for _, f in sample], [str(x) for x, _ in sample])
@@ -214,7 +214,7 @@ def _predictor(held):
                     names=["doc_id", "lang_pred", "score", "rejected"],
                 )
 
-    return run
+    return lean(run)
 
 
 def identified(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import mix64, text_slices, window_hashes, word_hashes, written
+from sarmotion.llm.common import lean, mix64, text_slices, window_hashes, word_hashes, written
 from sarmotion.llm.components import components
 from sarmotion.llm.idfilter import thinned
 
@@ -107,7 +107,7 @@ def _sketches(size: int, bands: int, rows: int):
                     names=["doc_id", "n_shingles", "d1", "d2", "bands"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _set_of(text: str, size: int) -> np.ndarray:
@@ -140,7 +140,7 @@ def _verified(size: int, percent: int):
                 [batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"]
             )
 
-    return run
+    return lean(run)
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -210,7 +210,7 @@ def _block_links(size: int, percent: int):
             "u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64()),
         })
 
-    return run
+    return lean(run)
 
 
 def near_duplicates(

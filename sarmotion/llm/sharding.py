@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import bucket_count, total_text_bytes
+from sarmotion.llm.common import lean, bucket_count, total_text_bytes
 
 SHARDS = 16
 SEED = 20_240_601
@@ -37,7 +37,7 @@ def _shuffled(seed: int, keys: list[str], bucket: str, place: str):
         order = fisher_yates(part.num_rows, [seed, part.column(bucket)[0].as_py()])
         return part.take(pa.array(order)).append_column(place, pa.array(np.arange(part.num_rows, dtype=np.int64)))
 
-    return run
+    return lean(run)
 
 
 def shuffled_shards(

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sarmotion.llm.common import (
+    lean,
     PACKET, bucket_count, by_bucket, mix64, pack, packets, row_of, scattered, text_slices, total_text_bytes, unpack,
     window_hashes, word_hashes, written,
 )
 from sarmotion.llm.idfilter import thinned
 
 BLOCK = 10
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 500_000
 
 # Places (doc_id, word): ids of runs, run lengths, steps of up to 254 words, longer steps.
 _PLACES = (np.int64, np.uint32, np.uint8, np.int64)
@@ -137,7 +138,7 @@ def _probes(buckets: int, block: int):
             if found is not None:
                 yield found
 
-    return run
+    return lean(run)
 
 
 def _to_documents(ids: list[np.ndarray], places: list[np.ndarray], buckets: int) -> pa.Table:
@@ -255,7 +256,7 @@ def _windows(buckets: int, block: int):
         if size:
             yield sent(waiting)
 
-    return run
+    return lean(run)
 
 
 def _repeats(buckets: int):
@@ -323,7 +324,7 @@ def _removed(width: int):
                 names=["doc_id", "n_removed", "left_sha256", "ranges"],
             )
 
-    return run
+    return lean(run)
 
 
 def repeated_passages(
@@ -351,7 +352,7 @@ def repeated_passages(
         _removed(2 * block),
         "doc_id long, n_removed long, left_sha256 string, ranges array<struct<word:long,words:long>>",
     )
-    whole = base.mapInArrow(_whole, "doc_id long, n_words long, whole_sha256 string")
+    whole = base.mapInArrow(lean(_whole), "doc_id long, n_words long, whole_sha256 string")
     return _attached(whole, cut)
 
 

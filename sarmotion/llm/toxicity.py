@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import text_slices, written
+from sarmotion.llm.common import lean, text_slices, written
 
 SAMPLE_ROWS = 24_000
 MAX_TERMS = 2048
@@ -273,7 +273,7 @@ def _contexts(held):
                 names=["word", "context"],
             )
 
-    return run
+    return lean(run)
 
 
 def _featured(held):
@@ -287,7 +287,7 @@ def _featured(held):
                     names=["toxic", "x"],
                 )
 
-    return run
+    return lean(run)
 
 
 def fit(
@@ -308,7 +308,7 @@ def fit(
     sample = base.join(F.broadcast(chosen), "doc_id")
     lessons = sample.where("teach").select("text", "toxic")
     counts = written(
-        lessons.mapInArrow(_counted, "word string, toxic long, clean long").groupBy("word")
+        lessons.mapInArrow(lean(_counted), "word string, toxic long, clean long").groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
     share = lessons.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("q")).first()["q"] or 0.0
@@ -344,7 +344,7 @@ def _scorer(held):
                     names=["doc_id", "score"],
                 )
 
-    return run
+    return lean(run)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
