@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 from .errors import SarMotionError
 from .operators import raster, selection, tomography, validation
 from .operators.focus import focus_azimuth_resolution
-from .params import CcdParams, Grid, SubapParams, Target, TomoParams, TrackParams
+from .params import CcdParams, Grid, SubapParams, TomoParams, TrackParams
 from .plans import feasibility as feasible
 from .plans import commands
 from .session import ship_package
 from .sinks import images, tables
-from .sources.interchange import load_collect, save
+from .sources.interchange import load_collect
 from .sources.sicd import read_sicd, read_sicd_meta
-from .sources.simulate import clutter, simulate, truth
 from .sources.uavsar import read_uavsar
 
 
@@ -92,13 +91,6 @@ def parser() -> argparse.ArgumentParser:
     for name in ("frequency", "amplitude", "alpha", "overlap", "upsample", "cell", "size"):
         p.add_argument(f"--{name}", type=float)
 
-    p = subcommands.add_parser("simulate", help="make a collect with known targets")
-    for name, default in (("dwell", 20.0), ("prf", 400.0), ("bins", 256), ("seed", 1), ("clutter", 0),
-                          ("clutter-extent", 60.0), ("clutter-rcs", 0.30)):
-        p.add_argument(f"--{name}", type=type(default), default=default)
-    p.add_argument("--target", action="append", help="X,Y,RCS,FREQUENCY,AMPLITUDE; repeatable")
-    p.add_argument("--out", required=True)
-
     p = subcommands.add_parser("crop", help="draw part of an airborne image")
     p.add_argument("--uavsar", required=True)
     p.add_argument("--ann", required=True)
@@ -122,7 +114,6 @@ def parser() -> argparse.ArgumentParser:
     _chain_options(p, 16, 0.4)
     p.add_argument("--shuffle-looks", type=int, default=0)
     p.add_argument("--null-trials", type=int, default=0)
-    p.add_argument("--null-static", type=int, default=0)
     p.add_argument("--ccd-out")
     p.add_argument("--ccd-win", type=int, default=5)
     p.add_argument("--ccd-loading", type=float, default=1e-3)
@@ -198,7 +189,7 @@ def _chain(a) -> tuple[SubapParams, TrackParams]:
 
 def _draw_windows(cells, value: str, meta, path: str, palette: str, lo: float = 0.0, hi: float = 0.0) -> None:
     shown = raster.map_levels(cells, value, lo, hi, palette)
-    images.write_image(shown, meta.n_win_az, meta.n_win_rg, path, "iaz", "irg", palette != "gray")
+    images.export_image(shown, meta.n_win_az, meta.n_win_rg, path, "iaz", "irg", palette != "gray")
 
 
 def run_feasibility(spark, a) -> int:
@@ -244,22 +235,10 @@ def run_validate(spark, a) -> int:
     return 2 if verdict == "FAIL" else 0
 
 
-def run_simulate(spark, a) -> int:
-    targets = [Target(0.0, 0.0, 0.0, 1.0, 2.0, 0.005), Target(9.0, 6.0, 0.0, 0.8)]
-    if a.target:
-        parts = [[float(x) for x in text.split(",")] for text in a.target]
-        targets = [Target(x, y, 0.0, rcs, f, amp) for x, y, rcs, f, amp in parts]
-    targets += clutter(a.clutter, 0.5 * a.clutter_extent, a.clutter_rcs, a.seed)
-    made = simulate(spark, targets, a.dwell, a.prf, a.bins)
-    save(made, a.out)
-    truth(spark, targets).write.mode("overwrite").parquet(f"{a.out}/truth")
-    return 0
-
-
 def run_crop(spark, a) -> int:
     pixels, meta = read_uavsar(spark, a.uavsar, a.ann)
     cut, small = raster.crop(pixels, meta, a.az0, a.rg0, a.size, a.size)
-    images.write_image(raster.quicklook(cut), small.n_az, small.n_rg, a.out)
+    images.export_image(raster.quicklook(cut), small.n_az, small.n_rg, a.out)
     return 0
 
 
@@ -275,10 +254,10 @@ def run_focus(spark, a) -> int:
     if a.pulse_stride > 1 and 0 < extent < grid.n_x * grid.dx:
         print(f"warning: strided pulses repeat the scene every {extent:.1f} m", file=sys.stderr)
     image = image.persist()
-    images.write_image(raster.quicklook(image, a.dyn_range), meta.n_az, meta.n_rg, a.out)
+    images.export_image(raster.quicklook(image, a.dyn_range), meta.n_az, meta.n_rg, a.out)
     if a.raw:
         rows = images.amplitude_rows(image)
-        images.write_cube(rows, "az", "amplitude", meta.n_az, meta.n_rg, 1, a.raw, "azimuth, range, amplitude")
+        images.export_cube(rows, "az", "amplitude", meta.n_az, meta.n_rg, 1, a.raw, "azimuth, range, amplitude")
     return 0
 
 
@@ -288,17 +267,17 @@ def run_mmotion(spark, a) -> int:
     subap, track = _chain(a)
     found = commands.mmotion(
         collect, grid, subap, track, a.subap, a.fmin, "none" if a.no_detrend else "linear",
-        a.null_trials, a.null_static, a.shuffle_looks,
+        a.null_trials, a.shuffle_looks,
     )
     if a.ccd_out:
         image = found.stack.meta.image
         stat, limits = commands.change(found.stack, CcdParams(win=a.ccd_win, loading=a.ccd_loading))
         print(json.dumps({"change": limits}))
         shown = raster.map_levels(stat, "stat", palette="viridis")
-        images.write_image(shown, image.n_az, image.n_rg, f"{a.ccd_out}_ccd.png", colour=True)
+        images.export_image(shown, image.n_az, image.n_rg, f"{a.ccd_out}_ccd.png", colour=True)
         rows = stat.groupBy("az").agg(F.array_sort(F.collect_list(F.struct("rg", "stat"))).alias("_s"))
         rows = rows.select("az", F.col("_s.stat").alias("line"))
-        images.write_cube(rows, "az", "line", 1, image.n_az, image.n_rg, f"{a.ccd_out}_ccd.f32", "row, col")
+        images.export_cube(rows, "az", "line", 1, image.n_az, image.n_rg, f"{a.ccd_out}_ccd.f32", "row, col")
     if a.shifts:
         tables.write_csv(tables.shift_rows(found.motion, found.stack.meta), a.shifts)
     if a.out:
@@ -359,14 +338,14 @@ def run_tomo(spark, a) -> int:
         ends = [float(x) for x in a.section.split(",")] if a.section else [0, 0, meta.n_win_az - 1, meta.n_win_rg - 1]
         cut = tomography.section(found.profiles, params, meta, ends[:2], ends[2:], a.section_width)
         shown = raster.map_levels(cut, "value", palette=palette)
-        images.write_image(
+        images.export_image(
             shown, len(tomography.depth_axis(params)), a.section_width, a.section_out, "j", "sample", palette != "gray"
         )
     if a.slice_out:
         plane = tomography.nearest_slice(found.profiles, params, a.slice)
         _draw_windows(plane, "value", meta, a.slice_out, palette)
     if a.out:
-        images.write_cube(
+        images.export_cube(
             found.profiles, "win", "profile", meta.n_win_az, meta.n_win_rg,
             len(tomography.depth_axis(params)), a.out, "window_az, window_rg, depth",
         )

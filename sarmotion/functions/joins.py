@@ -7,25 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Ways a single group is split; the small side is repeated this often.
-SALT = 16
-
 
 def attach(
     rows: DataFrame, per_group: DataFrame, keys: Sequence[str], bounded: bool = False, how: str = "inner"
 ) -> DataFrame:
     """Join ``per_group`` (at most one row per key) onto ``rows``.
 
-    Without keys it is a single row and is broadcast.  ``bounded`` states that the
-    number of groups is limited by a parameter, which also allows a broadcast.
-    Otherwise each group of ``rows`` is spread over ``SALT`` hash partitions, so a
-    group holding a third of the table does not land in one task.
+    Without keys it is a single row and is broadcast.  ``bounded`` states that the number of groups is limited
+    by a parameter, which also allows a broadcast.  Otherwise it is an equi-join whose hot groups adaptive execution
+    splits by their measured size.  It can do so only if both sides are shuffled for the join, so a ``per_group`` that
+    comes out of an aggregate is dealt anew.
     """
     keys = list(keys)
     if not keys:
         return rows.join(F.broadcast(per_group), how=how) if how != "inner" else rows.crossJoin(F.broadcast(per_group))
-    if bounded:
-        return rows.join(F.broadcast(per_group), keys, how)
-    spread = rows.withColumn("_salt", F.spark_partition_id() % SALT)
-    repeated = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return rows.join(F.broadcast(per_group) if bounded else per_group.hint("rebalance"), keys, how)

@@ -16,14 +16,23 @@ from pyspark.sql import functions as F
 
 from .joins import attach
 
-# Rank error of the sketch is at most n / SKETCH_ACCURACY; the bracket allows three
-# times that on each side, and takes in everything while a group is smaller.
+# Rank error of the sketch is at most n / SKETCH_ACCURACY.  The bracket's margin is three times that share on each
+# side, or the first of its multiples that spans three ranks of the group.
 SKETCH_ACCURACY = 5000
 SLACK = 3.0 / SKETCH_ACCURACY
-SMALL_GROUP = 4 * SKETCH_ACCURACY
+RANKS = 3.0
+WIDER = 8.0
 BINS = 4096
 
 
+def _margins() -> list[float]:
+    """SLACK times powers of WIDER, up to one that takes in everything."""
+    margins = [SLACK]
+    while margins[-1] < 1.0:
+        margins.append(margins[-1] * WIDER)
+    return margins
+
+
 @dataclass(frozen=True)
 class Rank:
     """A 0-based rank near ``share * n``, as an expression over the group size ``n``."""
@@ -57,23 +66,26 @@ def order_statistics(
     cell = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
 
     shares = sorted({ranks[k].share for k in names})
-    edges = [min(1.0, max(0.0, s + side)) for s in shares for side in (-SLACK, SLACK)]
+    margins = _margins()
+    edges = [min(1.0, max(0.0, s + side * m)) for s in shares for m in margins for side in (-1, 1)]
     sketch = cell.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY).alias("_q"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
     )
-    whole = F.col("n") < SMALL_GROUP
+    # Which margin spans RANKS ranks of the own group.
+    step = F.array_position(F.array(*[F.lit(m) * F.col("n") >= RANKS for m in margins]), True)
+    step = F.when(step > 0, step - 1).otherwise(len(margins) - 1).cast("int")
 
     def bracket(share: float) -> Column:
-        at = 2 * shares.index(share)
-        low = whole | F.lit(edges[at] <= 0.0)
-        high = whole | F.lit(edges[at + 1] >= 1.0)
+        at = 2 * len(margins) * shares.index(share)
+        own = edges[at : at + 2 * len(margins)]
+        ends = lambda k: F.array(*[F.lit(e) for e in own[k::2]])[step]
         return F.struct(
             F.lit(share).alias("id"),
-            F.when(low, F.col("_min")).otherwise(F.col("_q")[at]).alias("lo"),
-            F.when(high, F.col("_max")).otherwise(F.col("_q")[at + 1]).alias("hi"),
+            F.when(ends(0) <= 0.0, F.col("_min")).otherwise(F.col("_q")[at + 2 * step]).alias("lo"),
+            F.when(ends(1) >= 1.0, F.col("_max")).otherwise(F.col("_q")[at + 2 * step + 1]).alias("hi"),
         )
 
     brackets = sketch.select(*keys, "n", F.array(*[bracket(s) for s in shares]).alias("_want"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, SingularFault
 from ..params import Grid, SubapParams, TrackParams
-from ..sources.simulate import static_like
 from .focus import Collect, backproject
 from .selection import best_window
 from .spectrum import pack_series, spectrum
@@ -112,37 +111,3 @@ def shuffle_null(
     if trials <= 0:
         raise ArgumentError("a null needs a positive trial count")
     return null_summary(prominences(shuffled(stack, trials), params, f_min, source, detrend), real)
-
-
-def static_null(
-    collect: Collect, grid: Grid, subap: SubapParams, params: TrackParams, trials: int,
-    real: float, route: str = "pulse", f_min: float = 0.0, n_rbin: int = 1024,
-    source: str = "velocity", detrend: str = "linear",
-) -> DataFrame:
-    """Null from motionless scenes seen along this collect's own track."""
-    if trials <= 0:
-        raise ArgumentError("a null needs a positive trial count")
-    extent = 0.5 * grid.n_x * grid.dx
-    centre = (grid.origin[0], grid.origin[1])
-    seeds = range(1, trials + 1)
-    if route == "pulse":
-        scenes = static_like(collect, list(seeds), centre=centre, extent=extent, n_rbin=n_rbin)
-        windows = pulse_windows(collect.meta.n_pulse, subap.n_looks, subap.overlap)
-        pixels = backproject(scenes, grid, windows, subap.range_taps, ["trial"])
-        reference = build_stack(collect, grid, subap, "pulse").meta
-        runs = prominences(ImageStack(pixels, reference), params, f_min, source, detrend)
-        return null_summary(runs, real)
-    # Spectral routes lay out their bands from each scene's own spectrum.
-    results = None
-    for seed in seeds:
-        scene = static_like(collect, [seed], centre=centre, extent=extent, n_rbin=n_rbin)
-        scene = Collect(scene.pulses.drop("trial"), scene.meta)
-        stack = build_stack(scene, grid, subap, route)
-        tag = lambda d: None if d is None else d.withColumn("trial", F.lit(seed).cast("bigint"))  # noqa: E731,B023
-        tagged = replace(stack, pixels=tag(stack.pixels), slave=tag(stack.slave))
-        run = prominences(tagged, params, f_min, source, detrend)
-        results = run if results is None else results.unionByName(run)
-    if results is None:
-        raise SingularFault("no static trial completed")
-    return null_summary(results, real)
-

@@ -90,8 +90,8 @@ def coherence_matrix(signals: np.ndarray) -> np.ndarray:
     return np.divide(gram, norm, out=np.zeros_like(gram), where=norm > 0)
 
 
-def phase_link(signals: np.ndarray) -> np.ndarray:
-    """One phase per row, referenced to row 0, consistent with every pair.
+def phase_link(signals: np.ndarray) -> tuple[np.ndarray, bool]:
+    """One phase per row, referenced to row 0, consistent with every pair; and whether the iteration settled.
 
     The fixed-point iteration needs three rows or more; two merely trade phases.
     """
@@ -99,16 +99,18 @@ def phase_link(signals: np.ndarray) -> np.ndarray:
     energy = (np.abs(signals) ** 2).sum(axis=1)
     off = gamma - np.diag(np.diag(gamma))
     x = np.ones(len(signals), np.complex128)
+    settled = False
     for _ in range(LINK_ITERATIONS):
         pull = off @ x
         size = np.abs(pull)
         step = np.where(size > 0, pull / np.where(size > 0, size, 1.0), x)
         moved = np.abs(step - x).sum()
         x = step
-        if moved < LINK_TOLERANCE:
+        settled = moved < LINK_TOLERANCE
+        if settled:
             break
     phase = np.angle(x * np.conj(x[0]))
-    return np.where(energy > 0, phase, 0.0)
+    return np.where(energy > 0, phase, 0.0), bool(settled)
 
 
 def occupied_band(power: np.ndarray) -> tuple[int, int]:
@@ -131,8 +133,8 @@ def occupied_band(power: np.ndarray) -> tuple[int, int]:
     return lo, hi
 
 
-def splitband_shift(stack: np.ndarray) -> tuple[np.ndarray, float]:
-    """Azimuth shift per look from the phase between band thirds, and mean coherence."""
+def splitband_shift(stack: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    """Azimuth shift per look from the phase between band thirds, mean coherence, and whether both phases settled."""
     n_look, n_az, n_rg = stack.shape
     if n_look < 2 or n_az < 6 or n_rg == 0:
         raise ArgumentError("split-band tracking needs 2 looks and 6 azimuth lines")
@@ -143,13 +145,14 @@ def splitband_shift(stack: np.ndarray) -> tuple[np.ndarray, float]:
         raise RangeFault(f"the occupied azimuth band is {width} bins, too narrow to split")
     third = width // 3
 
-    def linked(first: int, stop: int) -> np.ndarray:
+    def linked(first: int, stop: int) -> tuple[np.ndarray, bool]:
         kept = np.zeros_like(spectrum)
         kept[:, first:stop] = spectrum[:, first:stop]
         band = np.fft.ifft(np.fft.ifftshift(kept, axes=1), axis=1)
         return phase_link(band.reshape(n_look, -1))
 
-    step = linked(hi + 1 - third, hi + 1) - linked(lo, lo + third)
+    (upper, above), (lower, below) = linked(hi + 1 - third, hi + 1), linked(lo, lo + third)
+    step = upper - lower
     wrapped = np.angle(np.exp(1j * step))
     shift = wrapped * (-3.0 / (4.0 * np.pi * width / n_az))
     shift[0] = 0.0
@@ -157,4 +160,4 @@ def splitband_shift(stack: np.ndarray) -> tuple[np.ndarray, float]:
     pairs = gamma[np.triu_indices(n_look, 1)]
     energy = (np.abs(stack) ** 2).sum(axis=(1, 2))
     alive = np.outer(energy, energy)[np.triu_indices(n_look, 1)] > 0
-    return shift, float(pairs[alive].mean()) if alive.any() else 0.0
+    return shift, float(pairs[alive].mean()) if alive.any() else 0.0, above and below

@@ -300,12 +300,13 @@ def track_phase(stack: ImageStack, params: TrackParams, keys: Sequence[str] = ()
 def track_splitband(stack: ImageStack, params: TrackParams, keys: Sequence[str] = ()) -> DataFrame:
     """Azimuth shifts from the phase between two thirds of each window's band.
 
-    The estimator couples every look of a window, so one task holds one block's
-    whole stack; ``block_windows`` bounds it.
+    The estimator couples every look of a window, so one task holds one block's whole stack and a looks x looks
+    coherence matrix: ``n_looks`` times a block's pixels plus ``n_looks`` squared complex numbers.  The number of
+    looks is a parameter of the split; ``block_windows`` sets the block.  ``converged`` tells whether the phases
+    of both sub-bands settled.
     """
     keys = list(keys)
     n_looks = stack.meta.n_looks
-    params = replace(params, block_windows=min(params.block_windows, 1 if n_looks > 512 else 2))
     meta = motion_meta(stack.meta, params)
 
     def track_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -316,12 +317,13 @@ def track_splitband(stack: ImageStack, params: TrackParams, keys: Sequence[str]
         for iaz, irg, a0, r0 in _block_windows(block_az, block_rg, meta, params):
             patch = cube[:, a0 : a0 + params.win_az, r0 : r0 + params.win_rg]
             try:
-                shift, coherence = splitband_shift(demean(patch))
+                shift, coherence, settled = splitband_shift(demean(patch))
             except SarMotionError:
                 # A window whose band cannot be split carries no motion.
-                shift, coherence = np.zeros(n_looks), 0.0
+                shift, coherence, settled = np.zeros(n_looks), 0.0, True
             parts.append(pd.DataFrame({
                 "iaz": iaz, "irg": irg, "look": looks, "disp_az": shift, "quality": coherence,
+                "converged": settled,
             }))
         out = pd.concat(parts, ignore_index=True)
         for name, value in zip(keys, outer):
@@ -330,7 +332,7 @@ def track_splitband(stack: ImageStack, params: TrackParams, keys: Sequence[str]
 
     schema = ", ".join(
         [f"{k} bigint" for k in keys]
-        + ["iaz int, irg int, look bigint, disp_az double, quality double"]
+        + ["iaz int, irg int, look bigint, disp_az double, quality double, converged boolean"]
     )
     moved = _blocks(stack.pixels, meta, params).groupBy(*keys, "baz", "brg").applyInPandas(
         track_block, schema
@@ -338,7 +340,7 @@ def track_splitband(stack: ImageStack, params: TrackParams, keys: Sequence[str]
     return moved.select(
         *keys, "iaz", "irg", "look", "disp_az", F.lit(0.0).alias("disp_rg"),
         velocity(F.col("disp_az"), stack.meta).alias("vel_los"),
-        F.lit(0.0).alias("disp_los"), F.lit(0.0).alias("phase"), "quality",
+        F.lit(0.0).alias("disp_los"), F.lit(0.0).alias("phase"), "quality", "converged",
     )
 
 
@@ -391,4 +393,5 @@ def track(stack: ImageStack, params: TrackParams, keys: Sequence[str] = ()) -> t
     if params.remove_common_mode and meta.n_win > 2:
         moved = remove_common_mode(moved, stack.meta, keys)
     win = (F.col("iaz").cast("bigint") * meta.n_win_rg + F.col("irg")).alias("win")
-    return moved.select(*keys, win, "iaz", "irg", "look", *SERIES, "quality"), meta
+    flags = ["converged"] if params.estimator == "splitband" else []
+    return moved.select(*keys, win, "iaz", "irg", "look", *SERIES, "quality", *flags), meta

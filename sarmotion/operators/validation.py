@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import validate_floor_px
+from ..functions.joins import attach
 from ..functions.ranks import Rank, order_statistics
 from ..params import ImageMeta, ValidateDefaults
 from .focus import Collect
@@ -198,14 +199,17 @@ def verdict(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def pulse_intervals(pulses: DataFrame, block: int = 65536) -> DataFrame:
-    """Time from each pulse to the next: ``(pulse, pri)``.
+    """Time from each pulse to the next one there is: ``(pulse, pri)``.
 
-    The neighbour is found by an equi-join on the pulse number, so a long collect
-    is not gathered into one ordered partition.
+    Numbers may be missing: the interval over a gap is the one that matters.  Pulses are ordered within blocks of
+    ``block`` numbers; only the first pulse of each block, one row for ``block`` numbers, is ordered across blocks.
     """
-    times = pulses.select("pulse", "t")
-    nxt = pulses.select((F.col("pulse") - 1).alias("pulse"), F.col("t").alias("_next"))
-    return times.join(nxt, "pulse").select("pulse", (F.col("_next") - F.col("t")).alias("pri"))
+    times = pulses.select("pulse", "t", F.floor(F.col("pulse") / block).alias("_block"))
+    inside = times.withColumn("_next", F.lead("t").over(Window.partitionBy("_block").orderBy("pulse")))
+    firsts = times.groupBy("_block").agg(F.min_by("t", "pulse").alias("_first"))
+    after = firsts.select("_block", F.lead("_first").over(Window.orderBy("_block")).alias("_beyond"))
+    later = F.coalesce("_next", "_beyond")
+    return attach(inside, after, ["_block"]).where(later.isNotNull()).select("pulse", (later - F.col("t")).alias("pri"))
 
 
 def interval_percentiles(intervals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -39,7 +39,6 @@ from ..operators.subaperture import (
     split,
 )
 from ..params import CcdParams, ImageMeta, Plane, SubapParams, TomoParams, TrackParams
-from ..sources.simulate import static_like
 from . import tables as t
 from .feasibility import feasibility
 
@@ -147,9 +146,11 @@ def q_band_shape(spark: SparkSession, d: str) -> DataFrame:
 
 def q_doppler_polynomial(spark: SparkSession, d: str) -> DataFrame:
     vectors = t.table(spark, d, "embeddings")
-    coeff = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
-    return rounded(vectors.select(
-        "vec_id", g.doppler_polynomial(coeff, "label", 1.5).alias("doppler_hz")
+    # Every vector is eight polynomials of eight coefficients.
+    blocks = vectors.select("vec_id", "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
+    coeff = F.transform(F.slice("embedding", F.col("block") * 8 + 1, 8), lambda x: x.cast("double"))
+    return rounded(blocks.select(
+        "vec_id", "block", g.doppler_polynomial(coeff, F.col("label") / 5.0, 1.5).alias("doppler_hz")
     ))
 
 
@@ -159,7 +160,8 @@ def q_orbit_interp(spark: SparkSession, d: str) -> DataFrame:
     states = F.transform(
         F.sequence(F.lit(0), F.lit(7)),
         lambda i: F.struct(
-            i.cast("double").alias("t"),
+            # The two floats left over shift the state's time.
+            (i + 0.05 * F.tanh(at(i, 7)) + 0.05 * F.tanh(at(i, 8))).alias("t"),
             F.array(*[at(i, k) for k in (1, 2, 3)]).alias("pos"),
             F.array(*[at(i, k) for k in (4, 5, 6)]).alias("vel"),
         ),
@@ -256,27 +258,6 @@ def q_azimuth_power(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_label_power(spark, d))
 
 
-def q_fourier(spark: SparkSession, d: str) -> DataFrame:
-    """Forward transform of every column, centred, and what the inverse gives back."""
-    columns = t.image_columns(spark, d)
-    there = columns.select("rg", "re", transforms.fft("re", "im").alias("f"))
-    back = there.select("rg", "re", "f", transforms.ifft("f.re", "f.im").alias("b"))
-    centred = [transforms.fft_shift(f"f.{p}").alias(f"f{p}") for p in ("re", "im")]
-    uncentred = transforms.ifft_shift(transforms.fft_shift("b.re")).alias("back")
-    zipped = back.select("rg", *centred, uncentred)
-    return rounded(zipped.select(
-        "rg", F.posexplode(F.arrays_zip("fre", "fim", "back")).alias("k", "v")
-    ).select("rg", "k", "v.fre", "v.fim", "v.back"))
-
-
-def q_fourier_2d(spark: SparkSession, d: str) -> DataFrame:
-    columns = t.image_columns(spark, d)
-    plane = columns.select("rg", transforms.fft2("re", "im", t.FILM_AZ, t.FILM_RG).alias("f"))
-    return rounded(plane.select(
-        "rg", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("k", "v")
-    ).select("rg", "k", F.col("v.re").alias("fre"), F.col("v.im").alias("fim")))
-
-
 def q_doppler_centroid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(doppler_centroid(_label_power(spark, d), t.COLUMN_LINES, t.COLUMN_RATE, "label"))
 
@@ -627,14 +608,6 @@ def q_shuffle_null(spark: SparkSession, d: str) -> DataFrame:
     return rounded(nulls.null_summary(runs, 5.0))
 
 
-def q_static_scene(spark: SparkSession, d: str) -> DataFrame:
-    """Motionless scenes seen along the table's own track, focused per trial."""
-    collect, windows = _aperture(spark, d)
-    scenes = static_like(collect, [1, 2], n_target=20, extent=4.0)
-    image = focus.backproject(scenes, t.PULSE_GRID, windows, keys=["trial"])
-    return rounded(image)
-
-
 def q_quicklook(spark: SparkSession, d: str) -> DataFrame:
     return rounded(raster.quicklook(t.image_pixels(spark, d)))
 
@@ -677,8 +650,6 @@ QUERIES: dict[str, Query] = {
     "project_to_height": q_project_to_height,
     "slant_to_ground": q_slant_to_ground,
     "azimuth_power": q_azimuth_power,
-    "fourier": q_fourier,
-    "fourier_2d": q_fourier_2d,
     "doppler_centroid": q_doppler_centroid,
     "doppler_bandwidth": q_doppler_bandwidth,
     "spectral_split": q_spectral_split,
@@ -730,7 +701,6 @@ QUERIES: dict[str, Query] = {
     "validate_verdict": q_validate_verdict,
     "pri_percentiles": q_pri_percentiles,
     "shuffle_null": q_shuffle_null,
-    "static_scene": q_static_scene,
     "quicklook": q_quicklook,
     "frequency_map": q_frequency_map,
     "crop": q_crop,

@@ -90,7 +90,7 @@ def observe(
 
 def mmotion(
     collect: Collect, grid: Grid, subap: SubapParams, params: TrackParams, route: str | None = None,
-    f_min: float = 0.0, detrend: str = "linear", null_trials: int = 0, static_trials: int = 0,
+    f_min: float = 0.0, detrend: str = "linear", null_trials: int = 0,
     shuffle_seed: int = 0,
 ) -> Motion:
     """Vibration frequency of a scene, its agreement and its nulls.
@@ -125,12 +125,6 @@ def mmotion(
     if null_trials:
         run = nulls.shuffle_null(stack, params, null_trials, best["prominence"], f_min, source, detrend)
         found["shuffle"] = run.first().asDict()
-    if static_trials:
-        run = nulls.static_null(
-            collect, grid, subap, params, static_trials, best["prominence"], route, f_min,
-            source=source, detrend=detrend,
-        )
-        found["static"] = run.first().asDict()
     return Motion(stack, meta, motion, series, spectra, best, consensus, refused, cautions, swing, found)
 
 

@@ -85,20 +85,22 @@ FROM b
 """
 
 POLYNOMIAL = f"""
-WITH c AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:6]] AS e, label - 1.5::DOUBLE AS d FROM embeddings)
-SELECT vec_id, {_r("e[1] + d * (e[2] + d * (e[3] + d * (e[4] + d * (e[5] + d * e[6]))))", "doppler_hz")}
+WITH c AS (SELECT vec_id, b AS block, [x::DOUBLE FOR x IN embedding[b * 8 + 1 : b * 8 + 8]] AS e,
+    label / 5.0::DOUBLE - 1.5::DOUBLE AS d FROM embeddings, range(8) r(b))
+SELECT vec_id, block, {_r("e[1] + d * (e[2] + d * (e[3] + d * (e[4] + d * (e[5] + d * (e[6] + d * (e[7] + d * e[8]))))))", "doppler_hz")}
 FROM c
 """
 
 ORBIT = f"""
 WITH v AS (SELECT vec_id, label * 0.93::DOUBLE - 0.4::DOUBLE AS t, embedding AS e FROM embeddings),
-sv AS (SELECT vec_id, t, i, e[i * 8 + 1]::DOUBLE AS x0, e[i * 8 + 2]::DOUBLE AS x1, e[i * 8 + 3]::DOUBLE AS x2,
+sv AS (SELECT vec_id, t, i, i + 0.05::DOUBLE * tanh(e[i * 8 + 7]::DOUBLE) + 0.05::DOUBLE * tanh(e[i * 8 + 8]::DOUBLE) AS s,
+    e[i * 8 + 1]::DOUBLE AS x0, e[i * 8 + 2]::DOUBLE AS x1, e[i * 8 + 3]::DOUBLE AS x2,
     e[i * 8 + 4]::DOUBLE AS y0, e[i * 8 + 5]::DOUBLE AS y1, e[i * 8 + 6]::DOUBLE AS y2
   FROM v, range(8) r(i)),
-place AS (SELECT vec_id, least(greatest(least(count(*) FILTER (WHERE i < 7 AND i <= t), 7) - 1, 0), 6) AS lo
+place AS (SELECT vec_id, least(greatest(least(count(*) FILTER (WHERE i < 7 AND s <= t), 7) - 1, 0), 6) AS lo
   FROM sv GROUP BY vec_id),
 near AS (SELECT sv.* FROM sv JOIN place USING (vec_id) WHERE i >= lo AND i < lo + 4),
-w AS (SELECT a.vec_id, a.i, product((a.t - b.i) / (a.i - b.i)) AS w
+w AS (SELECT a.vec_id, a.i, product((a.t - b.s) / (a.s - b.s)) AS w
   FROM near a JOIN near b ON a.vec_id = b.vec_id AND a.i <> b.i GROUP BY ALL)
 SELECT vec_id, {_r("any_value(t)", "t")},
   {", ".join(_r(f"sum(w * x{k})", f"p{k}") for k in range(3))},
@@ -286,20 +288,6 @@ SELECT label::BIGINT AS label,
 FROM pk GROUP BY label
 """
 
-FOURIER = f"""
-WITH {LINES}
-SELECT ft.rg, ft.k::BIGINT AS k, {_r("fr", "fre")}, {_r("fi", "fim")}, {_r("px.re", "back")}
-FROM ft JOIN px ON px.rg = ft.rg AND px.az = ft.k
-"""
-FOURIER_2D = f"""
-WITH px AS (SELECT vec_id AS rg, i // 4 AS a, i % 4 AS r, embedding[2 * i + 1]::DOUBLE AS re, embedding[2 * i + 2]::DOUBLE AS im
-  FROM embeddings, range(32) q(i))
-SELECT rg, k::BIGINT AS k,
-  {_r("sum(re * cos(2 * pi() * ((k // 4) * a / 8.0::DOUBLE + (k % 4) * r / 4.0::DOUBLE)) + im * sin(2 * pi() * ((k // 4) * a / 8.0::DOUBLE + (k % 4) * r / 4.0::DOUBLE)))", "fre")},
-  {_r("sum(im * cos(2 * pi() * ((k // 4) * a / 8.0::DOUBLE + (k % 4) * r / 4.0::DOUBLE)) - re * sin(2 * pi() * ((k // 4) * a / 8.0::DOUBLE + (k % 4) * r / 4.0::DOUBLE)))", "fim")}
-FROM px, range(32) s(k) GROUP BY rg, k
-"""
-
 SPREAD = f"""
 {LINES},
 pw AS (SELECT k, avg(fr * fr + fi * fi) AS power FROM ft GROUP BY k),
@@ -917,8 +905,6 @@ ORACLE: dict[str, str] = {
     "project_to_height": PROJECT,
     "slant_to_ground": SLANT,
     "azimuth_power": AZIMUTH_POWER,
-    "fourier": FOURIER,
-    "fourier_2d": FOURIER_2D,
     "doppler_centroid": CENTROID,
     "doppler_bandwidth": BANDWIDTH,
     "spectral_split": SPLIT,

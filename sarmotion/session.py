@@ -8,15 +8,28 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ArgumentError
+
+
+def is_local(master: str) -> bool:
+    """Whether tasks run in the driver's own process."""
+    return master == "local" or master.startswith("local[")
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one is set only if none is."""
+    """The session's checkpoint folder: the one set, else ``spark.checkpoint.dir``.
+
+    A private folder is made only where driver and tasks are one process; a cluster must name a shared one.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    target = configured or tempfile.mkdtemp(prefix="sarmotion-checkpoint-")
+    target = spark.conf.get("spark.checkpoint.dir", "")
+    if not target:
+        if not is_local(context.master):
+            raise ArgumentError("spark.checkpoint.dir must name a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="sarmotion-checkpoint-")
     context.setCheckpointDir(target)
     return target
 

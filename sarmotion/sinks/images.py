@@ -1,9 +1,7 @@
-"""Rasters and cubes on a shared file system, written by the tasks that hold them."""
+"""Rasters and cubes: tables that Spark writes anywhere, and explicit exports to files of the driver's host."""
 
 from __future__ import annotations
 
-import math
-import os
 import struct
 import zlib
 
@@ -14,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, IoFault
 
-# Pixels per side of one encoded tile; a single-file image may not exceed one tile.
-TILE = 4096
+# Pixels per side of one encoded tile.
+TILE = 512
 
 
 def encode_png(pixels: np.ndarray) -> bytes:
@@ -68,36 +66,30 @@ def encode_tiles(
 
 def write_image(
     levels: DataFrame, n_row: int, n_col: int, path: str, row: str = "az", col: str = "rg",
-    colour: bool = False, tile: int = TILE,
-) -> list[str]:
-    """One file when the image fits a tile, else a folder of tiles written in place.
+    colour: bool = False, tile: int = TILE, form: str = "png",
+) -> None:
+    """A table of encoded tiles ``(tile_row, tile_col, data)`` at ``path``, in whatever store Spark writes to."""
+    if form not in ("png", "pgm"):
+        raise ArgumentError(f"unknown image form {form!r}")
+    if form == "pgm" and colour:
+        raise ArgumentError("colour images are written as PNG only")
+    encode_tiles(levels, n_row, n_col, row, col, colour, tile, form).write.mode("overwrite").parquet(path)
+
+
+def export_image(
+    levels: DataFrame, n_row: int, n_col: int, path: str, row: str = "az", col: str = "rg", colour: bool = False,
+) -> None:
+    """One image file on the driver's host, for a picture that fits its memory.
 
     The extension decides the format: ``.png``, and grey PGM for anything else.
     """
     form = "png" if path.lower().endswith(".png") else "pgm"
     if form == "pgm" and colour:
         raise ArgumentError("colour images are written as PNG only")
-    tiles = encode_tiles(levels, n_row, n_col, row, col, colour, tile, form)
-    if n_row <= tile and n_col <= tile:
-        only = tiles.first()
-        if only is None:
-            raise ArgumentError("there is nothing to draw")
-        _put(path, bytes(only["data"]))
-        return [path]
-    stem, extension = os.path.splitext(path)
-    os.makedirs(stem, exist_ok=True)
-
-    def name(r: int, c: int) -> str:
-        return f"{stem}/{r:05d}_{c:05d}{extension}"
-
-    def put(rows) -> None:
-        for r in rows:
-            _put(name(r["tile_row"], r["tile_col"]), bytes(r["data"]))
-
-    tiles.foreachPartition(put)
-    return [
-        name(r, c) for r in range(math.ceil(n_row / tile)) for c in range(math.ceil(n_col / tile))
-    ]
+    only = encode_tiles(levels, n_row, n_col, row, col, colour, max(n_row, n_col), form).first()
+    if only is None:
+        raise ArgumentError("there is nothing to draw")
+    _put(path, bytes(only["data"]))
 
 
 def _put(path: str, data: bytes) -> None:
@@ -108,38 +100,37 @@ def _put(path: str, data: bytes) -> None:
         raise IoFault(f"cannot write {path}: {error}") from error
 
 
-def write_cube(
+def write_cube(rows: DataFrame, index: str, values: str, path: str) -> None:
+    """Runs of float32 samples ``(at, run)`` as a table, numbered in plane, row, column order."""
+    rows.select(
+        F.col(index).cast("bigint").alias("at"), F.transform(values, lambda x: x.cast("float")).alias("run")
+    ).write.mode("overwrite").parquet(path)
+
+
+def export_cube(
     rows: DataFrame, index: str, values: str, n_plane: int, n_row: int, n_col: int, path: str, axes: str = ""
 ) -> None:
-    """Float32 cube plus a text header; each task writes its own rows at their offsets.
-
-    ``index`` numbers runs of ``len(values)`` samples in plane, row, column order.
-    """
+    """A flat float32 file on the driver's host plus a text header; runs stream through the driver one by one."""
     if min(n_plane, n_row, n_col) <= 0:
         raise ArgumentError("cube dimensions must be positive")
     try:
-        with open(path, "wb") as f:
-            f.truncate(4 * n_plane * n_row * n_col)
         with open(f"{path}.hdr", "w") as f:
             f.write("format float32\nbyte_order little_endian\n")
             f.write(f"n_plane {n_plane}\nn_row {n_row}\nn_col {n_col}\n")
             f.write("layout plane-major, then row, then column\n")
             f.write(f"axes {axes}\n" if axes else "")
-    except OSError as error:
-        raise IoFault(f"cannot write {path}: {error}") from error
-
-    def put(part) -> None:
-        with open(path, "r+b") as f:
-            for r in part:
+        with open(path, "wb") as f:
+            f.truncate(4 * n_plane * n_row * n_col)
+            for r in rows.select(F.col(index).cast("bigint").alias("at"), F.col(values).alias("run")).toLocalIterator():
                 run = np.asarray(r["run"], "<f4")
                 f.seek(4 * len(run) * r["at"])
                 f.write(run.tobytes())
-
-    rows.select(F.col(index).cast("bigint").alias("at"), F.col(values).alias("run")).foreachPartition(put)
+    except OSError as error:
+        raise IoFault(f"cannot write {path}: {error}") from error
 
 
 def amplitude_rows(image: DataFrame) -> DataFrame:
-    """One run of amplitudes per azimuth line, ready for ``write_cube``."""
+    """One run of amplitudes per azimuth line, ready for the cube writers."""
     packed = image.groupBy("az").agg(
         F.array_sort(F.collect_list(F.struct("rg", F.hypot("re", "im").alias("a")))).alias("_s")
     )

@@ -1 +1 @@
-"""Readers for radar products and generators of simulated collects."""
+"""Readers for radar products."""

@@ -17,6 +17,22 @@ PIXEL_ARROW = pa.schema(
     [("az", pa.int32()), ("rg", pa.int32()), ("re", pa.float32()), ("im", pa.float32())]
 )
 
+PULSE_SCHEMA = (
+    "pulse bigint, t double, px double, py double, pz double, r_ref double, "
+    "re array<float>, im array<float>"
+)
+PULSE_ARROW = pa.schema(
+    [("pulse", pa.int64())]
+    + [(n, pa.float64()) for n in ("t", "px", "py", "pz", "r_ref")]
+    + [(n, pa.list_(pa.float32())) for n in ("re", "im")]
+)
+
+
+def list_column(lines: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(lines, np.float32).ravel())
+    offsets = np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
 
 @dataclass
 class Span(InputPartition):

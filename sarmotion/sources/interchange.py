@@ -9,22 +9,21 @@ from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..errors import FormatFault, IoFault, UnsupportedFault
 from ..operators.focus import Collect
 from ..params import CollectMeta, Plane
-from .binary import Span, file_size, read_at, spans
+from .binary import PULSE_ARROW, PULSE_SCHEMA, list_column, Span, file_size, read_at, spans
 from .cphd import MAGIC as CPHD_MAGIC
 from .cphd import read_cphd
-from .simulate import _ARROW, PULSE_SCHEMA, _list_column
 
 # Fixed layout: magic, version, pulse and bin counts, then five scalars.
 MAGIC = 0x52534348
 VERSION = 2
 HEADER = struct.Struct("<IIQQddddd")
-MAX_COUNT = 1 << 24
 
 
 class _Reader(DataSourceReader):
@@ -51,8 +50,8 @@ class _Reader(DataSourceReader):
         columns = [pulse, t, *[np.ascontiguousarray(c) for c in position.T], r_ref]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c) for c in columns]
-            + [_list_column(pairs[:, :, 0]), _list_column(pairs[:, :, 1])],
-            schema=_ARROW,
+            + [list_column(pairs[:, :, 0]), list_column(pairs[:, :, 1])],
+            schema=PULSE_ARROW,
         )
 
 
@@ -80,8 +79,8 @@ def read_flat(spark: SparkSession, path: str) -> Collect:
         raise FormatFault(f"{path} is not a phase-history file")
     if version != VERSION:
         raise UnsupportedFault(f"{path} has version {version}, not {VERSION}")
-    if not (0 < n_pulse <= MAX_COUNT and 0 < n_rbin <= MAX_COUNT):
-        raise FormatFault(f"implausible dimensions {n_pulse} x {n_rbin}")
+    if n_pulse == 0 or n_rbin == 0:
+        raise FormatFault(f"an empty history of {n_pulse} pulses and {n_rbin} bins")
     if size < HEADER.size + n_pulse * (40 + 8 * n_rbin):
         raise FormatFault(f"{path} is truncated")
     spark.dataSource.register(FlatSource)
@@ -107,15 +106,24 @@ def load_saved(spark: SparkSession, path: str) -> Collect:
     return Collect(spark.read.parquet(f"{path}/pulses"), CollectMeta(plane=plane, **fields))
 
 
+def _is_saved(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a saved collect's metadata, in whatever store."""
+    try:
+        spark.read.text(f"{path}/meta").first()
+    except AnalysisException:
+        return False
+    return True
+
+
 def load_collect(
     spark: SparkSession, path: str, rbin_window: int = 0, pulse_stride: int = 1, max_pulses: int = 0
 ) -> Collect:
-    """Open a collect by what its first bytes say it is."""
+    """Open a collect by what it is: a saved one at any path that Spark reads, else a file by its first bytes."""
+    if _is_saved(spark, path):
+        return load_saved(spark, path)
     try:
         with open(path, "rb") as f:
             start = f.read(len(CPHD_MAGIC))
-    except IsADirectoryError:
-        return load_saved(spark, path)
     except OSError as error:
         raise IoFault(f"cannot open {path}: {error}") from error
     if start == CPHD_MAGIC:

@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     ship_package(session)
+    session.sparkContext.addPyFile(os.path.join(os.path.dirname(os.path.abspath(__file__)), "scenes.py"))
     yield session
     session.stop()
 

@@ -1,4 +1,4 @@
-"""Simulated collects.  Pulses are generated in parallel, one row per pulse."""
+"""Scenes for the tests: pulses are generated in parallel, one row per pulse."""
 
 from __future__ import annotations
 
@@ -12,20 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..errors import ArgumentError
-from ..operators.focus import Collect
-from ..params import SPEED_OF_LIGHT, CollectMeta, ImageMeta, Target
-
-PULSE_SCHEMA = (
-    "pulse bigint, t double, px double, py double, pz double, r_ref double, "
-    "re array<float>, im array<float>"
-)
-_ARROW = pa.schema(
-    [("pulse", pa.int64())]
-    + [(n, pa.float64()) for n in ("t", "px", "py", "pz", "r_ref")]
-    + [(n, pa.list_(pa.float32())) for n in ("re", "im")]
-)
-
+from sarmotion.errors import ArgumentError
+from sarmotion.operators.focus import Collect
+from sarmotion.params import SPEED_OF_LIGHT, CollectMeta, ImageMeta, Target
+from sarmotion.sources.binary import PULSE_ARROW, PULSE_SCHEMA, list_column
 
 def _echo(position, t, r_ref, targets, n_rbin, dr, wavelength, sigma, support, relative):
     """Range lines of pulses at ``position`` (n, 3) looking at point targets."""
@@ -50,12 +40,6 @@ def _echo(position, t, r_ref, targets, n_rbin, dr, wavelength, sigma, support, r
     return lines
 
 
-def _list_column(lines: np.ndarray) -> pa.Array:
-    flat = pa.array(np.ascontiguousarray(lines, np.float32).ravel())
-    offsets = np.arange(0, lines.size + 1, lines.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), flat)
-
-
 def simulate(
     spark: SparkSession,
     targets: Sequence[Target],
@@ -91,8 +75,8 @@ def simulate(
             columns = [pulse, t, *position.T, r_ref]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c) for c in columns]
-                + [_list_column(signal.real), _list_column(signal.imag)],
-                schema=_ARROW,
+                + [list_column(signal.real), list_column(signal.imag)],
+                schema=PULSE_ARROW,
             )
 
     ids = spark.range(0, n_pulse, 1, partitions or spark.sparkContext.defaultParallelism)
@@ -148,7 +132,7 @@ def static_like(
         amp = np.sqrt(-2.0 * np.log(rng.uniform(1e-12, 1.0, n_target)))
         phase = rng.uniform(0.0, 2.0 * math.pi, n_target)
         scenes[trial] = [Target(x, y, 0.0, a, phase=p) for (x, y), a, p in zip(xy, amp, phase)]
-    schema = pa.schema([("trial", pa.int64()), *_ARROW])
+    schema = pa.schema([("trial", pa.int64()), *PULSE_ARROW])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +145,7 @@ def static_like(
                 columns = [np.full(len(t), trial, np.int64), pulse, t, px, py, pz, r_ref]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in columns]
-                    + [_list_column(signal.real), _list_column(signal.imag)],
+                    + [list_column(signal.real), list_column(signal.imag)],
                     schema=schema,
                 )
 

@@ -12,7 +12,7 @@ from sarmotion.operators import ccd, raster, validation
 from sarmotion.operators import subaperture as sub
 from sarmotion.params import CcdParams, Grid, ImageMeta, SubapParams, Target
 from sarmotion.sinks import images, tables
-from sarmotion.sources.simulate import simulate
+from scenes import simulate
 
 
 def pixels(spark, cube):
@@ -240,22 +240,28 @@ def test_images_in_one_file_or_tiles(spark, tmp_path):
         [(int(a), int(r), int(values[a, r])) for a in range(10) for r in range(6)], "az int, rg int, level int"
     )
     one = str(tmp_path / "one.png")
-    assert images.write_image(cells, 10, 6, one) == [one]
+    images.export_image(cells, 10, 6, one)
     assert (png_pixels(open(one, "rb").read()) == values).all()
     pgm = str(tmp_path / "one.pgm")
-    images.write_image(cells, 10, 6, pgm)
+    images.export_image(cells, 10, 6, pgm)
     assert open(pgm, "rb").read() == b"P5\n6 10\n255\n" + values.astype(np.uint8).tobytes()
-    names = images.write_image(cells, 10, 6, str(tmp_path / "many.png"), tile=4)
-    whole = np.block([
-        [png_pixels(open(names[r * 2 + c], "rb").read()) for c in range(2)] for r in range(3)
-    ])
-    assert (whole == values).all()
+    # The written table has one form, whatever the image's size.
+    for tile in (4, 512):
+        path = str(tmp_path / f"tiles{tile}")
+        images.write_image(cells, 10, 6, path, tile=tile)
+        tiles = {(r["tile_row"], r["tile_col"]): png_pixels(bytes(r["data"])) for r in spark.read.parquet(path).collect()}
+        rows = range(-(-10 // tile))
+        assert (np.block([[tiles[r, c] for c in range(-(-6 // tile))] for r in rows]) == values).all()
 
 
 def test_cube_offsets_and_header(spark, tmp_path):
     path = str(tmp_path / "cube.f32")
     rows = spark.createDataFrame([(w, [float(w), w + 0.5]) for w in range(6)], "w bigint, v array<double>")
-    images.write_cube(rows.repartition(4), "w", "v", 2, 3, 2, path, "a, b, depth")
+    images.write_cube(rows.repartition(4), "w", "v", str(tmp_path / "cube"))
+    assert sorted((r["at"], list(r["run"])) for r in spark.read.parquet(str(tmp_path / "cube")).collect()) == [
+        (w, [float(w), w + 0.5]) for w in range(6)
+    ]
+    images.export_cube(rows.repartition(4), "w", "v", 2, 3, 2, path, "a, b, depth")
     got = np.fromfile(path, "<f4").reshape(2, 3, 2)
     assert (got[..., 0].ravel() == np.arange(6)).all() and (got[..., 1] == got[..., 0] + 0.5).all()
     header = open(path + ".hdr").read()
@@ -268,5 +274,13 @@ def test_json_sidecar(tmp_path):
     assert json.load(open(path)) == {"a": 1}
 
 
+def test_intervals_span_missing_pulses(spark):
+    frame = spark.createDataFrame([(n, float(n)) for n in (0, 1, 3, 4, 70_000)], "pulse bigint, t double")
+    found = {r["pulse"]: r["pri"] for r in validation.pulse_intervals(frame).collect()}
+    assert found == {0: 1.0, 1: 2.0, 3: 1.0, 4: 69_996.0}
+    few = validation.pulse_intervals(frame.where("pulse < 5"), block=2)
+    assert sorted(r["pri"] for r in few.collect()) == [1.0, 1.0, 2.0]
+
+
 def test_ccd_params_are_plain(noise):
     assert replace(CcdParams(), win=7).win == 7

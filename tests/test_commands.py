@@ -16,7 +16,7 @@ from sarmotion.params import Grid, Plane, SubapParams, Target, TomoParams, Track
 from sarmotion.plans import feasibility as feasible
 from sarmotion.plans import commands
 from sarmotion.sources import interchange
-from sarmotion.sources.simulate import clutter, simulate
+from scenes import clutter, simulate
 
 ECF = (-552223.3276367188, -4332875.0, 4632556.640625)
 GRID = Grid(32, 32)
@@ -203,11 +203,3 @@ def test_cautions_about_sampling(collect):
     _, image = commands.focus(collect, Grid(4, 4))
     want = collect.meta.wavelength * image.r0 * 200.0 / (2 * 7500.0)
     assert commands.unambiguous_extent(collect, image) == pytest.approx(want, rel=1e-6)
-
-
-def test_simulate_and_focus_again(capsys, spark, tmp_path):
-    path = str(tmp_path / "made")
-    code, _, _ = run(capsys, "simulate", "--dwell", "1", "--prf", "200", "--target", "3,0,1,0,0", "--clutter", "2", "--out", path)
-    assert code == 0
-    assert spark.read.parquet(f"{path}/truth").count() == 3
-    assert interchange.load_collect(spark, path).meta.n_pulse == 200

@@ -8,7 +8,7 @@ from sarmotion.errors import ArgumentError, MissingMetadata
 from sarmotion.operators import focus
 from sarmotion.operators import subaperture as sub
 from sarmotion.params import Grid, SubapParams, Target
-from sarmotion.sources.simulate import simulate, simulate_image, static_like
+from scenes import simulate, simulate_image
 
 
 @pytest.fixture(scope="module")
@@ -104,13 +104,6 @@ def test_azimuth_resolution_uses_the_chord(point):
     assert focus.focus_azimuth_resolution(point, 800) == pytest.approx(want, rel=1e-4)
 
 
-def test_static_scenes_focus(point):
-    """Range phase and metadata agree, so a simulated scatterer stays coherent."""
-    scene = static_like(point, [1], n_target=1, extent=2.0)
-    amp = np.abs(dense(focus.backproject(scene, Grid(32, 32), keys=["trial"]), 32, 32))
-    assert amp.max() > 5 * np.median(amp)
-
-
 @pytest.fixture(scope="module")
 def blob(spark):
     image, meta = simulate_image(spark, 128)

@@ -15,7 +15,7 @@ from sarmotion.operators.subaperture import ImageStack
 from sarmotion.operators.tracking import track
 from sarmotion.params import Grid, ImageMeta, MotionMeta, StackMeta, SubapParams, Target, TrackParams
 from sarmotion.plans import commands
-from sarmotion.sources.simulate import simulate
+from scenes import simulate
 
 PARAMS = TrackParams(
     win_az=24, win_rg=24, stride_az=8, stride_rg=8, upsample_az=40, upsample_rg=20, coherence_min=0.0
@@ -273,14 +273,3 @@ def test_shuffle_moves_pairs_together(spark):
     moved = nulls.shuffle_once(ImageStack(pixels, meta, pixels.withColumn("im", F.lit(1.0))), 5)
     places = [{r["re"]: r["look"] for r in d.collect()} for d in (moved.pixels, moved.slave)]
     assert places[0] == places[1]
-
-
-def test_static_null_runs_the_chain(spark):
-    collect = simulate(spark, [Target(0.0, 0.0)], dwell=4.0, prf=200.0)
-    grid, subap = Grid(24, 24), SubapParams(n_looks=8, overlap=0.0)
-    params = TrackParams(win_az=12, win_rg=12, stride_az=12, stride_rg=12, upsample_az=8,
-                         upsample_rg=4, coherence_min=0.0)
-    row = nulls.static_null(collect, grid, subap, params, 2, real=5.0).first()
-    assert row["n_trials"] == 2 and 0 < row["p_value"] <= 1
-    with pytest.raises(ArgumentError):
-        nulls.static_null(collect, grid, subap, params, 0, real=5.0)

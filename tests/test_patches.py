@@ -40,8 +40,10 @@ def test_phase_linking_recovers_phases():
     rng = np.random.default_rng(5)
     base = rng.normal(size=200) + 1j * rng.normal(size=200)
     truth = np.array([0.0, 0.4, -1.1, 2.0, -2.7])
-    found = patches.phase_link(np.exp(1j * truth)[:, None] * base)
-    assert np.abs(np.angle(np.exp(1j * (found - truth)))).max() < 1e-6
+    found, settled = patches.phase_link(np.exp(1j * truth)[:, None] * base)
+    assert settled and np.abs(np.angle(np.exp(1j * (found - truth)))).max() < 1e-6
+    # Two rows trade phases for ever, and that is told.
+    assert not patches.phase_link(np.exp(1j * truth[:2])[:, None] * base)[1]
 
 
 def test_occupied_band_grows_upwards_on_ties():
@@ -59,7 +61,7 @@ def test_splitband_measures_subpixel_shifts(shift):
     looks = [
         np.fft.ifft(spectrum * np.exp(-2j * np.pi * f * k * shift)[:, None], axis=0) for k in range(4)
     ]
-    found, coherence = patches.splitband_shift(np.stack(looks))
+    found, coherence, settled = patches.splitband_shift(np.stack(looks))
     assert found == pytest.approx(shift * np.arange(4), abs=0.1)
     assert 0.5 < coherence <= 1.0
 

@@ -12,7 +12,6 @@ def accuracy(request, monkeypatch):
     if request.param:
         monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 200)
         monkeypatch.setattr(ranks, "SLACK", 3.0 / 200)
-        monkeypatch.setattr(ranks, "SMALL_GROUP", 800)
         monkeypatch.setattr(ranks, "BINS", 16)
 
 
