@@ -74,7 +74,7 @@ def parser() -> argparse.ArgumentParser:
     subcommands = root.add_subparsers(dest="command", required=True)
 
     p = subcommands.add_parser("feasibility", help="vibration reach against resolution")
-    for name, default in (("dwell", 32.9), ("range", 762800.0), ("velocity", 7263.0), ("wavelength", 0.0322)):
+    for name, default in (("dwell", 25.0), ("range", 640000.0), ("velocity", 7410.0), ("wavelength", 0.0305)):
         p.add_argument(f"--{name}", type=float, default=default)
     p.add_argument("--tomo-velocity", type=float, default=0.0)
     p.add_argument("--tomo-frequency", type=float, default=0.0)
@@ -204,7 +204,7 @@ def run_feasibility(spark, a) -> int:
 def run_info(spark, a) -> int:
     if a.uavsar:
         if not a.ann:
-            raise SystemExit("info: --uavsar requires --ann")
+            raise SystemExit("an airborne image is described by its annotation file: give --ann as well")
         found = commands.image_info(*read_uavsar(spark, a.uavsar, a.ann))
     elif a.sicd:
         found = commands.image_info(*read_sicd(spark, a.sicd))
@@ -347,7 +347,7 @@ def run_tomo(spark, a) -> int:
     if a.out:
         images.export_cube(
             found.profiles, "win", "profile", meta.n_win_az, meta.n_win_rg,
-            len(tomography.depth_axis(params)), a.out, "window_az, window_rg, depth",
+            len(tomography.depth_axis(params)), a.out, "window row, window column, depth cell",
         )
         tables.write_json(found.metadata, f"{a.out}.meta")
     print(json.dumps({"metadata": found.metadata, "alignment_null": found.null}, indent=2, default=str))

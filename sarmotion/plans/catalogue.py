@@ -45,8 +45,8 @@ from .feasibility import feasibility
 Query = Callable[[SparkSession, str], DataFrame]
 
 PLANE = Plane(
-    origin=(-552223.3276367188, -4332875.0, 4632556.640625),
-    u_x=(0.9919690, -0.1264800, 0.0), u_y=(0.0925, 0.7255, 0.6820), ref_hae=261.3,
+    origin=(-120301.196, -4594117.3286, 4408300.01),
+    u_x=(0.9996573, -0.0261769, 0.0), u_y=(0.018184, 0.6944203, 0.7193398), ref_hae=300.0,
 )
 TRACK = TrackParams(
     win_az=4, win_rg=4, stride_az=2, stride_rg=2, upsample_az=4, upsample_rg=4,
@@ -128,8 +128,8 @@ def q_feasibility(spark: SparkSession, d: str) -> DataFrame:
     orders = t.table(spark, d, "orders").select(
         "o_orderkey",
         (1.0 + F.sqrt("o_totalprice") / 40.0).alias("dwell"),
-        F.lit(762800.0).alias("slant"), F.lit(7263.0).alias("speed"),
-        F.lit(0.0322).alias("wavelength"),
+        F.lit(640000.0).alias("slant"), F.lit(7410.0).alias("speed"),
+        F.lit(0.0305).alias("wavelength"),
     )
     return rounded(feasibility(orders, ["o_orderkey"]))
 
@@ -209,8 +209,8 @@ def q_ecf_llh_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def q_plane_offset(spark: SparkSession, d: str) -> DataFrame:
     near = _places(spark, d).select(
-        "key", (46.0 + F.col("lat") / 100.0).alias("lat"),
-        (-97.0 + F.col("lon") / 100.0).alias("lon"), "hae",
+        "key", (44.0 + F.col("lat") / 100.0).alias("lat"),
+        (-91.5 + F.col("lon") / 100.0).alias("lon"), "hae",
     )
     offset = near.select("key", geo.plane_offset(PLANE, "lat", "lon", "hae").alias("o"))
     located = offset.select("key", "o.x", "o.y", geo.plane_llh(PLANE, "o.x", "o.y").alias("g"))
@@ -569,13 +569,13 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return t.table(spark, d, "orders").select(
         "o_orderkey",
-        (c("o_totalprice") / 15000.0).alias("dwell_s"), F.lit(10196.35).alias("prf_hz"),
-        F.lit(0.0322).alias("lambda_m"), F.lit(762800.0).alias("slant_range_m"),
-        F.lit(7263.0).alias("v_platform_ms"), F.lit(0.689).alias("incidence_rad"),
+        (c("o_totalprice") / 15000.0).alias("dwell_s"), F.lit(8800.0).alias("prf_hz"),
+        F.lit(0.0305).alias("lambda_m"), F.lit(640000.0).alias("slant_range_m"),
+        F.lit(7410.0).alias("v_platform_ms"), F.lit(0.61).alias("incidence_rad"),
         c("o_custkey").cast("double").alias("n_pulse"), F.lit(4096.0).alias("n_rbin"),
-        F.lit(10121.0).alias("prf_min_hz"),
-        (F.lit(10121.0) + c("o_custkey") % 700).alias("prf_max_hz"),
-        F.lit(0.00088).alias("worst_gap_s"),
+        F.lit(8740.0).alias("prf_min_hz"),
+        (F.lit(8740.0) + c("o_custkey") % 700).alias("prf_max_hz"),
+        F.lit(0.00097).alias("worst_gap_s"),
         ((c("o_orderkey") % 40) / 8.0 - 0.5).alias("target_freq_hz"),
         ((c("o_orderkey") % 7) / 1000.0).alias("target_amp_m"),
         ((c("o_custkey") % 17 + 1) / 200.0).alias("alpha"),

@@ -70,7 +70,7 @@ WITH a AS (SELECT o_orderkey, 1.0::DOUBLE + sqrt(o_totalprice) / 40.0::DOUBLE AS
     unnest([8, 16, 32, 64, 128, 300]) AS n_looks FROM orders)
 SELECT o_orderkey, n_looks::BIGINT AS n_looks, {_r("dwell / n_looks", "dt")},
   {_r("n_looks / (2.0 * dwell)", "f_max")},
-  {_r("0.0322::DOUBLE * 762800.0 / (2.0 * 7263.0 * (dwell / n_looks))", "az_resolution")}
+  {_r("0.0305::DOUBLE * 640000.0 / (2.0 * 7410.0 * (dwell / n_looks))", "az_resolution")}
 FROM a
 """
 
@@ -160,9 +160,9 @@ SELECT key, {_r("x", "x", 3)}, {_r("y", "y", 3)}, {_r("z", "z", 3)},
   {_r("lat", "lat")}, {_r("lon", "lon")}, {_r("hae", "hae", 3)} FROM back
 """
 
-ORIGIN = ("-552223.3276367188::DOUBLE", "-4332875.0::DOUBLE", "4632556.640625::DOUBLE")
-UX = ("0.9919690::DOUBLE", "-0.1264800::DOUBLE", "0.0::DOUBLE")
-UY = ("0.0925::DOUBLE", "0.7255::DOUBLE", "0.6820::DOUBLE")
+ORIGIN = ("-120301.196::DOUBLE", "-4594117.3286::DOUBLE", "4408300.01::DOUBLE")
+UX = ("0.9996573::DOUBLE", "-0.0261769::DOUBLE", "0.0::DOUBLE")
+UY = ("0.018184::DOUBLE", "0.6944203::DOUBLE", "0.7193398::DOUBLE")
 
 
 def _dot(axis: tuple[str, ...]) -> str:
@@ -177,7 +177,7 @@ def _plane_xyz(px: str, py: str) -> str:
 
 PLANE = f"""
 WITH {ELLIPSOID}, {PLACES},
-near AS (SELECT key, 46.0::DOUBLE + lat / 100.0 AS lat, -97.0::DOUBLE + lon / 100.0 AS lon, hae FROM places),
+near AS (SELECT key, 44.0::DOUBLE + lat / 100.0 AS lat, -91.5::DOUBLE + lon / 100.0 AS lon, hae FROM places),
 {_to_ecf("near", "lat", "lon", "hae", "ecf")},
 off AS (SELECT key, {_dot(UX)} AS px, {_dot(UY)} AS py FROM ecf),
 pt AS (SELECT key, px, py, {_plane_xyz("px", "py")} FROM off),
@@ -819,9 +819,9 @@ rq AS (SELECT o_orderkey, o_totalprice / 15000.0::DOUBLE AS dwell, o_custkey AS
     (o_orderkey % 40) / 8.0::DOUBLE - 0.5 AS f, (o_orderkey % 7) / 1000.0::DOUBLE AS amp, (o_custkey % 17 + 1) / 200.0::DOUBLE AS alpha,
     (o_custkey % 10) / 10.0::DOUBLE AS ov, (o_orderkey % 9) / 20.0::DOUBLE AS gate FROM orders),
 r1 AS (SELECT *, alpha * dwell AS ts, (1.0 / alpha - ov) / (1.0 - ov) AS looks, f * alpha * dwell AS eta,
-    762800.0::DOUBLE * 2 * pi() * f * cos(0.689::DOUBLE) AS swing, 0.0322::DOUBLE * 762800.0 / (2.0 * 7263.0 * (alpha * dwell)) AS res FROM rq),
+    640000.0::DOUBLE * 2 * pi() * f * cos(0.61::DOUBLE) AS swing, 0.0305::DOUBLE * 640000.0 / (2.0 * 7410.0 * (alpha * dwell)) AS res FROM rq),
 r2 AS (SELECT *, 1.0 / (2.0 * ts) AS fmax, floor(eta + 0.5) AS wh, 1.5 * res AS ceil_px,
-    CASE WHEN swing > 0 THEN 3.5 * 7263.0 / swing ELSE 'inf'::DOUBLE END AS amin, floor(looks + 0.5)::BIGINT AS nl FROM r1),
+    CASE WHEN swing > 0 THEN 3.5 * 7410.0 / swing ELSE 'inf'::DOUBLE END AS amin, floor(looks + 0.5)::BIGINT AS nl FROM r1),
 r3 AS (SELECT *, CASE WHEN wh >= 1 THEN abs(eta - wh) ELSE eta END AS dist, greatest(32.0 / res, 1.0) * 32 AS ind,
     (SELECT sum((nl - d) * greatest(1.0 - d * (1.0 - ov), 0.0)) / sum(nl - d) FROM range(1, greatest(nl, 1)) q(d)) AS fl FROM r2),
 fd AS (
@@ -833,10 +833,10 @@ fd AS (
   UNION ALL SELECT o_orderkey, 'averaging_null', CASE WHEN wh >= 1 AND dist < 0.1 THEN 'FAIL' WHEN wh >= 1 AND dist < 0.2 THEN 'WARN' ELSE 'PASS' END
     FROM r3 WHERE dwell > 0 AND f > 0
   UNION ALL SELECT o_orderkey, 'aperture_fraction', CASE WHEN alpha BETWEEN 0.045 AND 0.076 THEN 'PASS' ELSE 'WARN' END FROM r3 WHERE dwell > 0
-  UNION ALL SELECT o_orderkey, 'prf_stability', CASE WHEN 100.0 * over / 10196.35 > 5 THEN 'WARN' ELSE 'PASS' END FROM r3 WHERE dwell > 0
+  UNION ALL SELECT o_orderkey, 'prf_stability', CASE WHEN 100.0 * over / 8800.0 > 5 THEN 'WARN' ELSE 'PASS' END FROM r3 WHERE dwell > 0
   UNION ALL SELECT o_orderkey, 'sensitivity', CASE WHEN amp <= 0 THEN 'UNKNOWN' WHEN amp / amin < 1 THEN 'FAIL' WHEN amp / amin < 3 THEN 'WARN' ELSE 'PASS' END
     FROM r3 WHERE dwell > 0 AND f > 0
-  UNION ALL SELECT o_orderkey, 'ambiguity', CASE WHEN ceil_px <= 7 OR (amp > 0 AND NOT amp BETWEEN 3.5 / (swing / 7263.0) AND 0.5 * ceil_px / (swing / 7263.0))
+  UNION ALL SELECT o_orderkey, 'ambiguity', CASE WHEN ceil_px <= 7 OR (amp > 0 AND NOT amp BETWEEN 3.5 / (swing / 7410.0) AND 0.5 * ceil_px / (swing / 7410.0))
     THEN 'FAIL' ELSE 'PASS' END FROM r3 WHERE dwell > 0 AND f > 0
   UNION ALL SELECT o_orderkey, 'coherence_gate', CASE WHEN gate > 0 AND gate <= fl THEN 'FAIL' WHEN gate <= 1.5 * fl THEN 'WARN' ELSE 'PASS' END
     FROM r3 WHERE dwell > 0 AND ov > 0 AND nl > 1

@@ -59,8 +59,8 @@ def test_image_faults_name_the_first_field(value):
         assert value(g.image_faults(*[bad if j == i else v for j, v in enumerate(good)])) == name
 
 
-ECF = (-552223.3276367188, -4332875.0, 4632556.640625)
-LLH = (46.876176372949395, -97.26316876232174, 261.3063053144142)
+ECF = (-120301.196, -4594117.3286, 4408300.01)
+LLH = (44.0, -91.5, 300.0)
 
 
 def test_known_point_both_ways(value):

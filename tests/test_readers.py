@@ -10,7 +10,7 @@ from sarmotion.sources.cphd import read_cphd, read_header
 from sarmotion.sources.sicd import read_sicd, read_sicd_meta
 from sarmotion.sources.uavsar import read_annotation, read_uavsar
 
-SRP = np.array([-552223.3276, -4332875.0, 4632556.6406])
+SRP = np.array([-552223.3276, -4594117.3286, 4632556.6406])
 NV, NS, WORDS = 64, 32, 30
 AT = {"TxTime": 0, "TxPos": 1, "RcvPos": 8, "SRPPos": 14, "SC0": 27, "SCSS": 28}
 
