@@ -21,6 +21,9 @@ from ..params import CollectMeta, Grid, ImageMeta
 
 # Largest (pulse x cell) block one task holds at a time.
 _BLOCK = 1 << 20
+_EMITTED = 1 << 16
+# Look images that one task keeps at a time.
+ACCUMULATOR_BYTES = 128 << 20
 _SINC_STEPS = 2048
 
 
@@ -60,13 +63,6 @@ def full_aperture(meta: CollectMeta, start: int = 0, count: int | None = None) -
     return PulseWindows(1, count, 0, count, start)
 
 
-def cell_position(grid: Grid, az: Column, rg: Column) -> tuple[Column, Column]:
-    """Ground coordinates of a cell's centre."""
-    x = grid.origin[0] + (az - 0.5 * (grid.n_x - 1)) * grid.dx
-    y = grid.origin[1] + (rg - 0.5 * (grid.n_y - 1)) * grid.dy
-    return x, y
-
-
 def _sinc_table(taps: int) -> np.ndarray:
     half = taps // 2
     frac = np.arange(_SINC_STEPS + 1)[:, None] / _SINC_STEPS
@@ -109,6 +105,25 @@ def backproject(
     ``keys`` are integer columns of the pulses (a trial number, say) that separate
     independent phase histories sharing one geometry.
     """
+    parts = partial_images(collect, grid, windows, range_taps, keys)
+    return parts.groupBy(*keys, "look", "az", "rg").agg(
+        F.sum("re").alias("re"), F.sum("im").alias("im")
+    )
+
+
+def partial_images(
+    collect: Collect,
+    grid: Grid,
+    windows: PulseWindows | None = None,
+    range_taps: int = 0,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Each partition's contribution to each look it holds pulses of, merged over the partition's batches.
+
+    A task keeps one image for each look in use, up to ``ACCUMULATOR_BYTES`` and two looks at least; beyond
+    that, looks that the current batch leaves alone are handed on early.  With pulses in order, as collects are
+    written, that is each look once.
+    """
     meta = collect.meta
     if meta.wavelength <= 0 or meta.dr <= 0:
         raise MissingMetadata("phase history lacks wavelength or range spacing")
@@ -126,7 +141,36 @@ def backproject(
     types = [pa.int64()] * (len(keys) + 1) + [pa.int32()] * 2 + [pa.float64()] * 2
     out_schema = pa.schema(list(zip(names, types)))
 
-    def partial_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(group: tuple, look: int, image: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for c0 in range(0, n_cell, _EMITTED):
+            cell = np.arange(c0, min(n_cell, c0 + _EMITTED))
+            columns = [np.full(len(cell), g, np.int64) for g in (*group, look)]
+            columns += [(cell // grid.n_y).astype(np.int32), (cell % grid.n_y).astype(np.int32)]
+            columns += [image.real[cell], image.imag[cell]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out_schema)
+
+    def project(rows, position, r_ref, signal, weight, images) -> None:
+        """Add the pulses ``rows`` to the images of their looks, a block of cells at a time."""
+        chunk = max(1, _BLOCK // max(1, min(len(rows), 1024)))
+        for c0 in range(0, n_cell, chunk):
+            cell = np.arange(c0, min(n_cell, c0 + chunk))
+            gx = grid.origin[0] + (cell // grid.n_y - 0.5 * (grid.n_x - 1)) * grid.dx
+            gy = grid.origin[1] + (cell % grid.n_y - 0.5 * (grid.n_y - 1)) * grid.dy
+            for p0 in range(0, len(rows), 1024):
+                r = rows[p0 : p0 + 1024]
+                dx = position[r, 0:1] - gx
+                dy = position[r, 1:2] - gy
+                dz = position[r, 2:3] - gz
+                dist = np.sqrt(dx * dx + dy * dy + dz * dz)
+                lag = dist - r_ref[r, None]
+                value = _sample(signal[r], lag / dr + 0.5 * n_rbin, taps, table)
+                value = value * np.exp(1j * k_phase * (lag if relative else dist))
+                for image, part in zip(images, weight[:, p0 : p0 + 1024] @ value):
+                    image[c0 : c0 + len(cell)] += part
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        room = max(2, ACCUMULATOR_BYTES // (16 * n_cell))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -140,39 +184,17 @@ def backproject(
             groups = np.stack([column(k) for k in keys], axis=1) if keys else np.zeros((len(pulse), 0), np.int64)
             for group in np.unique(groups, axis=0):
                 rows = np.nonzero((groups == group).all(axis=1))[0]
-                looks = np.nonzero(member[:, rows].any(axis=1))[0]
-                if len(looks) == 0:
-                    continue
-                weight = member[np.ix_(looks, rows)].astype(np.float64)
-                chunk = max(1, _BLOCK // max(1, min(len(rows), 1024)))
-                for c0 in range(0, n_cell, chunk):
-                    cell = np.arange(c0, min(n_cell, c0 + chunk))
-                    ix, iy = cell // grid.n_y, cell % grid.n_y
-                    gx = grid.origin[0] + (ix - 0.5 * (grid.n_x - 1)) * grid.dx
-                    gy = grid.origin[1] + (iy - 0.5 * (grid.n_y - 1)) * grid.dy
-                    image = np.zeros((len(looks), len(cell)), np.complex128)
-                    for p0 in range(0, len(rows), 1024):
-                        r = rows[p0 : p0 + 1024]
-                        dx = position[r, 0:1] - gx
-                        dy = position[r, 1:2] - gy
-                        dz = position[r, 2:3] - gz
-                        dist = np.sqrt(dx * dx + dy * dy + dz * dz)
-                        lag = dist - r_ref[r, None]
-                        value = _sample(signal[r], lag / dr + 0.5 * n_rbin, taps, table)
-                        value = value * np.exp(1j * k_phase * (lag if relative else dist))
-                        image += weight[:, p0 : p0 + 1024] @ value
-                    reps = len(looks)
-                    columns = [np.full(reps * len(cell), g, np.int64) for g in group]
-                    columns += [
-                        np.repeat(looks.astype(np.int64), len(cell)),
-                        np.tile(ix.astype(np.int32), reps),
-                        np.tile(iy.astype(np.int32), reps),
-                        image.real.ravel(),
-                        image.imag.ravel(),
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in columns], schema=out_schema
-                    )
+                touched = np.nonzero(member[:, rows].any(axis=1))[0]
+                for l0 in range(0, len(touched), room):
+                    looks = touched[l0 : l0 + room]
+                    wanted = [(*(int(g) for g in group), int(look)) for look in looks]
+                    for old in [k for k in held if k not in wanted][: max(0, len(held) + len(wanted) - room)]:
+                        yield from emit(old[:-1], old[-1], held.pop(old))
+                    images = [held.setdefault(k, np.zeros(n_cell, np.complex128)) for k in wanted]
+                    weight = member[np.ix_(looks, rows)].astype(np.float64)
+                    project(rows, position, r_ref, signal, weight, images)
+        for key, image in held.items():
+            yield from emit(key[:-1], key[-1], image)
 
     schema = T.StructType(
         [T.StructField(k, T.LongType()) for k in [*keys, "look"]]
@@ -187,10 +209,7 @@ def backproject(
         F.col("pulse").cast("bigint").alias("pulse"),
         "px", "py", "pz", "r_ref", "re", "im",
     )
-    parts = used.mapInArrow(partial_images, schema)
-    return parts.groupBy(*keys, "look", "az", "rg").agg(
-        F.sum("re").alias("re"), F.sum("im").alias("im")
-    )
+    return used.mapInArrow(accumulate, schema)
 
 
 def window_geometry(collect: Collect, grid: Grid, windows: PulseWindows) -> DataFrame:

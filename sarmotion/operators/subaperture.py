@@ -15,6 +15,7 @@ from ..errors import ArgumentError, MissingMetadata, RangeFault
 from ..functions.geometry import bin_frequency
 from ..functions.transforms import fft, fft_shift
 from ..params import Grid, ImageMeta, StackMeta, SubapParams
+from ..session import cut_lineage
 from .focus import Collect, PulseWindows, backproject, full_aperture, image_meta
 
 
@@ -203,6 +204,10 @@ def _band_gain(f: np.ndarray, centre: float, width: float, window: bool) -> np.n
     return np.where(d <= flat, 1.0, np.where(d >= 0.5 * width, 0.0, edge))
 
 
+# Samples of all looks that one step of the split holds.
+_SPLIT_SAMPLES = 1 << 20
+
+
 def _filter_columns(columns: DataFrame, gains: np.ndarray) -> DataFrame:
     """Apply every look's band to every column: ``(look, az, rg, re, im)``."""
     n_looks, n_az = gains.shape
@@ -211,19 +216,25 @@ def _filter_columns(columns: DataFrame, gains: np.ndarray) -> DataFrame:
          ("re", pa.float64()), ("im", pa.float64())]
     )
 
+    def lines(batch: pa.RecordBatch, k: int) -> np.ndarray:
+        return np.asarray(batch.column(k).flatten(), np.float64).reshape(-1, n_az)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rg, re, im in zip(*[batch.column(i) for i in range(3)]):
-                line = re.values.to_numpy() + 1j * im.values.to_numpy()
-                spectrum = np.fft.fftshift(np.fft.fft(line))
-                looks = np.fft.ifft(np.fft.ifftshift(spectrum * gains, axes=1), axis=1)
+        most = max(1, _SPLIT_SAMPLES // (n_looks * n_az))
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                n = batch.num_rows
+                spectrum = np.fft.fftshift(np.fft.fft(lines(batch, 1) + 1j * lines(batch, 2), axis=1), axes=1)
+                bands = np.fft.ifftshift(spectrum[:, None, :] * gains[None, :, :], axes=2)
+                looks = np.fft.ifft(bands, axis=2).ravel()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.arange(n_looks, dtype=np.int64), n_az)),
-                        pa.array(np.tile(np.arange(n_az, dtype=np.int32), n_looks)),
-                        pa.array(np.full(n_looks * n_az, rg.as_py(), np.int32)),
-                        pa.array(looks.real.ravel()),
-                        pa.array(looks.imag.ravel()),
+                        pa.array(np.tile(np.repeat(np.arange(n_looks, dtype=np.int64), n_az), n)),
+                        pa.array(np.tile(np.arange(n_az, dtype=np.int32), n * n_looks)),
+                        pa.array(np.repeat(np.asarray(batch.column(0)).astype(np.int32), n_looks * n_az)),
+                        pa.array(looks.real),
+                        pa.array(looks.imag),
                     ],
                     schema=schema,
                 )
@@ -247,7 +258,8 @@ def split(image: DataFrame, meta: ImageMeta, params: SubapParams) -> ImageStack:
         raise ArgumentError("b_shift_hz must be finite and non-negative")
     if params.pair and params.mode != "paper":
         raise ArgumentError("pair mode needs the paper band layout")
-    columns = pack_columns(image).persist()
+    # Read for the power and again for the looks; kept in reliable storage, not in a cache that nobody frees.
+    columns = cut_lineage(pack_columns(image))
     power = azimuth_power_spectrum(columns)
     spread = doppler_centroid(power, meta.n_az, meta.fs_az).crossJoin(
         doppler_bandwidth(power, meta.n_az, meta.fs_az)

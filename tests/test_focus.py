@@ -179,3 +179,31 @@ def test_vibration_makes_paired_echoes(spark):
         ratio = line[near].max() / line[np.abs(x) < 0.1].max()
         # The echo's range walks a little against its cell's, which costs some brightness.
         assert ratio == pytest.approx(bessel(1, beta) / bessel(0, beta), rel=0.25)
+
+
+def test_partial_images_merge_inside_a_partition(spark, point):
+    """However small the batches, a partition hands on each cell of each of its looks once."""
+    windows = sub.pulse_windows(point.meta.n_pulse, 4, 0.5)
+    grid = Grid(8, 8)
+    few = focus.Collect(point.pulses.coalesce(3), point.meta)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        parts = focus.partial_images(few, grid, windows)
+        assert parts.count() <= 3 * 4 * 64
+        small = dense(focus.backproject(few, grid, windows).where("look = 1").drop("look"), 8, 8)
+    finally:
+        spark.conf.set(key, before)
+    whole = dense(focus.backproject(point, grid, windows).where("look = 1").drop("look"), 8, 8)
+    assert np.allclose(small, whole, rtol=1e-9, atol=1e-9)
+
+
+def test_looks_beyond_the_room_are_handed_on_early(spark, point, monkeypatch):
+    windows = sub.pulse_windows(point.meta.n_pulse, 8, 0.0)
+    whole = focus.backproject(point, Grid(8, 8), windows)
+    want = {(r["look"], r["az"], r["rg"]): complex(r["re"], r["im"]) for r in whole.collect()}
+    monkeypatch.setattr(focus, "ACCUMULATOR_BYTES", 1)
+    got = focus.backproject(point, Grid(8, 8), windows)
+    for r in got.collect():
+        assert abs(complex(r["re"], r["im"]) - want[r["look"], r["az"], r["rg"]]) < 1e-6
