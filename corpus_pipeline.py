@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarmotion.llm import language_id
-from sarmotion.llm.common import table, written
+from sarmotion.llm.common import small_batches, table, written
 from sarmotion.llm.decontamination import benchmark_hits, contaminated, hit_words
 from sarmotion.llm.exact_dedup import exact_duplicates
 from sarmotion.llm.idfilter import without
@@ -18,27 +18,32 @@ from sarmotion.session import ship_package
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    small_batches(spark)
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language identification rejects go: no letter, or a confidence below its threshold."""
-    ship_package(spark)
+    _prepare(spark)
     return language_id.accepted(docs, language_id.fit(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space one stays."""
-    ship_package(spark)
+    _prepare(spark)
     return without(docs, written(exact_duplicates(docs).where("not kept").select("doc_id")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    ship_package(spark)
+    _prepare(spark)
     return without(docs, written(near_duplicates(docs, threshold=0.8).where("not kept").select("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least a twentieth of their words in benchmark windows go."""
-    ship_package(spark)
+    _prepare(spark)
     found = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
     dirty = found.where(contaminated(hit_words(F.col("hits")), F.col("n_words"))).select("doc_id")
     return without(docs, written(dirty))
@@ -46,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in planned sequences."""
-    ship_package(spark)
+    _prepare(spark)
     return packed_pieces(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
+RELEASE_BYTES = 16 << 20
+BATCH_ROWS = 1000
 BUCKET_BYTES = 64 << 20
 
 # The white space of the word rules, [\x20\x09-\x0D].
@@ -43,19 +45,24 @@ def _release() -> None:
 
 
 def lean(run):
-    """``run`` over batches or over one group, with memory given back after each batch and each large group."""
+    """``run`` over batches or over one group, with memory given back after RELEASE_BYTES of input and at the end."""
 
     def batchwise(batches):
+        passed = 0
         for batch in batches:
             yield batch
+            passed += batch.nbytes
             del batch
-            _release()
+            if passed > RELEASE_BYTES:
+                _release()
+                passed = 0
+        _release()
 
     def wrapped(data):
         if not isinstance(data, pa.Table):
             return run(batchwise(data))
         out = run(data)
-        if data.nbytes > 1 << 20:
+        if data.nbytes > RELEASE_BYTES >> 4:
             del data
             _release()
         return out
@@ -89,7 +96,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python in batches of at most BATCH_ROWS, which bounds the buffers on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

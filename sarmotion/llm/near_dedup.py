@@ -242,16 +242,18 @@ def near_duplicates(
 
     # Equal sets first: one representative each, whatever the number of copies.
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    same = usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Aggregates that are joined back are written first: both sides are then shuffled for the join, and the partitions
+    # of a hot group can be split.
+    same = written(usable.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     copies = usable.select("doc_id", "d1", "d2", "n_shingles").join(same, ["d1", "d2", "n_shingles"])
     copies = written(copies.select("doc_id", "rep"))
     reps = copies.where("doc_id = rep").select("doc_id").distinct()
     keyed = usable.join(reps, "doc_id").select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
 
     # Buckets and their centres.
-    buckets = keyed.groupBy("band", "key").agg(
+    buckets = written(keyed.groupBy("band", "key").agg(
         F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1")
+    ).where("n > 1"))
     members = written(keyed.join(buckets, ["band", "key"]).select(
         "band", "key", "doc_id", F.col("c.doc_id").alias("centre"), "n",
         # Sizes alone can rule a link out.
