@@ -29,10 +29,17 @@ _SINC_STEPS = 2048
 
 @dataclass(frozen=True)
 class Collect:
-    """Pulses (one row each) and the scalars they share."""
+    """Pulses (one row each), the scalars they share, and the pulses' geometry if it can be read without samples."""
 
     pulses: DataFrame
     meta: CollectMeta
+    track: DataFrame | None = None
+
+    @property
+    def geometry(self) -> DataFrame:
+        """``(pulse, t, px, py, pz, r_ref)``."""
+        source = self.pulses if self.track is None else self.track
+        return source.select("pulse", "t", "px", "py", "pz", "r_ref")
 
 
 @dataclass(frozen=True)
@@ -227,7 +234,7 @@ def window_geometry(collect: Collect, grid: Grid, windows: PulseWindows) -> Data
     edges = collect.pulses.sparkSession.range(windows.n_looks).select(
         F.col("id").alias("look"), F.inline(places)
     )
-    picked = collect.pulses.select("pulse", "t", "px", "py", "pz", "r_ref").join(
+    picked = collect.geometry.join(
         F.broadcast(edges), "pulse"
     )
     at = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c}")
@@ -298,7 +305,7 @@ def focus_azimuth_resolution(collect: Collect, pulse_count: int) -> float:
     wanted = [0, count // 2, count - 1]
     rows = {
         r["pulse"]: r
-        for r in collect.pulses.where(F.col("pulse").isin(wanted))
+        for r in collect.geometry.where(F.col("pulse").isin(wanted))
         .select("pulse", "px", "py", "pz", "r_ref")
         .collect()
     }

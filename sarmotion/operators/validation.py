@@ -237,7 +237,7 @@ def _request_frame(spark, values: dict) -> DataFrame:
 
 def collect_request(collect: Collect, **overrides) -> DataFrame:
     """The request row a phase history implies; keywords override any field."""
-    meta, pulses = collect.meta, collect.pulses
+    meta, pulses = collect.meta, collect.geometry
     ends = {
         r["pulse"]: r
         for r in pulses.where(F.col("pulse").isin(0, meta.n_pulse - 1))

@@ -140,7 +140,7 @@ def collect_geometry(collect: Collect, params: TomoParams) -> TomoParams:
     n = collect.meta.n_pulse
     rows = {
         r["pulse"]: r
-        for r in collect.pulses.where(F.col("pulse").isin(0, n // 2, n - 1))
+        for r in collect.geometry.where(F.col("pulse").isin(0, n // 2, n - 1))
         .select("pulse", "px", "py", "pz", "r_ref").collect()
     }
     at = lambda p: [rows[p][c] for c in ("px", "py", "pz")]
@@ -340,7 +340,7 @@ def validate(requests: DataFrame) -> tuple[list[dict], str]:
 def info(collect: Collect) -> dict:
     """A phase history's own account of itself."""
     meta = collect.meta
-    span = collect.pulses.agg((F.max("t") - F.min("t")).alias("s")).first()["s"]
+    span = collect.geometry.agg((F.max("t") - F.min("t")).alias("s")).first()["s"]
     return {
         "source": meta.source, "pulses": meta.n_pulse, "range_bins": meta.n_rbin,
         "carrier_ghz": meta.fc / 1e9, "wavelength_m": meta.wavelength, "transmit_prf_hz": meta.prf,

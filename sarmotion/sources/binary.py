@@ -12,6 +12,8 @@ from pyspark.sql.datasource import InputPartition
 
 from ..errors import FormatFault, IoFault
 
+# Pixels of one Arrow batch of a reader.
+BATCH_PIXELS = 1 << 18
 PIXEL_SCHEMA = "az int, rg int, re float, im float"
 PIXEL_ARROW = pa.schema(
     [("az", pa.int32()), ("rg", pa.int32()), ("re", pa.float32()), ("im", pa.float32())]
@@ -71,6 +73,16 @@ def read_at(path: str, offset: int, length: int) -> bytes:
     return data
 
 
+def mapped(path: str, kind: str, offset: int, shape: tuple[int, ...]) -> np.ndarray:
+    """A view of an array inside a file; indexing it reads only the pages it touches."""
+    try:
+        return np.memmap(path, dtype=kind, mode="r", offset=offset, shape=shape)
+    except OSError as error:
+        raise IoFault(f"cannot read {path}: {error}") from error
+    except ValueError as error:
+        raise FormatFault(f"{path} is shorter than its header says") from error
+
+
 def parse_xml(data: bytes, what: str) -> ET.Element:
     try:
         root = ET.fromstring(data.strip(b"\0 \r\n\t"))

@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from ..errors import FormatFault, IoFault, MissingMetadata, RangeFault
 from ..functions.geometry import image_faults
 from ..params import SPEED_OF_LIGHT, ImageMeta
-from .binary import PIXEL_SCHEMA, Span, file_size, pixel_batch, read_at, spans
+from .binary import BATCH_PIXELS, mapped, PIXEL_SCHEMA, Span, file_size, pixel_batch, spans
 
 # Alternative field names, first found wins.
 FIELDS = {
@@ -71,10 +71,12 @@ class _Reader(DataSourceReader):
         return spans(self.n_az, max(1, (32 << 20) // (self.n_rg * 8)))
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        line, columns = self.n_rg * 8, np.arange(self.n_rg)
-        for az in range(partition.start, partition.stop):
-            pairs = np.frombuffer(read_at(self.path, az * line, line), "<f4").astype(float)
-            yield pixel_batch(np.full(self.n_rg, az), columns, pairs[0::2] + 1j * pairs[1::2])
+        pixels = mapped(self.path, "<f4", 0, (self.n_az, self.n_rg, 2))
+        step = max(1, BATCH_PIXELS // self.n_rg)
+        for at in range(partition.start, partition.stop, step):
+            lines = np.arange(at, min(at + step, partition.stop))
+            pairs = np.asarray(pixels[lines[0] : lines[-1] + 1], float).reshape(-1, 2)
+            yield pixel_batch(np.repeat(lines, self.n_rg), np.tile(np.arange(self.n_rg), len(lines)), pairs[:, 0] + 1j * pairs[:, 1])
 
 
 class UavsarSource(DataSource):

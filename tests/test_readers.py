@@ -5,6 +5,9 @@ import pytest
 
 from sarmotion.errors import FormatFault, IoFault, MissingMetadata, UnsupportedFault
 from sarmotion.params import Plane
+from sarmotion.operators import validation
+from sarmotion.params import TomoParams
+from sarmotion.plans import commands
 from sarmotion.sources import interchange
 from sarmotion.sources.cphd import read_cphd, read_header
 from sarmotion.sources.sicd import read_sicd, read_sicd_meta
@@ -97,6 +100,23 @@ def test_cphd_window_stride_and_cap(spark, tmp_path):
     assert len(line) == 8 and line.argmax() == 4 + 3
 
 
+def test_cphd_geometry_never_reads_a_sample(spark, tmp_path):
+    flags = np.ones(NV, np.int64)
+    flags[[0, 9]] = 0
+    path = write_cphd(tmp_path / "a.cphd", flags=flags)
+    collect = read_cphd(spark, path, pulse_stride=2, max_pulses=20)
+    columns = ["pulse", "t", "px", "py", "pz", "r_ref"]
+    want = sorted(map(tuple, collect.pulses.select(columns).collect()))
+    header = read_header(path)
+    with open(path, "r+b") as f:
+        f.truncate(header.signal_offset)
+    assert sorted(map(tuple, collect.geometry.select(columns).collect())) == want
+    assert validation.pulse_intervals(collect.geometry).count() == 19
+    assert commands.collect_geometry(collect, TomoParams()).slant_range > 0
+    with pytest.raises(Exception, match="shorter than its header says"):
+        collect.pulses.collect()
+
+
 def test_cphd_skips_flagged_vectors_before_striding(spark, tmp_path):
     flags = np.ones(NV, int)
     flags[[0, 5, 6]] = 0
