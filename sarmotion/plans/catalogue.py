@@ -26,11 +26,13 @@ from ..operators import (
 from ..operators.orbit import interpolate_orbit
 from ..operators.spectrum import (
     lowest_bin,
+    pack_series,
     spectrum,
     spectrum_bins,
     unpack_series,
 )
 from ..operators.subaperture import (
+    ImageStack,
     azimuth_power_spectrum,
     doppler_bandwidth,
     doppler_centroid,
@@ -38,7 +40,7 @@ from ..operators.subaperture import (
     pulse_windows,
     split,
 )
-from ..params import CcdParams, ImageMeta, Plane, SubapParams, TomoParams, TrackParams
+from ..params import CcdParams, Grid, ImageMeta, Plane, SubapParams, TomoParams, TrackParams
 from . import tables as t
 from .feasibility import feasibility
 
@@ -309,6 +311,15 @@ def q_window_geometry(spark: SparkSession, d: str) -> DataFrame:
     return rounded(focus.window_geometry(collect, t.PULSE_GRID, windows))
 
 
+def q_pulses_to_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Pulses to looks, looks to motion, motion to spectra."""
+    collect = t.pulse_table(spark, d)
+    windows = pulse_windows(collect.meta.n_pulse, t.FILM_LOOKS, 0.4)
+    looks = ImageStack(focus.backproject(collect, Grid(n_x=t.FILM_AZ, n_y=t.FILM_RG), windows), t.FILM_META)
+    motion, meta = tracking.track(looks, replace(TRACK, coherence_min=0.0))
+    return rounded(spectrum(pack_series(motion, meta.n_looks), meta).drop("psd"))
+
+
 # -- tracking -----------------------------------------------------------------------
 
 
@@ -658,6 +669,7 @@ QUERIES: dict[str, Query] = {
     "backproject": q_backproject,
     "backproject_sinc": q_backproject_sinc,
     "window_geometry": q_window_geometry,
+    "pulses_to_spectrum": q_pulses_to_spectrum,
     "track_first": _tracked("first"),
     "track_adjacent": _tracked("adjacent"),
     "track_lag": _tracked("lag"),

@@ -340,21 +340,30 @@ SELECT look::BIGINT AS look, count(*) AS n_pulses, min(event_id) AS first_pulse,
 FROM win JOIN events ON event_id >= start AND event_id < start + per GROUP BY look
 """
 
-PULSES = f"""
-{_layout("(SELECT count(*) FROM embeddings)", 4)},
+PULSES_OF = """
+LAYOUT,
 pos AS (SELECT vec_id AS pulse, embedding AS e, vec_id / 100.0::DOUBLE AS t,
     75.0::DOUBLE * (vec_id / 100.0::DOUBLE - (SELECT n FROM np) / 100.0::DOUBLE / 2.0) AS px FROM embeddings),
 pl AS (SELECT *, sqrt(px * px + 3500.0::DOUBLE ** 2 + 5000.0::DOUBLE ** 2) AS r_ref FROM pos)
 """
-LOOKING = f"""
-{PULSES},
-cell AS (SELECT a.i AS az, b.i AS rg, a.i - 3.5::DOUBLE AS gx, b.i - 3.5::DOUBLE AS gy FROM range(8) a(i), range(8) b(i)),
+def _pulses(looks: int) -> str:
+    return PULSES_OF.replace("LAYOUT", _layout("(SELECT count(*) FROM embeddings)", looks))
+
+
+def _looking(looks: int, columns: int) -> str:
+    return f"""
+{_pulses(looks)},
+cell AS (SELECT a.i AS az, b.i AS rg, a.i - 3.5::DOUBLE AS gx, b.i - {(columns - 1) / 2}::DOUBLE AS gy FROM range(8) a(i), range({columns}) b(i)),
 d AS (SELECT pulse, e, az, rg, r_ref, sqrt((px - gx) ** 2 + (3500.0 - gy) ** 2 + 5000.0::DOUBLE ** 2) - r_ref AS lagm FROM pl, cell),
 f AS (SELECT *, lagm + 16.0 AS fbin, floor(lagm + 16.0)::INT AS b, lagm + 16.0 - floor(lagm + 16.0) AS fr,
     4 * {PI} / 0.03125::DOUBLE * lagm AS ph FROM d WHERE lagm + 16.0 >= 0 AND lagm + 16.0 < 31)
 """
 
 
+PULSES = _pulses(4)
+LOOKING = _looking(4, 8)
+
+
 def _focus(extra: str, re: str, im: str) -> str:
     return f"""
 WITH {LOOKING},
@@ -397,17 +406,21 @@ SELECT look::BIGINT AS look, {_r("t0", "t0")}, {_r("tm", "centre_time")}, {_r("t
 
 # -- tracking -----------------------------------------------------------------------
 
-FILM = """
+TILE = """
+tile AS (SELECT film, look, w AS iaz, az - 2 * w AS a, rg AS r, re, im FROM film JOIN range(3) t(w) ON az >= 2 * w AND az < 2 * w + 4)
+"""
+FILM = f"""
 film AS (SELECT vec_id // 64 AS film, vec_id % 64 AS look, i // 4 AS az, i % 4 AS rg,
     embedding[2 * i + 1]::DOUBLE AS re, embedding[2 * i + 2]::DOUBLE AS im FROM embeddings, range(32) r(i)),
-tile AS (SELECT film, look, w AS iaz, az - 2 * w AS a, rg AS r, re, im FROM film JOIN range(3) t(w) ON az >= 2 * w AND az < 2 * w + 4)
+{TILE}
 """
 
 LAMBDA = "(299792458.0::DOUBLE / 9.6e9)"
 SPEED = "(1.0::DOUBLE * 7500.0 / 600000.0)"
 
 
-def _track(reference: str) -> str:
+def _track_body(reference: str, film: str, gate: float) -> str:
+    """Tables up to ``los``: every window's motion in every look."""
     lag = {"first": None, "adjacent": 1, "lag": 3, "pair": 0}[reference]
     if reference == "first":
         ref_look, measured = "0", "c.look > 0"
@@ -443,7 +456,7 @@ flip AS (SELECT film, look, w AS iaz, az - 2 * w AS a, rg AS r, re, im FROM flip
         shift_az, shift_rg = f"sum(shift_az){accumulate}", f"sum(shift_rg){accumulate}"
     fu, fv = "(u - CASE WHEN u < 2 THEN 0 ELSE 4 END)", "(v - CASE WHEN v < 2 THEN 0 ELSE 4 END)"
     return f"""
-WITH {FILM}, {slave}
+{film}, {slave}
 {transform("tile", "fa")}, {second},
 cx AS (SELECT c.film, c.look, c.iaz, c.u, c.v, p.fr * c.fr + p.fi * c.fi AS xr, p.fr * c.fi - p.fi * c.fr AS xi,
     p.fr ** 2 + p.fi ** 2 AS ep, c.fr ** 2 + c.fi ** 2 AS ec
@@ -461,7 +474,7 @@ fine AS (SELECT film, look, iaz, ca + (i - 4) / 4.0::DOUBLE AS sa, cr + (j - 4)
        + sum(xr * sin(2 * pi() * ({fu} * (ca + (i - 4) / 4.0::DOUBLE) + {fv} * (cr + (j - 4) / 4.0::DOUBLE)) / 4.0::DOUBLE)
            + xi * cos(2 * pi() * ({fu} * (ca + (i - 4) / 4.0::DOUBLE) + {fv} * (cr + (j - 4) / 4.0::DOUBLE)) / 4.0::DOUBLE)) ** 2) AS mag
   FROM cx JOIN pk USING (film, look, iaz), range(9) q(i), range(9) s(j) GROUP BY film, look, iaz, ca, cr, i, j),
-top AS (SELECT film, look, iaz, sa, sr, mag FROM fine
+best AS (SELECT film, look, iaz, sa, sr, mag FROM fine
   QUALIFY row_number() OVER (PARTITION BY film, look, iaz ORDER BY mag DESC, i, j) = 1),
 dots AS (SELECT c.film, c.look, c.iaz, sum(c.re * p.re + c.im * p.im) AS dr, sum(c.im * p.re - c.re * p.im) AS di
   FROM {moved} c JOIN tile p ON p.film = c.film AND p.iaz = c.iaz AND p.a = c.a AND p.r = c.r AND p.look = {anchor} GROUP BY ALL),
@@ -469,11 +482,17 @@ frames AS (SELECT DISTINCT f.film, l.i AS look, w.i AS iaz FROM film f, range(64
 pairs AS (SELECT film, look, iaz, {measured.replace("c.look", "look")} AS ok, coalesce(sa, 0.0) AS shift_az, coalesce(sr, 0.0) AS shift_rg,
     CASE WHEN {measured.replace("c.look", "look")} THEN CASE WHEN norm > 0 THEN least(1.0, mag / norm) ELSE 0.0 END END AS peak,
     CASE WHEN {measured.replace("c.look", "look")} THEN coalesce(atan2(di, dr), 0.0) ELSE 0.0 END AS phase
-  FROM frames LEFT JOIN top USING (film, look, iaz) LEFT JOIN nm USING (film, look, iaz) LEFT JOIN dots USING (film, look, iaz)),
+  FROM frames LEFT JOIN best USING (film, look, iaz) LEFT JOIN nm USING (film, look, iaz) LEFT JOIN dots USING (film, look, iaz)),
 mv AS (SELECT *, CASE WHEN ok THEN {shift_az} ELSE 0.0 END AS da, CASE WHEN ok THEN {shift_rg} ELSE 0.0 END AS dg,
     coalesce(avg(peak) OVER w1, 0.0) AS quality, atan2(sum(sin(phase)) OVER w1, sum(cos(phase)) OVER w1) AS mean
   FROM pairs WINDOW w1 AS (PARTITION BY film, iaz)),
-los AS (SELECT *, -{LAMBDA} / (4 * pi()) * atan2(sin(phase - mean), cos(phase - mean)) AS dl, quality < 0.62 AS low FROM mv)
+los AS (SELECT *, -{LAMBDA} / (4 * pi()) * atan2(sin(phase - mean), cos(phase - mean)) AS dl, quality < {gate} AS low FROM mv)
+"""
+
+
+def _track(reference: str) -> str:
+    return f"""
+WITH {_track_body(reference, FILM, 0.62)}
 SELECT film, iaz::BIGINT AS win, iaz::BIGINT AS iaz, 0::BIGINT AS irg, look::BIGINT AS look,
   {_r("CASE WHEN low THEN 0.0 ELSE da END", "disp_az")}, {_r("CASE WHEN low THEN 0.0 ELSE dg END", "disp_rg")},
   {_r(f"CASE WHEN low THEN 0.0 ELSE da * {SPEED} END", "vel_los")}, {_r("CASE WHEN low THEN 0.0 ELSE dl END", "disp_los")},
@@ -517,10 +536,10 @@ ser AS (SELECT w.win, l.i AS look, w.quality, coalesce(v, 0.0) AS v, coalesce(c,
 """
 
 
-def _psd(scale: str, detrend: str = "linear") -> str:
+def _psd(scale: str, detrend: str = "linear", series: str = SERIES) -> str:
     slope = f"regr_slope({scale}, look)" if detrend == "linear" else "0.0"
     return f"""
-{SERIES},
+{series},
 fit AS (SELECT win, avg({scale}) AS m, {slope} AS b FROM (SELECT win, look::DOUBLE AS look, v FROM ser) GROUP BY win),
 tap AS (SELECT i AS look, 0.5 * (1 - cos(2 * pi() * i / {N - 1}.0::DOUBLE)) AS h FROM range({N}) r(i)),
 tp AS (SELECT sum(h * h) AS hp FROM tap),
@@ -533,9 +552,9 @@ exc AS (SELECT win, max(v) - min(v) AS exc, any_value(quality) AS quality FROM s
 """
 
 
-def _windows(scale: str, k_min: int = 1, detrend: str = "linear") -> str:
+def _windows(scale: str, k_min: int = 1, detrend: str = "linear", series: str = SERIES) -> str:
     return f"""
-{_psd(scale, detrend)},
+{_psd(scale, detrend, series)},
 top AS (SELECT win, k AS bin, psd AS peak FROM psd WHERE k >= {k_min}
   QUALIFY row_number() OVER (PARTITION BY win ORDER BY psd DESC, k) = 1),
 mn AS (SELECT win, avg(psd) AS mean FROM psd WHERE k >= {k_min} GROUP BY win),
@@ -551,6 +570,20 @@ _SP_OUT = f"""
 SELECT win, iaz::BIGINT AS iaz, irg::BIGINT AS irg, {_r("quality", "quality")}, {_r("exc", "excursion_px")},
   bin::BIGINT AS dominant_bin, {_r("freq", "dominant_freq")}, {_r("amp", "amplitude")}, {_r("prom", "prominence")} FROM sp
 """
+# The whole chain: pulses, 64 looks of an 8 x 4 scene, motion, spectrum.
+CHAIN = f"""
+{_looking(64, 4)},
+s AS (SELECT pulse, az, rg, ph, {_lerp(1)} AS sr, {_lerp(2)} AS si FROM f),
+film AS (SELECT 0 AS film, look, az, rg, sum(sr * cos(ph) - si * sin(ph)) AS re, sum(sr * sin(ph) + si * cos(ph)) AS im
+  FROM s JOIN win ON pulse >= start AND pulse < start + per GROUP BY look, az, rg),
+{_track_body("first", TILE, 0.0)},
+ser AS (SELECT iaz AS win, look, quality, da AS v, 0.0 AS c FROM los)
+"""
+PULSES_TO_SPECTRUM = f"""
+WITH {_windows(f"v * {SPEED}", series=CHAIN)}
+SELECT win::BIGINT AS win, win::BIGINT AS iaz, 0::BIGINT AS irg, {_r("quality", "quality")}, {_r("exc", "excursion_px")},
+  bin::BIGINT AS dominant_bin, {_r("freq", "dominant_freq")}, {_r("amp", "amplitude")}, {_r("prom", "prominence")} FROM sp
+"""
 PSD = f"WITH {_psd(VEL)} SELECT win, k::BIGINT AS k, {_r('k / 16.0::DOUBLE', 'freq')}, {_r('psd', 'psd')} FROM psd"
 WINDOWS = f"WITH {SP} {_SP_OUT}"
 DISPLACEMENT = f"WITH {_windows('v * 0.001::DOUBLE', 5, 'mean')} {_SP_OUT}"
@@ -913,6 +946,7 @@ ORACLE: dict[str, str] = {
     "backproject": BACKPROJECT,
     "backproject_sinc": BACKPROJECT_SINC,
     "window_geometry": WINDOW_GEOMETRY,
+    "pulses_to_spectrum": PULSES_TO_SPECTRUM,
     "track_first": _track("first"),
     "track_adjacent": _track("adjacent"),
     "track_lag": _track("lag"),
