@@ -419,7 +419,7 @@ LAMBDA = "(299792458.0::DOUBLE / 9.6e9)"
 SPEED = "(1.0::DOUBLE * 7500.0 / 600000.0)"
 
 
-def _track_body(reference: str, film: str, gate: float) -> str:
+def _track_body(reference: str, film: str, gate: float, exhaustive: bool = False) -> str:
     """Tables up to ``los``: every window's motion in every look."""
     lag = {"first": None, "adjacent": 1, "lag": 3, "pair": 0}[reference]
     if reference == "first":
@@ -454,7 +454,15 @@ flip AS (SELECT film, look, w AS iaz, az - 2 * w AS a, rg AS r, re, im FROM flip
     if reference == "adjacent":
         accumulate = " OVER (PARTITION BY film, iaz ORDER BY look)"
         shift_az, shift_rg = f"sum(shift_az){accumulate}", f"sum(shift_rg){accumulate}"
+    # Quarter steps round the integer peak, or everywhere.
+    if exhaustive:
+        at_az, at_rg = (f"(CASE WHEN {k} > 8 THEN {k} - 16 ELSE {k} END) / 4.0::DOUBLE" for k in "ij")
+        tried, own = "cx, range(16) q(i), range(16) s(j)", ""
+    else:
+        at_az, at_rg = "ca + (i - 4) / 4.0::DOUBLE", "cr + (j - 4) / 4.0::DOUBLE"
+        tried, own = "cx JOIN pk USING (film, look, iaz), range(9) q(i), range(9) s(j)", "ca, cr,"
     fu, fv = "(u - CASE WHEN u < 2 THEN 0 ELSE 4 END)", "(v - CASE WHEN v < 2 THEN 0 ELSE 4 END)"
+    turn = f"2 * pi() * ({fu} * ({at_az}) + {fv} * ({at_rg})) / 4.0::DOUBLE"
     return f"""
 {film}, {slave}
 {transform("tile", "fa")}, {second},
@@ -468,12 +476,9 @@ co AS (SELECT film, look, iaz, m, n, sum(xr * cos(2 * pi() * (u * m + v * n) / 4
   FROM cx, range(4) q(m), range(4) s(n) GROUP BY film, look, iaz, m, n),
 pk AS (SELECT film, look, iaz, CASE WHEN m > 2 THEN m - 4 ELSE m END AS ca, CASE WHEN n > 2 THEN n - 4 ELSE n END AS cr
   FROM co QUALIFY row_number() OVER (PARTITION BY film, look, iaz ORDER BY mag DESC, m, n) = 1),
-fine AS (SELECT film, look, iaz, ca + (i - 4) / 4.0::DOUBLE AS sa, cr + (j - 4) / 4.0::DOUBLE AS sr, i, j,
-    sqrt(sum(xr * cos(2 * pi() * ({fu} * (ca + (i - 4) / 4.0::DOUBLE) + {fv} * (cr + (j - 4) / 4.0::DOUBLE)) / 4.0::DOUBLE)
-           - xi * sin(2 * pi() * ({fu} * (ca + (i - 4) / 4.0::DOUBLE) + {fv} * (cr + (j - 4) / 4.0::DOUBLE)) / 4.0::DOUBLE)) ** 2
-       + sum(xr * sin(2 * pi() * ({fu} * (ca + (i - 4) / 4.0::DOUBLE) + {fv} * (cr + (j - 4) / 4.0::DOUBLE)) / 4.0::DOUBLE)
-           + xi * cos(2 * pi() * ({fu} * (ca + (i - 4) / 4.0::DOUBLE) + {fv} * (cr + (j - 4) / 4.0::DOUBLE)) / 4.0::DOUBLE)) ** 2) AS mag
-  FROM cx JOIN pk USING (film, look, iaz), range(9) q(i), range(9) s(j) GROUP BY film, look, iaz, ca, cr, i, j),
+fine AS (SELECT film, look, iaz, {at_az} AS sa, {at_rg} AS sr, i, j,
+    sqrt(sum(xr * cos({turn}) - xi * sin({turn})) ** 2 + sum(xr * sin({turn}) + xi * cos({turn})) ** 2) AS mag
+  FROM {tried} GROUP BY film, look, iaz, {own} i, j),
 best AS (SELECT film, look, iaz, sa, sr, mag FROM fine
   QUALIFY row_number() OVER (PARTITION BY film, look, iaz ORDER BY mag DESC, i, j) = 1),
 dots AS (SELECT c.film, c.look, c.iaz, sum(c.re * p.re + c.im * p.im) AS dr, sum(c.im * p.re - c.re * p.im) AS di
@@ -490,9 +495,9 @@ los AS (SELECT *, -{LAMBDA} / (4 * pi()) * atan2(sin(phase - mean), cos(phase -
 """
 
 
-def _track(reference: str) -> str:
+def _track(reference: str, exhaustive: bool = False) -> str:
     return f"""
-WITH {_track_body(reference, FILM, 0.62)}
+WITH {_track_body(reference, FILM, 0.62, exhaustive)}
 SELECT film, iaz::BIGINT AS win, iaz::BIGINT AS iaz, 0::BIGINT AS irg, look::BIGINT AS look,
   {_r("CASE WHEN low THEN 0.0 ELSE da END", "disp_az")}, {_r("CASE WHEN low THEN 0.0 ELSE dg END", "disp_rg")},
   {_r(f"CASE WHEN low THEN 0.0 ELSE da * {SPEED} END", "vel_los")}, {_r("CASE WHEN low THEN 0.0 ELSE dl END", "disp_los")},
@@ -951,6 +956,7 @@ ORACLE: dict[str, str] = {
     "track_adjacent": _track("adjacent"),
     "track_lag": _track("lag"),
     "track_pair": _track("pair"),
+    "track_exhaustive": _track("first", exhaustive=True),
     "track_phase": PHASE,
     "patch_demean": DEMEAN,
     "reference_series": REFERENCE,
