@@ -703,6 +703,33 @@ prof AS (SELECT a.win, j, j * 0.5::DOUBLE AS depth, a.mag * (1 - (fi - floor(fi)
   FROM ax JOIN mg a ON a.k = floor(fi)::INT JOIN mg b ON b.win = a.win AND b.k = a.k + 1 WHERE fi >= 0 AND fi < {N - 1})
 """
 _CELLS = f"SELECT win, j::BIGINT AS j, {_r('depth', 'depth')}, {_r('value', 'value', 4)} FROM prof"
+
+
+def _least_squares(depths: int, ridge: float) -> str:
+    """Model A by regularised normal equations, eliminated one unknown a table."""
+    turn = f"{KZ.format(lam='0.12::DOUBLE')} * look / {N}.0::DOUBLE * 0.5"
+    steps = "".join(
+        f"""m{p + 1} AS MATERIALIZED (SELECT x.r, x.c, CASE WHEN x.r = {p} THEN x.v / d.v ELSE x.v - f.v * y.v / d.v END AS v
+  FROM m{p} x JOIN m{p} y ON y.r = {p} AND y.c = x.c JOIN m{p} f ON f.r = x.r AND f.c = {p} JOIN m{p} d ON d.r = {p} AND d.c = {p}
+  WHERE x.c > {p}),
+"""
+        for p in range(2 * depths)
+    )
+    return f"""
+WITH {OBS},
+gm AS (SELECT a.j AS r, b.j AS c, sum(cos({turn} * (b.j - a.j))) + CASE WHEN a.j = b.j THEN {ridge * N}::DOUBLE ELSE 0.0 END AS gr,
+    sum(sin({turn} * (b.j - a.j))) AS gi FROM range({depths}) a(j), range({depths}) b(j), range({N}) l(look) GROUP BY a.j, b.j),
+rhs AS (SELECT win, j AS r, sum(cos({turn} * j) * yr + sin({turn} * j) * yi) AS br, sum(cos({turn} * j) * yi - sin({turn} * j) * yr) AS bi
+  FROM obs, range({depths}) r(j) GROUP BY win, j),
+m0 AS MATERIALIZED (SELECT r, c, gr AS v FROM gm UNION ALL SELECT r, c + {depths}, -gi FROM gm
+  UNION ALL SELECT r + {depths}, c, gi FROM gm UNION ALL SELECT r + {depths}, c + {depths}, gr FROM gm
+  UNION ALL SELECT r, 1000 + win, br FROM rhs UNION ALL SELECT r + {depths}, 1000 + win, bi FROM rhs),
+{steps}prof AS (SELECT a.c - 1000 AS win, a.r AS j, a.r * 0.5::DOUBLE AS depth, sqrt(a.v * a.v + b.v * b.v) AS value
+  FROM m{2 * depths} a JOIN m{2 * depths} b ON b.c = a.c AND b.r = a.r + {depths} WHERE a.r < {depths})
+{_CELLS}
+"""
+
+
 MODEL_C = f"""
 WITH {OBS},
 kz AS (SELECT i AS look, 4 * pi() * (1000.0::DOUBLE * i / {N - 1}) / (0.031::DOUBLE * 500000.0 * sin(35.0::DOUBLE * pi() / 180.0)) AS kz FROM range({N}) r(i)),
@@ -974,6 +1001,7 @@ ORACLE: dict[str, str] = {
     "strongest_windows": STRONGEST,
     "control_report": CONTROL,
     "model_a_profile": f"WITH {MODEL_A} {_CELLS}",
+    "model_a_lstsq_profile": _least_squares(21, 0.001),
     "model_b_profile": MODEL_B,
     "model_c_profile": MODEL_C,
     "model_d_profile": MODEL_D,
