@@ -103,10 +103,13 @@ def _derived(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per request and applicable check: ``(*keys, ord, check, level, detail)``.
+    """One row per request and applicable check: ``(*keys, ord, check, level, detail, figure_1, figure_2, figure_3)``.
 
-    The checks that apply are exploded as numbers; level and text are then chosen
-    per row, so a text nobody selects is never formatted.
+    The checks that apply are exploded as numbers; level, text and figures are then chosen per row, so a text nobody
+    selects is never formatted.  The figures are those of the text and: the frequency below which the observation
+    ratio is good (2 of its check), the first three blind frequencies, the least and greatest admissible
+    amplitude (2 and 3 of ambiguity), the share of look pairs with a common band (2 of the gate) and the line-of-sight
+    noise (3 of the phase floor).
     """
     c = F.col
     f, gate, t_sap, eta = c("target_freq_hz"), c("coherence_min"), c("t_sap"), c("eta")
@@ -119,55 +122,71 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     gaps = F.when(c("prf_hz") > 0, c("worst_gap_s") * c("prf_hz")).otherwise(0.0)
     margin = _ratio(c("target_amp_m"), c("a_min"))
     per_amp = _ratio(c("swing"), c("v_platform_ms"))
-    admissible = c("target_amp_m").between(
-        _ratio(0.5 * TRACK_FLOOR_PX * c("cell_m"), per_amp), _ratio(0.5 * c("ceiling") * c("cell_m"), per_amp)
-    )
+    bounds = [_ratio(0.5 * TRACK_FLOOR_PX * c("cell_m"), per_amp), _ratio(0.5 * c("ceiling") * c("cell_m"), per_amp)]
+    admissible = c("target_amp_m").between(*bounds)
+    # Looks up to ``last`` steps apart share part of their band.
+    last = F.least(c("n_looks") - 1, F.ceil(_ratio(F.lit(1.0), 1.0 - c("overlap"))) - 1)
+    paired = _ratio(last * c("n_looks") - last * (last + 1) / 2.0, c("n_looks") * (c("n_looks") - 1) / 2.0)
     phase_sd = _ratio(F.sqrt(1.0 - gate * gate), gate * F.sqrt(2.0 * c("independent")))
     whole, distance, say = c("whole"), c("distance"), F.format_string
 
-    # (check, applies, level, detail) in report order.
+    # (check, applies, level, detail, figures) in report order.
     checks = [
         ("metadata", None, _level(~usable),
          say("dwell %.3f s, wavelength %.4f m, range %.1f km, speed %.0f m/s", c("dwell_s"),
-             c("lambda_m"), c("slant_range_m") / 1000.0, c("v_platform_ms"))),
+             c("lambda_m"), c("slant_range_m") / 1000.0, c("v_platform_ms")),
+         [c("dwell_s"), c("slant_range_m") / 1000.0, c("v_platform_ms")]),
         ("frequency_resolution", targeted, _level(f * c("dwell_s") < 3.0),
-         say("%.4f Hz resolution; the target is %.1f bins from zero", _ratio(F.lit(1.0), c("dwell_s")), f * c("dwell_s"))),
+         say("%.4f Hz resolution; the target is %.1f bins from zero", _ratio(F.lit(1.0), c("dwell_s")), f * c("dwell_s")),
+         [_ratio(F.lit(1.0), c("dwell_s")), f * c("dwell_s")]),
         ("observable_band", always, _level((f > 0) & (f >= c("f_max"))),
          say("%.0f sub-apertures reach %.3f Hz; their step alone would suggest %.3f Hz",
-             c("looks"), c("f_max"), _ratio(F.lit(0.5), c("step")))),
+             c("looks"), c("f_max"), _ratio(F.lit(0.5), c("step"))),
+         [c("f_max"), _ratio(F.lit(0.5), c("step")), c("looks")]),
         ("grid_width", always, _level(c("grid_n") < need),
-         say("a spectral split needs %d azimuth lines, the grid has %d", need, c("grid_n").cast("bigint"))),
+         say("a spectral split needs %d azimuth lines, the grid has %d", need, c("grid_n").cast("bigint")),
+         [need, c("grid_n")]),
         ("observation_ratio", targeted, _level(F.lit(False), eta > ETA_GOOD),
-         say("sub-aperture %.4f s at %.3f Hz observes %.3f of a cycle", t_sap, f, eta)),
+         say("sub-aperture %.4f s at %.3f Hz observes %.3f of a cycle", t_sap, f, eta),
+         [eta, _ratio(F.lit(ETA_GOOD), t_sap), t_sap]),
         ("averaging_null", targeted & (t_sap > 0),
          _level((whole >= 1) & (distance < 0.10), (whole >= 1) & (distance < 0.20)),
-         say("%.3f of a cycle from the nearest blind frequency", distance)),
+         say("%.3f of a cycle from the nearest blind frequency", distance),
+         [_ratio(F.lit(float(k)), t_sap) for k in (1, 2, 3)]),
         ("aperture_fraction", always, _level(F.lit(False), ~c("alpha").between(ALPHA_LO, ALPHA_HI)),
          say("aperture fraction %.3f%%, published range %.1f-%.1f%%", 100.0 * c("alpha"),
-             F.lit(100 * ALPHA_LO), F.lit(100 * ALPHA_HI))),
+             F.lit(100 * ALPHA_LO), F.lit(100 * ALPHA_HI)),
+         [c("alpha"), F.lit(ALPHA_LO), F.lit(ALPHA_HI)]),
         ("prf_stability", (c("prf_min_hz") > 0) & (c("prf_max_hz") > 0),
          _level(F.lit(False), (gaps > 20.0) | (spread > 5.0)),
-         say("pulse rate spans %.2f%%; the largest gap is %.1f intervals", spread, gaps)),
+         say("pulse rate spans %.2f%%; the largest gap is %.1f intervals", spread, gaps),
+         [spread, gaps]),
         ("sensitivity", targeted & (c("cell_m") > 0) & (c("upsample") > 0),
          F.when(~(c("target_amp_m") > 0), "UNKNOWN").otherwise(_level(margin < 1.0, margin < 3.0)),
          say("detectable from %.3f mm vertical; interpolation alone would allow %.4f px",
-             1000.0 * c("a_min"), validate_floor_px(c("upsample")))),
+             1000.0 * c("a_min"), validate_floor_px(c("upsample"))),
+         [c("a_min"), margin, validate_floor_px(c("upsample"))]),
         ("ambiguity", targeted & (c("cell_m") > 0) & (t_sap > 0) & (c("v_platform_ms") > 0),
          _level((c("ceiling") <= TRACK_FLOOR_PX) | ((c("target_amp_m") > 0) & ~admissible)),
-         say("shifts wrap at %.1f px against a floor of %.1f px", c("ceiling"), F.lit(TRACK_FLOOR_PX))),
+         say("shifts wrap at %.1f px against a floor of %.1f px", c("ceiling"), F.lit(TRACK_FLOOR_PX)),
+         [c("ceiling"), *bounds]),
         ("coherence_gate",
          (c("alpha") > 0) & (c("overlap") > 0) & (c("overlap") < 1)
          & (c("n_looks") > 1),
          _level((gate > 0) & (gate <= c("shared")), (gate <= 0) | (gate <= 1.5 * c("shared"))),
-         say("an incoherent scene still reports %.3f; the mask is %.2f", c("shared"), gate)),
+         say("an incoherent scene still reports %.3f; the mask is %.2f", c("shared"), gate),
+         [c("shared"), paired, gate]),
         ("phase_floor",
          (c("win") > 0) & (c("cell_m") > 0) & (t_sap > 0) & (gate > 0) & (c("lambda_m") > 0),
          _level(F.lit(False), c("independent") <= 4.0),
-         say("%.0f independent samples bound the phase at %.3f rad", c("independent"), phase_sd)),
+         say("%.0f independent samples bound the phase at %.3f rad", c("independent"), phase_sd),
+         [c("independent"), phase_sd, phase_sd * c("lambda_m") / (4.0 * math.pi)]),
         ("memory", (c("n_pulse") > 0) & (c("n_rbin") > 0), F.lit("PASS"),
-         say("%.1f GB of complex samples", c("n_pulse") * c("n_rbin") * 8.0 / 1e9)),
+         say("%.1f GB of complex samples", c("n_pulse") * c("n_rbin") * 8.0 / 1e9),
+         [c("n_pulse") * c("n_rbin") * 8.0 / 1e9]),
         ("ground_truth", always, F.lit("UNKNOWN"),
-         F.lit("whether anything in the scene moves is not a property of the collect")),
+         F.lit("whether anything in the scene moves is not a property of the collect"),
+         []),
     ]
 
     # Unusable geometry ends the list after its first line.
@@ -183,9 +202,16 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return out
 
     names = F.array(*[F.lit(check[0]) for check in checks])
+    def figure(place: int) -> Column:
+        out = F.lit(None).cast("double")
+        for i, check in enumerate(checks):
+            if place < len(check[4]):
+                out = F.when(c("ord") == i, check[4][place].cast("double")).otherwise(out)
+        return out
+
     return numbered.select(
         *keys, "ord", F.element_at(names, c("ord") + 1).alias("check"),
-        chosen(2).alias("level"), chosen(3).alias("detail"),
+        chosen(2).alias("level"), chosen(3).alias("detail"), *[figure(k).alias(f"figure_{k + 1}") for k in range(3)],
     )
 
 

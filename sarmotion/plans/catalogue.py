@@ -598,7 +598,7 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
 
 def q_validate_findings(spark: SparkSession, d: str) -> DataFrame:
     found = validation.findings(_requests(spark, d), ["o_orderkey"])
-    return found.select("o_orderkey", "check", "level")
+    return rounded(found.select("o_orderkey", "check", "level", "figure_1", "figure_2", "figure_3"), figure_2=4)
 
 
 def q_validate_verdict(spark: SparkSession, d: str) -> DataFrame:

@@ -883,31 +883,45 @@ REQUESTS = """
 rq AS (SELECT o_orderkey, o_totalprice / 15000.0::DOUBLE AS dwell, o_custkey AS n_pulse, (o_custkey % 700)::DOUBLE AS over,
     (o_orderkey % 40) / 8.0::DOUBLE - 0.5 AS f, (o_orderkey % 7) / 1000.0::DOUBLE AS amp, (o_custkey % 17 + 1) / 200.0::DOUBLE AS alpha,
     (o_custkey % 10) / 10.0::DOUBLE AS ov, (o_orderkey % 9) / 20.0::DOUBLE AS gate FROM orders),
-r1 AS (SELECT *, alpha * dwell AS ts, (1.0 / alpha - ov) / (1.0 - ov) AS looks, f * alpha * dwell AS eta,
+r1 AS (SELECT *, alpha * dwell AS ts, (1.0 / alpha - ov) / (1.0 - ov) AS looks, f * (alpha * dwell) AS eta,
     640000.0::DOUBLE * 2 * pi() * f * cos(0.61::DOUBLE) AS swing, 0.0305::DOUBLE * 640000.0 / (2.0 * 7410.0 * (alpha * dwell)) AS res FROM rq),
 r2 AS (SELECT *, 1.0 / (2.0 * ts) AS fmax, floor(eta + 0.5) AS wh, 1.5 * res AS ceil_px,
     CASE WHEN swing > 0 THEN 3.5 * 7410.0 / swing ELSE 'inf'::DOUBLE END AS amin, floor(looks + 0.5)::BIGINT AS nl FROM r1),
 r3 AS (SELECT *, CASE WHEN wh >= 1 THEN abs(eta - wh) ELSE eta END AS dist, greatest(32.0 / res, 1.0) * 32 AS ind,
     (SELECT sum((nl - d) * greatest(1.0 - d * (1.0 - ov), 0.0)) / sum(nl - d) FROM range(1, greatest(nl, 1)) q(d)) AS fl FROM r2),
 fd AS (
-  SELECT o_orderkey, 'metadata' AS "check", CASE WHEN dwell > 0 THEN 'PASS' ELSE 'FAIL' END AS level FROM r3
-  UNION ALL SELECT o_orderkey, 'frequency_resolution', CASE WHEN f * dwell < 3 THEN 'FAIL' ELSE 'PASS' END FROM r3 WHERE dwell > 0 AND f > 0
-  UNION ALL SELECT o_orderkey, 'observable_band', CASE WHEN f > 0 AND f >= fmax THEN 'FAIL' ELSE 'PASS' END FROM r3 WHERE dwell > 0
-  UNION ALL SELECT o_orderkey, 'grid_width', CASE WHEN 128 < floor(2 * looks + 0.5) THEN 'FAIL' ELSE 'PASS' END FROM r3 WHERE dwell > 0
-  UNION ALL SELECT o_orderkey, 'observation_ratio', CASE WHEN eta > 0.2 THEN 'WARN' ELSE 'PASS' END FROM r3 WHERE dwell > 0 AND f > 0
-  UNION ALL SELECT o_orderkey, 'averaging_null', CASE WHEN wh >= 1 AND dist < 0.1 THEN 'FAIL' WHEN wh >= 1 AND dist < 0.2 THEN 'WARN' ELSE 'PASS' END
+  SELECT o_orderkey, 'metadata' AS "check", CASE WHEN dwell > 0 THEN 'PASS' ELSE 'FAIL' END AS level,
+    floor((dwell)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((640.0)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((7410.0)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3 FROM r3
+  UNION ALL SELECT o_orderkey, 'frequency_resolution', CASE WHEN f * dwell < 3 THEN 'FAIL' ELSE 'PASS' END,
+    floor((1 / dwell)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((f * dwell)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, CAST(NULL AS DOUBLE) AS figure_3 FROM r3 WHERE dwell > 0 AND f > 0
+  UNION ALL SELECT o_orderkey, 'observable_band', CASE WHEN f > 0 AND f >= fmax THEN 'FAIL' ELSE 'PASS' END,
+    floor((fmax)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((0.5 / CASE WHEN looks > 1 THEN (dwell - ts) / (looks - 1) ELSE dwell END)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((looks)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3 FROM r3 WHERE dwell > 0
+  UNION ALL SELECT o_orderkey, 'grid_width', CASE WHEN 128 < floor(2 * looks + 0.5) THEN 'FAIL' ELSE 'PASS' END,
+    floor((floor(2 * looks + 0.5))::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((128)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, CAST(NULL AS DOUBLE) AS figure_3 FROM r3 WHERE dwell > 0
+  UNION ALL SELECT o_orderkey, 'observation_ratio', CASE WHEN eta > 0.2 THEN 'WARN' ELSE 'PASS' END,
+    floor((eta)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((0.2 / ts)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((ts)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3 FROM r3 WHERE dwell > 0 AND f > 0
+  UNION ALL SELECT o_orderkey, 'averaging_null', CASE WHEN wh >= 1 AND dist < 0.1 THEN 'FAIL' WHEN wh >= 1 AND dist < 0.2 THEN 'WARN' ELSE 'PASS' END,
+    floor((1 / ts)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((2 / ts)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((3 / ts)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3
     FROM r3 WHERE dwell > 0 AND f > 0
-  UNION ALL SELECT o_orderkey, 'aperture_fraction', CASE WHEN alpha BETWEEN 0.045 AND 0.076 THEN 'PASS' ELSE 'WARN' END FROM r3 WHERE dwell > 0
-  UNION ALL SELECT o_orderkey, 'prf_stability', CASE WHEN 100.0 * over / 8800.0 > 5 THEN 'WARN' ELSE 'PASS' END FROM r3 WHERE dwell > 0
-  UNION ALL SELECT o_orderkey, 'sensitivity', CASE WHEN amp <= 0 THEN 'UNKNOWN' WHEN amp / amin < 1 THEN 'FAIL' WHEN amp / amin < 3 THEN 'WARN' ELSE 'PASS' END
+  UNION ALL SELECT o_orderkey, 'aperture_fraction', CASE WHEN alpha BETWEEN 0.045 AND 0.076 THEN 'PASS' ELSE 'WARN' END,
+    floor((alpha)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((0.045)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((0.076)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3 FROM r3 WHERE dwell > 0
+  UNION ALL SELECT o_orderkey, 'prf_stability', CASE WHEN 100.0 * over / 8800.0 > 5 THEN 'WARN' ELSE 'PASS' END,
+    floor((100.0 * over / 8800.0)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((0.00097 * 8800.0)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, CAST(NULL AS DOUBLE) AS figure_3 FROM r3 WHERE dwell > 0
+  UNION ALL SELECT o_orderkey, 'sensitivity', CASE WHEN amp <= 0 THEN 'UNKNOWN' WHEN amp / amin < 1 THEN 'FAIL' WHEN amp / amin < 3 THEN 'WARN' ELSE 'PASS' END,
+    floor((amin)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((amp / amin)::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((2.449 / 40.0)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3
     FROM r3 WHERE dwell > 0 AND f > 0
   UNION ALL SELECT o_orderkey, 'ambiguity', CASE WHEN ceil_px <= 7 OR (amp > 0 AND NOT amp BETWEEN 3.5 / (swing / 7410.0) AND 0.5 * ceil_px / (swing / 7410.0))
-    THEN 'FAIL' ELSE 'PASS' END FROM r3 WHERE dwell > 0 AND f > 0
-  UNION ALL SELECT o_orderkey, 'coherence_gate', CASE WHEN gate > 0 AND gate <= fl THEN 'FAIL' WHEN gate <= 1.5 * fl THEN 'WARN' ELSE 'PASS' END
+    THEN 'FAIL' ELSE 'PASS' END,
+    floor((ceil_px)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((3.5 / (swing / 7410.0))::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((0.5 * ceil_px / (swing / 7410.0))::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3 FROM r3 WHERE dwell > 0 AND f > 0
+  UNION ALL SELECT o_orderkey, 'coherence_gate', CASE WHEN gate > 0 AND gate <= fl THEN 'FAIL' WHEN gate <= 1.5 * fl THEN 'WARN' ELSE 'PASS' END,
+    floor((fl)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor(((SELECT sum(nl - d) FROM range(1, greatest(nl, 1)) q(d) WHERE d * (1.0 - ov) < 1.0) / (nl * (nl - 1) / 2.0))::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((gate)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3
     FROM r3 WHERE dwell > 0 AND ov > 0 AND nl > 1
-  UNION ALL SELECT o_orderkey, 'phase_floor', CASE WHEN ind <= 4 THEN 'WARN' ELSE 'PASS' END FROM r3 WHERE dwell > 0 AND gate > 0
-  UNION ALL SELECT o_orderkey, 'memory', 'PASS' FROM r3 WHERE dwell > 0 AND n_pulse > 0
-  UNION ALL SELECT o_orderkey, 'ground_truth', 'UNKNOWN' FROM r3 WHERE dwell > 0)
+  UNION ALL SELECT o_orderkey, 'phase_floor', CASE WHEN ind <= 4 THEN 'WARN' ELSE 'PASS' END,
+    floor((ind)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, floor((sqrt(1 - gate * gate) / (gate * sqrt(2 * ind)))::DOUBLE * 1e4::DOUBLE + 0.5) / 1e4::DOUBLE AS figure_2, floor((sqrt(1 - gate * gate) / (gate * sqrt(2 * ind)) * 0.0305 / (4 * pi()))::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_3 FROM r3 WHERE dwell > 0 AND gate > 0
+  UNION ALL SELECT o_orderkey, 'memory', 'PASS',
+    floor((n_pulse * 4096.0 * 8 / 1e9)::DOUBLE * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS figure_1, CAST(NULL AS DOUBLE) AS figure_2, CAST(NULL AS DOUBLE) AS figure_3 FROM r3 WHERE dwell > 0 AND n_pulse > 0
+  UNION ALL SELECT o_orderkey, 'ground_truth', 'UNKNOWN',
+    CAST(NULL AS DOUBLE) AS figure_1, CAST(NULL AS DOUBLE) AS figure_2, CAST(NULL AS DOUBLE) AS figure_3 FROM r3 WHERE dwell > 0)
 """
 FINDINGS = f"WITH {REQUESTS} SELECT * FROM fd"
 VERDICT = f"""
