@@ -70,7 +70,9 @@ def control_report(
         F.count_if(near).alias("n_recovered"), F.max(F.when(near, entry)).alias("_b"),
         F.max("quality").alias("best_quality"),
     )
-    return found.select(
+    middle = order_statistics(spectra, keys, "quality", medians()).drop("n")
+    return attach(found, middle, keys).select(
         *keys, (F.col("n_recovered") > 0).alias("recovered"), "n_recovered", (-F.col("_b.w")).alias("win"),
         F.col("_b.f").alias("frequency"), F.col("_b.p").alias("prominence"), "best_quality",
+        (0.5 * (F.col("mid_lo") + F.col("mid_hi"))).alias("median_quality"),
     )

@@ -8,6 +8,7 @@ along with the task; windows are streamed through them and never shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
@@ -372,26 +373,48 @@ def _contrast(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def circular_shift(trial, win, n_depth: int, seed: int) -> Column:
+def circular_shift(trial: int, win: int, n_depth: int, seed: int) -> int:
     """Shift of one window in one trial, drawn from a digest of its identity."""
-    identity = F.concat_ws(":", F.lit(str(seed)), trial.cast("string"), win.cast("string"))
-    draw = F.conv(F.substring(F.md5(identity), 1, 8), 16, 10).cast("bigint")
-    return draw % n_depth
+    return int(hashlib.md5(f"{seed}:{trial}:{win}".encode()).hexdigest()[:8], 16) % n_depth
+
+
+def realigned_totals(profile: DataFrame, n_depth: int, trials: int, seed: int = 1) -> DataFrame:
+    """``(trial, j, total)`` parts of the stacks of shifted profiles: trials x depths rows for each task."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((trials, n_depth))
+        # Depth cell j of the stack takes cell j - s of profiles shifted by s.
+        back = (np.arange(n_depth)[None, :] - np.arange(n_depth)[:, None]) % n_depth
+        seen = False
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            seen = True
+            wins = batch.column(0).to_pylist()
+            lines = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(wins), n_depth)
+            for trial in range(trials):
+                shifts = [circular_shift(trial, w, n_depth, seed) for w in wins]
+                by_shift = np.zeros((n_depth, n_depth))
+                np.add.at(by_shift, shifts, lines)
+                totals[trial] += np.take_along_axis(by_shift, back, axis=1).sum(axis=0)
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.arange(trials), n_depth)), pa.array(np.tile(np.arange(n_depth), trials)),
+                    pa.array(totals.ravel()),
+                ],
+                names=["trial", "j", "total"],
+            )
+
+    return profile.select("win", "profile").mapInArrow(fold, "trial bigint, j bigint, total double")
 
 
 def realigned_contrasts(profile: DataFrame, n_depth: int, trials: int, seed: int = 1) -> DataFrame:
     """Contrast per trial after shifting every window's profile at random."""
     if trials <= 0 or n_depth <= 0:
         raise ArgumentError("an alignment null needs trials and a depth axis")
-    # trials x depths rows per window, folded into trials x depths per task.
-    drawn = profile.select(
-        "win", "profile", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
-    ).withColumn("_shift", circular_shift(F.col("trial"), F.col("win"), n_depth, seed))
-    moved = drawn.select(
-        "trial", "_shift", F.posexplode("profile").alias("j", "v")
-    ).select("trial", ((F.col("j") + F.col("_shift")) % n_depth).alias("j"), "v")
-    totals = moved.groupBy("trial", "j").agg(F.sum("v").alias("total"))
-    return _contrast(totals, ["trial"])
+    parts = realigned_totals(profile, n_depth, trials, seed)
+    return _contrast(parts.groupBy("trial", "j").agg(F.sum("total").alias("total")), ["trial"])
 
 
 def alignment_null(profile: DataFrame, n_depth: int, trials: int, seed: int = 1) -> DataFrame:

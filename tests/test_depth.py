@@ -3,6 +3,8 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from sarmotion.errors import ArgumentError, RangeFault
 from sarmotion.operators import tomography as tomo
 from sarmotion.params import MotionMeta, TomoParams
@@ -286,3 +288,15 @@ def test_data_vectors():
     assert np.allclose(los, az)
     with pytest.raises(ArgumentError):
         tomo.data_columns(replace(SCENE, y_source="phase"))
+
+
+def test_realigned_stacks_fold_inside_a_task(spark):
+    rng = np.random.default_rng(8)
+    lines = rng.exponential(size=(40, 7))
+    frame = spark.createDataFrame([(w, lines[w].tolist()) for w in range(40)], "win bigint, profile array<double>").coalesce(2)
+    parts = tomo.realigned_totals(frame, 7, 5, seed=3)
+    assert parts.count() == 2 * 5 * 7
+    got = {(r["trial"], r["j"]): r["total"] for r in parts.groupBy("trial", "j").agg(F.sum("total").alias("total")).collect()}
+    for trial in range(5):
+        want = sum(np.roll(lines[w], tomo.circular_shift(trial, w, 7, 3)) for w in range(40))
+        assert [got[trial, j] for j in range(7)] == pytest.approx(want)
