@@ -589,6 +589,31 @@ WITH {_windows(f"v * {SPEED}", series=CHAIN)}
 SELECT win::BIGINT AS win, win::BIGINT AS iaz, 0::BIGINT AS irg, {_r("quality", "quality")}, {_r("exc", "excursion_px")},
   bin::BIGINT AS dominant_bin, {_r("freq", "dominant_freq")}, {_r("amp", "amplitude")}, {_r("prom", "prominence")} FROM sp
 """
+# The look shuffle: a 32-bit generator and the swaps it drives, one row a step; orders are complete where i = 0.
+WORD = "4294967295"
+SHUFFLED = f"""
+pm(trial, i, state, ord) AS (
+  SELECT 0::BIGINT, 63::BIGINT, 1::BIGINT, range(64)
+  UNION ALL
+  SELECT CASE WHEN i = 0 THEN trial + 1 ELSE trial END, CASE WHEN i = 0 THEN 63 ELSE i - 1 END,
+    CASE WHEN i = 0 THEN ((trial + 1) * 2654435761 + 1) & {WORD} ELSE x END,
+    CASE WHEN i = 0 THEN ord ELSE list_transform(range(64), lambda k: CASE WHEN k = i THEN ord[j + 1] WHEN k = j THEN ord[i + 1] ELSE ord[k + 1] END) END
+  FROM (SELECT *, x % (i + 1) AS j FROM (SELECT *, xor(b, (b << 5) & {WORD}) AS x FROM (SELECT *, xor(a, a >> 17) AS b
+    FROM (SELECT *, xor(state, (state << 13) & {WORD}) AS a FROM pm WHERE NOT (trial = 3 AND i = 0)))))),
+placed AS (SELECT trial, unnest(ord) AS look, unnest(range(64)) AS spot FROM pm WHERE i = 0),
+film AS (SELECT vec_id // 64 * 4 + trial AS film, spot AS look, i // 4 AS az, i % 4 AS rg,
+    embedding[2 * i + 1]::DOUBLE AS re, embedding[2 * i + 2]::DOUBLE AS im
+  FROM embeddings JOIN placed ON look = vec_id % 64, range(32) r(i)),
+{_track_body("first", TILE, 0.0)},
+ser AS (SELECT film * 3 + iaz AS win, look, quality, da AS v, 0.0 AS c FROM los)
+"""
+SHUFFLE_NULL = f"""
+WITH RECURSIVE {_windows(f"v * {SPEED}", series=SHUFFLED)},
+ga AS (SELECT *, win // 3 AS run, quality >= 0.5 * greatest(max(quality) OVER (PARTITION BY win // 3), 0) AND exc >= 2.449::DOUBLE / 4 AS passed FROM sp),
+pr AS (SELECT run, coalesce(max(prom) FILTER (WHERE passed), 0.0) AS p FROM ga GROUP BY run)
+SELECT 5.0::DOUBLE AS "real", {_r("avg(p)", "mean")}, {_r("stddev_pop(p)", "sd")}, {_r("max(p)", "worst")}, count(*) AS n_trials,
+  count(*) FILTER (WHERE p >= 5.0) AS n_ge, {_r("(count(*) FILTER (WHERE p >= 5.0) + 1) / (count(*) + 1.0::DOUBLE)", "p_value")} FROM pr
+"""
 PSD = f"WITH {_psd(VEL)} SELECT win, k::BIGINT AS k, {_r('k / 16.0::DOUBLE', 'freq')}, {_r('psd', 'psd')} FROM psd"
 WINDOWS = f"WITH {SP} {_SP_OUT}"
 DISPLACEMENT = f"WITH {_windows('v * 0.001::DOUBLE', 5, 'mean')} {_SP_OUT}"
@@ -997,6 +1022,7 @@ ORACLE: dict[str, str] = {
     "track_adjacent": _track("adjacent"),
     "track_lag": _track("lag"),
     "track_pair": _track("pair"),
+    "shuffle_null": SHUFFLE_NULL,
     "track_exhaustive": _track("first", exhaustive=True),
     "track_phase": PHASE,
     "patch_demean": DEMEAN,

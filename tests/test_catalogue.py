@@ -14,7 +14,7 @@ from sarmotion.plans import tables  # noqa: E402
 from sarmotion.plans.catalogue import QUERIES  # noqa: E402
 from sarmotion.plans.oracle import ORACLE  # noqa: E402
 
-WITHOUT_SQL = {"track_splitband", "shuffle_null"}
+WITHOUT_SQL = {"track_splitband"}
 SMALL = "/root/testdata/sf0.001"
 
 
