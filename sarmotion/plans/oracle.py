@@ -589,6 +589,58 @@ WITH {_windows(f"v * {SPEED}", series=CHAIN)}
 SELECT win::BIGINT AS win, win::BIGINT AS iaz, 0::BIGINT AS irg, {_r("quality", "quality")}, {_r("exc", "excursion_px")},
   bin::BIGINT AS dominant_bin, {_r("freq", "dominant_freq")}, {_r("amp", "amplitude")}, {_r("prom", "prominence")} FROM sp
 """
+def _linked(steps: int) -> str:
+    """Fixed-point phase linking of both sub-bands, one table a step."""
+    out = "x0 AS MATERIALIZED (SELECT film, band, look, 1.0::DOUBLE AS xr, 0.0::DOUBLE AS xi, 0.0::DOUBLE AS moved FROM lk, range(2) b(band)),\n"
+    for k in range(steps):
+        out += f"""p{k} AS (SELECT g.film, g.band, g.i AS look, sum(g.cr * x.xr - g.ci * x.xi) AS pr, sum(g.cr * x.xi + g.ci * x.xr) AS pi
+  FROM gam g JOIN x{k} x ON x.film = g.film AND x.band = g.band AND x.look = g.j WHERE g.i <> g.j GROUP BY g.film, g.band, g.i),
+x{k + 1} AS MATERIALIZED (SELECT film, band, look, nr AS xr, ni AS xi, sqrt((nr - xr) ** 2 + (ni - xi) ** 2) AS moved FROM (
+  SELECT x.film, x.band, x.look, x.xr, x.xi, CASE WHEN pr * pr + pi * pi > 0 THEN pr / sqrt(pr * pr + pi * pi) ELSE xr END AS nr,
+    CASE WHEN pr * pr + pi * pi > 0 THEN pi / sqrt(pr * pr + pi * pi) ELSE xi END AS ni FROM x{k} x LEFT JOIN p{k} USING (film, band, look))),
+"""
+    settled = " UNION ALL ".join(f"SELECT film, band, {k} AS k, sum(moved) AS moved FROM x{k} GROUP BY film, band" for k in range(1, steps + 1))
+    return out + f"settled AS (SELECT film, bool_and(ok) AS converged FROM (SELECT film, band, bool_or(moved < 1e-9) AS ok FROM ({settled}) GROUP BY film, band) GROUP BY film)"
+
+
+_GRAM = "sum(a.sr * b.sr + a.si * b.si) AS gr, sum(a.si * b.sr - a.sr * b.si) AS gi"
+SPLITBAND = f"""
+WITH RECURSIVE {FILM.rsplit("tile AS", 1)[0].rstrip().rstrip(",")},
+lk AS (SELECT DISTINCT film, look FROM film),
+dm AS (SELECT film, look, az, rg, re - avg(re) OVER w0 AS re, im - avg(im) OVER w0 AS im FROM film WINDOW w0 AS (PARTITION BY film, look)),
+sp AS (SELECT film, look, rg, k, sum(re * cos(2 * pi() * (k - 4) * az / 8.0::DOUBLE) + im * sin(2 * pi() * (k - 4) * az / 8.0::DOUBLE)) AS sr,
+    sum(im * cos(2 * pi() * (k - 4) * az / 8.0::DOUBLE) - re * sin(2 * pi() * (k - 4) * az / 8.0::DOUBLE)) AS si
+  FROM dm, range(8) q(k) GROUP BY film, look, rg, k),
+pw AS (SELECT film, list(p ORDER BY k) AS p, sum(p) AS total FROM (SELECT film, k, sum(sr * sr + si * si) AS p FROM sp GROUP BY film, k) GROUP BY film),
+grow(film, lo, hi, held) AS (
+  SELECT film, list_position(p, list_max(p)) - 1, list_position(p, list_max(p)) - 1, list_max(p) FROM pw
+  UNION ALL
+  SELECT film, CASE WHEN above >= below THEN lo ELSE lo - 1 END, CASE WHEN above >= below THEN hi + 1 ELSE hi END, held + greatest(above, below)
+  FROM (SELECT g.film, lo, hi, held, CASE WHEN lo > 0 THEN p[lo] ELSE -1.0 END AS below, CASE WHEN hi < 7 THEN p[hi + 2] ELSE -1.0 END AS above
+    FROM grow g JOIN pw ON pw.film = g.film WHERE held < 0.9::DOUBLE * total AND (lo > 0 OR hi < 7))),
+bd AS (SELECT film, min(lo) AS lo, max(hi) AS hi, max(hi) - min(lo) + 1 AS width FROM grow GROUP BY film),
+part AS (SELECT s.*, band FROM sp s JOIN bd USING (film), range(2) b(band) WHERE width >= 6
+  AND CASE WHEN band = 0 THEN k >= lo AND k < lo + width // 3 ELSE k >= hi + 1 - width // 3 AND k <= hi END),
+gm AS (SELECT a.film, a.band, a.look AS i, b.look AS j, {_GRAM} FROM part a JOIN part b ON b.film = a.film AND b.band = a.band AND b.rg = a.rg AND b.k = a.k
+  GROUP BY a.film, a.band, a.look, b.look),
+gam AS MATERIALIZED (SELECT g.film, g.band, g.i, g.j, CASE WHEN u.gr * v.gr > 0 THEN g.gr / sqrt(u.gr * v.gr) ELSE 0.0 END AS cr,
+    CASE WHEN u.gr * v.gr > 0 THEN g.gi / sqrt(u.gr * v.gr) ELSE 0.0 END AS ci
+  FROM gm g JOIN gm u ON u.film = g.film AND u.band = g.band AND u.i = g.i AND u.j = g.i JOIN gm v ON v.film = g.film AND v.band = g.band AND v.i = g.j AND v.j = g.j),
+{_linked(32)},
+ph AS (SELECT x.film, x.band, x.look, atan2(x.xi * z.xr - x.xr * z.xi, x.xr * z.xr + x.xi * z.xi) AS phase
+  FROM x32 x JOIN x32 z ON z.film = x.film AND z.band = x.band AND z.look = 0),
+sh AS (SELECT u.film, u.look, CASE WHEN u.look = 0 THEN 0.0 ELSE atan2(sin(u.phase - l.phase), cos(u.phase - l.phase)) * (-3.0) / (4 * pi() * width / 8.0::DOUBLE) END AS shift
+  FROM ph u JOIN ph l ON l.film = u.film AND l.look = u.look AND l.band = 0 JOIN bd ON bd.film = u.film WHERE u.band = 1),
+wg AS (SELECT a.film, a.look AS i, b.look AS j, {_GRAM} FROM sp a JOIN sp b ON b.film = a.film AND b.rg = a.rg AND b.k = a.k AND b.look >= a.look GROUP BY a.film, a.look, b.look),
+qu AS (SELECT g.film, avg(sqrt((g.gr ** 2 + g.gi ** 2) / (u.gr * v.gr))) AS quality
+  FROM wg g JOIN wg u ON u.film = g.film AND u.i = g.i AND u.j = g.i JOIN wg v ON v.film = g.film AND v.i = g.j AND v.j = g.j
+  WHERE g.i < g.j AND u.gr * v.gr > 0 GROUP BY g.film)
+SELECT f.film, 0::BIGINT AS win, 0::BIGINT AS iaz, 0::BIGINT AS irg, l.look::BIGINT AS look, {_r("coalesce(shift, 0.0)", "disp_az")}, 0.0 AS disp_rg,
+  {_r(f"coalesce(shift, 0.0) * {SPEED}", "vel_los")}, 0.0 AS disp_los, 0.0 AS phase,
+  {_r("CASE WHEN width >= 6 THEN coalesce(quality, 0.0) ELSE 0.0 END", "quality")}, width < 6 OR converged AS converged
+FROM bd f CROSS JOIN range(64) l(look) LEFT JOIN sh ON sh.film = f.film AND sh.look = l.look LEFT JOIN qu ON qu.film = f.film LEFT JOIN settled st ON st.film = f.film
+"""
+
 # The look shuffle: a 32-bit generator and the swaps it drives, one row a step; orders are complete where i = 0.
 WORD = "4294967295"
 SHUFFLED = f"""
@@ -1023,6 +1075,7 @@ ORACLE: dict[str, str] = {
     "track_lag": _track("lag"),
     "track_pair": _track("pair"),
     "shuffle_null": SHUFFLE_NULL,
+    "track_splitband": SPLITBAND,
     "track_exhaustive": _track("first", exhaustive=True),
     "track_phase": PHASE,
     "patch_demean": DEMEAN,
