@@ -16,6 +16,7 @@ from sarmotion.llm.packing import packed_pieces
 from sarmotion.session import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
+CACHED_CHUNKS = 150_000
 
 
 def _prepare(spark: SparkSession) -> None:
@@ -52,7 +53,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in planned sequences."""
     _prepare(spark)
-    return packed_pieces(docs, public_tokenizers.path(TOKENIZER))
+    # The stages before it have left their memory behind.
+    return packed_pieces(docs, public_tokenizers.path(TOKENIZER), cached_chunks=CACHED_CHUNKS)
 
 
 STAGES = [

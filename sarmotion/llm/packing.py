@@ -23,8 +23,8 @@ from sarmotion.llm.common import lean, text_slices, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_CHUNKS = 400_000
-PIECE_BYTES = 1 << 21
+CACHED_CHUNKS = 700_000
+PIECE_BYTES = 1 << 22
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Python's split() also takes these four for white space; the tokenizer does not.
@@ -38,11 +38,11 @@ _SPLIT = re.compile(r"[^\S\x1c-\x1f]+")
 class ChunkEncoder:
     """Ids of runs without white space, which the tokenizer drops and never joins across.
 
-    Runs seen lately are kept in two generations of CACHED_CHUNKS each, so memory is bounded and only time depends on
-    what is kept.
+    Runs seen lately are kept in two generations of ``cached`` runs each, so memory is bounded and only time depends
+    on what is kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,6 +53,7 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
+        self.cached = cached
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -103,7 +104,7 @@ class ChunkEncoder:
         edges = offsets.tolist()
         lists = [split(raw[a:b].decode()) for a, b in zip(edges, edges[1:])]
         wanted = set().union(*lists) if lists else set()
-        if len(self.young) > CACHED_CHUNKS:
+        if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
         self.learn(wanted.difference(self.young))
         get = self.young.__getitem__
@@ -113,10 +114,11 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cached: int = CACHED_CHUNKS) -> ChunkEncoder:
     """One for each worker process and vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].cached = cached
     return _ENCODERS[path]
 
 
@@ -141,7 +143,7 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long, ids binary"
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, capacity: int, end_id: int, with_ids: bool, cached: int):
     tail = np.array([end_id], dtype="<u4").tobytes()
     width = 4 * capacity
 
@@ -152,7 +154,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             ids_in = batch.column("doc_id").to_pylist()
             for row, end, data, offsets in text_slices(batch.column("text"), PIECE_BYTES):
                 out: list[tuple] = []
-                for doc_id, ids in zip(ids_in[row:end], encoder(path).encode(*spaced(data, offsets))):
+                for doc_id, ids in zip(ids_in[row:end], encoder(path, cached).encode(*spaced(data, offsets))):
                     ids += tail
                     for piece, at in enumerate(range(0, len(ids), width)):
                         own = ids[at : at + width]
@@ -245,16 +247,17 @@ def _slots(plan: np.ndarray):
 
 def packed_pieces(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+    capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, cached_chunks: int = CACHED_CHUNKS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for.
 
+    ``cached_chunks`` bounds the memory of a worker (about 250 bytes for each, twice) and changes no result.
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit numbers. A null or empty text is a document of
     the end id alone. Rows that repeat a doc_id are packed one by one; a null doc_id is carried. Other columns are not
     read. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = base.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), PIECES)
+    pieces = base.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids, cached_chunks), PIECES)
     pieces = written(pieces if with_ids else pieces.drop("ids"))
     # Ranks within a length: those before in earlier parts, then the rank in the own part. No length is gathered.
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
