@@ -193,7 +193,10 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     applicable = F.array_compact(F.array(
         F.lit(0), *[F.when(usable & check[1], F.lit(i)) for i, check in enumerate(checks) if i]
     ))
-    numbered = _derived(requests, keys).withColumn("ord", F.explode(applicable))
+    # Figures are computed once a request, before its checks are exploded.
+    padded = [[x.cast("double") for x in check[4]] + [F.lit(None).cast("double")] * (3 - len(check[4])) for check in checks]
+    figures = F.array(*[F.array(*row) for row in padded])
+    numbered = _derived(requests, keys).withColumn("_figures", figures).withColumn("ord", F.explode(applicable))
 
     def chosen(part: int) -> Column:
         out = F.when(c("ord") == 0, checks[0][part])
@@ -202,16 +205,11 @@ def findings(requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         return out
 
     names = F.array(*[F.lit(check[0]) for check in checks])
-    def figure(place: int) -> Column:
-        out = F.lit(None).cast("double")
-        for i, check in enumerate(checks):
-            if place < len(check[4]):
-                out = F.when(c("ord") == i, check[4][place].cast("double")).otherwise(out)
-        return out
+    figure = lambda k: F.element_at("_figures", c("ord") + 1)[k].alias(f"figure_{k + 1}")
 
     return numbered.select(
         *keys, "ord", F.element_at(names, c("ord") + 1).alias("check"),
-        chosen(2).alias("level"), chosen(3).alias("detail"), *[figure(k).alias(f"figure_{k + 1}") for k in range(3)],
+        chosen(2).alias("level"), chosen(3).alias("detail"), *[figure(k) for k in range(3)],
     )
 
 
