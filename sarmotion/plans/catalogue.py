@@ -41,6 +41,7 @@ from ..operators.subaperture import (
     split,
 )
 from ..params import CcdParams, Grid, ImageMeta, Plane, SubapParams, TomoParams, TrackParams
+from . import commands
 from . import tables as t
 from .feasibility import feasibility
 
@@ -559,12 +560,12 @@ def q_depth_section(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_geocoded_peaks(spark: SparkSession, d: str) -> DataFrame:
-    peaks = tomography.window_peaks(_profile(spark, d, TOMO), TOMO).where("peak_value > 0")
-    x, y = F.col("iaz") * 16.0 - 40.0, F.col("irg") * 16.0 - 120.0
-    placed = peaks.select("win", "peak_depth", geo.plane_llh(PLANE, x, y).alias("g"))
-    return rounded(placed.select(
-        "win", "g.lat", "g.lon", F.col("g.hae").alias("plane_hae"), "peak_depth",
-        (F.col("g.hae") - F.col("peak_depth")).alias("peak_hae"),
+    peaks = tomography.window_peaks(_profile(spark, d, TOMO), TOMO)
+    layout = TrackParams(win_az=16, win_rg=16, stride_az=16, stride_rg=16)
+    found = commands.placed_windows(peaks, Grid(n_x=97, n_y=257), layout, PLANE)
+    return rounded(found.select(
+        F.col("window").alias("win"), F.col("lat_deg").alias("lat"), F.col("lon_deg").alias("lon"),
+        F.col("plane_hae_m").alias("plane_hae"), F.col("peak_depth_m").alias("peak_depth"), F.col("peak_hae_m").alias("peak_hae"),
     ), plane_hae=3, peak_hae=3)
 
 
@@ -639,12 +640,7 @@ def q_crop(spark: SparkSession, d: str) -> DataFrame:
 def q_collect_info(spark: SparkSession, d: str) -> DataFrame:
     """What a collect is, from one pass over its pulses."""
     collect = t.pulse_table(spark, d)
-    return rounded(collect.pulses.agg(
-        F.count(F.lit(1)).alias("n_pulses"), F.max(F.size("re")).alias("n_bins"),
-        (F.max("t") - F.min("t")).alias("dwell"),
-        ((F.count(F.lit(1)) - 1) / (F.max("t") - F.min("t"))).alias("prf"),
-        F.min("r_ref").alias("near_ref"), F.max("r_ref").alias("far_ref"),
-    ))
+    return rounded(commands.collect_facts(collect))
 
 
 QUERIES: dict[str, Query] = {

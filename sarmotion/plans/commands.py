@@ -31,6 +31,7 @@ from ..params import (
     SubapParams,
     TomoParams,
     TrackParams,
+    Plane,
 )
 
 
@@ -239,15 +240,20 @@ def depth_windows(depth: Depth) -> DataFrame:
 
 def geocoded_windows(depth: Depth, collect: Collect) -> DataFrame:
     """Window centres on the ellipsoid with their peak depths; empty windows drop out."""
-    grid, t = depth.grid, depth.tracking
-    peaks = tomography.window_peaks(depth.profiles, depth.params).where(F.col("peak_value") > 0)
+    peaks = tomography.window_peaks(depth.profiles, depth.params)
+    return placed_windows(peaks, depth.grid, depth.tracking, collect.meta.plane)
+
+
+def placed_windows(peaks: DataFrame, grid: Grid, t: TrackParams, plane: Plane) -> DataFrame:
+    """Peaks of windows ``(win, iaz, irg, peak_depth, peak_value)`` at their centres on the ellipsoid."""
+    peaks = peaks.where(F.col("peak_value") > 0)
 
     def centre(index: str, stride: int, win: int, n: int, step: float, origin: float):
         return origin + (F.col(index) * stride + win // 2 - 0.5 * (n - 1)) * step
 
     x = centre("iaz", t.stride_az or t.win_az, t.win_az, grid.n_x, grid.dx, grid.origin[0])
     y = centre("irg", t.stride_rg or t.win_rg, t.win_rg, grid.n_y, grid.dy, grid.origin[1])
-    placed = peaks.withColumn("_g", geodesy.plane_llh(collect.meta.plane, x, y))
+    placed = peaks.withColumn("_g", geodesy.plane_llh(plane, x, y))
     return placed.select(
         F.col("win").alias("window"), F.col("_g.lat").alias("lat_deg"), F.col("_g.lon").alias("lon_deg"),
         F.col("_g.hae").alias("plane_hae_m"), F.col("peak_depth").alias("peak_depth_m"),
@@ -337,10 +343,19 @@ def validate(requests: DataFrame) -> tuple[list[dict], str]:
     return rows, validation.verdict(found).first()["verdict"]
 
 
+def collect_facts(collect: Collect) -> DataFrame:
+    """What a collect's pulses say, in one pass over their geometry."""
+    count, span = F.count(F.lit(1)), F.max("t") - F.min("t")
+    return collect.geometry.agg(
+        count.alias("n_pulses"), F.lit(collect.meta.n_rbin).cast("bigint").alias("n_bins"), span.alias("dwell"),
+        F.try_divide(count - 1, span).alias("prf"), F.min("r_ref").alias("near_ref"), F.max("r_ref").alias("far_ref"),
+    )
+
+
 def info(collect: Collect) -> dict:
     """A phase history's own account of itself."""
     meta = collect.meta
-    span = collect.geometry.agg((F.max("t") - F.min("t")).alias("s")).first()["s"]
+    span = collect_facts(collect).first()["dwell"]
     return {
         "source": meta.source, "pulses": meta.n_pulse, "range_bins": meta.n_rbin,
         "carrier_ghz": meta.fc / 1e9, "wavelength_m": meta.wavelength, "transmit_prf_hz": meta.prf,
