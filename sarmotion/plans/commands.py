@@ -363,6 +363,31 @@ def info(collect: Collect) -> dict:
     }
 
 
+def scene_places(spark: SparkSession, meta: ImageMeta) -> DataFrame:
+    """Corners and centre of a focused image on the ellipsoid: ``(place, lat, lon, hae)``.
+
+    A pixel of a slant plane is moved round its range-Doppler circle to the plane's reference height.  Without a plane
+    there are no rows.
+    """
+    plane = meta.plane
+    az, rg = meta.n_az - 1.0, meta.n_rg - 1.0
+    places = [("first", 0.0, 0.0), ("last_range", 0.0, rg), ("last", az, rg), ("last_azimuth", az, 0.0), ("centre", az / 2, rg / 2)]
+    schema = "place string, a double, r double"
+    if plane is None:
+        return spark.createDataFrame([], "place string, lat double, lon double, hae double")
+    rows = spark.createDataFrame(places, schema)
+    vector = lambda v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip("xyz", v)])
+    point = F.struct(*[
+        (F.lit(float(o)) + F.col("a") * meta.az_spacing * float(u) + F.col("r") * meta.rg_spacing * float(w)).alias(n)
+        for n, o, u, w in zip("xyz", plane.origin, plane.u_x, plane.u_y)
+    ])
+    if plane.is_slant:
+        point = geodesy.slant_to_ground(vector(plane.sensor), vector(plane.sensor_vel), point, F.lit(float(plane.ref_hae)))
+    ground = rows.select("place", point.alias("p"))
+    llh = ground.select("place", geodesy.ecf_to_llh("p.x", "p.y", "p.z").alias("g"))
+    return llh.select("place", "g.lat", "g.lon", "g.hae")
+
+
 def image_info(pixels: DataFrame, meta: ImageMeta) -> dict:
     """A focused product's geometry, with Doppler figures measured from its pixels."""
     columns = pack_columns(pixels)
@@ -377,4 +402,5 @@ def image_info(pixels: DataFrame, meta: ImageMeta) -> dict:
         "azimuth_spacing_m": meta.az_spacing, "range_spacing_m": meta.rg_spacing,
         "platform_ms": meta.v_platform, "dwell_s": meta.t_dwell,
         "doppler_centroid_hz": doppler["centroid_hz"], "doppler_bandwidth_hz": doppler["bandwidth_hz"],
+        "places": {r["place"]: (r["lat"], r["lon"], r["hae"]) for r in scene_places(pixels.sparkSession, meta).collect()},
     }

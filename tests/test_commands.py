@@ -12,7 +12,7 @@ import pytest
 from sarmotion.__main__ import main
 from sarmotion.errors import ArgumentError, RangeFault
 from sarmotion.operators.focus import Collect
-from sarmotion.params import Grid, Plane, SubapParams, Target, TomoParams, TrackParams
+from sarmotion.params import Grid, ImageMeta, Plane, SubapParams, Target, TomoParams, TrackParams
 from sarmotion.plans import feasibility as feasible
 from sarmotion.plans import commands
 from sarmotion.sources import interchange
@@ -203,3 +203,19 @@ def test_cautions_about_sampling(collect):
     _, image = commands.focus(collect, Grid(4, 4))
     want = collect.meta.wavelength * image.r0 * 200.0 / (2 * 7500.0)
     assert commands.unambiguous_extent(collect, image) == pytest.approx(want, rel=1e-6)
+
+
+def test_scene_places_lie_on_the_reference_height(spark):
+    flat = Plane(ECF, (1.0, 0.0, 0.0), (0.0, 0.6, 0.8), ref_hae=300.0)
+    meta = ImageMeta(n_az=101, n_rg=51, az_spacing=2.0, rg_spacing=3.0, plane=flat)
+    found = {r["place"]: r for r in commands.scene_places(spark, meta).collect()}
+    assert set(found) == {"first", "last", "last_azimuth", "last_range", "centre"}
+    assert (found["first"]["lat"], found["first"]["lon"]) == pytest.approx((44.0, -91.5), abs=1e-6)
+    assert found["centre"]["lat"] == pytest.approx(0.5 * (found["first"]["lat"] + found["last"]["lat"]), abs=1e-6)
+    # Seen from the side, a tilted plane's pixels come down to the ground.
+    up = np.asarray(ECF) / np.linalg.norm(ECF)
+    sensor = tuple(np.asarray(ECF) + 500e3 * up + np.array([0.0, 250e3, 250e3]))
+    slant = Plane(ECF, (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), 300.0, True, sensor, (7500.0, 0.0, 0.0))
+    placed = commands.scene_places(spark, replace(meta, plane=slant)).collect()
+    assert [r["hae"] for r in placed] == pytest.approx([300.0] * 5, abs=0.01)
+    assert commands.scene_places(spark, replace(meta, plane=None)).count() == 0
