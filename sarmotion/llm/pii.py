@@ -5,7 +5,8 @@ protected entity away: a term near an entity (an address or number as such) is c
 documents, n(t) of them holding the term, n(e) the entity and n(t, e) the term near the entity, the pointwise mutual
 information log(N n(t, e) / (n(t) n(e))) is set against the entity's own information log(N / n(e)). The ratio is 1 for
 a term that occurs near that entity only. Terms at or above REMOVE are removed, those at or above GENERALISE are
-replaced by their kind. A pair needs SUPPORT documents to be evidence at all.
+replaced by their kind. Entities of a single document count as any other; what few documents tell is weighed by SMOOTH
+documents in which a term meets the entity by chance only. Texts that are equal count as one document.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from sarmotion.llm.common import written
 
 REMOVE = 0.75
 GENERALISE = 0.5
-SUPPORT = 3
+SMOOTH = 1.0
 NEAR = 64  # code points on either side of an entity
 
 # The patterns of the base kinds, written so that no start inside a failed run is tried again: a start follows a
@@ -92,18 +93,19 @@ def _span_at(number: int, kind: str, gaps: Column, starts: Column):
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (of id and text), spans of the base kinds with their value and NEAR + 1 characters on both sides."""
+    """doc_id, key (of id and text), copy (of the text), spans of the base kinds with their value and NEAR + 1 characters
+    on both sides."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = rows.select("doc_id", "key", "text", *(F.regexp_extract_all("text", F.lit(p), 0).alias(f"m_{k}") for k, p in KINDS.items()))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("copy", F.xxhash64("text"))
+    rows = rows.select("doc_id", "key", "copy", "text", *(F.regexp_extract_all("text", F.lit(p), 0).alias(f"m_{k}") for k, p in KINDS.items()))
     # Split only where there is a match.
     rows = rows.select(
-        "doc_id", "key", *(f"m_{k}" for k in KINDS),
+        "doc_id", "key", "copy", *(f"m_{k}" for k in KINDS),
         *(F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p in KINDS.items()),
     )
     rows = rows.select(
-        "doc_id", "key", *(f"m_{k}" for k in KINDS), *(f"g_{k}" for k in KINDS),
+        "doc_id", "key", "copy", *(f"m_{k}" for k in KINDS), *(f"g_{k}" for k in KINDS),
         *(F.when(F.size(f"m_{k}") > 0, _starts(F.col(f"g_{k}"), F.col(f"m_{k}"))).alias(f"s_{k}") for k in KINDS),
     )
     found = []
@@ -112,7 +114,7 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         spans = F.transform(m, _span_at(number, kind, g, s))
         kept = F.filter(spans, lambda x: x["value"].isNotNull())
         found.append(F.when(F.size(m) > 0, kept).otherwise(F.array().cast(f"array<{_SPAN}>")))
-    return rows.select("doc_id", "key", F.concat(*found).alias("spans"))
+    return rows.select("doc_id", "key", "copy", F.concat(*found).alias("spans"))
 
 
 def _terms(side: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
@@ -139,17 +141,18 @@ def _neighbours(base: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(
-    docs: DataFrame, near: DataFrame, base: DataFrame, text_col: str = "text", support: int = SUPPORT,
-    least: float = GENERALISE,
+    docs: DataFrame, near: DataFrame, base: DataFrame, text_col: str = "text", least: float = GENERALISE, smooth: float = 0.0,
 ) -> DataFrame:
-    """(entity, term, ratio) with at least ``support`` documents and a ratio of at least ``least``.
+    """(entity, term, ratio) with a ratio of at least ``least``.
 
-    All counts are of documents over the whole corpus. Terms' document counts are summed within tasks before they are
-    shuffled; pairs are first made distinct by document, so a hot entity or term is spread.
+    All counts are of documents (rows of ``docs``, keys of ``base``) over the whole corpus. The share of a term's
+    documents that hold the entity is taken with ``smooth`` more documents of which the entity has its usual share.
+    Terms' document counts are summed within tasks before they are shuffled; pairs are first made distinct by document,
+    so a hot entity or term is spread.
     """
     together = near.groupBy("entity", "term", "key").agg(F.lit(1).alias("_")).groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("n_te")
-    ).where(F.col("n_te") >= support)
+    )
     entities = base.where(F.size("spans") > 0).select("key", F.explode("spans.value").alias("entity"))
     entities = entities.groupBy("entity", "key").agg(F.lit(1).alias("_")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}]+"))
@@ -158,8 +161,8 @@ def disclosing_terms(
     )
     wanted = together.groupBy("term").agg(F.lit(1).alias("_")).select("term")
     usage = usage.join(wanted, "term", "left_semi")
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    held = F.col("n_te") / F.greatest("n_t", "n_te")
+    total = base.groupBy("key").agg(F.lit(1).alias("_")).agg(F.count(F.lit(1)).alias("n"))
+    held = (F.col("n_te") + smooth * F.col("n_e") / F.col("n")) / (F.greatest("n_t", "n_te") + smooth)
     information = F.log(F.greatest(F.col("n") / F.col("n_e"), F.lit(1.0)))
     ratio = F.when(information > 0, 1 + F.log(held) / information).otherwise(0.0)
     return (
@@ -169,27 +172,35 @@ def disclosing_terms(
 
 
 def personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE,
 ) -> DataFrame:
     """One row per document: doc_id, key, spans (kind, start, end: base kinds in order, then start), terms (start, end, remove).
 
-    Places are code points, ends exclusive. Null and empty texts have no spans. Rows that repeat an id and a text count
-    as one document in the corpus counts and get equal results; a null doc_id is carried. Only the two named columns
-    are read. An empty table gives an empty result.
+    Places are code points, ends exclusive. Null and empty texts have no spans. Rows of equal text count as one document
+    in the corpus counts and get equal results; a null doc_id is carried. Only the two named columns are read. An empty
+    table gives an empty result.
     """
     base = written(base_spans(docs, id_col, text_col))
-    near = written(_neighbours(base))
-    telling = disclosing_terms(docs, near, base, text_col, support, generalise)
+    # One row for each text. Rows without spans need only their keys.
+    single = base.where(F.size("spans") > 0).select(F.col("copy").alias("key"), "spans").dropDuplicates(["key"]).unionByName(
+        base.where(F.size("spans") == 0).select(F.col("copy").alias("key")).distinct().select(
+            "key", F.array().cast(f"array<{_SPAN}>").alias("spans")
+        )
+    )
+    near = written(_neighbours(single))
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
+    telling = disclosing_terms(texts, near, single, "text", generalise, SMOOTH)
     marked = near.join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    terms = marked.groupBy("key").agg(
+    terms = marked.groupBy(F.col("key").alias("copy")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", (F.col("ratio") >= remove).alias("remove")))).alias("terms")
     )
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return base.select("doc_id", "key", plain.alias("spans")).join(terms, "key", "left").select(
-        "doc_id", "key", "spans",
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,remove:boolean>>")).alias("terms"),
-    )
+    # Only rows with spans have terms.
+    nothing = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
+    rows = base.select("doc_id", "key", "copy", plain.alias("spans"))
+    return rows.where(F.size("spans") > 0).join(terms, "copy", "left").select(
+        "doc_id", "key", "spans", F.coalesce("terms", nothing).alias("terms")
+    ).unionByName(rows.where(F.size("spans") == 0).select("doc_id", "key", "spans", nothing.alias("terms")))
 
 
 def written_spans(spans: Column) -> Column:

@@ -137,6 +137,18 @@ def test_disclosure_ratio_is_that_of_the_definition(spark):
     assert got[("email:a@b.cd", "zorro")] == pytest.approx(math.log(32 * 4 / (8 * 4)) / math.log(32 / 4))
 
 
+def test_terms_of_a_single_document_are_found_and_copies_count_once(spark):
+    rows = [(1, "Call Rumpelstilz at ann@spin.org now")]
+    # Forty copies of one text are one document: their common word stays common.
+    rows += [(10 + k, "mail the usual letters to bob@spin.org now") for k in range(40)]
+    rows += [(100 + k, f"now call the usual office {'abc' * k}") for k in range(60)]
+    found = by_id(pii.personal_data(frame(spark, rows)))
+    words = lambda i, text: {text[t["start"] : t["end"]] for t in found[i]["terms"]}
+    assert words(1, rows[0][1]) == {"Rumpelstilz"}
+    assert all(words(10 + k, rows[1][1]) == {"mail", "letters"} for k in range(40))
+    assert all(not found[100 + k]["terms"] for k in range(60))
+
+
 def test_personal_data_plans_no_python(docs):
     text = pii.personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", text)
