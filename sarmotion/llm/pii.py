@@ -1,17 +1,17 @@
 """Personal data, and terms that disclose it, in DataFrame functions alone.
 
 Base spans are e-mail and IP addresses, card and phone numbers. Beyond them, information theory tells which words give a
-protected entity away: a term near an entity (an address or number as such) is compared with the corpus. With N
-documents, n(t) of them holding the term, n(e) the entity and n(t, e) the term near the entity, the pointwise mutual
-information log(N n(t, e) / (n(t) n(e))) is set against the entity's own information log(N / n(e)). The ratio is 1 for
-a term that occurs near that entity only. Terms at or above REMOVE are removed, those at or above GENERALISE are
+protected entity away: a term in a document of an entity (an address or number as such) is compared with the corpus.
+With N documents, n(t) of them holding the term, n(e) the entity and n(t, e) both, the pointwise mutual information
+log(N n(t, e) / (n(t) n(e))) is set against the entity's own information log(N / n(e)). The ratio is 1 for a term that
+occurs in that entity's documents only. In those documents every occurrence counts, whether near or far: terms at or above REMOVE are removed, those at or above GENERALISE are
 replaced by their kind. Entities of a single document count as any other; what few documents tell is weighed by SMOOTH
 documents in which a term meets the entity by chance only. Texts that are equal count as one document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sarmotion.llm.common import written
@@ -19,7 +19,7 @@ from sarmotion.llm.common import written
 REMOVE = 0.75
 GENERALISE = 0.5
 SMOOTH = 1.0
-NEAR = 64  # code points on either side of an entity
+FILTER_BITS = 1 << 21
 
 # The patterns of the base kinds, written so that no start inside a failed run is tried again: a start follows a
 # character that cannot belong to the first run, or the last match; runs are possessive, as nothing that follows
@@ -31,10 +31,11 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-# A word of three letters or more that stands by itself, not inside an address.
-_TERM = r"(?<=^|[\s\"'(\[])\p{L}{3,}(?=[,.;:!?\"')\]]*(?:\s|$))"
+# A term: a run of letters and digits, joined by hyphens, apostrophes or underscores, of LEAST code points or more.
+_TERM = r"[\p{L}\p{M}\p{N}]++(?:[-'\u2019_][\p{L}\p{M}\p{N}]++){0,4}+"
+LEAST = 3
 
-_SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,right:string,cut_left:boolean,cut_right:boolean>"
+_SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
 def _digits(match: Column) -> Column:
@@ -84,28 +85,24 @@ def _span_at(number: int, kind: str, gaps: Column, starts: Column):
         return F.struct(
             F.lit(number).alias("kind"), starts[i].alias("start"), (starts[i] + F.char_length(match)).alias("end"),
             F.when(_holds(kind, match), _value(kind, match)).alias("value"),
-            F.right(gaps[i], F.lit(NEAR + 1)).alias("left"), F.left(gaps[i + 1], F.lit(NEAR + 1)).alias("right"),
-            (F.char_length(gaps[i]) > NEAR + 1).alias("cut_left"),
-            (F.char_length(gaps[i + 1]) > NEAR + 1).alias("cut_right"),
         )
 
     return span
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (of id and text), copy (of the text), spans of the base kinds with their value and NEAR + 1 characters
-    on both sides."""
+    """doc_id, key (of id and text), copy (of the text), spans of the base kinds with their value, and the text of rows with spans."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("copy", F.xxhash64("text"))
     rows = rows.select("doc_id", "key", "copy", "text", *(F.regexp_extract_all("text", F.lit(p), 0).alias(f"m_{k}") for k, p in KINDS.items()))
     # Split only where there is a match.
     rows = rows.select(
-        "doc_id", "key", "copy", *(f"m_{k}" for k in KINDS),
+        "doc_id", "key", "copy", "text", *(f"m_{k}" for k in KINDS),
         *(F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p in KINDS.items()),
     )
     rows = rows.select(
-        "doc_id", "key", "copy", *(f"m_{k}" for k in KINDS), *(f"g_{k}" for k in KINDS),
+        "doc_id", "key", "copy", "text", *(f"m_{k}" for k in KINDS), *(f"g_{k}" for k in KINDS),
         *(F.when(F.size(f"m_{k}") > 0, _starts(F.col(f"g_{k}"), F.col(f"m_{k}"))).alias(f"s_{k}") for k in KINDS),
     )
     found = []
@@ -114,63 +111,120 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         spans = F.transform(m, _span_at(number, kind, g, s))
         kept = F.filter(spans, lambda x: x["value"].isNotNull())
         found.append(F.when(F.size(m) > 0, kept).otherwise(F.array().cast(f"array<{_SPAN}>")))
-    return rows.select("doc_id", "key", "copy", F.concat(*found).alias("spans"))
+    rows = rows.select("doc_id", "key", "copy", "text", F.concat(*found).alias("spans"))
+    return rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
 
-def _terms(side: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms that lie wholly in a side's window, with their places."""
-    matches, gaps = F.regexp_extract_all(side, F.lit(_TERM), 0), F.split(side, _TERM, -1)
-    places = F.arrays_zip(matches.alias("term"), _starts(gaps, matches).alias("at"))
-    whole = F.filter(places, lambda p: ~(cut_left & (p["at"] == 0)) & ~(
-        cut_right & (p["at"] + F.char_length(p["term"]) >= F.char_length(side))))
-    return F.transform(whole, lambda p: F.struct(
-        F.lower(p["term"]).alias("term"), (offset + p["at"]).alias("start"),
-        (offset + p["at"] + F.char_length(p["term"])).alias("end"),
-    ))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    raw = F.array_distinct(F.regexp_extract_all(text, F.lit(_TERM), 0))
+    return F.array_distinct(F.transform(F.filter(raw, lambda t: F.char_length(t) >= LEAST), F.lower))
+
+
+def _mentions(base: DataFrame) -> DataFrame:
+    """Each entity of each document once."""
+    each = base.where(F.size("spans") > 0).select("key", F.explode("spans.value").alias("entity"))
+    return each.groupBy("entity", "key").agg(F.lit(1).alias("_")).select("entity", "key")
 
 
 def _neighbours(base: DataFrame) -> DataFrame:
-    """One row for each term near each entity mention."""
-    each = base.where(F.size("spans") > 0).select("key", F.explode("spans").alias("s"))
-    none = F.lit(False)
-    left = _terms(F.col("s.left"), F.col("s.start") - F.char_length("s.left"), F.col("s.cut_left"), none)
-    right = _terms(F.col("s.right"), F.col("s.end"), none, F.col("s.cut_right"))
-    return each.select("key", F.col("s.value").alias("entity"), F.explode(F.concat(left, right)).alias("t")).select(
-        "key", "entity", "t.term", "t.start", "t.end"
+    """One row (key, entity, n_e, term) for each term of each document that holds the entity, of n_e documents.
+
+    Entities of the same documents have the same counts, so the first of them stands for all: a document with many
+    addresses that occur nowhere else pairs its terms once.
+    """
+    mentions = _mentions(base)
+    sets = mentions.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b")
+    )
+    first = sets.groupBy("n_e", "a", "b").agg(F.min("entity").alias("entity")).select("entity", "n_e")
+    held = mentions.join(first, "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    terms = base.where(F.size("spans") > 0).select("key", _terms(F.col("text")).alias("terms"))
+    return terms.join(held, "key").select("key", "terms", F.explode("entities").alias("e")).select(
+        "key", "e.entity", "e.n_e", F.explode("terms").alias("term")
     )
 
 
-def disclosing_terms(
-    docs: DataFrame, near: DataFrame, base: DataFrame, text_col: str = "text", least: float = GENERALISE, smooth: float = 0.0,
-) -> DataFrame:
-    """(entity, term, ratio) with a ratio of at least ``least``.
+def _places(base: DataFrame) -> DataFrame:
+    """(key, term, start, end) of every occurrence of a term in the documents with spans."""
+    parts = base.where(F.size("spans") > 0).select(
+        "key", F.regexp_extract_all("text", F.lit(_TERM), 0).alias("term"), F.split("text", _TERM, -1).alias("gap")
+    )
+    # The last gap has no term behind it.
+    each = parts.select("key", F.posexplode(F.arrays_zip("gap", "term")).alias("at", "p")).where(F.col("p.term").isNotNull())
+    each = each.select(
+        "key", "at", F.col("p.term").alias("raw"), F.char_length("p.term").alias("size"), F.char_length("p.gap").alias("gap")
+    )
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("key").orderBy("at")).cast("int")
+    return each.withColumn("end", end).where(F.col("size") >= LEAST).select(
+        "key", F.lower("raw").alias("term"), (F.col("end") - F.col("size")).alias("start"), "end"
+    )
 
-    All counts are of documents (rows of ``docs``, keys of ``base``) over the whole corpus. The share of a term's
-    documents that hold the entity is taken with ``smooth`` more documents of which the entity has its usual share.
-    Terms' document counts are summed within tasks before they are shuffled; pairs are first made distinct by document,
-    so a hot entity or term is spread.
-    """
-    together = near.groupBy("entity", "term", "key").agg(F.lit(1).alias("_")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_te")
+
+def _outside(terms: Column, spans: Column) -> Column:
+    """Terms cut to what lies before or behind the base spans that they run into; without those inside."""
+
+    def cut(t: Column) -> Column:
+        inside = F.filter(spans, lambda s: (s["start"] <= t["start"]) & (s["end"] > t["start"]))
+        start = F.coalesce(F.array_max(F.transform(inside, lambda s: s["end"])), t["start"])
+        ahead = F.filter(spans, lambda s: (s["start"] > t["start"]) & (s["end"] > start) & (s["start"] < t["end"]))
+        end = F.coalesce(F.array_min(F.transform(ahead, lambda s: s["start"])), t["end"])
+        return F.struct(start.alias("start"), end.alias("end"), t["remove"].alias("remove"))
+
+    return F.filter(F.transform(terms, cut), lambda t: t["start"] < t["end"])
+
+
+def _texts(docs: DataFrame, base: DataFrame, text_col: str) -> DataFrame:
+    """Each text once. Only texts that share a bit of a filter of fixed size with one that is there twice are shuffled."""
+    place = lambda copy: F.pmod(copy, F.lit(FILTER_BITS)).cast("int")
+    again = base.groupBy("copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(place(F.col("copy")).alias("at"))
+    bits = bytearray(FILTER_BITS >> 3)
+    for row in again.groupBy(F.shiftright("at", 3).alias("byte")).agg(
+        F.bit_or(F.pow(F.lit(2), F.col("at") % 8).cast("int")).alias("bits")
+    ).toLocalIterator():
+        bits[row["byte"]] = row["bits"]
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    at = place(F.xxhash64("text"))
+    byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    shared = F.getbit(byte, at % 8) == 1
+    return texts.where(~shared).unionByName(texts.where(shared).distinct())
+
+
+def _ratios(
+    docs: DataFrame, near: DataFrame, base: DataFrame, text_col: str, least: float, smooth: float, named: bool,
+) -> DataFrame:
+    """(key, entity, term, ratio). An entity of one document needs no count of pairs: it has its key, and a name if ``named``."""
+    single = near.where("n_e = 1").select(
+        "key", F.col("entity") if named else F.lit(None).cast("string").alias("entity"), "n_e", "term", F.lit(1).cast("long").alias("n_te")
+    )
+    several = near.where("n_e > 1").groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).select(
+        F.lit(None).cast("long").alias("key"), "entity", "n_e", "term", "n_te"
     )
-    entities = base.where(F.size("spans") > 0).select("key", F.explode("spans.value").alias("entity"))
-    entities = entities.groupBy("entity", "key").agg(F.lit(1).alias("_")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}]+"))
-    usage = docs.select(F.explode(F.filter(words, lambda w: F.length(w) > 2)).alias("term")).groupBy("term").agg(
+    usage = docs.select(F.explode(_terms(F.col(text_col).cast("string"))).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_t")
     )
-    wanted = together.groupBy("term").agg(F.lit(1).alias("_")).select("term")
-    usage = usage.join(wanted, "term", "left_semi")
     total = base.groupBy("key").agg(F.lit(1).alias("_")).agg(F.count(F.lit(1)).alias("n"))
     held = (F.col("n_te") + smooth * F.col("n_e") / F.col("n")) / (F.greatest("n_t", "n_te") + smooth)
     information = F.log(F.greatest(F.col("n") / F.col("n_e"), F.lit(1.0)))
     ratio = F.when(information > 0, 1 + F.log(held) / information).otherwise(0.0)
     return (
-        together.join(entities, "entity").join(usage, "term").crossJoin(F.broadcast(total))
-        .select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= least)
+        single.unionByName(several).join(usage, "term").crossJoin(F.broadcast(total))
+        .select("key", "entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= least)
     )
 
 
+def disclosing_terms(
+    docs: DataFrame, near: DataFrame, base: DataFrame, text_col: str = "text", least: float = GENERALISE, smooth: float = 0.0,
+) -> DataFrame:
+    """(entity, term, ratio) with a ratio of at least ``least``.
+
+    All counts are of documents (rows of ``docs``, keys of ``base``) over the whole corpus. The share of a term's
+    documents that hold the entity is taken with ``smooth`` more documents of which the entity has its usual share.
+    Counts are summed within tasks before they are shuffled; pairs are distinct by document already.
+    """
+    return _ratios(docs, near, base, text_col, least, smooth, True).select("entity", "term", "ratio")
+
+
 def personal_data(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE,
 ) -> DataFrame:
@@ -182,16 +236,19 @@ def personal_data(
     """
     base = written(base_spans(docs, id_col, text_col))
     # One row for each text. Rows without spans need only their keys.
-    single = base.where(F.size("spans") > 0).select(F.col("copy").alias("key"), "spans").dropDuplicates(["key"]).unionByName(
+    held = written(base.where(F.size("spans") > 0).select(F.col("copy").alias("key"), "spans", "text").dropDuplicates(["key"]))
+    single = held.unionByName(
         base.where(F.size("spans") == 0).select(F.col("copy").alias("key")).distinct().select(
-            "key", F.array().cast(f"array<{_SPAN}>").alias("spans")
+            "key", F.array().cast(f"array<{_SPAN}>").alias("spans"), F.lit(None).cast("string").alias("text")
         )
     )
     near = written(_neighbours(single))
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    telling = disclosing_terms(texts, near, single, "text", generalise, SMOOTH)
-    marked = near.join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    terms = marked.groupBy(F.col("key").alias("copy")).agg(
+    telling = written(_ratios(_texts(docs, base, text_col), near, single, "text", generalise, SMOOTH, False))
+    several = telling.where("key is null").select("entity", "term", "ratio")
+    marked = telling.where("key is not null").select("key", "term", "ratio").unionByName(
+        near.where("n_e > 1").join(several, ["entity", "term"]).select("key", "term", "ratio")
+    ).groupBy("key", "term").agg(F.max("ratio").alias("ratio"))
+    terms = _places(held).join(marked, ["key", "term"]).groupBy(F.col("key").alias("copy")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", (F.col("ratio") >= remove).alias("remove")))).alias("terms")
     )
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -199,7 +256,7 @@ def personal_data(
     nothing = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     rows = base.select("doc_id", "key", "copy", plain.alias("spans"))
     return rows.where(F.size("spans") > 0).join(terms, "copy", "left").select(
-        "doc_id", "key", "spans", F.coalesce("terms", nothing).alias("terms")
+        "doc_id", "key", "spans", _outside(F.coalesce("terms", nothing), F.col("spans")).alias("terms")
     ).unionByName(rows.where(F.size("spans") == 0).select("doc_id", "key", "spans", nothing.alias("terms")))
 
 

@@ -149,6 +149,16 @@ def test_terms_of_a_single_document_are_found_and_copies_count_once(spark):
     assert all(not found[100 + k]["terms"] for k in range(60))
 
 
+def test_telling_terms_are_marked_far_from_the_entity_and_whatever_their_form(spark):
+    far = "the usual words of this office " * 40
+    text = f"Rumpelstilz-Meyer: AB1234 {far} id=QX77 {far} ann@spin.org,+49123456789-Zwerg and RUMPELSTILZ-MEYER"
+    rows = [(1, text)] + [(100 + k, f"the usual words of this office and {'abc' * k}") for k in range(60)]
+    found = by_id(pii.personal_data(frame(spark, rows)))
+    marked = [text[t["start"] : t["end"]] for t in found[1]["terms"]]
+    assert marked == ["Rumpelstilz-Meyer", "AB1234", "QX77", "-Zwerg", "RUMPELSTILZ-MEYER"]
+    assert all(not found[100 + k]["terms"] for k in range(60))
+
+
 def test_personal_data_plans_no_python(docs):
     text = pii.personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", text)
