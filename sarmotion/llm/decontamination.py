@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarmotion.llm.common import lean, total_text_bytes
+from sarmotion.llm.common import lean, total_text_bytes, written
 
 WINDOW = 13
 AUTOMATON_BYTES = 16 << 20
@@ -76,7 +76,7 @@ RESULT = "doc_id long, n_words long, hits array<struct<word:long,words:long,star
 _HIT = pa.struct([("word", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _mapper(items):
+def _mapper(items, keys=("doc_id",)):
     def run(batches):
         key = id(items)
         if key not in _BUILT:
@@ -93,9 +93,9 @@ def _mapper(items):
                 owners.append(sorted(found))
                 hits.append([{"word": s, "words": e - s, "start": places[s][0], "end": places[e - 1][1]} for s, e in ranges])
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_HIT)),
-                 pa.array(owners, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "hits", "items"],
+                [batch.column(k) for k in keys] + [
+                    pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_HIT)), pa.array(owners, pa.list_(pa.string()))],
+                names=[*keys, "n_words", "hits", "items"],
             )
 
     return lean(run)
@@ -109,8 +109,8 @@ def benchmark_hits(
 
     The benchmark is dealt by item into blocks of about ``block_bytes`` of text (its size is measured), each block
     being one automaton; with one block the documents are read once. Null or empty texts have no words and no hits;
-    items without an id or words are no patterns; repeated items count once. Rows that repeat a doc_id are judged
-    one by one while there is one block, and together beyond. Empty tables are allowed on either side.
+    items without an id or words are no patterns; repeated items count once. Rows that repeat a doc_id, and rows
+    without one, are judged one by one: beyond one block the rows are written with a number of their own. Empty tables are allowed on either side.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -118,21 +118,25 @@ def benchmark_hits(
         F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")
     ).where("item_id is not null and text is not null")
     blocks = max(1, -(-total_text_bytes(items) // block_bytes))
+    keys = ("doc_id",)
+    if blocks > 1:
+        base, keys = written(base.withColumn("row", F.monotonically_increasing_id())), ("row", "doc_id")
     parts = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
-        parts.append(base.mapInArrow(_mapper(held), RESULT))
+        parts.append(base.mapInArrow(_mapper(held, keys), RESULT if blocks == 1 else "row long, " + RESULT))
     if blocks == 1:
         return parts[0]
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part)
-    return joined.groupBy("doc_id").agg(
+    return joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).withColumn("hits", _merged("hits"))
+    ).select("doc_id", "n_words", _merged("hits").alias("hits"), "items")
 
 
 def _merged(column: str):

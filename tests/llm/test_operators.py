@@ -400,6 +400,15 @@ def test_decontamination_equals_a_plain_scan(spark, texts, block_bytes):
             assert decontamination.words_of(t)[h["word"] : h["word"] + h["words"]] == decontamination.words_of(t[h["start"] : h["end"]])
 
 
+def test_blocks_judge_rows_of_one_id_one_by_one(spark):
+    bench = spark.createDataFrame([(k, f"word{k} other") for k in range(8)], "item_id long, text string")
+    rows = [(1, "word1 other x"), (1, "clean"), (None, "a word2 other"), (None, None), (None, "clean text here"), (3, "word3 other")]
+    one, many = (
+        sorted(map(str, decontamination.benchmark_hits(frame(spark, rows), bench, block_bytes=b).collect())) for b in (1 << 20, 20)
+    )
+    assert len(one) == len(rows) and one == many
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "word"), (2, None)], "item_id long, text string")
     found = decontamination.benchmark_hits(odd(spark), bench).collect()
