@@ -72,3 +72,77 @@ reach(doc_id, other) AS (
 SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
 FROM reach r LEFT JOIN size ON size.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+def _crc32(decimal: str) -> str:
+    """The unsigned CRC-32 of a string of digits, a step for each byte and bit."""
+    steps = f"flatten(list_transform(regexp_extract_all({decimal}, '.'), lambda d: [ord(d), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    full = "CAST(4294967295 AS BIGINT)"
+    return f"xor(list_reduce(list_transform({steps}, lambda s: CAST(s AS BIGINT)), lambda a, s: {step}, {full}), {full})"
+
+
+_ROLE = "coalesce(role, '')"
+_MARK = f"md5(concat(length({_ROLE}), ':', {_ROLE}, {_TEXT}))"
+
+PREFIX_TRIE = f"""
+WITH t AS (
+  SELECT conv_id AS c, {_MARK} AS mark, length({_TEXT}) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_MARK}) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+id AS (SELECT c, c - c % 100 AS base, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+took AS (SELECT id.c, base, h, count(t.c) AS taken FROM id LEFT JOIN t ON t.c = base AND pos < h GROUP BY ALL),
+path AS (
+  SELECT took.c, pos + 1 AS depth, mark, chars FROM took JOIN t ON t.c = base AND pos < h
+  UNION ALL SELECT t.c, pos - h + taken + 1, mark, chars FROM t JOIN took USING (c) WHERE pos >= h),
+named AS (
+  SELECT c, depth, chars, string_agg(mark, '') OVER (PARTITION BY c ORDER BY depth) AS name FROM path
+  UNION ALL SELECT c, 0, 0, '' FROM id),
+node AS (SELECT depth, name, min(c) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM named GROUP BY depth, name),
+kids AS (SELECT left(name, 32 * (depth - 1)) AS name, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT left(name, CAST(32 * up AS INT)) AS name, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT node.name, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * chars AS saved,
+               unnest(range(0, depth + 1)) AS up FROM node LEFT JOIN kids USING (name)) GROUP BY 1),
+ends AS (
+  SELECT name, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY c ORDER BY depth DESC) = 1) GROUP BY name)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below USING (name) LEFT JOIN kids USING (name) LEFT JOIN ends USING (name)
+LEFT JOIN node up ON up.depth = node.depth - 1 AND up.name = left(node.name, 32 * (node.depth - 1))
+"""
+
+PERIODIC_RUNS = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_TEXT}, {_WORD}) AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM d),
+each AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM e)),
+equal AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS p FROM each x JOIN each y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+  WHERE 3 * (y.i - x.i) <= x.n AND x.n >= 24),
+stretch AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM equal) GROUP BY doc_id, p, island
+  HAVING count(*) + p >= greatest(24, 3 * p)),
+run AS (
+  SELECT * FROM stretch s WHERE NOT EXISTS (
+    SELECT 1 FROM stretch q WHERE q.doc_id = s.doc_id AND q.p < s.p AND s.p % q.p = 0 AND q.start <= s.start
+      AND q.start + q.length >= s.start + s.length)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + p, start + length)) AS i FROM run),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS words FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+  GROUP BY e.doc_id),
+best AS (
+  SELECT * FROM run r WHERE NOT EXISTS (
+    SELECT 1 FROM run o WHERE o.doc_id = r.doc_id AND (o.length * r.p > r.length * o.p
+      OR o.length * r.p = r.length * o.p AND (o.start < r.start OR o.start = r.start AND o.p < r.p)))),
+lines AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', p, chr(10)), '' ORDER BY start, p) AS line
+  FROM run GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, p AS period, 1000 * length // p AS exponent_milli,
+       sha256(coalesce(line, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -13,7 +13,10 @@ from sarmotion.llm.exact_dedup import exact_duplicates
 from sarmotion.llm.lm_scoring import scored
 from sarmotion.llm.near_dedup import near_duplicates
 from sarmotion.llm.packing import packed_pieces
+from sarmotion.llm.periodic_runs import periodic_runs
 from sarmotion.llm.pii import KINDS, personal_data, written_spans, written_terms
+from sarmotion.llm.prefix_trie import prefix_trie
+from sarmotion.llm.quality import quality
 from sarmotion.llm.sharding import shuffled_shards
 from sarmotion.llm.substring_dedup import repeated_passages
 
@@ -97,6 +100,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crc32 of the doc_id plants a period in a tenth of the texts."""
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=F.col("doc_id").cast("string"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from labels of rows whose crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    found = quality(docs, labels.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -108,6 +128,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality": op13_quality,
 }
 
 ORACLE: dict[str, str] = {
@@ -115,4 +138,6 @@ ORACLE: dict[str, str] = {
     "op6_decontamination": oracle.DECONTAMINATION,
     "op9_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op10_minhash_near_dedup": oracle.NEAR_DEDUP,
+    "op11_prefix_trie": oracle.PREFIX_TRIE,
+    "op12_periodic_runs": oracle.PERIODIC_RUNS,
 }
