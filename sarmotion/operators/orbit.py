@@ -1,23 +1,19 @@
-"""Platform position between state vectors."""
+"""Platform position between state vectors, held as an array beside each row or as a table of their own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def interpolate_orbit(df: DataFrame, states: str, t: str, into: str = "state") -> DataFrame:
-    """Add STRUCT<t, pos, vel> by Lagrange interpolation over up to four neighbours.
+NEIGHBOURS = 4
 
-    ``states`` is an ARRAY of ``(t, pos, vel)`` in time order, at most a few dozen.
-    Times outside it extrapolate.  A single vector is returned as it is; an empty
-    array gives NULL.
-    """
-    n, when = F.size(states), F.col(t)
-    passed = F.filter(F.slice(states, 1, F.greatest(n - 1, F.lit(1))), lambda s: s["t"] <= when)
-    at = F.least(F.size(passed), n - 1)
-    start = F.least(F.greatest(at - 1, F.lit(0)), F.greatest(n - 2, F.lit(0)))
-    near = df.withColumn("_near", F.slice(states, start + 1, F.least(n - start, F.lit(4))))
+
+def _blended(df: DataFrame, when: Column, into: str) -> DataFrame:
+    """Lagrange interpolation over the state vectors of ``_near``; one alone is returned as it is, none gives NULL."""
 
     def weight(own: Column) -> Column:
         def factor(acc: Column, other: Column) -> Column:
@@ -26,7 +22,7 @@ def interpolate_orbit(df: DataFrame, states: str, t: str, into: str = "state") -
 
         return F.aggregate("_near", F.lit(1.0), factor)
 
-    weighted = near.withColumn("_w", F.transform("_near", weight))
+    weighted = df.withColumn("_w", F.transform("_near", weight))
 
     def blend(field: str) -> Column:
         def axis(k: int) -> Column:
@@ -35,9 +31,100 @@ def interpolate_orbit(df: DataFrame, states: str, t: str, into: str = "state") -
 
         return F.array(*[axis(k) for k in range(3)])
 
-    single = F.element_at("_near", 1)
+    n, single = F.size("_near"), F.get("_near", F.lit(0))
     pick = lambda name, mixed: F.when(n == 1, single[name]).otherwise(mixed).alias(name)
     state = F.struct(
         pick("t", when.cast("double")), pick("pos", blend("pos")), pick("vel", blend("vel"))
     )
     return weighted.withColumn(into, F.when(n > 0, state)).drop("_near", "_w")
+
+
+def interpolate_orbit(df: DataFrame, states: str, t: str, into: str = "state") -> DataFrame:
+    """Add STRUCT<t, pos, vel> by Lagrange interpolation over up to four neighbours.
+
+    ``states`` is an ARRAY of ``(t, pos, vel)`` in time order, at most a few dozen.
+    Times outside it extrapolate.  A single vector is returned as it is; an empty
+    array gives NULL.
+    """
+    n, when = F.size(states), F.col(t)
+    passed = F.filter(F.slice(states, 1, F.greatest(n - 1, F.lit(1))), lambda s: s["t"] <= when)
+    at = F.least(F.size(passed), n - 1)
+    start = F.least(F.greatest(at - 1, F.lit(0)), F.greatest(n - 2, F.lit(0)))
+    near = df.withColumn("_near", F.slice(states, start + 1, F.least(n - start, F.lit(NEIGHBOURS))))
+    return _blended(near, when, into)
+
+
+def interpolate_orbit_asof(
+    requests: DataFrame, states: DataFrame, t: str, keys: Sequence[str] = (), into: str = "state"
+) -> DataFrame:
+    """The same from a table of state vectors ``(*keys, t, pos, vel)`` of any length, as an as-of join.
+
+    Vectors and requests are sorted together by range, so neither one orbit nor one moment is a hot key, and no pair is
+    formed: a vector carries its followers, and a request takes the vector before it.  What crosses the edge of a range
+    travels as a row for each range and key: its first vectors backwards, its last one forwards.  A request keeps its
+    columns.  Without a vector of its key its state is NULL; so is one without a time.  Vectors without a time are none.
+    """
+    keys = list(keys)
+    held = [f"_k{i}" for i in range(len(keys))]
+    names = dict(zip(held, keys))
+    known = states.where(F.col("t").isNotNull()).select(
+        *[F.col(k).alias(h) for h, k in names.items()], F.col("t").cast("double").alias("_t"),
+        F.struct(F.col("t").cast("double").alias("t"), "pos", "vel").alias("_s"),
+    )
+    asked = requests.select(
+        *[F.col(k).alias(h) for h, k in names.items()], F.col(t).cast("double").alias("_t"),
+        F.struct(*requests.columns).alias("_r"), F.monotonically_increasing_id().alias("_n"),
+    )
+    both = known.unionByName(asked, allowMissingColumns=True)
+    # A vector comes before the requests of its moment; equal requests are dealt apart by their number.
+    order = [*held, "_t", F.col("_n").asc_nulls_first()]
+    ranged = cut_lineage(
+        both.repartitionByRange(*order, "_s").withColumn("_part", F.spark_partition_id())
+    )
+    vectors = ranged.where("_s is not null").select(*held, "_part", "_t", "_s")
+    along = Window.partitionBy(*held, "_part").orderBy("_t", "_s")
+    ahead = F.filter(F.array(*[F.lead("_s", k).over(along) for k in range(1, NEIGHBOURS)]), lambda s: s.isNotNull())
+    local = vectors.withColumn("_ahead", ahead).withColumn("_back", F.lag("_s").over(along)).withColumn(
+        "_place", F.row_number().over(along))
+    edge = local.groupBy(*held, "_part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_place") < NEIGHBOURS, F.struct("_place", "_s")))).alias("_firsts"),
+        F.max_by("_s", "_place").alias("_last"),
+    )
+    # One row for each range that holds vectors of a key.
+    ranges = Window.partitionBy(*held).orderBy("_part")
+    following = F.flatten(F.collect_list(F.col("_firsts._s")).over(ranges.rowsBetween(1, NEIGHBOURS - 1)))
+    edges = edge.select(
+        *held, "_part", F.slice(following, 1, NEIGHBOURS - 1).alias("_next"), F.lag("_last").over(ranges).alias("_before"))
+    joined = _on(local, edges, [*held, "_part"], "inner")
+    after = F.slice(F.concat("_ahead", "_next"), 1, NEIGHBOURS - 1)
+    behind = F.coalesce("_back", "_before")
+    # The last vector of all is used with the one before it.
+    packed = joined.withColumn("_after", after).select(
+        *held, "_part", "_t", "_s",
+        F.when((F.size("_after") == 0) & behind.isNotNull(), F.array(behind, "_s")).otherwise(F.concat(F.array("_s"), "_after")).alias("_near"),
+    )
+    packed = cut_lineage(packed)
+    ends = packed.groupBy(*held, "_part").agg(
+        F.max_by("_near", F.struct("_t", "_s")).alias("_end"), F.min_by("_near", F.struct("_t", "_s")).alias("_begin"))
+    present = ranged.select(*held, "_part").distinct()
+    carried = _on(present, ends, [*held, "_part"], "left").select(
+        *held, "_part",
+        F.last("_end", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
+        F.first("_begin", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_begin"),
+    )
+    stream = packed.unionByName(
+        ranged.where("_r is not null").select(*held, "_part", "_t", "_r", "_n"), allowMissingColumns=True)
+    upto = Window.partitionBy(*held, "_part").orderBy("_t", F.col("_n").asc_nulls_first(), "_s").rowsBetween(Window.unboundedPreceding, 0)
+    found = stream.withColumn("_own", F.last("_near", ignorenulls=True).over(upto)).where("_r is not null")
+    placed = _on(found.drop("_near", "_s"), carried, [*held, "_part"], "left").withColumn(
+        "_near", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_carried", "_begin")))
+    return _blended(placed.select("_r", "_t", "_near"), F.col("_t"), into).select("_r.*", into)
+
+
+def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which a null key is a key like any other."""
+    right = right.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    return left.join(right, same, how).drop(*[f"{k}__" for k in keys])

@@ -526,28 +526,67 @@ def sweep(
     )
 
 
-def _same_wavelength() -> Column:
-    """Key equal for wavelengths that agree to a part in 1e9."""
-    return F.round(F.ln("lambda_ac") * 1e9 / 2.0).cast("bigint")
+# Wavelengths that differ by no more than this share of the later one are the same.
+SAME_WAVELENGTH = 1e-9
 
 
 def _usable(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("peak_depth") > 0) & (F.col("lambda_ac") > 0))
 
 
-def sweep_merge(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean and population spread of the depth per acoustic wavelength."""
-    return (
+def _first_seen(rows: DataFrame, order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in order if c in rows.columns], "lambda_ac")
+
+
+def _chains(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Chains of wavelengths none of which is more than the tolerance from the next: ``(*keys, _all)``.
+
+    ``_all`` holds each distinct wavelength once, by first appearance, with the moments of its rows.  Only wavelengths of one
+    chain can meet.  Rows are folded before the shuffle, so what is sorted is the distinct wavelengths, of which a
+    sweep has one for each assumption.
+    """
+    distinct = (
         _usable(rows)
-        .groupBy(*keys, _same_wavelength().alias("_k"))
+        .groupBy(*keys, "lambda_ac")
         .agg(
-            F.min("lambda_ac").alias("lambda_ac"),
-            F.avg("peak_depth").alias("peak_depth"),
-            F.avg("peak_value").alias("peak_value"),
-            F.stddev_pop("peak_depth").alias("sd"),
-            F.count(F.lit(1)).alias("n_rows"),
+            F.min(F.struct(_first_seen(rows, order).alias("seen"), "peak_depth")).alias("_first"),
+            F.count(F.lit(1)).alias("n"), F.avg("peak_depth").alias("depth"), F.var_pop("peak_depth").alias("var"),
+            F.avg("peak_value").alias("value"),
         )
-        .drop("_k")
+    )
+    along = Window.partitionBy(*keys).orderBy("lambda_ac")
+    step = F.col("lambda_ac") - F.lag("lambda_ac").over(along)
+    apart = F.coalesce((step > SAME_WAVELENGTH * F.col("lambda_ac")).cast("int"), F.lit(1))
+    numbered = distinct.withColumn("_apart", apart).withColumn("_chain", F.sum("_apart").over(along))
+    own = F.struct(F.col("_first.seen").alias("seen"), "lambda_ac", F.col("_first.peak_depth").alias("first_depth"), "n", "depth", "var", "value")
+    return numbered.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(own)).alias("_all")).drop("_chain")
+
+
+def _meet(anchor: Column, row: Column) -> Column:
+    return F.abs(anchor["lambda_ac"] - row["lambda_ac"]) <= SAME_WAVELENGTH * row["lambda_ac"]
+
+
+def sweep_merge(rows: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("velocity", "frequency")) -> DataFrame:
+    """Mean and population spread of the depth per acoustic wavelength.
+
+    A group is named by the first of its rows that no earlier group takes in, and has all rows within the tolerance of
+    it; the groups of two such rows may share rows between them.
+    """
+    # The element type of the chain carries over to the anchors, which start as none of it.
+    chained = _chains(rows, keys, order)
+    anchors = F.aggregate(
+        "_all", F.filter("_all", lambda x: F.lit(False)),
+        lambda held, x: F.when(F.exists(held, lambda a: _meet(a, x)), held).otherwise(F.concat(held, F.array(x))),
+    )
+    total = lambda f: F.aggregate("_own", F.lit(0.0), lambda acc, x: acc + f(x))
+    grouped = chained.withColumn("_anchor", F.explode(anchors)).withColumn(
+        "_own", F.filter("_all", lambda x: F.abs(x["lambda_ac"] - F.col("_anchor.lambda_ac")) <= SAME_WAVELENGTH * F.col("_anchor.lambda_ac")))
+    counted = grouped.withColumn("n_rows", F.aggregate("_own", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]))
+    mean = counted.withColumn("peak_depth", total(lambda x: x["n"] * x["depth"]) / F.col("n_rows"))
+    spread = total(lambda x: x["n"] * (x["var"] + F.pow(x["depth"] - F.col("peak_depth"), 2))) / F.col("n_rows")
+    return mean.select(
+        *keys, F.col("_anchor.lambda_ac").alias("lambda_ac"), "peak_depth",
+        (total(lambda x: x["n"] * x["value"]) / F.col("n_rows")).alias("peak_value"), F.sqrt(spread).alias("sd"), "n_rows",
     )
 
 
@@ -568,19 +607,16 @@ def _log_fit(rows: DataFrame, keys: Sequence[str], x: str = "lambda_ac") -> Data
 
 
 def sweep_summary(rows: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("velocity", "frequency")) -> DataFrame:
-    """Log-log slope of depth on wavelength, one row per distinct wavelength.
+    """Log-log slope of depth on wavelength, one row per distinct wavelength: rows within the tolerance of any earlier
+    row are left out.
 
     ``slope`` is NULL with fewer than three distinct wavelengths.
     """
-    order = [c for c in order if c in rows.columns]
-    lead = [F.col(c) for c in order] or [F.col("lambda_ac")]
-    distinct = (
-        _usable(rows)
-        .groupBy(*keys, _same_wavelength().alias("_k"))
-        .agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(lead)], "lambda_ac", "peak_depth")).alias("_f"))
-        .select(*keys, "_f.lambda_ac", "_f.peak_depth")
+    earlier = lambda all_, x: F.exists(all_, lambda e: (e["seen"] < x["seen"]) & _meet(e, x))
+    kept = _chains(rows, keys, order).select(
+        *keys, F.inline(F.filter("_all", lambda x: ~earlier(F.col("_all"), x)))
     )
-    return _log_fit(distinct, keys)
+    return _log_fit(kept.select(*keys, "lambda_ac", F.col("first_depth").alias("peak_depth")), keys)
 
 
 def sweep_summary_reliable(merged: DataFrame, max_rel_sd: float = 0.10, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rasters and cubes: tables that Spark writes anywhere, and explicit exports to files of the driver's host."""
+"""Rasters and cubes: tables that Spark writes anywhere, and pictures exported to files of the driver's host."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, IoFault
+from .cubes import export_cube  # noqa: F401  the cube's flat form, written by tasks
 
 # Pixels per side of one encoded tile.
 TILE = 512
@@ -107,28 +108,6 @@ def write_cube(rows: DataFrame, index: str, values: str, path: str) -> None:
     ).write.mode("overwrite").parquet(path)
 
 
-def export_cube(
-    rows: DataFrame, index: str, values: str, n_plane: int, n_row: int, n_col: int, path: str, axes: str = ""
-) -> None:
-    """A flat float32 file on the driver's host plus a text header; runs stream through the driver one by one."""
-    if min(n_plane, n_row, n_col) <= 0:
-        raise ArgumentError("cube dimensions must be positive")
-    try:
-        with open(f"{path}.hdr", "w") as f:
-            f.write("format float32\nbyte_order little_endian\n")
-            f.write(f"n_plane {n_plane}\nn_row {n_row}\nn_col {n_col}\n")
-            f.write("layout plane-major, then row, then column\n")
-            f.write(f"axes {axes}\n" if axes else "")
-        with open(path, "wb") as f:
-            f.truncate(4 * n_plane * n_row * n_col)
-            for r in rows.select(F.col(index).cast("bigint").alias("at"), F.col(values).alias("run")).toLocalIterator():
-                run = np.asarray(r["run"], "<f4")
-                f.seek(4 * len(run) * r["at"])
-                f.write(run.tobytes())
-    except OSError as error:
-        raise IoFault(f"cannot write {path}: {error}") from error
-
-
 def amplitude_rows(image: DataFrame) -> DataFrame:
     """One run of amplitudes per azimuth line, ready for the cube writers."""
     packed = image.groupBy("az").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.selection import excursion_floor
 from ..params import MotionMeta, StackMeta
+from ..sources.stores import Location
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -45,6 +46,7 @@ def selection_header(consensus: dict | None, meta: MotionMeta) -> dict:
 
 
 def write_json(values: dict, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(values, f, indent=2, default=str)
-        f.write("\n")
+    """A small document at ``path``, in any store."""
+    system, inner = Location(path).file_system()
+    with system.open_output_stream(inner) as out:
+        out.write((json.dumps(values, indent=2, default=str) + "\n").encode())

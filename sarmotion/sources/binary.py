@@ -1,8 +1,7 @@
-"""What the binary product readers share: checked file access and partitions."""
+"""What the binary product readers share: schemas, partitions and header fields."""
 
 from __future__ import annotations
 
-import os
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass
 
@@ -10,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import InputPartition
 
-from ..errors import FormatFault, IoFault
+from ..errors import FormatFault
 
 # Pixels of one Arrow batch of a reader.
 BATCH_PIXELS = 1 << 18
@@ -53,36 +52,6 @@ def spans(count: int, size: int) -> list[Span]:
     return [Span(s, min(count, s + size)) for s in range(0, count, size)]
 
 
-def file_size(path: str) -> int:
-    try:
-        return os.path.getsize(path)
-    except OSError as error:
-        raise IoFault(f"cannot open {path}: {error}") from error
-
-
-def read_at(path: str, offset: int, length: int) -> bytes:
-    """Exactly ``length`` bytes, or a refusal."""
-    try:
-        with open(path, "rb") as f:
-            f.seek(offset)
-            data = f.read(length)
-    except OSError as error:
-        raise IoFault(f"cannot read {path}: {error}") from error
-    if len(data) != length:
-        raise FormatFault(f"{path} is truncated at byte {offset + len(data)}")
-    return data
-
-
-def mapped(path: str, kind: str, offset: int, shape: tuple[int, ...]) -> np.ndarray:
-    """A view of an array inside a file; indexing it reads only the pages it touches."""
-    try:
-        return np.memmap(path, dtype=kind, mode="r", offset=offset, shape=shape)
-    except OSError as error:
-        raise IoFault(f"cannot read {path}: {error}") from error
-    except ValueError as error:
-        raise FormatFault(f"{path} is shorter than its header says") from error
-
-
 def parse_xml(data: bytes, what: str) -> ET.Element:
     try:
         root = ET.fromstring(data.strip(b"\0 \r\n\t"))

@@ -9,16 +9,18 @@ from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from ..errors import FormatFault, IoFault, UnsupportedFault
+from ..errors import FormatFault, UnsupportedFault
 from ..operators.focus import Collect
 from ..params import CollectMeta, Plane
-from .binary import PULSE_ARROW, PULSE_SCHEMA, list_column, Span, file_size, read_at, spans
+from .binary import PULSE_ARROW, PULSE_SCHEMA, list_column, Span, spans
 from .cphd import MAGIC as CPHD_MAGIC
 from .cphd import read_cphd
+from .stores import Location, Ranged, locate
 
 # Fixed layout: magic, version, pulse and bin counts, then five scalars.
 MAGIC = 0x52534348
@@ -28,7 +30,7 @@ HEADER = struct.Struct("<IIQQddddd")
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.location = Location(options["path"], options.get("opener", ""))
         self.n_pulse, self.n_rbin = int(options["n_pulse"]), int(options["n_rbin"])
 
     def partitions(self):
@@ -37,15 +39,13 @@ class _Reader(DataSourceReader):
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         n, count = self.n_pulse, partition.stop - partition.start
         base = HEADER.size
+        with Ranged(self.location) as file:
 
-        def doubles(column: int, width: int = 1) -> np.ndarray:
-            at = base + 8 * (column * n + width * partition.start)
-            return np.frombuffer(read_at(self.path, at, 8 * width * count), "<f8")
+            def doubles(column: int, width: int = 1) -> np.ndarray:
+                return file.array("<f8", base + 8 * (column * n + width * partition.start), (width * count,))
 
-        t, r_ref, position = doubles(0), doubles(1), doubles(2, 3).reshape(count, 3)
-        at = base + 40 * n + 8 * self.n_rbin * partition.start
-        raw = np.frombuffer(read_at(self.path, at, 8 * self.n_rbin * count), "<f4")
-        pairs = raw.reshape(count, self.n_rbin, 2)
+            t, r_ref, position = doubles(0), doubles(1), doubles(2, 3).reshape(count, 3)
+            pairs = file.array("<f4", base + 40 * n + 8 * self.n_rbin * partition.start, (count, self.n_rbin, 2))
         pulse = np.arange(partition.start, partition.stop, dtype=np.int64)
         columns = [pulse, t, *[np.ascontiguousarray(c) for c in position.T], r_ref]
         yield pa.RecordBatch.from_arrays(
@@ -69,12 +69,12 @@ class FlatSource(DataSource):
 
 def read_flat(spark: SparkSession, path: str) -> Collect:
     """Import a flat binary phase history; its range phase is absolute."""
-    size = file_size(path)
-    if size < HEADER.size:
-        raise FormatFault(f"{path} is too short to hold a header")
-    magic, version, n_pulse, n_rbin, near, dr, fc, lam, prf = HEADER.unpack(
-        read_at(path, 0, HEADER.size)
-    )
+    where = locate(spark, path)
+    with Ranged(where) as file:
+        size = file.size
+        if size < HEADER.size:
+            raise FormatFault(f"{path} is too short to hold a header")
+        magic, version, n_pulse, n_rbin, near, dr, fc, lam, prf = HEADER.unpack(file.read(0, HEADER.size))
     if magic != MAGIC:
         raise FormatFault(f"{path} is not a phase-history file")
     if version != VERSION:
@@ -85,7 +85,8 @@ def read_flat(spark: SparkSession, path: str) -> Collect:
         raise FormatFault(f"{path} is truncated")
     spark.dataSource.register(FlatSource)
     pulses = (
-        spark.read.format("sarmotion_flat").option("n_pulse", n_pulse).option("n_rbin", n_rbin).load(path)
+        spark.read.format("sarmotion_flat").option("n_pulse", n_pulse).option("n_rbin", n_rbin)
+        .option("opener", where.opener).load(path)
     )
     return Collect(pulses, CollectMeta(n_pulse, n_rbin, dr, fc, lam, prf, near, source="flat-file"))
 
@@ -110,7 +111,7 @@ def _is_saved(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds a saved collect's metadata, in whatever store."""
     try:
         spark.read.text(f"{path}/meta").first()
-    except AnalysisException:
+    except (AnalysisException, Py4JJavaError):  # also a scheme that only the readers below know
         return False
     return True
 
@@ -121,11 +122,8 @@ def load_collect(
     """Open a collect by what it is: a saved one at any path that Spark reads, else a file by its first bytes."""
     if _is_saved(spark, path):
         return load_saved(spark, path)
-    try:
-        with open(path, "rb") as f:
-            start = f.read(len(CPHD_MAGIC))
-    except OSError as error:
-        raise IoFault(f"cannot open {path}: {error}") from error
+    with Ranged(locate(spark, path)) as file:
+        start = file.read(0, min(file.size, len(CPHD_MAGIC)))
     if start == CPHD_MAGIC:
         return read_cphd(spark, path, rbin_window, pulse_stride, max_pulses)
     return read_flat(spark, path)

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from ..errors import FormatFault, IoFault, MissingMetadata, RangeFault
+from ..errors import FormatFault, MissingMetadata, RangeFault
 from ..functions.geometry import image_faults
 from ..params import SPEED_OF_LIGHT, ImageMeta
-from .binary import BATCH_PIXELS, mapped, PIXEL_SCHEMA, Span, file_size, pixel_batch, spans
+from .binary import BATCH_PIXELS, PIXEL_SCHEMA, Span, pixel_batch, spans
+from .stores import Location, Ranged, locate, read_all
 
 # Alternative field names, first found wins.
 FIELDS = {
@@ -29,15 +30,10 @@ DEFAULT_FREQUENCY = 1.2575e9
 MAX_EXTENT = 1e7
 
 
-def read_annotation(path: str) -> dict[str, str]:
+def read_annotation(path: str | Location) -> dict[str, str]:
     """``name (unit) = value ; comment`` lines; names are lower-cased, first wins."""
-    try:
-        with open(path, encoding="latin-1") as f:
-            lines = f.readlines()
-    except OSError as error:
-        raise IoFault(f"cannot open annotation {path}: {error}") from error
     fields: dict[str, str] = {}
-    for line in lines:
+    for line in read_all(path).decode("latin-1").splitlines():
         name, found, value = line.split(";", 1)[0].partition("=")
         if found:
             fields.setdefault(name.split("(", 1)[0].strip().lower(), value.strip())
@@ -64,19 +60,19 @@ def _required(fields: dict[str, str], what: str) -> float:
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.location = Location(options["path"], options.get("opener", ""))
         self.n_az, self.n_rg = int(options["n_az"]), int(options["n_rg"])
 
     def partitions(self):
         return spans(self.n_az, max(1, (32 << 20) // (self.n_rg * 8)))
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        pixels = mapped(self.path, "<f4", 0, (self.n_az, self.n_rg, 2))
         step = max(1, BATCH_PIXELS // self.n_rg)
-        for at in range(partition.start, partition.stop, step):
-            lines = np.arange(at, min(at + step, partition.stop))
-            pairs = np.asarray(pixels[lines[0] : lines[-1] + 1], float).reshape(-1, 2)
-            yield pixel_batch(np.repeat(lines, self.n_rg), np.tile(np.arange(self.n_rg), len(lines)), pairs[:, 0] + 1j * pairs[:, 1])
+        with Ranged(self.location) as file:
+            for at in range(partition.start, partition.stop, step):
+                lines = np.arange(at, min(at + step, partition.stop))
+                pairs = file.array("<f4", 8 * self.n_rg * at, (len(lines) * self.n_rg, 2)).astype(float)
+                yield pixel_batch(np.repeat(lines, self.n_rg), np.tile(np.arange(self.n_rg), len(lines)), pairs[:, 0] + 1j * pairs[:, 1])
 
 
 class UavsarSource(DataSource):
@@ -96,12 +92,14 @@ def read_uavsar(spark: SparkSession, slc_path: str, ann_path: str) -> tuple[Data
 
     The annotation's altitude stands in for a range, as it holds no other.
     """
-    fields = read_annotation(ann_path)
+    fields = read_annotation(locate(spark, ann_path))
     rows, cols = _required(fields, "rows"), _required(fields, "cols")
     if not (1 <= rows <= MAX_EXTENT and 1 <= cols <= MAX_EXTENT):
         raise FormatFault(f"implausible dimensions {rows:g} x {cols:g}")
     n_az, n_rg = int(rows), int(cols)
-    size, need = file_size(slc_path), n_az * n_rg * 8
+    where = locate(spark, slc_path)
+    with Ranged(where) as file:
+        size, need = file.size, n_az * n_rg * 8
     if size < need:
         raise FormatFault(f"{slc_path} has {size} bytes, its samples need {need}")
     az, rg = _required(fields, "az_spacing"), _required(fields, "rg_spacing")
@@ -121,7 +119,8 @@ def read_uavsar(spark: SparkSession, slc_path: str, ann_path: str) -> tuple[Data
     check_image(spark, meta)
     spark.dataSource.register(UavsarSource)
     pixels = (
-        spark.read.format("sarmotion_uavsar").option("n_az", n_az).option("n_rg", n_rg).load(slc_path)
+        spark.read.format("sarmotion_uavsar").option("n_az", n_az).option("n_rg", n_rg)
+        .option("opener", where.opener).load(slc_path)
     )
     return pixels, meta
 

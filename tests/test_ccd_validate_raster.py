@@ -284,3 +284,56 @@ def test_intervals_span_missing_pulses(spark):
 
 def test_ccd_params_are_plain(noise):
     assert replace(CcdParams(), win=7).win == 7
+
+
+def test_cube_parts_and_manifest_in_another_store(spark, tmp_path):
+    """Tasks write parts, runs that no row gives read as absent, and a second export replaces the first."""
+    import os
+
+    from sarmotion.sinks import cubes
+
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(os.path.abspath(__file__)), "store_handlers.py"))
+    spark.conf.set("spark.sarmotion.store.far", "store_handlers:opened")
+    path = f"far://{tmp_path}/cube"
+    for shift in (0.0, 100.0):
+        rows = spark.createDataFrame([(w, [w + shift, w + 0.5]) for w in range(90) if w % 7], "w bigint, v array<double>")
+        cubes.export_cube(rows.repartition(5), "w", "v", 3, 30, 2, path)
+        got = {r["at"]: list(r["run"]) for r in cubes.read_cube(spark, path).collect()}
+        assert got == {w: [w + shift, w + 0.5] for w in range(90) if w % 7}
+    names = os.listdir(tmp_path / "cube")
+    assert "cube.hdr" in names and "manifest.json" in names and not [n for n in names if "partial" in n]
+    spark.conf.unset("spark.sarmotion.store.far")
+
+
+def test_flat_cube_is_written_by_tasks_and_read_back(spark, tmp_path):
+    from sarmotion.sinks import cubes
+
+    path = str(tmp_path / "c.f32")
+    rows = spark.createDataFrame([(w, [float(w), -float(w)]) for w in range(50) if w != 30], "w bigint, v array<double>")
+    cubes.export_cube(rows.repartition(7), "w", "v", 1, 50, 2, path)
+    want = np.array([[w, -w] if w != 30 else [0, 0] for w in range(50)], float)
+    assert (np.fromfile(path, "<f4").reshape(50, 2) == want).all()
+    got = sorted((r["at"], list(r["run"])) for r in cubes.read_cube(spark, path).collect())
+    assert (np.array([v for _, v in got]) == want).all()
+
+
+@pytest.mark.parametrize("store", ["flat", "parts"])
+def test_failed_export_leaves_nothing(spark, tmp_path, store):
+    import os
+
+    from sarmotion.sinks import cubes
+
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(os.path.abspath(__file__)), "store_handlers.py"))
+    spark.conf.set("spark.sarmotion.store.far", "store_handlers:opened")
+    target = tmp_path / "cube"
+    path = str(target) if store == "flat" else f"far://{target}"
+    rows = spark.range(200).selectExpr("id as w", "array(cast(id as double), 1.0D) as v")
+    for bad in (rows, rows.selectExpr("w", "if(w = 77, array(1.0D), v) as v")):  # outside the cube; a short run
+        with pytest.raises(Exception, match="lies outside|another length"):
+            cubes.export_cube(bad.repartition(4), "w", "v", 1, 190 if bad is rows else 200, 2, path)
+        left = [os.path.join(d, n) for d, _, names in os.walk(tmp_path) for n in names]
+        assert left == []
+    cubes.export_cube(rows, "w", "v", 1, 200, 2, path)
+    with pytest.raises(ArgumentError):
+        cubes.export_cube(rows, "w", "v", 1, 3, 1, path)
+    spark.conf.unset("spark.sarmotion.store.far")

@@ -300,3 +300,37 @@ def test_realigned_stacks_fold_inside_a_task(spark):
     for trial in range(5):
         want = sum(np.roll(lines[w], tomo.circular_shift(trial, w, 7, 3)) for w in range(40))
         assert [got[trial, j] for j in range(7)] == pytest.approx(want)
+
+
+def first_seen_groups(rows):
+    """Merged groups and the wavelengths that a fit keeps, row by row in order."""
+    merged, kept = [], []
+    for i, (_, _, lam, depth) in enumerate(rows):
+        if not any(abs(g[0] - lam) <= 1e-9 * lam for g in merged):
+            own = [d for _, _, x, d in rows if abs(x - lam) <= 1e-9 * lam]
+            merged.append((lam, len(own), np.mean(own), np.std(own)))
+        if not any(abs(x - lam) <= 1e-9 * lam for _, _, x, _ in rows[:i]):
+            kept.append((lam, depth))
+    return merged, kept
+
+
+def test_merge_by_tolerance_at_any_edge(spark):
+    """Wavelengths 1e-12 apart are one wherever they lie; chains longer than the tolerance split by first appearance."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for lam in rng.uniform(1.0, 300.0, 300):
+        rows += [(lam, rng.uniform(1, 50)), (lam * (1 + 1e-12), rng.uniform(1, 50))]
+    for lam in (5.0, 40.0):
+        rows += [(lam * (1 + k * 4e-10), rng.uniform(1, 50)) for k in rng.permutation(12)]
+    rows = [(float(i), 1.0, float(x), float(d)) for i, (x, d) in enumerate(rows)]
+    frame = spark.createDataFrame(
+        [(*r, 2.0) for r in rows], "velocity double, frequency double, lambda_ac double, peak_depth double, peak_value double"
+    ).repartition(5)
+    merged, kept = first_seen_groups(rows)
+    assert len(merged) < 320
+    got = sorted(tuple(r) for r in tomo.sweep_merge(frame).select("lambda_ac", "n_rows", "peak_depth", "sd").collect())
+    assert [g[:2] for g in got] == [m[:2] for m in sorted(merged)]
+    assert np.array(got) == pytest.approx(np.array(sorted(merged)), rel=1e-9, abs=1e-6)
+    fit = tomo.sweep_summary(frame).first()
+    x, y = np.log(np.array(kept)).T
+    assert fit["n_used"] == len(kept) and fit["slope"] == pytest.approx(np.polyfit(x, y, 1)[0], abs=1e-9)

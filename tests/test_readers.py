@@ -275,3 +275,97 @@ def test_not_a_nitf(tmp_path):
     with pytest.raises(FormatFault):
         read_sicd_meta(str(path))
     assert struct.calcsize("<IIQQddddd") == interchange.HEADER.size
+
+
+# ---- any store, and only what is asked for --------------------------------------------------
+
+STORES = "store_handlers:opened"
+
+
+@pytest.fixture
+def far(spark):
+    """A store that only the handler of ``store_handlers`` opens, on the driver and in tasks."""
+    import os
+
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(os.path.abspath(__file__)), "store_handlers.py"))
+    spark.conf.set("spark.sarmotion.store.far", STORES)
+    yield lambda path: f"far://{path}"
+    spark.conf.unset("spark.sarmotion.store.far")
+
+
+@pytest.mark.parametrize("scheme", ["file", "far"])
+def test_readers_in_any_store(spark, tmp_path, far, scheme):
+    at = far if scheme == "far" else lambda path: f"file://{path}"
+    columns = ["pulse", "t", "px", "re", "im"]
+    path = write_cphd(tmp_path / "a.cphd")
+    want = [tuple(r) for r in read_cphd(spark, path).pulses.select(columns).orderBy("pulse").collect()]
+    collect = interchange.load_collect(spark, at(path))
+    assert [tuple(r) for r in collect.pulses.select(columns).orderBy("pulse").collect()] == want
+    assert collect.geometry.count() == NV
+    flat = interchange.load_collect(spark, at(write_flat(tmp_path / "a.bin")))
+    assert flat.pulses.where("pulse = 5").first()["re"] == [1.0] * 8
+    pixels, meta = read_sicd(spark, at(write_sicd(tmp_path / "a.nitf")))
+    assert all(r["re"] == r["rg"] * 7 + r["az"] for r in pixels.collect()) and meta.n_az == 7
+    slc, ann = write_uavsar(tmp_path)
+    pixels, meta = read_uavsar(spark, at(slc), at(ann))
+    assert sum(r["re"] for r in pixels.collect()) == sum(range(ROWS * COLS))
+    with pytest.raises(IoFault):
+        read_header(at(str(tmp_path / "absent.cphd")) if scheme == "file" else str(tmp_path / "absent.cphd"))
+
+
+def partitions_of(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_filters_on_pulse_and_time_reach_the_reader(spark, tmp_path, monkeypatch):
+    from sarmotion.sources import cphd
+
+    monkeypatch.setattr(cphd, "LEAST_BLOCK", 8)
+    flags = np.ones(NV, int)
+    flags[[0, 9, 10]] = 0
+    path = write_cphd(tmp_path / "a.cphd", flags=flags)
+    collect = read_cphd(spark, path)
+    whole = {r["pulse"]: (r["t"], r["re"]) for r in collect.pulses.collect()}
+    assert len(whole) == NV - 3 and partitions_of(collect.pulses) == 8
+    strided = read_cphd(spark, path, pulse_stride=5)
+    # Nothing of the signal is left but the lines of the first twenty vectors.
+    header = read_header(path)
+    with open(path, "r+b") as f:
+        f.truncate(header.signal_offset + 20 * NS * 8)
+    with pytest.raises(Exception, match="shorter than its header says"):
+        collect.pulses.collect()
+    for condition, holds in (
+        ("pulse < 16", lambda p, t: p < 16), ("pulse = 9", lambda p, t: p == 9), ("pulse in (3, 12)", lambda p, t: p in (3, 12)),
+        ("t <= 0.0155", lambda p, t: t <= 0.0155), ("t > 0.004 and pulse <= 11 and px < 0", lambda p, t: t > 0.004 and p <= 11),
+    ):
+        cut = collect.pulses.where(condition)
+        assert {r["pulse"]: (r["t"], r["re"]) for r in cut.collect()} == {
+            p: v for p, v in whole.items() if holds(p, v[0])}, condition
+        assert partitions_of(cut) <= 3, condition
+    assert collect.pulses.where("pulse = 1000000").count() == 0
+    assert [r["pulse"] for r in strided.pulses.where("pulse between 1 and 2").orderBy("pulse").collect()] == [1, 2]
+
+
+def test_summary_of_a_collect_does_not_grow_with_it():
+    from dataclasses import replace
+
+    from sarmotion.sources import cphd
+
+    h = cphd.CphdHeader("a", 0, 0, 64, 32, 240, "CF8", True, -1.0, 1.0, 1e9, (), (), {})
+    for n in (64, 335_141, 10**9):
+        block = replace(h, n_vectors=n).block
+        assert -(-n // block) <= cphd.MOST_BLOCKS
+
+
+def test_window_of_the_time_domain_fetches_ranges_of_wide_lines(tmp_path):
+    from sarmotion.sources.stores import Location, Ranged
+
+    matrix = np.arange(6 * 100_000, dtype=">f4").reshape(6, 100_000)
+    (tmp_path / "m").write_bytes(matrix.tobytes())
+    rows, columns = np.array([0, 2, 3, 5]), [(99_990, 100_000), (0, 6)]
+    with Ranged(Location(str(tmp_path / "m"))) as file:
+        got = file.window(">f4", 0, 100_000, rows, columns)
+        assert (got == np.concatenate([matrix[rows, 99_990:], matrix[rows, :6]], axis=1)).all()
+        assert (file.rows(">f4", 0, 100_000, rows) == matrix[rows]).all()
+        assert file.window(">f4", 0, 100_000, rows[:0], columns).shape == (0, 16)
+        assert file.rows(">f4", 0, 100_000, rows[:0]).shape == (0, 100_000)
