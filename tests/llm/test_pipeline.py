@@ -27,7 +27,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_queries_are_registered():
-    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
