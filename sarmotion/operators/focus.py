@@ -60,6 +60,11 @@ class PulseWindows:
         looks = np.arange(self.n_looks, dtype=np.int64) * self.step
         return self.first + np.minimum(looks, self.n_pulse - self.per)
 
+    def members(self, pulse: np.ndarray) -> np.ndarray:
+        """Looks x pulses: whether a look is formed from a pulse."""
+        starts = self.starts[:, None]
+        return (pulse[None, :] >= starts) & (pulse[None, :] < starts + self.per)
+
 
 def full_aperture(meta: CollectMeta, start: int = 0, count: int | None = None) -> PulseWindows:
     count = meta.n_pulse - start if count is None else count
@@ -185,9 +190,7 @@ def partial_images(
             pulse, r_ref = column("pulse"), column("r_ref")
             position = np.stack([column(n) for n in ("px", "py", "pz")], axis=1)
             signal = _lists(batch, "re", n_rbin) + 1j * _lists(batch, "im", n_rbin)
-            member = (pulse[None, :] >= starts[:, None]) & (
-                pulse[None, :] < starts[:, None] + per
-            )
+            member = windows.members(pulse)
             groups = np.stack([column(k) for k in keys], axis=1) if keys else np.zeros((len(pulse), 0), np.int64)
             for group in np.unique(groups, axis=0):
                 rows = np.nonzero((groups == group).all(axis=1))[0]
@@ -296,23 +299,31 @@ def image_meta(collect: Collect, grid: Grid, windows: PulseWindows) -> tuple[Ima
     return image, [r["centre_time"] for r in rows]
 
 
+def azimuth_resolutions(collect: Collect, pulse_count: int | None = None) -> DataFrame:
+    """Azimuth resolution of an image formed from the first pulses, for every count (or one): ``(pulse_count, resolution)``.
+
+    The middle pulse of each count is found by an equi-join; the first pulse is a single row.
+    """
+    track = collect.geometry.select("pulse", "px", "py", "pz", "r_ref")
+    last = track.where(F.col("pulse") >= 1 if pulse_count is None else F.col("pulse") == pulse_count - 1)
+    first = track.where("pulse = 0").select(F.struct("px", "py", "pz").alias("_first"))
+    middle = track.select(F.col("pulse").alias("_mid"), F.col("r_ref").alias("_centre"))
+    apart = lambda c: F.pow(F.col(c) - F.col(f"_first.{c}"), 2)
+    joined = (
+        last.withColumn("pulse_count", F.col("pulse") + 1).withColumn("_mid", F.floor(F.col("pulse_count") / 2))
+        .join(middle, "_mid").crossJoin(F.broadcast(first))
+        .withColumn("_chord", F.sqrt(apart("px") + apart("py") + apart("pz")))
+        .withColumn("_range", F.when(F.col("_centre") > 0, F.col("_centre")).otherwise(F.lit(float(collect.meta.r_near))))
+    )
+    known = (F.col("_chord") > 0) & (F.col("_range") > 0) & F.lit(collect.meta.wavelength > 0)
+    formula = F.lit(float(collect.meta.wavelength)) * F.col("_range") / (2.0 * F.col("_chord"))
+    return joined.select("pulse_count", F.when(known, formula).otherwise(0.0).alias("resolution"))
+
+
 def focus_azimuth_resolution(collect: Collect, pulse_count: int) -> float:
     """Azimuth resolution of an image formed from the first ``pulse_count`` pulses."""
     meta = collect.meta
     count = min(pulse_count, meta.n_pulse)
     if count < 2 or meta.wavelength <= 0:
         return 0.0
-    wanted = [0, count // 2, count - 1]
-    rows = {
-        r["pulse"]: r
-        for r in collect.geometry.where(F.col("pulse").isin(wanted))
-        .select("pulse", "px", "py", "pz", "r_ref")
-        .collect()
-    }
-    first, last = rows[0], rows[count - 1]
-    chord = math.dist(*[(r["px"], r["py"], r["pz"]) for r in (first, last)])
-    mid = rows[count // 2]["r_ref"]
-    centre = mid if mid > 0 else meta.r_near
-    if chord <= 0 or centre <= 0:
-        return 0.0
-    return meta.wavelength * centre / (2.0 * chord)
+    return azimuth_resolutions(collect, count).first()["resolution"]

@@ -24,10 +24,18 @@ from ..errors import ArgumentError, RangeFault, SarMotionError, SingularFault
 from ..params import CONVENTIONS, MotionMeta, TomoParams
 
 MODELS = ("A", "B", "C", "D")
+# Items of the steering matrices that a task decomposes at a time.
+STACK = 1 << 20
+
+
+def time_scale(t):
+    """Factor of a literal time in the depth phase; 1 where there is none."""
+    t = np.asarray(t, float)
+    return np.where(t > 0, 2.0 * math.pi * t, 1.0)
 
 
 def eq22_scale(params: TomoParams) -> float:
-    return 2.0 * math.pi * params.eq22_literal_t if params.eq22_literal_t > 0 else 1.0
+    return float(time_scale(params.eq22_literal_t))
 
 
 def acoustic_wavelength(params: TomoParams) -> float:
@@ -54,10 +62,16 @@ def depth_resolution(params: TomoParams) -> float:
     return _carrier(params) * params.slant_range / (2.0 * params.aperture) / scale
 
 
+def repeat_depth(top, n_looks: int):
+    """Depth beyond which a profile of ``n_looks`` looks up to the wavenumber ``top`` repeats; 0 where undefined."""
+    top = np.asarray(top, float)
+    known = (top > 0) & (n_looks > 0)
+    return np.where(known, 2.0 * math.pi * n_looks / np.where(known, top, 1.0), 0.0)
+
+
 def max_depth(params: TomoParams, n_looks: int) -> float:
     """Depth beyond which a profile repeats; 0 where undefined."""
-    top = float(wavenumber(params, params.aperture, _carrier(params))) * eq22_scale(params)
-    return 2.0 * math.pi * n_looks / top if n_looks and top > 0 else 0.0
+    return float(repeat_depth(wavenumber(params, params.aperture, _carrier(params)) * eq22_scale(params), n_looks))
 
 
 def check_params(params: TomoParams) -> None:
@@ -121,14 +135,42 @@ def conditioning(params: TomoParams, n_looks: int, n_depth: int, rank_tol: float
         raise ArgumentError("conditioning needs a look count and a depth count")
     rank_tol = rank_tol if rank_tol > 0 else 1e-3
     matrix = steering_matrix(params, n_looks, np.arange(n_depth) * params.depth_cell)
-    values = np.linalg.svd(matrix, compute_uv=False)
-    high, low = float(values.max()), float(values.min())
-    return {
-        "sv_max": high,
-        "sv_min": low,
-        "condition": high / low if low > 0 else math.inf,
-        "rank": int((values / high > rank_tol).sum()) if high > 0 else 0,
-    }
+    return {k: v[0].item() for k, v in _conditioned(matrix[None], rank_tol).items()}
+
+
+def _conditioned(matrices: np.ndarray, rank_tol: float) -> dict[str, np.ndarray]:
+    """Of every steering matrix of a batch: extreme singular values, their ratio, and how many are not negligible."""
+    values = np.linalg.svd(matrices, compute_uv=False)
+    high, low = values.max(axis=1), values.min(axis=1)
+    with np.errstate(divide="ignore"):
+        condition = np.where(low > 0, high / np.where(low > 0, low, 1.0), math.inf)
+    return {"sv_max": high, "sv_min": low, "condition": condition, "rank": (values > rank_tol * high[:, None]).sum(axis=1)}
+
+
+def conditioning_rows(
+    requests: DataFrame, top: str, cell: str, n_looks: int, n_depth: int, rank_tol: float = 1e-3
+) -> DataFrame:
+    """Conditioning of each row's steering: adds ``sv_max, sv_min, rank``.
+
+    ``top`` is the wavenumber of the whole aperture and ``cell`` the depth step, both columns.  Matrices are decomposed in
+    stacks of bounded size, inside the tasks that hold the rows.
+    """
+    if n_looks <= 0 or n_depth <= 0:
+        raise ArgumentError("conditioning needs a look count and a depth count")
+    step = max(1, STACK // (n_looks * n_depth))
+
+    @pandas_udf("sv_max double, sv_min double, rank bigint")
+    def decomposed(tops: pd.Series, cells: pd.Series) -> pd.DataFrame:
+        parts = []
+        for at in range(0, len(tops), step):
+            phase = tops.to_numpy(float)[at : at + step, None, None] * (np.arange(n_looks) / n_looks)[None, :, None]
+            depth = cells.to_numpy(float)[at : at + step, None, None] * np.arange(n_depth)[None, None, :]
+            parts.append(pd.DataFrame(_conditioned(np.exp(1j * phase * depth), rank_tol)))
+        found = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"sv_max": [], "sv_min": [], "rank": []})
+        return found[["sv_max", "sv_min", "rank"]].astype({"rank": "int64"})
+
+    return requests.withColumn("_c", decomposed(F.col(top).cast("double"), F.col(cell).cast("double"))).select(
+        *requests.columns, "_c.*")
 
 
 def _inverse_operator(params: TomoParams, n_looks: int) -> np.ndarray:

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..errors import ArgumentError, SarMotionError
 from ..functions.joins import attach
@@ -209,12 +210,9 @@ def register_windows(stack: ImageStack, params: TrackParams, keys: Sequence[str]
 def _finish_correlation(pairs: DataFrame, stack: StackMeta, params: TrackParams, keys: list[str]) -> DataFrame:
     image = stack.image
     whole = Window.partitionBy(*keys, "iaz", "irg")
-    upto = whole.orderBy("look").rowsBetween(Window.unboundedPreceding, 0)
     measured = F.col("peak").isNotNull()
     if params.reference == "adjacent":
-        pairs = pairs.withColumn("shift_az", F.sum("shift_az").over(upto)).withColumn(
-            "shift_rg", F.sum("shift_rg").over(upto)
-        )
+        pairs = pairs.withColumns({c: accumulated(c, whole.orderBy("look")) for c in ("shift_az", "shift_rg")})
     phase = F.when(measured, F.atan2("dot_im", "dot_re")).otherwise(0.0)
     moved = pairs.withColumn("phase", phase).withColumns({
         "quality": F.coalesce(F.avg("peak").over(whole), F.lit(0.0)),
@@ -234,6 +232,18 @@ def _finish_correlation(pairs: DataFrame, stack: StackMeta, params: TrackParams,
     )
 
 
+def accumulated(column: str, along: WindowSpec) -> Column:
+    """Shifts from look to look as shifts from the first."""
+    return F.sum(column).over(along.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def rate(column: str, along: WindowSpec, dt: float) -> Column:
+    """Change since the look before, a second; 0 at the first look and without a look step."""
+    if not dt > 0:
+        return F.lit(0.0)
+    return F.coalesce((F.col(column) - F.lag(column).over(along)) / dt, F.lit(0.0))
+
+
 def velocity(shift: Column, stack: StackMeta) -> Column:
     """Line-of-sight velocity an azimuth shift stands for; 0 without the geometry."""
     image = stack.image
@@ -288,12 +298,10 @@ def track_phase(stack: ImageStack, params: TrackParams, keys: Sequence[str] = ()
     moved = held.withColumns({"phase": psi, "quality": quality}).withColumn(
         "disp_los", F.col("phase") * (-_wavelength(stack.meta.image) / (4.0 * math.pi))
     )
-    before = F.lag("disp_los").over(along)
-    rate = (F.col("disp_los") - before) / stack.meta.dt if stack.meta.dt > 0 else F.lit(0.0)
     return moved.select(
         *keys, "iaz", "irg", "look",
         F.lit(0.0).alias("disp_az"), F.lit(0.0).alias("disp_rg"),
-        F.coalesce(rate, F.lit(0.0)).alias("vel_los"), "disp_los", "phase", "quality",
+        rate("disp_los", along, stack.meta.dt).alias("vel_los"), "disp_los", "phase", "quality",
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import geodesy as geo
 from ..functions import geometry as g
@@ -16,6 +19,7 @@ from ..operators import (
     ccd,
     focus,
     nulls,
+    patches,
     raster,
     reports,
     selection,
@@ -23,7 +27,7 @@ from ..operators import (
     tracking,
     validation,
 )
-from ..operators.orbit import interpolate_orbit
+from ..operators.orbit import interpolate_orbit, interpolate_orbit_asof
 from ..operators.spectrum import (
     lowest_bin,
     pack_series,
@@ -36,7 +40,6 @@ from ..operators.subaperture import (
     azimuth_power_spectrum,
     doppler_bandwidth,
     doppler_centroid,
-    looks_of_pulse,
     pulse_windows,
     split,
 )
@@ -122,9 +125,27 @@ def q_resolution_grid(spark: SparkSession, d: str) -> DataFrame:
 def q_tomographic_wavenumber(spark: SparkSession, d: str) -> DataFrame:
     rows = t.geometry_rows(spark, d)
     kz = g.wavenumber(75000.0, g.acoustic_wavelength("v", "f"), "slant", "theta")
-    top = F.when(F.col("kz") > 0, 2.0 * math.pi * 64.0 / F.col("kz")).otherwise(0.0)
+    top = pandas_udf(lambda kz: pd.Series(tomography.repeat_depth(kz, 64)), "double")
     keyed = rows.select("l_orderkey", "l_linenumber", kz.alias("kz"))
-    return rounded(keyed.withColumn("max_depth", top), kz=5, max_depth=4)
+    return rounded(keyed.withColumn("max_depth", top("kz")), kz=5, max_depth=4)
+
+
+def q_depth_scales(spark: SparkSession, d: str) -> DataFrame:
+    """Literal times in the depth phase and the resolution they leave."""
+    rows = t.geometry_rows(spark, d).withColumn("when", F.col("overlap") - 0.3)
+    scale = pandas_udf(lambda when: pd.Series(tomography.time_scale(when)), "double")
+    scaled = rows.withColumn("scale", scale("when"))
+    cell = g.depth_resolution(g.acoustic_wavelength("v", "f"), "slant", 75000.0) / F.col("scale")
+    return rounded(scaled.select("l_orderkey", "l_linenumber", "scale", cell.alias("resolution")))
+
+
+def q_conditioning(spark: SparkSession, d: str) -> DataFrame:
+    """How well each geometry's sixteen looks resolve three depths."""
+    rows = t.geometry_rows(spark, d)
+    kz = g.wavenumber(75000.0, g.acoustic_wavelength("v", "f"), "slant", "theta")
+    asked = rows.select("l_orderkey", "l_linenumber", kz.alias("kz"), F.lit(2.0).alias("cell"))
+    found = tomography.conditioning_rows(asked, "kz", "cell", 16, 3)
+    return rounded(found.select("l_orderkey", "l_linenumber", "rank", "sv_max", "sv_min"), sv_max=4, sv_min=4)
 
 
 def q_feasibility(spark: SparkSession, d: str) -> DataFrame:
@@ -180,6 +201,34 @@ def q_orbit_interp(spark: SparkSession, d: str) -> DataFrame:
     ))
 
 
+def q_orbit_asof(spark: SparkSession, d: str) -> DataFrame:
+    """Where three platforms are at the events' moments, from the orders as their state vectors."""
+    price, customer = F.col("o_totalprice") / 100000.0, F.col("o_custkey") / 100.0
+    states = t.table(spark, d, "orders").select(
+        (F.col("o_custkey") % 3).alias("platform"), (F.col("o_orderkey") * 173.0).alias("t"),
+        F.array(price, customer, price * customer).alias("pos"), F.array(customer, price, price - customer).alias("vel"),
+    )
+    events = t.table(spark, d, "events").select(
+        "event_id", (F.col("user_id") % 3).alias("platform"), ((t.micros("ts") - 1704067200000000) / 1000000.0).alias("when"))
+    found = interpolate_orbit_asof(events, states, "when", ["platform"], "s")
+    digits = {f"{c}{k}": 4 for c in "pv" for k in range(3)}
+    return rounded(found.select(
+        "event_id", "platform", F.col("s.t").alias("t"),
+        *[F.col("s.pos")[k].alias(f"p{k}") for k in range(3)], *[F.col("s.vel")[k].alias(f"v{k}") for k in range(3)],
+    ), t=3, **digits)
+
+
+def q_scene_places(spark: SparkSession, d: str) -> DataFrame:
+    """Corners and centre of an image whose first pixel lies at each place."""
+    at = geo.llh_to_ecf("lat", "lon", "hae")
+    axis = lambda u: F.struct(*[F.lit(x).alias(n) for n, x in zip("xyz", u)])
+    scenes = _places(spark, d).select(
+        "key", F.struct(*[at[n].alias(n) for n in "xyz"]).alias("origin"), axis(PLANE.u_x).alias("u_x"), axis(PLANE.u_y).alias("u_y"),
+        F.lit(2001).alias("n_az"), F.lit(1001).alias("n_rg"), F.lit(0.5).alias("az_spacing"), F.lit(0.75).alias("rg_spacing"),
+    )
+    return rounded(commands.places_of_scenes(scenes, ["key"]), hae=3)
+
+
 def q_image_faults(spark: SparkSession, d: str) -> DataFrame:
     rows = t.table(spark, d, "lineitem")
     fault = g.image_faults(
@@ -285,10 +334,23 @@ def q_paired_split(spark: SparkSession, d: str) -> DataFrame:
 def q_sliding_subapertures(spark: SparkSession, d: str) -> DataFrame:
     events = t.table(spark, d, "events").select(F.col("event_id").alias("pulse"), "value")
     windows = pulse_windows(events.count(), 16, 0.4)
-    member = events.select("pulse", "value", F.explode(looks_of_pulse(windows)).alias("look"))
-    return rounded(member.groupBy("look").agg(
-        F.count(F.lit(1)).alias("n_pulses"), F.min("pulse").alias("first_pulse"),
-        F.max("pulse").alias("last_pulse"), F.avg("value").alias("mean_value"),
+
+    def within(batches):
+        for batch in batches:
+            pulse, value = batch.column("pulse").to_numpy(), batch.column("value").to_numpy()
+            member = windows.members(pulse)
+            look = np.flatnonzero(member.any(axis=1))
+            own = member[look]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(look), pa.array(own.sum(axis=1)), pa.array(np.where(own, pulse, np.iinfo(np.int64).max).min(axis=1)),
+                 pa.array(np.where(own, pulse, -1).max(axis=1)), pa.array(own @ value)],
+                names=["look", "n", "first", "last", "total"],
+            )
+
+    parts = events.mapInArrow(within, "look bigint, n bigint, first bigint, last bigint, total double")
+    return rounded(parts.groupBy("look").agg(
+        F.sum("n").alias("n_pulses"), F.min("first").alias("first_pulse"),
+        F.max("last").alias("last_pulse"), (F.sum("total") / F.sum("n")).alias("mean_value"),
     ))
 
 
@@ -312,13 +374,32 @@ def q_window_geometry(spark: SparkSession, d: str) -> DataFrame:
     return rounded(focus.window_geometry(collect, t.PULSE_GRID, windows))
 
 
-def q_pulses_to_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    """Pulses to looks, looks to motion, motion to spectra."""
+def q_azimuth_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(focus.azimuth_resolutions(t.pulse_table(spark, d)))
+
+
+def q_collect_shape(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(commands.collect_shape(t.pulse_table(spark, d)))
+
+
+def _pulse_spectra(spark: SparkSession, d: str):
     collect = t.pulse_table(spark, d)
     windows = pulse_windows(collect.meta.n_pulse, t.FILM_LOOKS, 0.4)
     looks = ImageStack(focus.backproject(collect, Grid(n_x=t.FILM_AZ, n_y=t.FILM_RG), windows), t.FILM_META)
     motion, meta = tracking.track(looks, replace(TRACK, coherence_min=0.0))
-    return rounded(spectrum(pack_series(motion, meta.n_looks), meta).drop("psd"))
+    return spectrum(pack_series(motion, meta.n_looks), meta), meta
+
+
+def q_pulses_to_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Pulses to looks, motion, spectra and a resonance depth profile."""
+    spectra, meta = _pulse_spectra(spark, d)
+    cells = tomography.profile_cells(tomography.profiles(RESONANCE, meta, spectra=spectra), RESONANCE)
+    return rounded(cells.select("win", "j", "depth", "value"), value=8)
+
+
+def q_pulses_to_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Pulses to looks, looks to motion, motion to spectra."""
+    return rounded(_pulse_spectra(spark, d)[0].drop("psd"))
 
 
 # -- tracking -----------------------------------------------------------------------
@@ -357,13 +438,20 @@ def q_exhaustive_track(spark: SparkSession, d: str) -> DataFrame:
 
 def q_patch_demean(spark: SparkSession, d: str) -> DataFrame:
     """Energy left in each image once its complex mean is removed."""
-    pixels = t.film_pixels(spark, d)
-    image = pixels.groupBy("film", "look").agg(
-        F.avg("re").alias("mre"), F.avg("im").alias("mim"),
-        F.avg(F.col("re") ** 2 + F.col("im") ** 2).alias("power"),
-    )
-    left = F.col("power") - F.col("mre") ** 2 - F.col("mim") ** 2
-    return rounded(image.select("film", "look", "mre", "mim", left.alias("residual")))
+
+    def demeaned(batches):
+        for batch in batches:
+            pairs = np.stack(batch["embedding"].to_numpy()).astype(float).reshape(len(batch), t.FILM_AZ, t.FILM_RG, 2)
+            image = pairs[..., 0] + 1j * pairs[..., 1]
+            left = patches.demean(image)
+            mean = (image - left)[:, 0, 0]
+            yield pd.DataFrame({
+                "film": batch["vec_id"] // t.FILM_LOOKS, "look": batch["vec_id"] % t.FILM_LOOKS, "mre": mean.real, "mim": mean.imag,
+                "residual": (np.abs(left) ** 2).mean(axis=(1, 2)),
+            })
+
+    vectors = t.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return rounded(vectors.mapInPandas(demeaned, "film bigint, look bigint, mre double, mim double, residual double"))
 
 
 def _motion(spark: SparkSession, d: str) -> DataFrame:
@@ -373,14 +461,11 @@ def _motion(spark: SparkSession, d: str) -> DataFrame:
 def q_reference_series(spark: SparkSession, d: str) -> DataFrame:
     """Lagged, accumulated and differenced forms of each window's series."""
     along = Window.partitionBy("win").orderBy("look")
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
     return rounded(_motion(spark, d).select(
         "win", "look",
         F.coalesce(F.col("disp_az") - F.lag("disp_az", 4).over(along), F.lit(0.0)).alias("lagged"),
-        F.sum("disp_az").over(upto).alias("accumulated"),
-        F.coalesce(
-            (F.col("disp_los") - F.lag("disp_los").over(along)) / t.EVENT_META.dt, F.lit(0.0)
-        ).alias("rate"),
+        tracking.accumulated("disp_az", along).alias("accumulated"),
+        tracking.rate("disp_los", along, t.EVENT_META.dt).alias("rate"),
     ))
 
 
@@ -647,10 +732,17 @@ QUERIES: dict[str, Query] = {
     "acoustic_wavelength": q_acoustic_wavelength,
     "resolution_grid": q_resolution_grid,
     "tomographic_wavenumber": q_tomographic_wavenumber,
+    "depth_scales": q_depth_scales,
+    "conditioning": q_conditioning,
     "feasibility": q_feasibility,
     "band_shape": q_band_shape,
     "doppler_polynomial": q_doppler_polynomial,
     "orbit_interp": q_orbit_interp,
+    "orbit_asof": q_orbit_asof,
+    "scene_places": q_scene_places,
+    "azimuth_resolutions": q_azimuth_resolutions,
+    "collect_shape": q_collect_shape,
+    "pulses_to_depth": q_pulses_to_depth,
     "image_faults": q_image_faults,
     "ecf_llh_roundtrip": q_ecf_llh_roundtrip,
     "plane_offset": q_plane_offset,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -136,20 +135,31 @@ def change(stack: ImageStack, params: CcdParams) -> tuple[DataFrame, dict]:
     return found, ccd.map_range(found).first().asDict()
 
 
+def collect_shape(collect: Collect) -> DataFrame:
+    """Slant range, chord and look angle of a collect, from its first, middle and last pulse; one row.
+
+    The angle is NULL where the middle pulse is not above the scene.
+    """
+    n = collect.meta.n_pulse
+    at = lambda p, c: F.max(F.when(F.col("pulse") == p, F.col(c)))
+    ends = collect.geometry.where(F.col("pulse").isin(0, n // 2, n - 1)).agg(
+        *[at(0, c).alias(f"f{c}") for c in ("px", "py", "pz")], *[at(n - 1, c).alias(f"l{c}") for c in ("px", "py", "pz")],
+        *[at(n // 2, c).alias(f"m{c}") for c in ("px", "py", "pz", "r_ref")],
+    )
+    apart = F.sqrt(sum((F.pow(F.col(f"l{c}") - F.col(f"f{c}"), 2) for c in ("px", "py", "pz")), F.lit(0.0)))
+    away = F.sqrt(sum((F.pow(F.col(f"m{c}"), 2) for c in ("px", "py", "pz")), F.lit(0.0)))
+    slant = F.when(F.col("mr_ref") > 0, F.col("mr_ref")).otherwise(away)
+    drop = F.abs("mpz")
+    angle = F.when((drop > 0) & (drop <= slant), F.acos(drop / slant))
+    return ends.select(slant.alias("slant_range"), apart.alias("aperture"), angle.alias("incidence"))
+
+
 def collect_geometry(collect: Collect, params: TomoParams) -> TomoParams:
     """Slant range, aperture and incidence as the collect implies them."""
-    n = collect.meta.n_pulse
-    rows = {
-        r["pulse"]: r
-        for r in collect.geometry.where(F.col("pulse").isin(0, n // 2, n - 1))
-        .select("pulse", "px", "py", "pz", "r_ref").collect()
-    }
-    at = lambda p: [rows[p][c] for c in ("px", "py", "pz")]
-    slant = rows[n // 2]["r_ref"] if rows[n // 2]["r_ref"] > 0 else math.hypot(*at(n // 2))
-    drop = abs(rows[n // 2]["pz"])
+    found = collect_shape(collect).first()
     return replace(
-        params, slant_range=slant, aperture=math.dist(at(0), at(n - 1)),
-        incidence=math.acos(drop / slant) if 0 < drop <= slant else params.incidence,
+        params, slant_range=found["slant_range"], aperture=found["aperture"],
+        incidence=params.incidence if found["incidence"] is None else found["incidence"],
         radar_wavelength=collect.meta.wavelength,
     )
 
@@ -370,22 +380,39 @@ def scene_places(spark: SparkSession, meta: ImageMeta) -> DataFrame:
     there are no rows.
     """
     plane = meta.plane
-    az, rg = meta.n_az - 1.0, meta.n_rg - 1.0
-    places = [("first", 0.0, 0.0), ("last_range", 0.0, rg), ("last", az, rg), ("last_azimuth", az, 0.0), ("centre", az / 2, rg / 2)]
-    schema = "place string, a double, r double"
     if plane is None:
         return spark.createDataFrame([], "place string, lat double, lon double, hae double")
-    rows = spark.createDataFrame(places, schema)
     vector = lambda v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip("xyz", v)])
+    scene = spark.range(1).select(
+        F.lit(meta.n_az).alias("n_az"), F.lit(meta.n_rg).alias("n_rg"), F.lit(float(meta.az_spacing)).alias("az_spacing"),
+        F.lit(float(meta.rg_spacing)).alias("rg_spacing"), vector(plane.origin).alias("origin"), vector(plane.u_x).alias("u_x"),
+        vector(plane.u_y).alias("u_y"), vector(plane.sensor).alias("sensor"), vector(plane.sensor_vel).alias("sensor_vel"),
+        F.lit(float(plane.ref_hae)).alias("ref_hae"),
+    )
+    return places_of_scenes(scene, (), plane.is_slant)
+
+
+def places_of_scenes(scenes: DataFrame, keys: Sequence[str], slant: bool = False) -> DataFrame:
+    """The same for many scenes, five rows each: ``(*keys, place, lat, lon, hae)``.
+
+    A scene is ``n_az, n_rg, az_spacing, rg_spacing`` and the vectors ``origin, u_x, u_y``; a slant one has ``sensor,
+    sensor_vel, ref_hae`` as well.
+    """
+    az, rg = F.col("n_az") - 1.0, F.col("n_rg") - 1.0
+    zero = F.lit(0.0)
+    spots = (("first", zero, zero), ("last_range", zero, rg), ("last", az, rg), ("last_azimuth", az, zero), ("centre", az / 2, rg / 2))
+    spread = scenes.select("*", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("place"), a.alias("_a"), r.alias("_r")) for name, a, r in spots])))
     point = F.struct(*[
-        (F.lit(float(o)) + F.col("a") * meta.az_spacing * float(u) + F.col("r") * meta.rg_spacing * float(w)).alias(n)
-        for n, o, u, w in zip("xyz", plane.origin, plane.u_x, plane.u_y)
+        (F.col(f"origin.{n}") + F.col("_a") * F.col("az_spacing") * F.col(f"u_x.{n}")
+         + F.col("_r") * F.col("rg_spacing") * F.col(f"u_y.{n}")).alias(n)
+        for n in "xyz"
     ])
-    if plane.is_slant:
-        point = geodesy.slant_to_ground(vector(plane.sensor), vector(plane.sensor_vel), point, F.lit(float(plane.ref_hae)))
-    ground = rows.select("place", point.alias("p"))
-    llh = ground.select("place", geodesy.ecf_to_llh("p.x", "p.y", "p.z").alias("g"))
-    return llh.select("place", "g.lat", "g.lon", "g.hae")
+    if slant:
+        point = geodesy.slant_to_ground(F.col("sensor"), F.col("sensor_vel"), point, F.col("ref_hae"))
+    ground = spread.select(*keys, "place", point.alias("p"))
+    llh = ground.select(*keys, "place", geodesy.ecf_to_llh("p.x", "p.y", "p.z").alias("g"))
+    return llh.select(*keys, "place", "g.lat", "g.lon", "g.hae")
 
 
 def image_info(pixels: DataFrame, meta: ImageMeta) -> dict:

@@ -65,6 +65,27 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {_r("kz", "kz", 5)},
 FROM k
 """
 
+DEPTH_SCALES = f"""
+WITH {GEOMETRY},
+s AS (SELECT *, CASE WHEN overlap - 0.3::DOUBLE > 0 THEN 2.0 * {PI} * (overlap - 0.3::DOUBLE) ELSE 1.0 END AS scale FROM wave)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {_r("scale", "scale")}, {_r("lam * slant / 150000.0 / scale", "resolution")} FROM s
+"""
+
+# Eigenvalues of the 3 x 3 Gram matrix in closed form.
+CONDITIONING = f"""
+WITH {GEOMETRY},
+k AS (SELECT l_orderkey, l_linenumber, CASE WHEN lam * slant * sin(theta) <> 0
+  THEN 4.0 * {PI} * 75000.0 / (lam * slant * sin(theta)) ELSE 0.0 END AS kz FROM wave),
+gm AS (SELECT kz, sum(cos(kz * i / 8.0::DOUBLE)) AS r1, sum(sin(kz * i / 8.0::DOUBLE)) AS i1,
+    sum(cos(kz * i / 4.0::DOUBLE)) AS r2, sum(sin(kz * i / 4.0::DOUBLE)) AS i2 FROM (SELECT DISTINCT kz FROM k), range(16) r(i) GROUP BY kz),
+p AS (SELECT *, sqrt((2 * (r1 * r1 + i1 * i1) + r2 * r2 + i2 * i2) / 3.0) AS p FROM gm),
+a AS (SELECT *, acos(greatest(-1.0, least(1.0, ((r1 * r1 - i1 * i1) * r2 + 2 * r1 * i1 * i2) / (p * p * p)))) / 3.0 AS phi FROM p),
+e AS (SELECT *, 16.0 + 2 * p * cos(phi) AS hi, 16.0 + 2 * p * cos(phi + 2 * {PI} / 3.0) AS lo FROM a),
+sv AS (SELECT *, sqrt(hi) AS s1, sqrt(greatest(48.0 - hi - lo, 0.0)) AS s2, sqrt(greatest(lo, 0.0)) AS s3 FROM e)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 1 + (s2 > 0.001 * s1)::BIGINT + (s3 > 0.001 * s1)::BIGINT AS rank,
+  {_r("s1", "sv_max", 4)}, {_r("s3", "sv_min", 4)} FROM k JOIN sv USING (kz)
+"""
+
 FEASIBILITY = f"""
 WITH a AS (SELECT o_orderkey, 1.0::DOUBLE + sqrt(o_totalprice) / 40.0::DOUBLE AS dwell,
     unnest([8, 16, 32, 64, 128, 300]) AS n_looks FROM orders)
@@ -108,6 +129,21 @@ SELECT vec_id, {_r("any_value(t)", "t")},
 FROM near JOIN w USING (vec_id, i) GROUP BY vec_id
 """
 
+_STATE_AXES = {
+    "p0": "price", "p1": "customer", "p2": "price * customer", "v0": "customer", "v1": "price", "v2": "price - customer"}
+ORBIT_ASOF = f"""
+WITH o AS (SELECT o_custkey % 3 AS platform, o_orderkey * 173.0::DOUBLE AS t, o_totalprice / 100000.0::DOUBLE AS price, o_custkey / 100.0::DOUBLE AS customer FROM orders),
+s AS (SELECT platform, t, {", ".join(f"{e} AS {n}" for n, e in _STATE_AXES.items())},
+    row_number() OVER (PARTITION BY platform ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY platform) AS n FROM o),
+q AS (SELECT event_id, user_id % 3 AS platform, (epoch_us(ts) - 1704067200000000) / 1000000.0::DOUBLE AS t FROM events),
+lo AS (SELECT q.*, greatest(least(coalesce(s.i, 0), s.n - 2), 0) AS lo FROM q ASOF LEFT JOIN s ON q.platform = s.platform AND q.t >= s.t),
+near AS (SELECT lo.event_id, lo.platform, lo.t, s.t AS s, s.i, {", ".join(f"s.{n}" for n in _STATE_AXES)} FROM lo
+  JOIN s ON s.platform = lo.platform AND s.i >= lo.lo AND s.i < lo.lo + 4),
+w AS (SELECT a.event_id, a.i, product((a.t - b.s) / (a.s - b.s)) AS w FROM near a JOIN near b ON a.event_id = b.event_id AND a.i <> b.i GROUP BY ALL)
+SELECT event_id, any_value(platform) AS platform, {_r("any_value(t)", "t", 3)}, {", ".join(_r(f"sum(w * {n})", n, 4) for n in _STATE_AXES)}
+FROM near JOIN w USING (event_id, i) GROUP BY event_id
+"""
+
 FAULTS = """
 WITH i AS (SELECT l_orderkey, l_linenumber, l_extendedprice * 1.02::DOUBLE AS fs, l_discount * 12.0::DOUBLE AS lam,
     l_quantity - 2.0 AS az, l_tax * 20.0::DOUBLE AS inc, l_extendedprice * 20.0::DOUBLE AS v FROM lineitem)
@@ -175,6 +211,14 @@ def _plane_xyz(px: str, py: str) -> str:
     )
 
 
+SCENE_PLACES = f"""
+WITH {ELLIPSOID}, {PLACES}, {_to_ecf("places", "lat", "lon", "hae", "ecf")},
+spot AS (SELECT * FROM (VALUES ('first', 0.0, 0.0), ('last_range', 0.0, 750.0), ('last', 1000.0, 750.0), ('last_azimuth', 1000.0, 0.0),
+  ('centre', 500.0, 375.0)) v(place, a, r)),
+pt AS (SELECT key, place, {", ".join(f"{c} + a * ({u}) + r * ({w}) AS {c}" for c, u, w in zip("xyz", UX, UY))} FROM ecf, spot),
+{_to_llh("pt", "back", "key, place, x, y, z")}
+SELECT key, place, {_r("lat", "lat")}, {_r("lon", "lon")}, {_r("hae", "hae", 3)} FROM back
+"""
 PLANE = f"""
 WITH {ELLIPSOID}, {PLACES},
 near AS (SELECT key, 44.0::DOUBLE + lat / 100.0 AS lat, -91.5::DOUBLE + lon / 100.0 AS lon, hae FROM places),
@@ -404,6 +448,17 @@ SELECT look::BIGINT AS look, {_r("t0", "t0")}, {_r("tm", "centre_time")}, {_r("t
   {_r("(t1 - t0) / 7.0", "azimuth_time_interval")} FROM edge
 """
 
+AZIMUTH_RESOLUTIONS = f"""
+WITH {PULSES}
+SELECT l.pulse + 1 AS pulse_count, {_r("0.03125::DOUBLE * m.r_ref / (2.0 * abs(l.px - f.px))", "resolution")}
+FROM pl l JOIN pl m ON m.pulse = (l.pulse + 1) // 2 JOIN pl f ON f.pulse = 0 WHERE l.pulse >= 1
+"""
+COLLECT_SHAPE = f"""
+WITH {PULSES}
+SELECT {_r("m.r_ref", "slant_range")}, {_r("abs(l.px - f.px)", "aperture")}, {_r("acos(5000.0 / m.r_ref)", "incidence")}
+FROM np JOIN pl f ON f.pulse = 0 JOIN pl m ON m.pulse = n // 2 JOIN pl l ON l.pulse = n - 1
+"""
+
 # -- tracking -----------------------------------------------------------------------
 
 TILE = """
@@ -838,6 +893,11 @@ prof AS (SELECT w.win, r.j, r.j * 5.0::DOUBLE AS depth, coalesce(value, 0.0) AS
 
 MODEL_D = f"WITH {_psd(VEL)}, {_resonance(100.0)} {_CELLS}"
 
+PULSES_TO_DEPTH = f"""
+WITH {_psd(f"v * {SPEED}", series=CHAIN)}, {_resonance(100.0)}
+SELECT win::BIGINT AS win, j::BIGINT AS j, {_r("depth", "depth")}, {_r("value", "value", 8)} FROM prof
+"""
+
 PEAKS = f"""
 WITH {MODEL_A},
 pk AS (SELECT win, depth, value FROM prof WHERE j >= 1 QUALIFY row_number() OVER (PARTITION BY win ORDER BY value DESC, j) = 1)
@@ -1066,6 +1126,13 @@ ORACLE: dict[str, str] = {
     "spectral_split": SPLIT,
     "paired_split": PAIRED,
     "sliding_subapertures": SLIDING,
+    "depth_scales": DEPTH_SCALES,
+    "conditioning": CONDITIONING,
+    "orbit_asof": ORBIT_ASOF,
+    "scene_places": SCENE_PLACES,
+    "azimuth_resolutions": AZIMUTH_RESOLUTIONS,
+    "collect_shape": COLLECT_SHAPE,
+    "pulses_to_depth": PULSES_TO_DEPTH,
     "backproject": BACKPROJECT,
     "backproject_sinc": BACKPROJECT_SINC,
     "window_geometry": WINDOW_GEOMETRY,
