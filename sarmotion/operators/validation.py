@@ -240,13 +240,10 @@ def interval_percentiles(intervals: DataFrame, keys: Sequence[str] = ()) -> Data
     """1st and 99th percentile (by index) and the largest interval."""
     n = F.col("n")
     ranks = {
-        "pri_p01": Rank(0.01, F.floor(n / 100)), "pri_p99": Rank(0.99, F.floor(n * 99 / 100)),
+        "pri_p01": Rank(0.01, F.floor(n / 100)), "pri_p99": Rank(0.99, F.floor(n * 99 / 100)), "longest": Rank(1.0, n - 1),
     }
-    edges = order_statistics(intervals, keys, "pri", ranks)
-    worst = intervals.groupBy(*keys).agg(F.greatest(F.max("pri"), F.lit(0.0)).alias("worst_gap_s"))
-    joined = edges.join(worst, list(keys)) if keys else edges.crossJoin(F.broadcast(worst))
-    return joined.select(
-        *keys, "n", "pri_p01", "pri_p99", "worst_gap_s",
+    return order_statistics(intervals, keys, "pri", ranks).select(
+        *keys, "n", "pri_p01", "pri_p99", F.greatest("longest", F.lit(0.0)).alias("worst_gap_s"),
         F.when(F.col("pri_p99") > 0, 1.0 / F.col("pri_p99")).otherwise(0.0).alias("prf_min_hz"),
         F.when(F.col("pri_p01") > 0, 1.0 / F.col("pri_p01")).otherwise(0.0).alias("prf_max_hz"),
     )
