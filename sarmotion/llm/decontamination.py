@@ -1,14 +1,17 @@
 """Benchmark decontamination by one Aho-Corasick automaton over normalised benchmark items.
 
-Texts become lower-cased words (A-Z; words are runs of digits, letters a-z and non-ASCII characters). Every window of
-13 consecutive item words, or the whole of a shorter item, is a pattern over word numbers. A document's words are
-read once; the hits' word places are mapped back to code points of the original text.
+Texts become lower-cased words (A-Z; words are runs of digits, letters a-z and non-ASCII characters). A window is 13
+consecutive item words, or the whole of a shorter item. Every window of 13 holds one of its item's aligned blocks of seven
+words, so those blocks (and the short items) are the automaton's patterns over word numbers: it has about one node for each
+benchmark word, not thirteen. A document's words are read once; every hit of a block is extended both ways along its
+item, and a stretch of 13 or more is a union of windows. Word places are mapped back to code points of the original text.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from sarmotion.llm.common import lean, total_text_bytes, written
 
 WINDOW = 13
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 8 << 20
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _NORMAL = bytes(
@@ -34,42 +37,83 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(lowered)]
 
 
-def build_automaton(items: list[tuple[str, str]], window: int = WINDOW):
-    """Word numbers, the automaton over them, and the items of every pattern."""
-    import ahocorasick
-
-    numbers: dict[bytes, int] = {}
-    patterns: dict[tuple, set[str]] = {}
-    for item_id, text in items:
-        seq = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words_of(text))
-        size = min(window, len(seq))
-        for i in range(len(seq) - size + 1 if seq else 0):
-            patterns.setdefault(seq[i : i + size], set()).add(item_id)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for pattern, owners in patterns.items():
-        automaton.add_word(pattern, (len(pattern), sorted(owners)))
-    if patterns:
-        automaton.make_automaton()
-    return numbers, automaton, bool(patterns)
-
-
-def _scan(text: str | None, numbers: dict, automaton, usable: bool):
-    """Words of the text, merged hit ranges of words, and the items that occur."""
-    words = words_of(text)
-    if not usable or not words:
-        return len(words), [], set()
-    get = numbers.get
-    found, ranges = set(), []
-    for end, (size, owners) in automaton.iter(tuple([get(w, 0) for w in words])):
-        found.update(owners)
-        start, end = end - size + 1, end + 1
-        while ranges and ranges[-1][0] >= start:
-            ranges.pop()
-        if ranges and ranges[-1][1] >= start:
-            ranges[-1] = (ranges[-1][0], end)
+class Automaton:
+    """Blocks of the items' words, and the items themselves to extend a hit along."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        import ahocorasick
+
+        self.window = window
+        self.numbers: dict[bytes, int] = {}
+        self.ids: list[str | None] = []
+        self.items: list[np.ndarray] = []
+        size = (window + 1) // 2
+        patterns: dict[tuple, list[tuple[int, int]]] = {}
+        for item_id, text in dict.fromkeys(items):
+            seq = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            if not seq:
+                continue
+            owner = len(self.ids)
+            self.ids.append(item_id)
+            self.items.append(np.array(seq, dtype=np.uint32))
+            if len(seq) < window:
+                patterns.setdefault(tuple(seq), []).append((owner, 0))
+            else:
+                for at in range(0, len(seq) - size + 1, size):
+                    patterns.setdefault(tuple(seq[at : at + size]), []).append((owner, at))
+        self.usable = bool(patterns)
+        self.blocks = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        while patterns:
+            pattern, places = patterns.popitem()
+            self.blocks.add_word(pattern, (len(pattern), places))
+        if self.usable:
+            self.blocks.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words of the text, merged hit ranges of words, and the ids of the items that occur."""
+        words = words_of(text)
+        if not self.usable or not words:
+            return len(words), [], set()
+        get = self.numbers.get
+        seq = tuple([get(w, 0) for w in words])
+        own, found, ranges = None, set(), []
+        done: dict[tuple[int, int], int] = {}  # (item, shift against the text) -> end of the stretch that is known
+        for end, (size, places) in self.blocks.iter(seq):
+            start = end - size + 1
+            for owner, at in places:
+                item = self.items[owner]
+                shift = start - at
+                if done.get((owner, shift), -1) > start:
+                    continue
+                if own is None:
+                    own = np.array(seq, dtype=np.uint32)
+                low, high = _stretch(own, item, start, at, size)
+                done[owner, shift] = high
+                if high - low >= min(self.window, len(item)):
+                    ranges.append((low, high))
+                    if self.ids[owner] is not None:
+                        found.add(self.ids[owner])
+        return len(words), _union(ranges), found
+
+
+def _stretch(text: np.ndarray, item: np.ndarray, start: int, at: int, size: int) -> tuple[int, int]:
+    """The words of the text round ``start`` that equal the item's round ``at``."""
+    back = min(start, at)
+    apart = np.flatnonzero(text[start - back : start] != item[at - back : at])
+    low = start - back + (int(apart[-1]) + 1 if len(apart) else 0)
+    on = min(len(text) - start - size, len(item) - at - size)
+    apart = np.flatnonzero(text[start + size : start + size + on] != item[at + size : at + size + on])
+    return low, start + size + (int(apart[0]) if len(apart) else on)
+
+
+def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if out and out[-1][1] >= low:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
         else:
-            ranges.append((start, end))
-    return len(words), ranges, found
+            out.append((low, high))
+    return out
 
 
 RESULT = "doc_id long, n_words long, hits array<struct<word:long,words:long,start:long,end:long>>, items array<string>"
@@ -81,13 +125,13 @@ def _mapper(items, keys=("doc_id",)):
         key = id(items)
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = (items, build_automaton(items.value))
-        built = _BUILT[key][1]
+            _BUILT[key] = (items, Automaton(items.value))
+        automaton = _BUILT[key][1]
         for batch in batches:
             counts, hits, owners = [], [], []
             for scalar in batch.column("text"):
                 text = scalar.as_py()
-                n, ranges, found = _scan(text, *built)
+                n, ranges, found = automaton.scan(text)
                 places = _spans(text) if ranges else []
                 counts.append(n)
                 owners.append(sorted(found))
@@ -108,26 +152,31 @@ def benchmark_hits(
     """doc_id, n_words, hits (ranges of words and their code points in the text), items (ids, sorted as strings).
 
     The benchmark is dealt by item into blocks of about ``block_bytes`` of text (its size is measured), each block
-    being one automaton; with one block the documents are read once. Null or empty texts have no words and no hits;
-    items without an id or words are no patterns; repeated items count once. Rows that repeat a doc_id, and rows
+    being one automaton; with one block the documents are read once. No more than a block is on the driver or broadcast at a
+    time: with several, each block's hits are written before the next is taken. Null or empty texts have no words and no
+    hits; items without words are no patterns; items without an id mark words but are not named; repeated items count
+    once. Rows that repeat a doc_id, and rows
     without one, are judged one by one: beyond one block the rows are written with a number of their own. Empty tables are allowed on either side.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")
-    ).where("item_id is not null and text is not null")
+    ).where("text is not null")
     blocks = max(1, -(-total_text_bytes(items) // block_bytes))
     keys = ("doc_id",)
     if blocks > 1:
         base, keys = written(base.withColumn("row", F.monotonically_increasing_id())), ("row", "doc_id")
     parts = []
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])
-        parts.append(base.mapInArrow(_mapper(held, keys), RESULT if blocks == 1 else "row long, " + RESULT))
-    if blocks == 1:
-        return parts[0]
+        if blocks == 1:
+            return base.mapInArrow(_mapper(held, keys), RESULT)
+        found = base.mapInArrow(_mapper(held, keys), "row long, " + RESULT)
+        # Rows of later blocks are needed only where there are hits.
+        parts.append(written(found if block == 0 else found.where("size(hits) > 0")))
+        held.unpersist()
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part)
