@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sarmotion.llm.common import lean, bucket_count, total_text_bytes
 
 SHARDS = 16
+LEAST_SPLIT = 1000
 SEED = 20_240_601
 BUCKET_BYTES = 32 << 20
 
@@ -55,8 +56,12 @@ def shuffled_shards(
     buckets = bucket_count(spark, total_text_bytes(docs, text_col), bucket_bytes)
     taken = {c.lower() for c in docs.columns}
     bucket, place = (next(x for x in (f"{name}{'_' * k}" for k in range(99)) if x not in taken) for name in ("bucket", "place"))
-    hashed = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary"))), F.lit(buckets))
-    scattered = docs.withColumn(bucket, hashed.cast("int"))
+    drawn = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.col(text_col).cast("binary")))
+    apart = _repeats(docs.select(drawn.alias("drawn")), buckets)
+    # Rows that are equal in id and text are interchangeable, so many of them may be dealt on by where they stand.
+    many = F.lit(False) if not apart else drawn.isin(apart)
+    turn = F.when(many, F.xxhash64(drawn, F.monotonically_increasing_id())).otherwise(drawn)
+    scattered = docs.withColumn(bucket, F.pmod(turn, F.lit(buckets)).cast("int"))
     ahead = F.coalesce(F.sum("n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # One row for each bucket, that is for each BUCKET_BYTES of text.
     offsets = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).select(bucket, ahead.alias("ahead"))
@@ -68,6 +73,16 @@ def shuffled_shards(
     )
 
 
+def _repeats(drawn: DataFrame, buckets: int) -> list[int]:
+    """Hashes that more rows share than twice a bucket's part; there are fewer of them than half the buckets."""
+    counts = drawn.groupBy("drawn").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SPLIT)
+    common = counts.orderBy(F.desc("n")).limit(max(1, buckets // 2)).collect()
+    if not common:
+        return []
+    least = max(LEAST_SPLIT, 2 * drawn.count() // buckets)
+    return sorted(r["drawn"] for r in common if r["n"] >= least)
+
+
 def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Write shards as folders of files in slot order; a file's number is its first slot over rows_per_file."""
     cut = F.floor(F.col("slot") / rows_per_file)
