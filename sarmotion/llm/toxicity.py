@@ -38,7 +38,7 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 4 else 1 if length < 8 else 2
 
 
-def _code_table(size: int = 0x3000) -> tuple[np.ndarray, np.ndarray]:
+def _code_table(size: int = 0x30000) -> tuple[np.ndarray, np.ndarray]:
     """Lower case and word membership of code points; those beyond the table are word characters."""
     lower = np.arange(size, dtype=np.uint32)
     word = np.zeros(size, dtype=bool)
