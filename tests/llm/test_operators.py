@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import sys
 import zlib
@@ -321,9 +322,12 @@ def test_longer_contexts_help_on_held_out_text(docs):
 
 def test_scores_odd_rows(spark):
     found = lm_scoring.scored(odd(spark).withColumn("trained", F.lit(True)), trained_col="trained").collect()
-    ids = {r["doc_id"]: r for r in found}
-    assert len(found) == len({i for i, _ in ODD_ROWS}) and ids[1]["n_tokens"] == 1 and ids[5]["n_tokens"] == 6
-    assert ids[None]["n_tokens"] == 7 and ids[6]["n_tokens"] == 30_001 and all(r["n_known"] == r["n_tokens"] for r in found)
+    # Every row is scored by itself, also those that repeat an id or have none.
+    want = sorted((repr(i), len(words(t)) + 1) for i, t in ODD_ROWS)
+    assert sorted((repr(r["doc_id"]), r["n_tokens"]) for r in found) == want
+    assert all(r["n_known"] == r["n_tokens"] for r in found)
+    five = [r["score"] for r in found if r["doc_id"] == 5]
+    assert len(five) == 2 and five[0] == pytest.approx(five[1])
     assert lm_scoring.scored(nothing(spark)).count() == 0
     untaught = lm_scoring.scored(odd(spark).withColumn("trained", F.lit(None).cast("boolean")), trained_col="trained").collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and abs(r["base_score"]) < 1e-6 for r in untaught)
@@ -351,6 +355,23 @@ def test_shards_do_not_depend_on_how_the_table_is_dealt(docs):
     assert place(docs) != {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shuffled_shards(docs, seed=1).collect()}
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    """One record a hundred thousand times, besides others: no bucket holds much more than its part."""
+    df = spark.range(0, 100_000, 1, 8).selectExpr("cast(null as long) doc_id", "'' as text").unionByName(
+        spark.range(40_000).selectExpr("id as doc_id", "'' as text"))
+    assert len(sharding._repeats(df.selectExpr("xxhash64(doc_id) as drawn"), 8)) == 1
+    found = sharding.shuffled_shards(df, shards=4)
+    counts = {r["shard"]: (r["count"], r["slots"]) for r in found.groupBy("shard").agg(
+        F.count(F.lit(1)).alias("count"), F.count_distinct("slot").alias("slots")).collect()}
+    assert counts == {s: (35_000, 35_000) for s in range(4)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        largest = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert largest <= 4 * 140_000 / 8  # a few buckets may share a task; undealt it holds 100,000 rows
+
+
 def test_fisher_yates_is_uniform():
     seen = collections.Counter(tuple(sharding.fisher_yates(3, [k])) for k in range(6000))
     assert len(seen) == 6 and max(seen.values()) < 1150 and min(seen.values()) > 850
@@ -395,7 +416,9 @@ def test_decontamination_equals_a_plain_scan(spark, texts, block_bytes):
     for i, t in rows:
         r = found[i]
         n = sum(h["words"] for h in r["hits"])
-        assert (r["n_words"], n, r["items"]) == plain_hits(t, [x for x in items if x[0] is not None]), i
+        # Items without an id mark words but are not named.
+        n_words, n_hit, named = plain_hits(t, items)
+        assert (r["n_words"], n, r["items"]) == (n_words, n_hit, [x for x in named if x != "None"]), i
         for h in r["hits"]:
             assert decontamination.words_of(t)[h["word"] : h["word"] + h["words"]] == decontamination.words_of(t[h["start"] : h["end"]])
 
@@ -409,6 +432,21 @@ def test_blocks_judge_rows_of_one_id_one_by_one(spark):
     assert len(one) == len(rows) and one == many
 
 
+def test_automaton_finds_every_window_wherever_it_is_cut():
+    rng = random.Random(8)
+    for _ in range(60):
+        words = lambda n: [rng.choice("abc") + str(rng.randrange(3)) for _ in range(n)]
+        items = [(str(k), " ".join(words(rng.choice([1, 3, 12, 13, 14, 20, 45])))) for k in range(6)]
+        text = []
+        for _ in range(8):
+            own = rng.choice(items)[1].split()
+            at = rng.randrange(len(own))
+            text += words(rng.randrange(4)) + own[at : at + rng.randrange(1, 30)]
+        n, ranges, found = decontamination.Automaton(items).scan(" ".join(text))
+        assert (n, sum(b - a for a, b in ranges), sorted(found)) == plain_hits(" ".join(text), items)
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "word"), (2, None)], "item_id long, text string")
     found = decontamination.benchmark_hits(odd(spark), bench).collect()
@@ -421,6 +459,17 @@ def test_decontamination_odd_rows(spark):
 # ---- 7 toxicity ------------------------------------------------------------------------------
 
 
+def test_terms_in_any_script_match_themselves():
+    terms = ["愚蠢的东西", "ばかやろう", "바보같은놈", "дурак", "idiot"]
+    automaton = toxicity.LexiconAutomaton(terms)
+    codes = np.array([ord(c) for t in terms for c in t], dtype=np.uint32)
+    sizes = np.array([len(t) for t in terms])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    assert automaton.distances(codes, starts, sizes).tolist() == [0] * len(terms)
+    codes[2] = ord("国")
+    assert automaton.distances(codes, starts, sizes)[0] == 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
