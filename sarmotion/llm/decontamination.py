@@ -20,6 +20,7 @@ from sarmotion.llm.common import lean, total_text_bytes, written
 
 WINDOW = 13
 AUTOMATON_BYTES = 8 << 20
+ALPHABET = "".join(chr(48 + i) for i in range(64))
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _NORMAL = bytes(
@@ -37,6 +38,14 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(lowered)]
 
 
+def _code(n: int, letters: int) -> str:
+    out = []
+    for _ in range(letters):
+        n, at = divmod(n, len(ALPHABET))
+        out.append(ALPHABET[at])
+    return "".join(out)
+
+
 class Automaton:
     """Blocks of the items' words, and the items themselves to extend a hit along."""
 
@@ -62,10 +71,15 @@ class Automaton:
                 for at in range(0, len(seq) - size + 1, size):
                     patterns.setdefault(tuple(seq[at : at + size]), []).append((owner, at))
         self.usable = bool(patterns)
-        self.blocks = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        # A word number is written as letters of a small alphabet, as many for each word, so no node has many children.
+        self.letters = 1
+        while len(ALPHABET) ** self.letters <= len(self.numbers):
+            self.letters += 1
+        self.codes = [_code(n, self.letters) for n in range(len(self.numbers) + 1)]
+        self.blocks = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         while patterns:
             pattern, places = patterns.popitem()
-            self.blocks.add_word(pattern, (len(pattern), places))
+            self.blocks.add_word("".join([self.codes[n] for n in pattern]), (len(pattern), places))
         if self.usable:
             self.blocks.make_automaton()
 
@@ -75,11 +89,14 @@ class Automaton:
         if not self.usable or not words:
             return len(words), [], set()
         get = self.numbers.get
-        seq = tuple([get(w, 0) for w in words])
+        seq = [get(w, 0) for w in words]
+        codes, letters = self.codes, self.letters
         own, found, ranges = None, set(), []
         done: dict[tuple[int, int], int] = {}  # (item, shift against the text) -> end of the stretch that is known
-        for end, (size, places) in self.blocks.iter(seq):
-            start = end - size + 1
+        for end, (size, places) in self.blocks.iter("".join([codes[n] for n in seq])):
+            if (end + 1) % letters:  # begins inside a word
+                continue
+            start = (end + 1) // letters - size
             for owner, at in places:
                 item = self.items[owner]
                 shift = start - at
