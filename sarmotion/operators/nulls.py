@@ -8,14 +8,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ArgumentError, SingularFault
-from ..params import Grid, SubapParams, TrackParams
-from .focus import Collect, backproject
+from ..errors import ArgumentError
+from ..params import MotionMeta, TrackParams
 from .selection import best_window
 from .spectrum import pack_series, spectrum
-from .subaperture import ImageStack, pulse_windows
-from .subaperture import build as build_stack
-from .tracking import track
+from .subaperture import ImageStack
+from .tracking import track, track_trials
 
 
 def _xorshift32(state: int) -> int:
@@ -75,12 +73,26 @@ def shuffle_once(stack: ImageStack, seed: int) -> ImageStack:
     return replace(once, pixels=drop(once.pixels), slave=drop(once.slave))
 
 
+def trial_motion(
+    stack: ImageStack, params: TrackParams, trials: int, keys: Sequence[str] = ()
+) -> tuple[DataFrame, MotionMeta]:
+    """Motion of every shuffle of the looks, ``trial`` among the keys.
+
+    Correlation compares pairs of looks, and a pair is the same whatever the order round it: its pixels are shuffled and
+    registered once for all trials.  The other estimators see a whole stack, so they run on permuted stacks.
+    """
+    if params.estimator == "correlation" and params.reference != "pair":
+        return track_trials(stack, params, permutations(stack.meta.n_looks, trials), keys)
+    return track(shuffled(stack, trials, keys), params, [*keys, "trial"])
+
+
 def prominences(
-    stack: ImageStack, params: TrackParams, f_min: float = 0.0,
-    source: str = "velocity", detrend: str = "linear", keys: Sequence[str] = ("trial",),
+    stack: ImageStack, params: TrackParams, trials: int, f_min: float = 0.0,
+    source: str = "velocity", detrend: str = "linear", keys: Sequence[str] = (),
 ) -> DataFrame:
     """Best prominence per trial through the identical chain; 0 where nothing resolves."""
-    motion, meta = track(stack, params, keys)
+    motion, meta = trial_motion(stack, params, trials, keys)
+    keys = [*keys, "trial"]
     series = pack_series(motion, meta.n_looks, keys)
     spectra = spectrum(series, meta, source, f_min, detrend, keys)
     best = best_window(spectra, meta, keys)
@@ -110,4 +122,4 @@ def shuffle_null(
     """Null from destroying the looks' order; all trials run as one job."""
     if trials <= 0:
         raise ArgumentError("a null needs a positive trial count")
-    return null_summary(prominences(shuffled(stack, trials), params, f_min, source, detrend), real)
+    return null_summary(prominences(stack, params, trials, f_min, source, detrend), real)

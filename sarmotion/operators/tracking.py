@@ -207,6 +207,111 @@ def register_windows(stack: ImageStack, params: TrackParams, keys: Sequence[str]
     return pairs.withColumn("peak", F.nanvl("peak", F.lit(None).cast("double")))
 
 
+_REGISTRY_FIELDS = (
+    "iaz int, irg int, ref bigint, look bigint, shift_az double, shift_rg double, peak double, dot_re double, dot_im double"
+)
+
+
+def register_pairs(
+    stack: ImageStack, params: TrackParams, pairs: Sequence[tuple[int, int]], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Shift and phase product of every window for each (reference look, look) of ``pairs``, once each.
+
+    A task holds a block's pixels of two chunks of looks at most.  Pixels go to each chunk that theirs is paired with,
+    so what is shuffled follows the number of chunks, never the number of pairs.
+    """
+    keys = list(keys)
+    meta = motion_meta(stack.meta, params)
+    size = params.looks_per_task
+    listed = sorted({(int(a), int(b)) for a, b in pairs})
+    by_chunks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for ref, look in listed:
+        by_chunks.setdefault((ref // size, look // size), []).append((ref, look))
+    meetings = sorted(by_chunks)
+    n_chunk = (stack.meta.n_looks - 1) // size + 1
+    attends = F.array(*[
+        F.array(*[F.lit(i) for i, m in enumerate(meetings) if chunk in m]).cast("array<int>") for chunk in range(n_chunk)
+    ])
+    held = stack.pixels.sparkSession.sparkContext.broadcast([np.array(by_chunks[m]) for m in meetings])
+
+    def register_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        *outer, block_az, block_rg, meeting = key
+        wanted = held.value[meeting]
+        looks = np.unique(wanted)
+        cube = _cube(pdf[np.isin(pdf["look"].to_numpy(), looks)], looks, block_az, block_rg, params)
+        ref_at, cur_at = (np.searchsorted(looks, wanted[:, k]) for k in (0, 1))
+        parts = []
+        for iaz, irg, a0, r0 in _block_windows(block_az, block_rg, meta, params):
+            raw = cube[:, a0 : a0 + params.win_az, r0 : r0 + params.win_rg]
+            level = demean(raw)
+            az, rg, peak = register(
+                level[ref_at], level[cur_at], params.upsample_az, params.upsample_rg, params.exhaustive)
+            dot = (raw[cur_at] * np.conj(raw[ref_at])).sum(axis=(1, 2))
+            parts.append(pd.DataFrame({
+                "iaz": iaz, "irg": irg, "ref": wanted[:, 0], "look": wanted[:, 1], "shift_az": az, "shift_rg": rg,
+                "peak": peak, "dot_re": dot.real, "dot_im": dot.imag,
+            }))
+        out = pd.concat(parts, ignore_index=True)
+        for name, value in zip(keys, outer):
+            out[name] = value
+        return out
+
+    chunk = F.floor(F.col("look") / size).cast("int")
+    placed = stack.pixels.withColumn("meeting", F.explode(F.get(attends, chunk)))
+    return (
+        _blocks(placed, meta, params).groupBy(*keys, "baz", "brg", "meeting")
+        .applyInPandas(register_block, ", ".join([f"{k} bigint" for k in keys] + [_REGISTRY_FIELDS]))
+    )
+
+
+def track_trials(
+    stack: ImageStack, params: TrackParams, trials: Sequence[tuple[int, int, int]], keys: Sequence[str] = ()
+) -> tuple[DataFrame, MotionMeta]:
+    """Motion of every re-ordering of the looks, ``(trial, look, placed_at)`` rows, with ``trial`` among the keys.
+
+    Each distinct pair of looks is registered once; trials are look-ups in that registry.
+    """
+    _check(stack, params)
+    if params.estimator != "correlation" or params.reference == "pair":
+        raise ArgumentError("only the correlation estimator of single looks registers pairs")
+    keys = list(keys)
+    meta = motion_meta(stack.meta, params)
+    behind = stack.meta.n_looks if params.reference == "first" else _lag(params)
+    order: dict[int, dict[int, int]] = {}
+    for trial, look, at in trials:
+        order.setdefault(trial, {})[at] = look
+    # (trial, place, look, reference, whether the shift counts, whether the phase does)
+    roles, blank = [], []
+    for trial, placed in order.items():
+        for at, look in placed.items():
+            before = (0 if at else None) if params.reference == "first" else (at - behind if at >= behind else None)
+            ref, first = placed.get(before), placed.get(0)
+            if before is None or ref is None:
+                blank.append((trial, at))
+                continue
+            roles.append((trial, at, look, ref, True, ref == first))
+            if ref != first and first is not None:
+                roles.append((trial, at, look, first, False, True))
+    pairs = {(ref, look) for _, _, look, ref, _, _ in roles}
+    found = register_pairs(stack, params, pairs, keys)
+    # A place without a reference rides on any pair, of which every window has all.
+    anchor = min(pairs)
+    roles += [(trial, at, anchor[1], anchor[0], False, False) for trial, at in blank]
+    # At most twice trials x looks rows.
+    table = F.broadcast(stack.pixels.sparkSession.createDataFrame(
+        roles, "trial bigint, at bigint, look bigint, ref bigint, shifts boolean, turns boolean"))
+    joined = found.join(table, ["look", "ref"])
+    peak = F.when(F.col("shifts"), F.nanvl("peak", F.lit(None).cast("double")))
+    values = [F.when(F.col("shifts"), F.col(x)).otherwise(0.0).alias(x) for x in ("shift_az", "shift_rg")]
+    values += [peak.alias("peak"), *[F.when(F.col("turns"), F.col(x)).otherwise(0.0).alias(x) for x in ("dot_re", "dot_im")]]
+    pairs = joined.select(*keys, "trial", "iaz", "irg", F.col("at").alias("look"), *values)
+    if params.reference != "first":
+        names = ("shift_az", "shift_rg", "peak", "dot_re", "dot_im")
+        pairs = pairs.groupBy(*keys, "trial", "iaz", "irg", "look").agg(*[F.sum(x).alias(x) for x in names])
+    keyed = [*keys, "trial"]
+    return _finished(_finish_correlation(pairs, stack.meta, params, keyed), stack, params, meta, keyed), meta
+
+
 def _finish_correlation(pairs: DataFrame, stack: StackMeta, params: TrackParams, keys: list[str]) -> DataFrame:
     image = stack.image
     whole = Window.partitionBy(*keys, "iaz", "irg")
@@ -397,9 +502,14 @@ def track(stack: ImageStack, params: TrackParams, keys: Sequence[str] = ()) -> t
         moved = track_splitband(stack, params, keys)
     else:
         moved = _finish_correlation(register_windows(stack, params, keys), stack.meta, params, keys)
+    return _finished(moved, stack, params, meta, keys), meta
+
+
+def _finished(moved: DataFrame, stack: ImageStack, params: TrackParams, meta: MotionMeta, keys: list[str]) -> DataFrame:
+    """Gates, common mode and window numbers, whatever made the series."""
     moved = mask_incoherent(moved, params)
     if params.remove_common_mode and meta.n_win > 2:
         moved = remove_common_mode(moved, stack.meta, keys)
     win = (F.col("iaz").cast("bigint") * meta.n_win_rg + F.col("irg")).alias("win")
     flags = ["converged"] if params.estimator == "splitband" else []
-    return moved.select(*keys, win, "iaz", "irg", "look", *SERIES, "quality", *flags), meta
+    return moved.select(*keys, win, "iaz", "irg", "look", *SERIES, "quality", *flags)

@@ -699,9 +699,8 @@ def q_pri_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_shuffle_null(spark: SparkSession, d: str) -> DataFrame:
-    stack = nulls.shuffled(t.film_stack(spark, d), 4, ["film"])
     params = replace(TRACK, coherence_min=0.0)
-    runs = nulls.prominences(stack, params, keys=["film", "trial"])
+    runs = nulls.prominences(t.film_stack(spark, d), params, 4, keys=["film"])
     return rounded(nulls.null_summary(runs, 5.0))
 
 
