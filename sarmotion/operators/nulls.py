@@ -62,7 +62,7 @@ def shuffled(
             *keys, "trial", F.col("_at").alias("look"), "az", "rg", "re", "im"
         )
 
-    return replace(stack, pixels=moved(stack.pixels), slave=moved(stack.slave))
+    return replace(stack, pixels=moved(stack.pixels), slave=moved(stack.slave), paired=None)
 
 
 def shuffle_once(stack: ImageStack, seed: int) -> ImageStack:

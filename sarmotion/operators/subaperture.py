@@ -21,11 +21,20 @@ from .focus import Collect, PulseWindows, backproject, full_aperture, image_meta
 
 @dataclass(frozen=True)
 class ImageStack:
-    """Pixels ``(look, az, rg, re, im)``; ``slave`` holds the paired bands, if any."""
+    """Pixels ``(look, az, rg, re, im)``; ``slave`` holds the paired bands, if any.
+
+    ``paired`` holds both, told apart by a boolean ``slave``, where they come from one pass.
+    """
 
     pixels: DataFrame
     meta: StackMeta
     slave: DataFrame | None = None
+    paired: DataFrame | None = None
+
+
+def paired_stack(paired: DataFrame, meta: StackMeta) -> ImageStack:
+    side = lambda slave: paired.where(F.col("slave") == slave).drop("slave")
+    return ImageStack(side(False), meta, side(True), paired)
 
 
 def pulse_windows(n_pulse: int, n_looks: int, overlap: float) -> PulseWindows:
@@ -278,7 +287,6 @@ def split(image: DataFrame, meta: ImageMeta, params: SubapParams) -> ImageStack:
         bands = [_band_gain(f, c + shift, layout.width, params.window) for c in layout.centres]
         return np.stack(bands)
 
-    slave = _filter_columns(columns, gains(layout.b_shift)) if params.pair else None
     stack = StackMeta(
         n_looks=params.n_looks,
         image=replace(meta, t_dwell=layout.t_sap, source="sublook"),
@@ -293,7 +301,13 @@ def split(image: DataFrame, meta: ImageMeta, params: SubapParams) -> ImageStack:
         has_slave=params.pair,
         centre_times=tuple(meta.t0 + i * layout.dt for i in range(params.n_looks)),
     )
-    return ImageStack(_filter_columns(columns, gains(0.0)), stack, slave)
+    if not params.pair:
+        return ImageStack(_filter_columns(columns, gains(0.0)), stack)
+    # Each column is transformed once for the bands of both roles.
+    bands = _filter_columns(columns, np.concatenate([gains(0.0), gains(layout.b_shift)]))
+    slave = F.col("look") >= params.n_looks
+    paired = bands.select((F.col("look") % params.n_looks).alias("look"), "az", "rg", "re", "im", slave.alias("slave"))
+    return paired_stack(paired, stack)
 
 
 def build(collect: Collect, grid: Grid, params: SubapParams, route: str = "pulse") -> ImageStack:

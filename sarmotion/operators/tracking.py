@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..errors import ArgumentError, SarMotionError
-from ..functions.joins import attach
+from ..functions.joins import attach, sifted
 from ..functions.ranks import medians, order_statistics
 from ..params import MotionMeta, StackMeta, TrackParams
 from ..session import cut_lineage
@@ -120,7 +120,9 @@ def _look_chunks(stack: ImageStack, params: TrackParams) -> DataFrame:
     own = F.floor(look / size).cast("int")
     master = stack.pixels.withColumn("slave", F.lit(False))
     if params.reference == "pair":
-        both = master.unionByName(stack.slave.withColumn("slave", F.lit(True)))
+        both = stack.paired
+        if both is None:
+            both = master.unionByName(stack.slave.withColumn("slave", F.lit(True)))
         return both.withColumn("chunk", own)
     chunks = F.array(own)
     if params.reference in ("adjacent", "lag"):
@@ -136,6 +138,9 @@ def _lag(params: TrackParams) -> int:
     return max(params.ref_lag, 1) if params.reference == "lag" else 1
 
 
+# Images that a film key may tell apart; it sizes a filter, not a result.
+EXPECTED_FILMS = 64
+
 _PAIR_FIELDS = (
     "iaz int, irg int, look bigint, shift_az double, shift_rg double, peak double, "
     "dot_re double, dot_im double"
@@ -383,7 +388,9 @@ def track_phase(stack: ImageStack, params: TrackParams, keys: Sequence[str] = ()
         .agg(F.max(F.struct(size.alias("a"), (-F.col("az")).alias("az"), (-F.col("rg")).alias("rg"))).alias("_b"))
         .select(*keys, "iaz", "irg", (-F.col("_b.az")).alias("az"), (-F.col("_b.rg")).alias("rg"))
     )
-    series = best.join(stack.pixels, [*keys, "az", "rg"])
+    # One pixel of each window is wanted, so the others of the stack are dropped before it is shuffled.
+    near_best = sifted(stack.pixels, best, [*keys, "az", "rg"], EXPECTED_FILMS * meta.n_win_az * meta.n_win_rg)
+    series = best.join(near_best, [*keys, "az", "rg"])
     whole = Window.partitionBy(*keys, "iaz", "irg")
     along = whole.orderBy("look")
     amp = F.hypot("re", "im")

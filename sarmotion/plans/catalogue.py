@@ -325,10 +325,8 @@ def q_spectral_split(spark: SparkSession, d: str) -> DataFrame:
 def q_paired_split(spark: SparkSession, d: str) -> DataFrame:
     paired = SubapParams(mode="paper", n_looks=4, pair=True, window=False)
     stack = split(t.image_pixels(spark, d), IMAGE, paired)
-    both = stack.pixels.withColumn("role", F.lit("master")).unionByName(
-        stack.slave.withColumn("role", F.lit("slave"))
-    )
-    return rounded(both)
+    role = F.when(F.col("slave"), "slave").otherwise("master")
+    return rounded(stack.paired.withColumn("role", role).drop("slave"))
 
 
 def q_sliding_subapertures(spark: SparkSession, d: str) -> DataFrame:

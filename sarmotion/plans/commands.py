@@ -20,6 +20,7 @@ from ..operators.subaperture import (
     doppler_bandwidth,
     doppler_centroid,
     pack_columns,
+    paired_stack,
 )
 from ..operators.tracking import track
 from ..params import (
@@ -80,8 +81,10 @@ def observe(
 ) -> tuple[ImageStack, DataFrame, MotionMeta]:
     """Looks and tracked motion.  The stack is kept: several stages read it."""
     stack = build(collect, grid, subap, route)
-    keep = lambda d: None if d is None else d.persist()
-    stack = replace(stack, pixels=keep(stack.pixels), slave=keep(stack.slave))
+    if stack.paired is not None:
+        stack = paired_stack(stack.paired.persist(), stack.meta)
+    else:
+        stack = replace(stack, pixels=stack.pixels.persist())
     if shuffle_seed:
         stack = nulls.shuffle_once(stack, shuffle_seed)
     motion, meta = track(stack, params)

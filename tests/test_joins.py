@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sarmotion.functions.joins import attach
+from sarmotion.functions.joins import attach, sifted
 
 
 @pytest.fixture
@@ -50,3 +50,16 @@ def test_a_hot_group_is_split(spark, skewed):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_sifting_keeps_every_wanted_row_and_drops_most_others(spark):
+    rows = spark.range(20_000).selectExpr("id % 100 as a", "id div 100 as b", "id")
+    wanted = rows.where("id % 50 = 7").select("a", "b")
+    kept = sifted(rows, wanted, ["a", "b"], 400)
+    assert kept.columns == rows.columns
+    found = {r["id"] for r in kept.collect()}
+    assert found >= set(range(7, 20_000, 50)) and len(found) < 2500
+    assert sifted(rows, wanted.limit(0), ["a", "b"], 400).count() == 0
+    assert sifted(rows, wanted, ["a", "b"], 1).join(wanted, ["a", "b"]).count() == 400
+    # The filter's size is bounded whatever is asked for.
+    assert sifted(rows, wanted, ["a", "b"], 10**12).count() == 400
