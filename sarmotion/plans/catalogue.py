@@ -594,6 +594,7 @@ def _sweep(spark: SparkSession, d: str, params: TomoParams) -> DataFrame:
     return tomography.sweep(params, t.EVENT_META, series=t.event_series(spark, d), n_scale=3)
 
 
+SHIFTED = ((0.0, 0.0), (3.0, 0.0), (0.0, 2.0), (3.0, 2.0))
 SWEPT = replace(TOMO, depth_max=8.0, depth_cell=1.0)
 
 
@@ -605,6 +606,14 @@ def q_sweep_resonance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_sweep(spark, d, RESONANCE), peak_value=4)
 
 
+def q_sweep_realisations(spark: SparkSession, d: str) -> DataFrame:
+    """Four offsets of one collect through focus, tracking, spectra and the assumption grid, as one plan."""
+    rows = commands.sweep_rows(
+        [t.pulse_table(spark, d)], replace(RESONANCE, frequency=400.0), SubapParams(n_looks=t.FILM_LOOKS, overlap=0.4),
+        replace(TRACK, coherence_min=0.0), Grid(n_x=t.FILM_AZ, n_y=t.FILM_RG), SHIFTED, n_scale=3)
+    return rounded(rows.select("scene", "offset", "velocity", "frequency", "lambda_ac", "resolution", "peak_depth", "peak_value"), peak_value=8)
+
+
 def _assumed(spark: SparkSession, d: str) -> DataFrame:
     """Line items as swept assumptions: wavelength by quantity, depth by price."""
     return t.table(spark, d, "lineitem").select(
@@ -788,6 +797,7 @@ QUERIES: dict[str, Query] = {
     "alignment_null": q_alignment_null,
     "sweep": q_sweep,
     "sweep_resonance": q_sweep_resonance,
+    "sweep_realisations": q_sweep_realisations,
     "sweep_merge": q_sweep_merge,
     "sweep_fit": q_sweep_fit,
     "depth_slice": q_depth_slice,

@@ -21,6 +21,7 @@ from ..operators.subaperture import (
     doppler_centroid,
     pack_columns,
     paired_stack,
+    pulse_windows,
 )
 from ..operators.tracking import track
 from ..params import (
@@ -33,6 +34,7 @@ from ..params import (
     TrackParams,
     Plane,
 )
+from ..session import cut_lineage
 
 
 def focus(
@@ -294,6 +296,66 @@ class Sweep:
     velocity: dict | None
 
 
+def at_offsets(collect: Collect, offsets: Sequence[tuple[float, float]]) -> Collect:
+    """The collect seen from each grid offset, ``offset`` among its columns.
+
+    A grid moved one way is the platform moved the other, so all offsets share one grid and one pass.
+    """
+    moves = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("offset"), F.lit(float(x)).alias("_x"), F.lit(float(y)).alias("_y"))
+        for i, (x, y) in enumerate(offsets)
+    ])
+    moved = collect.pulses.select("*", F.inline(moves))
+    shifted = moved.withColumns({"px": F.col("px") - F.col("_x"), "py": F.col("py") - F.col("_y")}).drop("_x", "_y")
+    return Collect(shifted, collect.meta)
+
+
+def _offset_motion(
+    collect: Collect, grid: Grid, offsets: Sequence[tuple[float, float]], subap: SubapParams, tracking: TrackParams, route: str
+) -> tuple[DataFrame, MotionMeta]:
+    """Motion of every offset, ``offset`` being a key: pulse windows in one plan, spectral splits image by image."""
+    centred = replace(grid, origin=(0.0, 0.0, 0.0))
+    if route == "pulse":
+        stack = build(collect, centred, subap, route)
+        windows = pulse_windows(collect.meta.n_pulse, subap.n_looks, subap.overlap)
+        pixels = backproject(at_offsets(collect, offsets), centred, windows, subap.range_taps, ["offset"])
+        return track(replace(stack, pixels=pixels), tracking, ["offset"])
+    parts = []
+    for offset, (x, y) in enumerate(offsets):
+        stack = build(collect, replace(grid, origin=(x, y, 0.0)), subap, route)
+        motion, meta = track(stack, tracking)
+        parts.append(motion.withColumn("offset", F.lit(offset).cast("bigint")))
+    return _together(parts), meta
+
+
+def _together(parts: Sequence[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def sweep_rows(
+    collects: Sequence[Collect], params: TomoParams, subap: SubapParams, tracking: TrackParams,
+    grid: Grid, offsets: Sequence[tuple[float, float]] = ((0.0, 0.0),), scale_min: float = 0.5,
+    scale_max: float = 2.0, n_scale: int = 5, f_min: float = 0.0, route: str = "pulse",
+) -> DataFrame:
+    """Where the peak lands for every scene, offset and assumption, as one plan: scene and offset are columns."""
+    parts = []
+    for scene, collect in enumerate(collects):
+        scaled = collect_geometry(collect, params)
+        tomography.check_params(scaled)
+        motion, meta = _offset_motion(collect, grid, offsets, subap, tracking, route)
+        series = pack_series(motion, meta.n_looks, ["offset"])
+        spectra = spectrum(series, meta, f_min=f_min, keys=["offset"])
+        rows = tomography.sweep(
+            scaled, meta, series=series, spectra=spectra, scale_min=scale_min,
+            scale_max=scale_max, n_scale=n_scale, keys=["offset"],
+        )
+        parts.append(rows.withColumn("scene", F.lit(scene)))
+    return _together(parts)
+
+
 def sweep(
     collects: Sequence[Collect], params: TomoParams, subap: SubapParams, tracking: TrackParams,
     grid: Grid, offsets: Sequence[tuple[float, float]] = ((0.0, 0.0),), scale_min: float = 0.5,
@@ -301,31 +363,15 @@ def sweep(
 ) -> Sweep:
     """Does the depth follow the assumptions?  Every scene and offset is a realisation.
 
-    Each realisation is formed and tracked once; the assumption grid costs one more
-    pass over its windows, whatever its size.
+    All realisations are formed, tracked and swept in one job; the assumption grid costs no further
+    pass, whatever its size.
     """
-    parts = []
-    for scene, collect in enumerate(collects):
-        scaled = collect_geometry(collect, params)
-        tomography.check_params(scaled)
-        for offset, (x, y) in enumerate(offsets):
-            placed = replace(grid, origin=(x, y, 0.0))
-            _, motion, meta = observe(collect, placed, subap, tracking, route)
-            series = pack_series(motion, meta.n_looks)
-            spectra = spectrum(series, meta, f_min=f_min)
-            rows = tomography.sweep(
-                scaled, meta, series=series, spectra=spectra, scale_min=scale_min,
-                scale_max=scale_max, n_scale=n_scale,
-            )
-            tagged = rows.withColumns({"scene": F.lit(scene), "offset": F.lit(offset)})
-            # scenes x offsets x scales^2 rows, each costly to remake.
-            parts.append(tagged.persist())
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    # Scenes x offsets x scales^2 rows, which four fits read.
+    rows = cut_lineage(sweep_rows(
+        collects, params, subap, tracking, grid, offsets, scale_min, scale_max, n_scale, f_min, route))
     merged = tomography.sweep_merge(rows)
     fits = tomography.sweep_summary(rows, ["scene", "offset"])
-    several = len(parts) > 1
+    several = len(collects) * len(offsets) > 1
     return Sweep(
         rows, merged, tomography.sweep_summary(merged).first().asDict(),
         [r.asDict() for r in fits.orderBy("scene", "offset").collect()],

@@ -962,6 +962,37 @@ mean AS (SELECT o.velocity, o.frequency, r.j, coalesce(value, 0.0) AS m FROM ok
 SELECT {_r("velocity", "velocity")}, {_r("frequency", "frequency")}, {_r("lam", "lambda_ac")}, {_r("res", "resolution")},
   {_r("peak_depth", "peak_depth")}, {_r("peak_value", "peak_value", 4)} FROM ip JOIN ok USING (velocity, frequency)
 """
+# The chain with every grid offset as a film of its own.
+_AT_OFFSETS = _looking(64, 4).replace(
+    "cell AS (SELECT a.i AS az", "cell AS (SELECT off, a.i AS az").replace("a.i - 3.5::DOUBLE AS gx", "a.i - 3.5::DOUBLE + ox AS gx").replace(
+    "- 1.5::DOUBLE AS gy", "- 1.5::DOUBLE + oy AS gy").replace(
+    "range(4) b(i)),", "range(4) b(i), (VALUES (0, 0.0, 0.0), (1, 3.0, 0.0), (2, 0.0, 2.0), (3, 3.0, 2.0)) o(off, ox, oy)),").replace(
+    "d AS (SELECT pulse, e,", "d AS (SELECT off, pulse, e,")
+_OFFSET_CHAIN = f"""
+{_AT_OFFSETS},
+s AS (SELECT off, pulse, az, rg, ph, {_lerp(1)} AS sr, {_lerp(2)} AS si FROM f),
+film AS (SELECT off AS film, look, az, rg, sum(sr * cos(ph) - si * sin(ph)) AS re, sum(sr * sin(ph) + si * cos(ph)) AS im
+  FROM s JOIN win ON pulse >= start AND pulse < start + per GROUP BY off, look, az, rg),
+{_track_body("first", TILE, 0.0)},
+ser AS (SELECT film * 100 + iaz AS win, look, quality, da AS v, 0.0 AS c FROM los)
+"""
+SWEEP_REALISATIONS = f"""
+WITH {_psd("v", series=_OFFSET_CHAIN)}, {SCALES},
+shape AS (SELECT m.r_ref AS slant, abs(l.px - f.px) AS aperture FROM np JOIN pl f ON f.pulse = 0 JOIN pl m ON m.pulse = n // 2 JOIN pl l ON l.pulse = n - 1),
+pace AS (SELECT (b.start - a.start) / 100.0::DOUBLE AS dt, 75.0 / m.r_ref AS speed FROM win a JOIN win b ON a.look = 0 AND b.look = 1
+  JOIN pl m ON m.pulse = a.start + a.per // 2),
+asm AS (SELECT a.s * 100.0 AS velocity, b.s * 400.0 AS frequency, a.s * 100.0 / (2 * b.s * 400.0) AS lam FROM sc a, sc b),
+ok AS (SELECT asm.*, lam * slant / (2 * aperture) AS res FROM asm, shape WHERE velocity >= 100 AND lam * slant / (2 * aperture) <= 5.0),
+mp AS (SELECT win // 100 AS off, k, avg(psd * speed * speed * dt / 0.25) AS p FROM psd, pace GROUP BY ALL),
+rs AS (SELECT velocity, frequency, k, floor(velocity * {N} * dt / (2 * k) / 5.0 + 0.5)::INT AS j FROM ok, pace, range(1, {N // 2 + 1}) f(k)
+  WHERE velocity * {N} * dt / (2 * k) <= 60.0),
+hit AS (SELECT off, velocity, frequency, j, avg(p) AS value FROM rs JOIN mp USING (k) GROUP BY ALL),
+mean AS (SELECT x.off, o.velocity, o.frequency, r.j, coalesce(value, 0.0) AS m FROM (SELECT DISTINCT off FROM mp) x CROSS JOIN ok o CROSS JOIN range(13) r(j)
+  LEFT JOIN hit h ON h.off = x.off AND h.velocity = o.velocity AND h.frequency = o.frequency AND h.j = r.j),
+{_interpolated("off, velocity, frequency", 5.0)}
+SELECT 0::BIGINT AS scene, off::BIGINT AS "offset", {_r("velocity", "velocity")}, {_r("frequency", "frequency")}, {_r("lam", "lambda_ac")},
+  {_r("res", "resolution")}, {_r("peak_depth", "peak_depth")}, {_r("peak_value", "peak_value", 8)} FROM ip JOIN ok USING (velocity, frequency)
+"""
 ASSUMED = """
 mg AS (SELECT l_returnflag AS scene, l_quantity * 0.01::DOUBLE AS lambda_ac, avg(l_quantity * (1 + l_tax) * sqrt(l_extendedprice)) AS pd,
     avg(l_discount) AS pv, stddev_pop(l_quantity * (1 + l_tax) * sqrt(l_extendedprice)) AS sd, count(*) AS n FROM lineitem GROUP BY 1, 2)
@@ -1171,6 +1202,7 @@ ORACLE: dict[str, str] = {
     "alignment_null": ALIGNMENT,
     "sweep": SWEEP,
     "sweep_resonance": SWEEP_D,
+    "sweep_realisations": SWEEP_REALISATIONS,
     "sweep_merge": MERGE,
     "sweep_fit": FIT,
     "depth_slice": SLICE,
