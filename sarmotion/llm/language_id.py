@@ -3,8 +3,12 @@
 A text's features are its character n-grams (bytes, lower-cased A-Z), hashed into a fixed table of embeddings. Their
 average goes through one linear layer and a softmax; embeddings and layer are trained together by stochastic gradient
 descent in numpy on a bounded sample of labelled rows. A temperature fitted on rows of the sample that the training
-did not see calibrates the probabilities; a text is rejected if it has no letter or if its calibrated confidence is
-below a threshold chosen on those rows.
+did not see calibrates the probabilities.
+
+A softmax is sure of texts unlike any it has seen, so rejection has columns of its own in the averaged table: how common an
+n-gram is in each language of the sample. A text is rejected if it has no letter, if its calibrated confidence is below a
+threshold, or if its n-grams are common in no language. That last threshold lies between the calibration rows and rows of
+unknown language: the same rows, seen with the columns of the other languages alone.
 """
 
 from __future__ import annotations
@@ -24,18 +28,25 @@ DIMENSION = 16
 SAMPLE_ROWS = 3000
 EPOCHS = 6
 KEPT_SHARE = 0.999
+COMMON_SHARE = 0.995
+UNKNOWN_SHARE = 0.95
+MARGIN = 0.5
+RARE = 1e-6  # share of n-grams below which all are alike
+SLACK = 6.0  # allowance over the square root of a text's n-grams
 NO_LANGUAGE = "und"
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Class names, the embedding table times the layer (buckets x classes), bias, temperature and threshold."""
+    """Class names, the embedding table times the layer (buckets x classes, and again classes: how common a bucket is), bias,
+    temperature, and the thresholds of confidence and commonness."""
 
     names: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    least_common: float = -np.inf
 
 
 def _fold() -> np.ndarray:
@@ -120,7 +131,37 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[test]])
     # The confidence that all but a thousandth of the rightly labelled calibration rows exceed, with a margin.
     threshold = 0.5 * float(right[int((1 - KEPT_SHARE) * len(right))]) if len(right) else 0.0
-    return LanguageModel(names, table, bias, temperature, threshold)
+    common = np.column_stack([_commonness(rows, order[y[order] == k]) for k in range(len(names))])
+    least = _least_common(rows, y, test, common)
+    return LanguageModel(names, np.column_stack([table, common]).astype(np.float32), bias, temperature, threshold, least)
+
+
+def _commonness(rows: list[tuple[np.ndarray, np.ndarray]], chosen: np.ndarray) -> np.ndarray:
+    """Log of each bucket's mean share over the chosen rows."""
+    total = np.zeros(BUCKETS)
+    for i in chosen:
+        found, share = rows[i]
+        total[found] += share
+    return np.log(total / max(1, len(chosen)) + RARE).astype(np.float32)
+
+
+def _least_common(rows, y: np.ndarray, test: np.ndarray, common: np.ndarray) -> float:
+    """Between what COMMON_SHARE of the calibration rows reach and what UNKNOWN_SHARE do not, each seen without its language."""
+    mean, allowance = np.zeros((len(test), common.shape[1])), np.zeros(len(test))
+    for at, i in enumerate(test):
+        found, share = rows[i]
+        if len(found):
+            mean[at] = share @ common[found]
+            # The rarest bucket of a text occurs once in nearly all of them, so its share tells the number of n-grams.
+            allowance[at] = SLACK * np.sqrt(share.min())
+    if not len(test):
+        return -np.inf
+    low = np.quantile(mean.max(axis=1) + allowance, 1 - COMMON_SHARE)
+    if common.shape[1] < 2:
+        return float(low - 1.0)
+    mean[np.arange(len(test)), y[test]] = -np.inf
+    high = np.quantile(mean.max(axis=1) + allowance, UNKNOWN_SHARE)
+    return float(low - MARGIN * max(low - high, 0.0))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -132,7 +173,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The divisor of the logits with the least log loss on rows kept from training."""
     if not len(y):
         return 1.0
-    tried = np.geomspace(0.25, 8.0, 41)
+    tried = np.geomspace(0.02, 8.0, 61)
     losses = [-np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in tried]
     return float(tried[int(np.argmin(losses))])
 
@@ -167,10 +208,10 @@ def fit(
     return train([tuple(unpack(f, np.uint16, np.float32)) for _, f in sample], [str(x) for x, _ in sample])
 
 
-def scores(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Calibrated class probabilities of every row of a piece."""
+def scores(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated class probabilities of every row of a piece, and whether its n-grams are common enough."""
     rows, classes = len(offsets) - 1, len(model.names)
-    total = np.zeros((rows, classes))
+    total = np.zeros((rows, 2 * classes))
     count = np.zeros(rows)
     grams, valid = text_features(data, offsets)
     some = np.diff(offsets) > 0
@@ -187,8 +228,9 @@ def scores(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.nd
         inside[late], number[late] = 0, 0
         total[some] += inside
         count[some] += number
-    logits = total / np.maximum(count, 1)[:, None] + model.bias
-    return _softmax(logits / model.temperature)
+    mean = total / np.maximum(count, 1)[:, None]
+    common = mean[:, classes:].max(axis=1) + SLACK / np.sqrt(np.maximum(count, 1))
+    return _softmax((mean[:, :classes] + model.bias) / model.temperature), common >= model.least_common
 
 
 def _predictor(held):
@@ -203,11 +245,11 @@ def _predictor(held):
                     score = np.zeros(end - row)
                     rejected = ~own
                 else:
-                    p = scores(model, data, offsets)
+                    p, common = scores(model, data, offsets)
                     best = p.argmax(axis=1)
                     score = np.where(own, p.max(axis=1), 0.0)
                     names = [model.names[b] if k else NO_LANGUAGE for b, k in zip(best, own)]
-                    rejected = ~own | (score < model.threshold)
+                    rejected = ~own | (score < model.threshold) | ~common
                 yield pa.record_batch(
                     [batch.column("doc_id").slice(row, end - row), pa.array(names, pa.string()),
                      pa.array(score), pa.array(rejected)],
@@ -251,8 +293,11 @@ def accepted(
                 yield batch
                 continue
             column = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string())
-            best = [scores(known, data, offsets).max(axis=1) for _, _, data, offsets in text_slices(column)]
-            if best:
-                yield batch.filter(pa.array(np.concatenate(best) >= known.threshold))
-
-    return lettered.mapInArrow(run, docs.schema)
+            kept = []
+            for _, _, data, offsets in text_slices(column):
+                p, common = scores(known, data, offsets)
+                kept.append((p.max(axis=1) >= known.threshold) & common)
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return lettered.mapInArrow(lean(run), docs.schema)
