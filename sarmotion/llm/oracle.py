@@ -146,3 +146,41 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, p AS period, 1000
        sha256(coalesce(line, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
 FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+# What SQL can tell of operators whose whole result it cannot.
+
+BASE_SCORES = f"""
+WITH d AS (
+  SELECT doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 1 AS held_out,
+         list_append(regexp_extract_all({_FOLDED}, {_WORD}), chr(10)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d),
+c AS (SELECT token, count(*) FILTER (WHERE NOT held_out) AS c FROM t GROUP BY token),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (WHERE c > 0) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n) AS train_tokens,
+       floor(sum(log10((c + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)))) * 1e3::DOUBLE + 0.5) / 1e3::DOUBLE AS base_score
+FROM t JOIN c USING (token), n GROUP BY doc_id, held_out
+"""
+
+SHARD_LAW = """
+WITH n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT CAST(s AS INT) AS shard, n // 16 + CASE WHEN s < n % 16 THEN 1 ELSE 0 END AS n_rows FROM n, range(16) r(s))
+SELECT shard, n_rows, n_rows AS n_slots, CAST(0 AS BIGINT) AS first_slot, n_rows - 1 AS last_slot FROM s
+"""
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN ({_DIGITS})[-k]::INT "
+    f"ELSE (2 * ({_DIGITS})[-k]::INT) // 10 + (2 * ({_DIGITS})[-k]::INT) % 10 END)) % 10 = 0"
+)
+_PATTERNS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+           "list_max(list_transform(string_split(x, '.'), lambda p: coalesce(try_cast(p AS BIGINT), 1000))) <= 255"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}
+_COUNTS = ",\n       ".join(
+    f"CAST(len(list_filter(regexp_extract_all({_TEXT}, '{pattern}'), lambda x: {valid})) AS BIGINT) AS n_{kind}"
+    for kind, (pattern, valid) in _PATTERNS.items()
+)
+BASE_COUNTS = f"SELECT doc_id, {_COUNTS} FROM documents"

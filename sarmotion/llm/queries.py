@@ -117,6 +117,25 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+# Parts of results that SQL can check, through the same operators.
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.floor(F.col("base_score") * 1e3 + 0.5) / F.lit(1e3)
+    return op4_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"))
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and slots of every shard."""
+    return op5_sharding(spark, sf_dir).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("first_slot"),
+        F.max("slot").alias("last_slot"))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in KINDS])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -131,6 +150,9 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_quality": op13_quality,
+    "lm_base_scores": lm_base_scores,
+    "shard_law": shard_law,
+    "pii_counts": pii_counts,
 }
 
 ORACLE: dict[str, str] = {
@@ -140,4 +162,7 @@ ORACLE: dict[str, str] = {
     "op10_minhash_near_dedup": oracle.NEAR_DEDUP,
     "op11_prefix_trie": oracle.PREFIX_TRIE,
     "op12_periodic_runs": oracle.PERIODIC_RUNS,
+    "lm_base_scores": oracle.BASE_SCORES,
+    "shard_law": oracle.SHARD_LAW,
+    "pii_counts": oracle.BASE_COUNTS,
 }
