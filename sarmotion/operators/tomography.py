@@ -221,12 +221,15 @@ def standing_wave_weights(params: TomoParams, freq: np.ndarray, resolution: floa
     return weights
 
 
-def resonance_weights(params: TomoParams, freq: np.ndarray) -> np.ndarray:
-    """Bins x depths: each bin lands on z = v/2f; bins sharing a cell are averaged."""
+def resonance_weights(params: TomoParams, freq: np.ndarray, refuse: bool = True) -> np.ndarray:
+    """Bins x depths: each bin lands on z = v/2f; bins sharing a cell are averaged.
+
+    Depths that lie outside the spectrum entirely are refused, or without ``refuse`` have no weight.
+    """
     depth = depth_axis(params)
     weights = np.zeros((len(freq), len(depth)))
     hi, lo = freq[-1], freq[1] if len(freq) > 1 else 0.0
-    if hi > 0 and lo > 0:
+    if refuse and hi > 0 and lo > 0:
         shallow, deep = params.velocity / (2.0 * hi), params.velocity / (2.0 * lo)
         if depth[-1] < shallow or depth[0] > deep:
             raise RangeFault(
@@ -259,8 +262,13 @@ class Focuser:
         return acoustic_wavelength(self.params)
 
 
-def focuser(params: TomoParams, meta: MotionMeta, baselines: Sequence[float] | None = None) -> Focuser:
-    """Build one model's operator, after every refusal that applies to it."""
+def focuser(
+    params: TomoParams, meta: MotionMeta, baselines: Sequence[float] | None = None, refuse_outside: bool = True
+) -> Focuser:
+    """Build one model's operator, after every refusal that applies to it.
+
+    Without ``refuse_outside`` a spectrum that represents none of model D's depths gives an empty profile.
+    """
     check_params(params)
     check_extent(params, meta.n_looks)
     n, depth = meta.n_looks, depth_axis(params)
@@ -271,7 +279,7 @@ def focuser(params: TomoParams, meta: MotionMeta, baselines: Sequence[float] | N
         if params.model == "B":
             weights = standing_wave_weights(params, freq, depth_resolution(params))
             return Focuser(params, "spectrum", depth, lambda psd: np.sqrt(np.maximum(psd, 0.0)) @ weights)
-        weights = resonance_weights(params, freq)
+        weights = resonance_weights(params, freq, refuse_outside)
         return Focuser(params, "spectrum", depth, lambda psd: psd @ weights)
     if params.model == "C":
         if baselines is None or len(baselines) != n:
@@ -474,7 +482,8 @@ def alignment_null(profile: DataFrame, n_depth: int, trials: int, seed: int = 1)
 
 
 def sweep_assumptions(
-    params: TomoParams, meta: MotionMeta, scale_min: float, scale_max: float, n_scale: int
+    params: TomoParams, meta: MotionMeta, scale_min: float, scale_max: float, n_scale: int,
+    refuse_outside: bool = True,
 ) -> list[Focuser]:
     """Every feasible (velocity, frequency) pair of a logarithmic scale grid."""
     if n_scale < 2 or not 0 < scale_min < scale_max:
@@ -487,7 +496,7 @@ def sweep_assumptions(
                 params, velocity=float(params.velocity * fv), frequency=float(params.frequency * ff)
             )
             try:
-                feasible.append(focuser(trial, meta))
+                feasible.append(focuser(trial, meta, refuse_outside=refuse_outside))
             except SarMotionError:
                 continue
     if not feasible:
@@ -504,13 +513,16 @@ def sweep(
     scale_max: float = 2.0,
     n_scale: int = 5,
     keys: Sequence[str] = (),
+    refuse_outside: bool = True,
 ) -> DataFrame:
     """Where the peak lands under each assumed (velocity, frequency).
 
     The windows are read once: each task sums every assumption's profiles over the
     windows it holds, and only assumptions x depths partial sums are shuffled.
+    An assumption whose depths lie outside the spectrum entirely has no row; without
+    ``refuse_outside`` its row has the peak value 0.
     """
-    models = sweep_assumptions(params, meta, scale_min, scale_max, n_scale)
+    models = sweep_assumptions(params, meta, scale_min, scale_max, n_scale, refuse_outside)
     keys = list(keys)
     if models[0].inputs == "spectrum":
         if spectra is None:

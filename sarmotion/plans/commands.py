@@ -339,8 +339,13 @@ def sweep_rows(
     collects: Sequence[Collect], params: TomoParams, subap: SubapParams, tracking: TrackParams,
     grid: Grid, offsets: Sequence[tuple[float, float]] = ((0.0, 0.0),), scale_min: float = 0.5,
     scale_max: float = 2.0, n_scale: int = 5, f_min: float = 0.0, route: str = "pulse",
+    refuse_outside: bool = True,
 ) -> DataFrame:
-    """Where the peak lands for every scene, offset and assumption, as one plan: scene and offset are columns."""
+    """Where the peak lands for every scene, offset and assumption, as one plan: scene and offset are columns.
+
+    A long collect has slow looks, whose spectra may represent none of the depths.  Such assumptions are refused;
+    without ``refuse_outside`` each keeps its row, with the peak value 0.
+    """
     parts = []
     for scene, collect in enumerate(collects):
         scaled = collect_geometry(collect, params)
@@ -350,7 +355,7 @@ def sweep_rows(
         spectra = spectrum(series, meta, f_min=f_min, keys=["offset"])
         rows = tomography.sweep(
             scaled, meta, series=series, spectra=spectra, scale_min=scale_min,
-            scale_max=scale_max, n_scale=n_scale, keys=["offset"],
+            scale_max=scale_max, n_scale=n_scale, keys=["offset"], refuse_outside=refuse_outside,
         )
         parts.append(rows.withColumn("scene", F.lit(scene)))
     return _together(parts)

@@ -233,6 +233,17 @@ def test_sweep_matches_one_run_per_assumption(spark):
         tomo.sweep(replace(params, depth_max=900.0), META, series=series)
 
 
+def test_sweep_keeps_assumptions_outside_the_spectrum(spark):
+    """Slow looks represent deep places only: refused, or a row each with the peak value 0."""
+    params = replace(SCENE, model="D", velocity=100.0, depth_max=10.0, depth_cell=5.0, frequency=400.0)
+    slow = replace(META, dt=4.0, f_max=0.125)
+    spectra = spark.createDataFrame([([1.0] * (slow.n_looks // 2 + 1),)], "psd array<double>")
+    with pytest.raises(RangeFault):
+        tomo.sweep(params, slow, spectra=spectra, scale_min=1.0, scale_max=2.0, n_scale=2)
+    rows = tomo.sweep(params, slow, spectra=spectra, scale_min=1.0, scale_max=2.0, n_scale=2, refuse_outside=False).collect()
+    assert len(rows) == 4 and {(r["peak_depth"], r["peak_value"]) for r in rows} == {(5.0, 0.0)}
+
+
 def test_depth_follows_the_assumed_wavelength(spark):
     """Features fixed in the data land at depths the assumption sets: slope one."""
     series = scene(spark, [6.0], [1.0])
