@@ -137,6 +137,35 @@ def project_to_height(sensor: pd.DataFrame, point: pd.DataFrame, hae: pd.Series)
     return _frame(s + t[:, None] * ray)
 
 
+_STEPS = 720
+_EDGES = -np.pi + 2.0 * np.pi * np.arange(_STEPS + 1) / _STEPS
+# From the slant point outwards, the lower angle first where two are as far.
+_OUTWARDS = np.argsort(np.abs(0.5 * (_EDGES[:-1] + _EDGES[1:])), kind="stable")
+
+
+def _nearest_crossing(above, rows: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``rows`` the step of the circle nearest the slant point in which ``above`` changes sign, else -1.
+
+    Steps are tried outwards, each for the rows that have none yet.
+    """
+    best = np.full(n, -1)
+    heights: dict[int, np.ndarray] = {}  # at the edges of the steps being tried
+    tried = np.zeros(_STEPS + 2, dtype=bool)
+    tried[[0, -1]] = True  # there is nothing beyond the ends
+    for step in _OUTWARDS:
+        if not len(rows):
+            break
+        for edge in (step, step + 1):
+            if edge not in heights:
+                heights[edge] = above(np.full(len(rows), _EDGES[edge]), rows)
+        crossed = heights[step] * heights[step + 1] <= 0
+        best[rows[crossed]] = step
+        tried[step + 1] = True
+        rows = rows[~crossed]
+        heights = {e: h[~crossed] for e, h in heights.items() if not (tried[e] and tried[e + 1])}
+    return best
+
+
 @pandas_udf(_POINT)
 def slant_to_ground(sensor: pd.DataFrame, velocity: pd.DataFrame, slant: pd.DataFrame, hae: pd.Series) -> pd.DataFrame:
     """Move a slant-plane point round its range-Doppler circle to a height.
@@ -156,17 +185,16 @@ def slant_to_ground(sensor: pd.DataFrame, velocity: pd.DataFrame, slant: pd.Data
     e1 = radial / np.where(radius < 1.0, np.nan, radius)[:, None]
     e2 = np.cross(unit, e1)
 
-    def at(phi):
-        arm = np.cos(phi)[:, None] * e1 + np.sin(phi)[:, None] * e2
-        return centre + radius[:, None] * arm
-
-    n = len(s)
-    steps = 720
-    edges = -np.pi + 2.0 * np.pi * np.arange(steps + 1) / steps
-    above = np.stack([_height(at(np.full(n, a))) - target for a in edges], axis=1)
-    crossing = above[:, :-1] * above[:, 1:] <= 0
-    distance = np.where(crossing, np.abs(0.5 * (edges[:-1] + edges[1:])), np.inf)
-    best = np.argmin(distance, axis=1)
-    found = np.isfinite(distance[np.arange(n), best])
-    phi = _bisect(lambda a: _height(at(a)), edges[best], edges[best + 1], target)
-    return _frame(np.where(found[:, None], at(phi), np.nan))
+    def at(phi, rows):
+        arm = np.cos(phi)[:, None] * e1[rows] + np.sin(phi)[:, None] * e2[rows]
+        return centre[rows] + radius[rows, None] * arm
+
+    def above(phi, rows):
+        return _height(at(phi, rows)) - target[rows]
+
+    best = _nearest_crossing(above, np.flatnonzero(np.isfinite(centre + e1).all(axis=1) & np.isfinite(radius + target)), len(s))
+    rows = np.flatnonzero(best >= 0)
+    lo, hi = _EDGES[best[rows]], _EDGES[best[rows] + 1]
+    out = np.full(s.shape, np.nan)
+    out[rows] = at(_bisect(lambda phi: _height(at(phi, rows)), lo, hi, target[rows]), rows)
+    return _frame(out)

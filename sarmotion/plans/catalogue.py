@@ -273,7 +273,8 @@ def q_plane_offset(spark: SparkSession, d: str) -> DataFrame:
 
 def _look_rays(spark: SparkSession, d: str) -> DataFrame:
     """A sensor 600 km up and a point below it, per customer."""
-    p = _places(spark, d)
+    # A row costs far more to project than to read, so a file's rows are dealt to all tasks.
+    p = _places(spark, d).repartition(spark.sparkContext.defaultParallelism)
     ground = geo.llh_to_ecf("lat", "lon", F.lit(0.0))
     sensor = geo.llh_to_ecf(F.col("lat") * 0.97, F.col("lon") * 0.97, F.lit(600000.0))
     return p.select(

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,27 @@ def test_projection_reaches_the_height(spark):
     assert found["never"] is None or found["never"]["x"] is None or math.isnan(found["never"]["x"])
 
 
+def test_crossings_are_sought_outwards():
+    """The nearest of all crossings by a full scan, for rows with none, several and ties; near ones cost few steps."""
+    rng = np.random.default_rng(5)
+    waves, offset = rng.integers(1, 4, 50), np.r_[rng.uniform(-1.2, 1.2, 48), 0.0, 5.0]
+    seen = []
+
+    def above(phi, rows):
+        seen.append(len(rows))
+        return np.cos(waves[rows] * phi) - offset[rows]
+
+    found = geo._nearest_crossing(above, np.arange(50), 50)
+    edges = -np.pi + 2.0 * np.pi * np.arange(721) / 720
+    whole = np.cos(np.outer(waves, edges)) - offset[:, None]
+    away = np.where(whole[:, :-1] * whole[:, 1:] <= 0, np.abs(0.5 * (edges[:-1] + edges[1:])), np.inf)
+    assert found.tolist() == np.where(np.isfinite(away.min(axis=1)), away.argmin(axis=1), -1).tolist()
+    assert (found < 0).any() and sum(seen) < 50 * 721
+    seen.clear()
+    near = geo._nearest_crossing(lambda phi, rows: seen.append(len(rows)) or phi - 0.01, np.arange(50), 50)
+    assert set(near) == {361} and sum(seen) <= 50 * 6
+
+
 def test_orbit_is_exact_for_cubics(spark):
     states = [(t, [t**3, 2.0 * t, 1.0], [3.0 * t**2, 2.0, 0.0]) for t in map(float, range(6))]
     schema = "states array<struct<t:double,pos:array<double>,vel:array<double>>>, t double"
