@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 NEIGHBOURS = 4
+BEHIND = 2  # vectors before a request that it may need
+RANGE_ROWS = 50_000
 
 
 def _blended(df: DataFrame, when: Column, into: str) -> DataFrame:
@@ -60,8 +62,8 @@ def interpolate_orbit_asof(
     """The same from a table of state vectors ``(*keys, t, pos, vel)`` of any length, as an as-of join.
 
     Vectors and requests are sorted together by range, so neither one orbit nor one moment is a hot key, and no pair is
-    formed: a vector carries its followers, and a request takes the vector before it.  What crosses the edge of a range
-    travels as a row for each range and key: its first vectors backwards, its last one forwards.  A request keeps its
+    formed.  Ranges hold RANGE_ROWS rows, so a task's memory does not follow the tables.  What crosses the edge of a range
+    travels as rows of their own: the last two vectors before it, the first four after it.  A request keeps its
     columns.  Without a vector of its key its state is NULL; so is one without a time.  Vectors without a time are none.
     """
     keys = list(keys)
@@ -76,55 +78,51 @@ def interpolate_orbit_asof(
         F.struct(*requests.columns).alias("_r"), F.monotonically_increasing_id().alias("_n"),
     )
     both = known.unionByName(asked, allowMissingColumns=True)
+    ranges = max(1, -(-(known.count() + asked.count()) // RANGE_ROWS))
     # A vector comes before the requests of its moment; equal requests are dealt apart by their number.
-    order = [*held, "_t", F.col("_n").asc_nulls_first()]
-    ranged = cut_lineage(
-        both.repartitionByRange(*order, "_s").withColumn("_part", F.spark_partition_id())
-    )
-    vectors = ranged.where("_s is not null").select(*held, "_part", "_t", "_s")
-    along = Window.partitionBy(*held, "_part").orderBy("_t", "_s")
-    ahead = F.filter(F.array(*[F.lead("_s", k).over(along) for k in range(1, NEIGHBOURS)]), lambda s: s.isNotNull())
-    local = vectors.withColumn("_ahead", ahead).withColumn("_back", F.lag("_s").over(along)).withColumn(
-        "_place", F.row_number().over(along))
-    edge = local.groupBy(*held, "_part").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_place") < NEIGHBOURS, F.struct("_place", "_s")))).alias("_firsts"),
-        F.max_by("_s", "_place").alias("_last"),
-    )
-    # One row for each range that holds vectors of a key.
-    ranges = Window.partitionBy(*held).orderBy("_part")
-    following = F.flatten(F.collect_list(F.col("_firsts._s")).over(ranges.rowsBetween(1, NEIGHBOURS - 1)))
-    edges = edge.select(
-        *held, "_part", F.slice(following, 1, NEIGHBOURS - 1).alias("_next"), F.lag("_last").over(ranges).alias("_before"))
-    joined = _on(local, edges, [*held, "_part"], "inner")
-    after = F.slice(F.concat("_ahead", "_next"), 1, NEIGHBOURS - 1)
-    behind = F.coalesce("_back", "_before")
-    # The last vector of all is used with the one before it.
-    packed = joined.withColumn("_after", after).select(
-        *held, "_part", "_t", "_s",
-        F.when((F.size("_after") == 0) & behind.isNotNull(), F.array(behind, "_s")).otherwise(F.concat(F.array("_s"), "_after")).alias("_near"),
-    )
-    packed = cut_lineage(packed)
-    ends = packed.groupBy(*held, "_part").agg(
-        F.max_by("_near", F.struct("_t", "_s")).alias("_end"), F.min_by("_near", F.struct("_t", "_s")).alias("_begin"))
-    present = ranged.select(*held, "_part").distinct()
-    carried = _on(present, ends, [*held, "_part"], "left").select(
-        *held, "_part",
-        F.last("_end", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
-        F.first("_begin", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_begin"),
-    )
-    stream = packed.unionByName(
-        ranged.where("_r is not null").select(*held, "_part", "_t", "_r", "_n"), allowMissingColumns=True)
-    upto = Window.partitionBy(*held, "_part").orderBy("_t", F.col("_n").asc_nulls_first(), "_s").rowsBetween(Window.unboundedPreceding, 0)
-    found = stream.withColumn("_own", F.last("_near", ignorenulls=True).over(upto)).where("_r is not null")
-    placed = _on(found.drop("_near", "_s"), carried, [*held, "_part"], "left").withColumn(
-        "_near", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_carried", "_begin")))
+    ranged = cut_lineage(both.repartitionByRange(
+        ranges, *held, "_t", F.col("_n").asc_nulls_first(), "_s").withColumn("_part", F.spark_partition_id()))
+    group = [*held, "_part"]
+    edges = _range_edges(ranged, held, ranges)
+    crossing = edges.select(*group, F.explode(F.concat("_prior", "_after")).alias("_s")).withColumn("_t", F.col("_s.t"))
+    stream = ranged.unionByName(crossing, allowMissingColumns=True).repartition(ranges, *group)
+    along = f"partition by {', '.join(group)} order by _t, _n nulls first, _s"
+    near = lambda way, k: F.expr(f"{way}(_s, {k}) ignore nulls over ({along})")
+    ahead = [f"_f{k}" for k in range(1, NEIGHBOURS + 1)]
+    found = stream.withColumns(
+        {"_b1": near("lag", 1), "_b2": near("lag", 2), **{c: near("lead", k) for k, c in enumerate(ahead, 1)}}
+    ).where("_r is not null")
+    last, before, following = F.col("_b1"), F.col("_b2"), [F.col(c) for c in ahead]
+    # Before the first vector the first four; the last vector of all is used with the one before it.
+    chosen = F.when(last.isNull(), F.array(*following)).when(
+        following[0].isNull(), F.array(before, last)).otherwise(F.array(last, *following[:-1]))
+    placed = found.withColumn("_near", F.when(F.col("_t").isNotNull(), F.array_compact(chosen)))
     return _blended(placed.select("_r", "_t", "_near"), F.col("_t"), into).select("_r.*", into)
 
 
-def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join in which a null key is a key like any other."""
-    right = right.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in right.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
-    return left.join(right, same, how).drop(*[f"{k}__" for k in keys])
+def _range_edges(ranged: DataFrame, held: Sequence[str], ranges: int) -> DataFrame:
+    """For every range and key the vectors outside the range that its requests may need: one row each."""
+    group = [*held, "_part"]
+    vectors = ranged.where("_s is not null").select(*group, "_t", "_s").repartition(ranges, *group)
+    along = Window.partitionBy(*group).orderBy("_t", "_s")
+    local = vectors.withColumns({"_place": F.row_number().over(along), "_later": F.lead("_t", BEHIND).over(along)})
+    ends = local.where((F.col("_place") <= NEIGHBOURS) | F.col("_later").isNull()).groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("_place", "_s", F.col("_later").isNull().alias("_end")))).alias("_all"))
+    own = ends.select(
+        *group, F.filter("_all", lambda x: x["_place"] <= NEIGHBOURS)["_s"].alias("_first"),
+        F.filter("_all", lambda x: x["_end"])["_s"].alias("_last"))
+    order = Window.partitionBy(*held).orderBy("_part")
+    # A range that holds vectors of a key has one at least, so so many ranges are enough on either side.
+    onwards = F.flatten(F.collect_list("_first").over(order.rowsBetween(0, NEIGHBOURS - 1)))
+    so_far = F.flatten(F.collect_list("_last").over(order.rowsBetween(1 - BEHIND, 0)))
+    reach = own.select(
+        *group, F.slice(onwards, 1, NEIGHBOURS).alias("_onwards"),
+        F.slice(so_far, F.greatest(F.size(so_far) - BEHIND + 1, F.lit(1)), BEHIND).alias("_so_far"))
+    present = ranged.select(*group).distinct().unionByName(reach, allowMissingColumns=True).groupBy(*group).agg(
+        F.first("_onwards", ignorenulls=True).alias("_onwards"), F.first("_so_far", ignorenulls=True).alias("_so_far"))
+    none = F.array().cast(reach.schema["_onwards"].dataType)
+    return present.select(
+        *group,
+        F.coalesce(F.last("_so_far", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), none).alias("_prior"),
+        F.coalesce(F.first("_onwards", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), none).alias("_after"),
+    )

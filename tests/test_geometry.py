@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sarmotion.errors import MissingMetadata
 from sarmotion.functions import geodesy as geo
 from sarmotion.functions import geometry as g
+from sarmotion.operators import orbit
 from sarmotion.operators.orbit import interpolate_orbit
 from sarmotion.params import Plane
 
@@ -141,3 +142,33 @@ def test_orbit_is_exact_for_cubics(spark):
     assert found[1]["state"]["pos"] == pytest.approx([-1.0, -2.0, 1.0])
     assert found[2]["state"]["pos"] == [0.0, 0.0, 1.0]
     assert found[3]["state"] is None
+
+
+def test_asof_states_cross_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows, more of them with the tables: with no vectors, one or many, whatever lies between."""
+    rng = np.random.default_rng(3)
+    vectors = [(k, float(t), [float(t) ** 3, t * 2.0, 1.0], [float(t), 0.0, float(k or 9)])
+               for k, times in ((0, range(0, 90, 2)), (1, [40]), (2, [10, 70]), (None, range(30, 40))) for t in times]
+    asked = [(i, [0, 1, 2, 3, None][i % 5], float(x)) for i, x in enumerate(np.r_[rng.uniform(-10, 110, 150), np.full(40, 40.0)])]
+    asked.append((900, 0, None))
+    states = spark.createDataFrame(vectors, "k int, t double, pos array<double>, vel array<double>")
+    requests = spark.createDataFrame(asked, "id int, k int, at double")
+    plain = requests.join(
+        states.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", "pos", "vel"))).alias("all")).withColumnRenamed("k", "k2"),
+        F.col("k").eqNullSafe(F.col("k2")), "left")
+    near = {r["id"]: r["s"] for r in interpolate_orbit(
+        plain.withColumn("all", F.coalesce("all", F.array().cast(plain.schema["all"].dataType))), "all", "at", "s").collect()}
+    parts = []
+    cut = orbit.cut_lineage
+    monkeypatch.setattr(orbit, "cut_lineage", lambda df: parts.append(cut(df)) or parts[-1])
+    for rows in (7, 40):
+        monkeypatch.setattr(orbit, "RANGE_ROWS", rows)
+        found = orbit.interpolate_orbit_asof(requests, states, "at", ["k"], "s").collect()
+        assert len(found) == len(asked)
+        for r in found:
+            want = None if r["at"] is None else near[r["id"]]
+            assert (r["s"] is None) == (want is None)
+            if want:
+                assert [r["s"]["t"], *r["s"]["pos"], *r["s"]["vel"]] == pytest.approx([want["t"], *want["pos"], *want["vel"]], rel=1e-9, abs=1e-6)
+    sizes = [df.groupBy("_part").count().agg(F.max("count"), F.count("*")).first() for df in parts]
+    assert sizes[0][0] < 40 and sizes[0][1] > sizes[1][1] > 3
