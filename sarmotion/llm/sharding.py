@@ -68,7 +68,8 @@ def shuffled_shards(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema) + f", `{place}` long"
     mixed = scattered.groupBy(bucket).applyInArrow(_shuffled(seed, [id_col, text_col], bucket, place), schema)
     at = F.col("ahead") + F.col(place)
-    return mixed.join(offsets, bucket).select(
+    # Broadcast whatever its measured size, else the join deals all texts a second time.
+    return mixed.join(F.broadcast(offsets), bucket).select(
         *docs.columns, (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot")
     )
 

@@ -375,6 +375,18 @@ def test_scores_odd_rows(spark):
 # ---- 5 sharding ------------------------------------------------------------------------------
 
 
+def test_shards_deal_texts_once(spark, docs):
+    """Only pass one shuffles whole records, also where nothing is broadcast by its measured size."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = sharding.shuffled_shards(docs, bucket_bytes=50_000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+
+
 def test_shards_are_even_gapless_and_whole(spark, docs):
     found = sharding.shuffled_shards(docs, bucket_bytes=50_000).collect()
     slots = collections.defaultdict(list)
