@@ -6,9 +6,13 @@ bytes. At every context a Krichevsky-Trofimov estimate stands against the weight
 half and half, and the weights that the training data give them are kept: the probability of a byte mixes the
 estimates of all depths along its context. Scoring does not change the model, so every row gets the same model.
 
-A context is split further only if it holds at least 2^-CONTEXT_SHARE of the training bytes. So there are at most
-2^CONTEXT_SHARE contexts of each depth whatever the corpus, which bounds the broadcast; a longer or rarer context is
-scored at its longest kept part. Texts are lower-cased (A-Z), begin after a line break and end with an end byte.
+All contexts of the training texts count, whatever their number. The contexts that more than 2^-SPLIT of the distinct
+grams (context and byte) end in form the top of the tree: there are at most 2^SPLIT of them for each depth. What hangs
+below the top are subtrees of bounded size, which go to buckets by hash of their root with the grams that they hold. A
+bucket weighs its subtrees from the leaves up; their sums give the weights of the top, which is broadcast. Grams that hold
+at least 2^-GRAM_SHARE of the training bytes, at most 2^GRAM_SHARE of them, are broadcast with their code lengths. All other
+grams of all documents go to the bucket of their subtree, where they are looked up, and come back as one sum for each row
+and bucket. So neither bound changes a score. Texts are lower-cased (A-Z), begin after a line break and end with an end byte.
 
 **The base.** Words with a large share of the training tokens, at most 2^WORD_SHARE of them, are broadcast with their
 counts. All other words of all documents go to buckets by hash in packed arrays, where they are counted and scored, and
@@ -17,6 +21,7 @@ come back as one sum for each row and bucket.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +32,18 @@ from pyspark.sql import functions as F
 from sarmotion.llm.common import (
     lean,
     PACKET, bucket_count, by_bucket, gathered, mix64, pack, packets, row_of, scattered, text_slices, total_text_bytes,
-    word_hashes, written,
+    unpack, word_hashes, written,
 )
 
 DEPTH = 5
-CONTEXT_SHARE = 15
+SPLIT = 10
+LEAST_GRAMS = 1 << 12  # a subtree of so many grams is never split
+BUCKET_GRAMS = 1 << 16  # distinct grams of a bucket, on average
+GRAM_SHARE = 21
 WORD_SHARE = 19
 BYTES, WORDS = 0, 1  # kinds of counts
 START, END = 10, 3  # a line break before a text, the end-of-text control code after it
+PACKET_TEXT = 8 << 20  # bytes of text for each bucket of grams
 MERGE_KEYS = 1 << 19  # keys that wait for the next merge
 END_TOKEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,158 +120,309 @@ def _counter(depth: int):
     return lean(run)
 
 
+_LEVEL_BITS = 8  # below a context in an entry's id: the node, that is a one and the bits before the decision
+
+
+def _context(keys: np.ndarray, d: int) -> np.ndarray:
+    return (keys >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)
+
+
+def _decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and bits of the eight decisions of each key's byte, as columns."""
+    byte = (keys & np.uint64(255)).astype(np.int64)[:, None]
+    level = np.arange(8)
+    return (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
+
+
 @dataclass
 class ByteModel:
-    """Per depth the kept contexts (sorted keys of their bytes), and log2 probabilities of all 256 bytes for each."""
+    """The top of the tree: for each depth its contexts (sorted), and for each context and node what the path down to it
+    holds of the probability of a one, and the weight that it passes on."""
 
     depth: int
     contexts: list[np.ndarray]
-    log2: list[np.ndarray]
-
-    def __post_init__(self):
-        self._steps: list[np.ndarray] | None = None
-
-    def steps(self) -> list[np.ndarray]:
-        """From a kept context and the byte before it to the kept context one longer, or -1."""
-        if self._steps is None:
-            self._steps = []
-            for d in range(self.depth):
-                table = np.full((len(self.contexts[d]), 256), -1, dtype=np.int32)
-                longer = self.contexts[d + 1]
-                shorter = longer & np.uint64((1 << (8 * d)) - 1)
-                table[np.searchsorted(self.contexts[d], shorter), (longer >> np.uint64(8 * d)).astype(np.int64)] = np.arange(len(longer))
-                self._steps.append(table)
-        return self._steps
-
-    def code_lengths(self, out: np.ndarray, scored: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Bits of every row of framed texts."""
-        depth = self.depth
-        place = np.flatnonzero(scored)
-        value = np.zeros(len(place))
-        row = np.zeros(len(place), dtype=np.int32)  # of depth 0: the empty context
-        active = np.arange(len(place))
-        for d in range(depth + 1):
-            if d < depth:
-                longer = self.steps()[d][row, out[place[active] - d - 1]]
-                stop = longer < 0
-            else:
-                stop = np.ones(len(active), dtype=bool)
-            ends = active[stop]
-            value[ends] = self.log2[d][row[stop], out[place[ends]]]
-            if d < depth:
-                active, row = active[~stop], longer[~stop]
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        at = np.searchsorted(place, edges)
-        return -(sums[at[1:]] - sums[at[:-1]])
+    held: list[np.ndarray]
+    passed: list[np.ndarray]
+
+    @property
+    def log2(self) -> list[np.ndarray]:
+        """Log2 probabilities of all 256 bytes behind each context, where the next longer one was never seen."""
+        nodes, bits = _decisions(np.arange(256, dtype=np.uint64))
+        return [_code(h[:, nodes] + 0.5 * p[:, nodes], bits) for h, p in zip(self.held, self.passed)]
+
+    def roots(self, keys: np.ndarray) -> np.ndarray:
+        """The depth of the first context of each key that is not in the top."""
+        return _root_depth(keys, self.contexts)
+
+
+def _root_depth(keys: np.ndarray, tops: list[np.ndarray]) -> np.ndarray:
+    root, active = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+    for d, known in enumerate(tops):
+        active = active[_common(_context(keys[active], d), known)[1]]
+        root[active] = d + 1
+    return root
+
+
+def _code(one: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Log2 probability of bytes from the probabilities of a one at their eight decisions (the last axis)."""
+    one = np.clip(one, 1e-9, 1 - 1e-7)
+    return np.log2(np.where(bits == 1, one, 1.0 - one)).sum(axis=-1)
+
+
+def _root_buckets(keys: np.ndarray, root: np.ndarray, buckets: int) -> np.ndarray:
+    mask = (np.uint64(1) << (np.uint64(8) * root.astype(np.uint64))) - np.uint64(1)
+    return _bucket_of(mix64((keys >> np.uint64(8)) & mask) + root.astype(np.uint64), buckets)
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument above 8."""
-    shift = np.zeros_like(x)
-    x = x.copy()
-    while True:
-        small = x < 8
-        if not small.any():
-            break
-        shift[small] -= np.log(x[small])
-        x[small] += 1
+    return _log_gamma(a, 0.5) + _log_gamma(b, 0.5) - _log_gamma(a + b, 1.0) - np.log(np.pi)
+
+
+_SMALL = {more: np.array([math.lgamma(k + more) for k in range(1 << 12)]) for more in (0.5, 1.0)}
+
+
+def _log_gamma(count: np.ndarray, more: float) -> np.ndarray:
+    """Log gamma of ``count + more``: from a table, beyond it by Stirling's series."""
+    table = _SMALL[more]
+    out = table[np.minimum(count, len(table) - 1).astype(np.int64)]
+    large = count >= len(table)
+    x = count[large] + more
     inverse = 1 / x
     series = inverse * (1 / 12 - inverse**2 * (1 / 360 - inverse**2 / 1260))
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
+    out[large] = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
+    return out
+
 
+_HALF = np.log(0.5)
 
-def _bit_counts(symbols: np.ndarray) -> np.ndarray:
-    """Counts of the 511 binary prefixes: node i has children 2i and 2i + 1; leaves are 256 + byte."""
-    nodes = np.zeros((len(symbols), 512))
-    nodes[:, 256:] = symbols
-    for i in range(255, 0, -1):
-        nodes[:, i] = nodes[:, 2 * i] + nodes[:, 2 * i + 1]
-    return nodes
 
+def _stays(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log P_w of contexts that have longer ones, and the weight of stopping there: half the own estimate, half the longer ones'."""
+    own = _log_kt(zeros, ones)
+    both = np.logaddexp(_HALF + own, _HALF + below)
+    return both, np.exp(_HALF + own - both)
 
-def weighted_model(keys: list[np.ndarray], symbols: list[np.ndarray]) -> ByteModel:
-    """Context-tree weighting of the counts: keys[d] are depth d's contexts, symbols[d] their 256 byte counts.
 
-    P_w at a context is half its own estimate and half the product over its longer contexts. Counts that no kept
-    longer context holds belong to one rest context, a leaf.
+@dataclass
+class _Level:
+    """The seen (context, node) of one depth in the subtrees of a bucket, sorted by id; ``root`` is the subtree's depth."""
+
+    ids: np.ndarray
+    root: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stay: np.ndarray
+
+    def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _common(ids, self.ids)
+
+
+def _gathered_level(ids, root, *sums):
+    order = np.argsort(ids)
+    ids = ids[order]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+    add = lambda x: np.add.reduceat(x[order], starts) if len(starts) else np.zeros(0)
+    return ids[starts], root[order][starts], [add(x) for x in sums]
+
+
+def _subtrees(keys: np.ndarray, n: np.ndarray, root: np.ndarray, depth: int) -> list[_Level]:
+    """The levels of a bucket's subtrees, weighed from the leaves up; a level has only contexts at or below their root."""
+    nodes, bits = _decisions(keys)
+    ids = ((_context(keys, depth) << np.uint64(_LEVEL_BITS))[:, None] | nodes.astype(np.uint64)).ravel()
+    each = np.repeat(n.astype(np.float64), 8)
+    ids, own, (zeros, ones) = _gathered_level(ids, np.repeat(root, 8), each * (bits.ravel() == 0), each * (bits.ravel() == 1))
+    levels = [_Level(ids, own, zeros, ones, _log_kt(zeros, ones), np.ones(len(ids)))]
+    for d in range(depth - 1, -1, -1):
+        last = levels[-1]
+        up = last.root <= d
+        shorter = last.ids[up] & np.uint64((1 << (8 * d + _LEVEL_BITS)) - 1)
+        ids, own, (zeros, ones, below) = _gathered_level(shorter, last.root[up], last.zeros[up], last.ones[up], last.weighted[up])
+        levels.append(_Level(ids, own, zeros, ones, *_stays(zeros, ones, below)))
+    return levels[::-1]
+
+
+def _values(keys: np.ndarray, levels: list[_Level], model: ByteModel) -> np.ndarray:
+    """Log2 probability of each gram: its byte behind its context, along the top and down its subtree.
+
+    What was never seen has an estimate of a half, whatever is longer.
     """
-    depth = len(keys) - 1
-    stay = [np.ones((len(keys[d]), 255), dtype=np.float32) for d in range(depth + 1)]  # weight of stopping here
-    leaf: list = [None] * (depth + 1)  # a one's probability in the rest context
-    weighted = None  # log P_w one depth further down
-    for d in range(depth, -1, -1):
-        nodes = _bit_counts(symbols[d])
-        own = _log_kt(nodes[:, 2:512:2], nodes[:, 3:512:2])
-        if d < depth and len(keys[d + 1]):
-            parent = np.searchsorted(keys[d], keys[d + 1] & np.uint64((1 << (8 * d)) - 1))
-            rest = symbols[d].astype(np.float64)
-            np.add.at(rest, parent, -symbols[d + 1].astype(np.float64))
-            nodes = _bit_counts(np.maximum(rest, 0))
-            below = _log_kt(nodes[:, 2:512:2], nodes[:, 3:512:2])
-            leaf[d] = ((nodes[:, 3:512:2] + 0.5) / (nodes[:, 1:256] + 1.0)).astype(np.float32)
-            np.add.at(below, parent, weighted)
-            half = np.log(0.5)
-            both = np.logaddexp(half + own, half + below)
-            stay[d] = np.exp(half + own - both).astype(np.float32)
-            own = both
-        weighted = own
-    log2 = []
-    held = passed = None
-    for d in range(depth + 1):
-        nodes = _bit_counts(symbols[d])
-        here = ((nodes[:, 3:512:2] + 0.5) / (nodes[:, 1:256] + 1.0)).astype(np.float32)
-        # What the shorter contexts keep for themselves, and the weight that they pass on along this path.
+    if len(keys) > VALUES:
+        return np.concatenate([_values(keys[at : at + VALUES], levels, model) for at in range(0, len(keys), VALUES)])
+    root = model.roots(keys)
+    nodes, bits = _decisions(keys)
+    held, passed = np.zeros(nodes.shape), np.ones(nodes.shape)
+    for d, known in enumerate(model.contexts):
+        rows = np.flatnonzero(root == d + 1)
+        at = np.searchsorted(known, _context(keys[rows], d))[:, None]
+        held[rows], passed[rows] = model.held[d][at, nodes[rows]], model.passed[d][at, nodes[rows]]
+    for d, level in enumerate(levels):
+        rows = np.flatnonzero(root <= d)
+        ids = (_context(keys[rows], d) << np.uint64(_LEVEL_BITS))[:, None] | nodes[rows].astype(np.uint64)
+        at, seen = (x.reshape(ids.shape) for x in level.found(ids.ravel()))
+        if not seen.any():
+            continue
+        here = np.where(seen, (level.ones[at] + 0.5) / (level.zeros[at] + level.ones[at] + 1.0), 0.0)
+        stay = np.where(seen, level.stay[at], 0.0)
+        held[rows] += passed[rows] * stay * here
+        passed[rows] *= 1.0 - stay
+    return _code(held + 0.5 * passed, bits)
+
+
+VALUES = 1 << 15  # grams whose values are worked out at once
+
+
+def _grams(keys: np.ndarray, first: int, rows: np.ndarray, n: np.ndarray) -> bytes:
+    """Grams of a bucket: of the training texts with their counts (``first`` is -1, no rows), or asked for by rows from
+    ``first`` on and how often. Keys go without their two highest bytes where those are empty."""
+    width = 6 if not len(keys) or int(keys.max()) < 1 << 48 else 8
+    return pack(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], np.array([first], dtype=np.int64), (rows - first).astype(np.uint32), n)
+
+
+def _gathered_grams(payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rows (-1 for training texts) and counts."""
+    keys, rows, counts = [], [], []
+    for payload in payloads:
+        narrow, first, after, n = unpack(payload, np.uint8, np.int64, np.uint32, np.int64)
+        wide = np.zeros((len(n), 8), dtype=np.uint8)
+        width = len(narrow) // max(len(n), 1)
+        wide[:, :width] = narrow.reshape(len(n), width)
+        keys.append(wide.view("<u8").ravel().astype(np.uint64))
+        rows.append(after.astype(np.int64) + first[0] if first[0] >= 0 else np.full(len(n), -1))
+        counts.append(n)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*keys, none.view(np.uint64)]), np.concatenate([*rows, none]), np.concatenate([*counts, none])
+
+
+def _dealt(tops: list[np.ndarray], buckets: int):
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            n = batch.column("n").to_numpy()
+            found = scattered(_root_buckets(keys, _root_depth(keys, tops), buckets), buckets, keys, n)
+            yield packets([(b, _grams(k, -1, np.zeros(0, np.int64), c)) for b, (k, c) in found])
+
+    return lean(run)
+
+
+def _root_sums(tops: list[np.ndarray], depth: int):
+    """Counts and log P_w of a bucket's roots, summed for each context and node of the top that they hang below."""
+
+    def run(payloads) -> pa.Table:
+        keys, _, n = _gathered_grams(payloads)
+        levels = _subtrees(keys, n, _root_depth(keys, tops), depth)
+        parts = []
+        for d, level in enumerate(levels[1:]):
+            top = level.root == d + 1
+            parent = level.ids[top] & np.uint64((1 << (8 * d + _LEVEL_BITS)) - 1)
+            ids, _, sums = _gathered_level(parent, level.root[top], level.zeros[top], level.ones[top], level.weighted[top])
+            parts.append(pa.table({
+                "depth": np.full(len(ids), d, dtype=np.int32), "id": ids.view(np.int64),
+                **dict(zip(("zeros", "ones", "weighted"), sums))}))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _frequent_values(model, depth: int, least: int):
+    """Log2 probability of the training grams of a bucket that occur ``least`` times."""
+
+    def run(payloads) -> pa.Table:
+        keys, _, n = _gathered_grams(payloads)
+        often = keys[n >= least]
+        values = _values(often, _subtrees(keys, n, model.value.roots(keys), depth), model.value) if len(often) else np.zeros(0)
+        return pa.table({"key": often.view(np.int64), "log2": values})
+
+    return run
+
+
+def _asked_values(model, depth: int, buckets: int):
+    """Bits of the grams that rows ask for: one sum for each row."""
+
+    def run(payloads) -> pa.Table:
+        keys, rows, n = _gathered_grams(payloads)
+        known = rows < 0
+        wanted, place = np.unique(keys[~known], return_inverse=True)
+        if not len(wanted):
+            return pa.Table.from_batches([packets([])])
+        tree = keys[known]
+        bits = -_values(wanted, _subtrees(tree, n[known], model.value.roots(tree), depth), model.value)
+        own, at = np.unique(rows[~known], return_inverse=True)
+        sums = np.bincount(at, bits[place] * n[~known])
+        found = scattered(_bucket_of(own.view(np.uint64), buckets), buckets, own, sums)
+        return pa.Table.from_batches([packets([(b, pack(*arrays)) for b, arrays in found])])
+
+    return run
+
+
+def _bits_summed(payloads) -> pa.Table:
+    rows, bits = gathered(payloads, np.int64, np.float64)
+    own, place = np.unique(rows, return_inverse=True)
+    return pa.table({"row": own, "bits": np.bincount(place, bits)})
+
+
+def top_contexts(counts: DataFrame, depth: int, grams: int) -> list[np.ndarray]:
+    """For each depth below ``depth`` the contexts that hold more distinct grams than a subtree may; at most 2^SPLIT each."""
+    most = max(LEAST_GRAMS, grams >> SPLIT)
+    every = F.inline(F.array(*[
+        F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context"))
+        for d in range(depth)]))
+    if grams <= most or not depth:
+        return [np.zeros(0, np.uint64)] * depth
+    found = counts.select(every).groupBy("depth", "context").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > most).select("depth", "context").toArrow()
+    of, context = found.column("depth").to_numpy(), found.column("context").to_numpy().view(np.uint64)
+    return [np.sort(context[of == d]) for d in range(depth)]
+
+
+def byte_model(counts: DataFrame, depth: int = DEPTH) -> ByteModel:
+    """The weighted top of the tree over all of the (key, n) counts of byte grams."""
+    grams = counts.count()
+    tops = top_contexts(counts, depth, grams)
+    return _weighted_top(_dealt_grams(counts, tops, gram_buckets(counts.sparkSession, grams)), tops, depth)
+
+
+def gram_buckets(spark, grams: int, text_bytes: int = 0) -> int:
+    return max(bucket_count(spark, text_bytes, PACKET_TEXT), -(-grams // BUCKET_GRAMS))
+
+
+def _dealt_grams(counts: DataFrame, tops: list[np.ndarray], buckets: int) -> DataFrame:
+    return counts.select("key", "n").mapInArrow(_dealt(tops, buckets), PACKET)
+
+
+def _weighted_top(dealt: DataFrame, tops: list[np.ndarray], depth: int) -> ByteModel:
+    """Context-tree weighting of the top: P_w at a context is half its own estimate and half the product over its longer
+    contexts, those of the top and the roots of subtrees. At most 2^SPLIT contexts a depth with 255 nodes reach the driver."""
+    shape = [(len(t), 256) for t in tops]
+    sums = {c: [np.zeros(x) for x in shape] for c in ("zeros", "ones", "weighted")}
+    if shape and len(tops[0]):
+        rows = by_bucket(dealt, _root_sums(tops, depth), "depth int, id long, zeros double, ones double, weighted double")
+        found = rows.groupBy("depth", "id").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
+        of, ids = found.column("depth").to_numpy(), found.column("id").to_numpy().view(np.uint64)
+        for d, known in enumerate(tops):
+            own = of == d
+            at, node = np.searchsorted(known, ids[own] >> np.uint64(_LEVEL_BITS)), (ids[own] & np.uint64(255)).astype(np.int64)
+            for c, into in sums.items():
+                into[d][at, node] = found.column(c).to_numpy()[own]
+    stay: list = [None] * len(tops)
+    for d in range(len(tops) - 1, -1, -1):
+        zeros, ones, below = (sums[c][d] for c in ("zeros", "ones", "weighted"))
+        weighted, stay[d] = _stays(zeros, ones, below)
         if d:
-            parent = np.searchsorted(keys[d - 1], keys[d] & np.uint64((1 << (8 * (d - 1))) - 1))
-            before, weight = held[parent], passed[parent]
-        else:
-            before, weight = np.float32(0), np.float32(1)
-        # Where the path ends here, a longer context would be the rest context.
-        ending = here if leaf[d] is None else stay[d] * here + (1 - stay[d]) * leaf[d]
-        mixed = np.clip(before + weight * ending, 1e-9, 1 - 1e-7)
-        held, passed = before + weight * stay[d] * here, weight * (1 - stay[d])
-        one = np.log2(mixed)
-        zero = np.log2(1.0 - mixed)
-        table = np.zeros((len(keys[d]), 256), dtype=np.float32)
-        for byte in range(256):
-            node = 1
-            for bit in range(7, -1, -1):
-                up = (byte >> bit) & 1
-                table[:, byte] += (one if up else zero)[:, node - 1]
-                node = 2 * node + up
-        log2.append(table)
-    return ByteModel(depth, keys, log2)
-
-
-def byte_model(counts: DataFrame, depth: int = DEPTH, share: int = CONTEXT_SHARE) -> ByteModel:
-    """The weighted model of gathered (key, n) counts of byte grams; at most 2^share contexts of each depth reach the driver."""
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    keys, symbols = [], []
-    for d in range(depth + 1):
-        # Context bytes without the byte itself; a context stays if it has its share of all bytes.
-        context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        byte = F.col("key").bitwiseAND(F.lit(255))
-        level = counts.groupBy(context.alias("context"), byte.alias("byte")).agg(F.sum("n").alias("n"))
-        packed = level.groupBy("context").agg(
-            F.sum("n").alias("total"), F.collect_list(F.struct("byte", "n")).alias("bytes")
-        ).where(F.col("total") >= F.lit(max(1, total >> share)))
-        found = packed.select("context", "bytes").orderBy("context").toArrow()
-        flat = found.column("bytes").combine_chunks()
-        size = np.diff(flat.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
-        table = np.zeros((max(len(found), 1 if d == 0 else 0), 256), dtype=np.float32)
-        if len(found):
-            items = flat.flatten()
-            table[np.repeat(np.arange(len(found)), size), items.field("byte").to_numpy()] = items.field("n").to_numpy()
-        own = found.column("context").to_numpy().view(np.uint64) if len(found) else np.zeros(1 if d == 0 else 0, np.uint64)
-        order = np.argsort(own)
-        keys.append(own[order])
-        symbols.append(table[order])
-    return weighted_model(keys, symbols)
+            parent = np.searchsorted(tops[d - 1], tops[d] & np.uint64((1 << (8 * (d - 1))) - 1))
+            for c, own in (("zeros", zeros), ("ones", ones), ("weighted", weighted)):
+                np.add.at(sums[c][d - 1], parent, own)
+    held, passed = [], []
+    for d, known in enumerate(tops):
+        here = (sums["ones"][d] + 0.5) / (sums["zeros"][d] + sums["ones"][d] + 1.0)
+        before, weight = np.zeros(shape[d]), np.ones(shape[d])
+        if d:
+            parent = np.searchsorted(tops[d - 1], known & np.uint64((1 << (8 * (d - 1))) - 1))
+            before, weight = held[d - 1][parent], passed[d - 1][parent]
+        held.append(before + weight * stay[d] * here)
+        passed.append(weight * (1.0 - stay[d]))
+    return ByteModel(depth, tops, held, passed)
 
 
 # ---- words -------------------------------------------------------------------------------------
@@ -274,10 +434,10 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 SUMS = "row long, logs double, known long"
 # A row's own sums (without bucket and payload), or a packet of its rare words (with nothing else).
-PASSED = "row long, doc_id long, logs double, known long, tokens long, bits double, bucket int, payload binary"
+PASSED = "row long, doc_id long, logs double, known long, tokens long, bits double, kind int, bucket int, payload binary"
 _PASSED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("logs", pa.float64()), ("known", pa.int64()), ("tokens", pa.int64()),
-    ("bits", pa.float64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+    ("bits", pa.float64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def _passed(n: int, **columns) -> pa.RecordBatch:
@@ -292,25 +452,51 @@ def _common(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, known[at] == words
 
 
-def _scorer(model, frequent, depth: int, buckets: int, flush: int = 500_000):
-    """A row's code length, its tokens, and the sum over its frequent words and its end; its other words go to buckets
-    by hash, with the row and whether it trains."""
+def _scorer(model, grams, frequent, depth: int, gram_buckets: int, buckets: int, flush: int = 500_000):
+    """A row's tokens, and the sums over its frequent grams, its frequent words and its end; its other grams go to the
+    buckets of their subtrees and its other words to buckets by hash, with the row and whether it trains."""
+
+    def sent(kind, found):
+        return _passed(
+            len(found), kind=np.full(len(found), kind, dtype=np.int32), bucket=[b for b, _ in found],
+            payload=[p for _, p in found])
 
-    def sent(waiting):
+    def sent_words(waiting):
         words, rows, trained = (np.concatenate(x) for x in zip(*waiting))
-        found = list(scattered(_bucket_of(words, buckets), buckets, words, rows, trained))
-        return _passed(len(found), bucket=[b for b, _ in found], payload=[pack(*arrays) for _, arrays in found])
+        found = scattered(_bucket_of(words, buckets), buckets, words, rows, trained)
+        return sent(WORDS, [(b, pack(*arrays)) for b, arrays in found])
+
+    def sent_grams(waiting):
+        keys, rows = (np.concatenate(x) for x in zip(*waiting))
+        order = np.lexsort((keys, rows))
+        keys, rows = keys[order], rows[order]
+        # Equal grams of a row travel once.
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])
+        n = np.diff(np.r_[starts, len(keys)])
+        keys, rows = keys[starts], rows[starts]
+        bucket = _root_buckets(keys, model.value.roots(keys), gram_buckets)
+        first = int(rows[0])  # the rows of a task follow one another
+        return sent(BYTES, [(b, _grams(k, first, r, c)) for b, (k, r, c) in scattered(bucket, gram_buckets, keys, rows, n)])
 
     def run(batches):
-        tree: ByteModel = model.value
+        often, log2 = grams.value
         known, counts, end_count = frequent.value
         logs_of = np.log10(counts + 0.5)
-        waiting, size = [], 0
+        held = {BYTES: ([], sent_grams), WORDS: ([], sent_words)}
+        size = {BYTES: 0, WORDS: 0}
         for batch in batches:
             rows = batch.column("row").to_numpy()
             trained = batch.column("trained").to_numpy(zero_copy_only=False).astype(np.uint8)
             for row, end, data, offsets in text_slices(batch.column("text")):
-                bits = tree.code_lengths(*framed(data, offsets, depth))
+                out, scored, edges = framed(data, offsets, depth)
+                keys = gram_keys(out, depth)[scored[depth:]]
+                owner = np.repeat(np.arange(end - row), np.diff(edges) - depth)
+                order = np.argsort(keys)
+                keys, owner = keys[order], owner[order]
+                at, common = _common(keys, often)
+                bits = -np.bincount(owner[common], log2[at[common]], end - row)
+                held[BYTES][0].append((keys[~common], rows[owner[~common] + row]))
+                size[BYTES] += len(keys) - int(common.sum())
                 words, first = word_hashes(data, offsets, lower=True)
                 owner = row_of(first)
                 at, common = _common(words, known)
@@ -320,13 +506,16 @@ def _scorer(model, frequent, depth: int, buckets: int, flush: int = 500_000):
                     end - row, row=rows[row:end], doc_id=batch.column("doc_id").slice(row, end - row), logs=logs,
                     known=hits.astype(np.int64), tokens=np.diff(first).astype(np.int64) + 1, bits=bits)
                 rare = owner[~common] + row
-                waiting.append((words[~common], rows[rare], trained[rare]))
-                size += len(rare)
-                if size >= flush:
-                    yield sent(waiting)
-                    waiting, size = [], 0
-        if size:
-            yield sent(waiting)
+                held[WORDS][0].append((words[~common], rows[rare], trained[rare]))
+                size[WORDS] += len(rare)
+                for kind, (waiting, send) in held.items():
+                    if size[kind] >= flush:
+                        yield send(waiting)
+                        waiting.clear()
+                        size[kind] = 0
+        for kind, (waiting, send) in held.items():
+            if size[kind]:
+                yield send(waiting)
 
     return lean(run)
 
@@ -373,12 +562,22 @@ def scored(
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), trained.alias("trained")
     )
-    buckets = bucket_count(spark, total_text_bytes(base))
+    text_bytes = total_text_bytes(base)
+    buckets = bucket_count(spark, text_bytes)
     counts = written(
         base.where("trained").select("text").mapInArrow(_counter(depth), "kind int, key long, n long")
         .groupBy("kind", "key").agg(F.sum("n").alias("n"))
     )
-    model = spark.sparkContext.broadcast(byte_model(counts.where(F.col("kind") == BYTES).select("key", "n"), depth))
+    bytes_ = counts.where(F.col("kind") == BYTES).select("key", "n")
+    seen = bytes_.agg(F.count(F.lit(1)).alias("grams"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    tops = top_contexts(bytes_, depth, seen["grams"])
+    subtrees = gram_buckets(spark, seen["grams"], text_bytes)
+    dealt = _dealt_grams(bytes_, tops, subtrees)
+    model = spark.sparkContext.broadcast(_weighted_top(dealt, tops, depth))
+    often = by_bucket(dealt, _frequent_values(model, depth, max(2, seen["n"] >> GRAM_SHARE)), "key long, log2 double").toArrow()
+    keys = often.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    grams = spark.sparkContext.broadcast((keys[order], often.column("log2").to_numpy()[order]))
     words = counts.where(F.col("kind") == WORDS)
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(row["n"]), int(row["v"])
@@ -390,11 +589,14 @@ def scored(
     frequent = spark.sparkContext.broadcast((keys[order], heavy.column("n").to_numpy()[order].astype(np.float64), int(end_count)))
     # One pass over the texts; what it finds is written, so that a row's number is the same wherever it is used.
     passed = written(
-        base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(model, frequent, depth, buckets), PASSED))
+        base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(model, grams, frequent, depth, subtrees, buckets), PASSED))
     own = passed.where("bucket is null").select("row", "doc_id", "logs", "known", "tokens", "bits")
-    asked = passed.where("bucket is not null").select("bucket", "payload")
-    rare = by_bucket(by_bucket(asked, _counted_words(buckets), PACKET), _summed, SUMS)
-    sums = own.unionByName(rare, allowMissingColumns=True).groupBy("row").agg(
+    asked = lambda kind: passed.where(F.col("kind") == kind).select("bucket", "payload")
+    rare = by_bucket(by_bucket(asked(WORDS), _counted_words(buckets), PACKET), _summed, SUMS)
+    looked_up = by_bucket(dealt.unionByName(asked(BYTES)), _asked_values(model, depth, buckets), PACKET)
+    below = by_bucket(looked_up, _bits_summed, "row long, bits double")
+    every = own.unionByName(rare, allowMissingColumns=True).unionByName(below, allowMissingColumns=True)
+    sums = every.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("logs", "known", "tokens", "bits")))
     return sums.select(
         "doc_id", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),

@@ -343,6 +343,21 @@ def test_context_tree_equals_a_plain_recursion(spark):
         assert found[i]["score"] == pytest.approx(-found[i]["bits"] * math.log10(2), rel=1e-12)
 
 
+@pytest.mark.parametrize("least, split, share", [(1 << 12, 10, 20), (1, 30, 0), (2, 30, 40), (6, 30, 12)])
+def test_rare_contexts_count_whatever_the_corpus(spark, least, split, share, monkeypatch):
+    """Every context of the training texts has its weight, also one in 140,000 bytes, wherever the tree is cut."""
+    for name, value in (("LEAST_GRAMS", least), ("SPLIT", split), ("GRAM_SHARE", share)):
+        monkeypatch.setattr(lm_scoring, name, value, raising=False)
+    train = ["abab abba", "abra", "Baab\n", "a" * 140_000]
+    rows = list(enumerate(train)) + [(10, "abc"), (11, ""), (12, None), (13, "ABBA zé aaa"), (14, "xyxyxyxy")]
+    df = frame(spark, rows).withColumn("trained", F.col("doc_id") < 10)
+    found = by_id(lm_scoring.scored(df, trained_col="trained", depth=2))
+    plain = plain_tree(train, 2)
+    for i, t in rows:
+        if i != 3:
+            assert found[i]["bits"] == pytest.approx(plain(t), rel=1e-6), t
+
+
 def test_byte_model_is_a_distribution(docs):
     counts = docs.select("text").mapInArrow(lm_scoring._counter(3), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     model = lm_scoring.byte_model(counts.where("kind = 0").select("key", "n"), 3)
